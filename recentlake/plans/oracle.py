@@ -145,7 +145,120 @@ REPORTS: dict[str, str] = {
 }
 
 
+# ---------------------------------------------------------------------------
+# Anomaly rules
+# ---------------------------------------------------------------------------
+
+_ANOM_TYPES = {f.name: {"string": "VARCHAR", "bigint": "BIGINT", "double": "DOUBLE"}[f.dataType.simpleString()]
+               for f in S.ANOMALY.fields}
+
+
+def _anom(values: dict[str, str], phase: int, seq: str, rule: int, src: str, where: str = "true",
+          extra: str = "") -> str:
+    cols = []
+    for name, typ in _ANOM_TYPES.items():
+        cols.append(f"CAST({values.get(name, 'NULL')} AS {typ}) AS \"{name}\"")
+    cols += [f"{phase} AS _phase", f"{seq} AS _seq", f"{rule} AS _rule"]
+    return f"SELECT {', '.join(cols)} FROM {src} WHERE {where} {extra}"
+
+
+KEYED = (
+    f"k AS (SELECT *, {PAGE_T} AS _title, {PAGE_W} AS _wiki, coalesce(event_us, {AS_OF_US}) AS _us, "
+    f"event_id AS _seq FROM ev)"
+)
+STAMP = iso("_us")
+STRIP_WIKI = "regexp_replace(wiki, '^\\s+|\\s+$', '', 'g')"
+
+
+def _sev(c: str) -> str:
+    return f"CASE WHEN {c} >= 10 THEN 'high' WHEN {c} >= 5 THEN 'medium' ELSE 'low' END"
+
+
+EVENT_RULE_SQL = {
+    "wiki_null": _anom(
+        {"type": "'data_anomaly'", "page": "_title", "severity": "'high'", "timestamp": STAMP,
+         "reason": "'wiki_null'", "wiki": "wiki"}, 0, "_seq", 0, "k",
+        f"wiki IS NULL OR {STRIP_WIKI} = ''"),
+    "unknown_language": _anom(
+        {"type": "'data_anomaly'", "page": "_title", "severity": "'medium'", "timestamp": STAMP,
+         "reason": "'unknown_language'", "wiki": "wiki"}, 0, "_seq", 1, "k",
+        f"wiki IS NOT NULL AND wiki <> '' AND ({LANG}) = 'unknown'"),
+    "incoherent_timestamp": _anom(
+        {"type": "'data_anomaly'", "page": "_title", "severity": "'high'", "timestamp": STAMP,
+         "reason": "'incoherent_timestamp'", "ingestion_timestamp": "coalesce(ingestion_timestamp, 'None')"},
+        0, "_seq", 3, "k", f"event_us IS NOT NULL AND event_us > {AS_OF_US} + 300000000"),
+    "short_title_repeated": _anom(
+        {"type": "'spam_heuristic'", "page": "_title", "severity": "'low'", "timestamp": STAMP,
+         "reason": "'short_title_repeated'", "title": "_title", "user": USER_K}, 0, "_seq", 4, "k",
+        "length(coalesce(nullif(title,''),'')) <= 5"),
+}
+
+
+def _windowed(name: str, width_us: int) -> str:
+    return (
+        f"{name} AS (SELECT _title, _wiki, _us, count(*) OVER wf AS c, max(_us) OVER wf AS last_us, "
+        f"count(*) OVER p AS n, min(_us) OVER p AS first_us, max(_us) OVER p AS page_last, min(_seq) OVER p AS pseq "
+        f"FROM k WINDOW wf AS (PARTITION BY _title, _wiki ORDER BY _us RANGE BETWEEN CURRENT ROW AND {width_us} "
+        f"FOLLOWING), p AS (PARTITION BY _title, _wiki))"
+    )
+
+
+SPIKE_CTES = (
+    _windowed("w5", 300_000_000),
+    "sb AS (SELECT *, greatest(CAST(1.0 AS DOUBLE), n / greatest(CAST(1.0 AS DOUBLE), "
+    "CAST(page_last - first_us AS DOUBLE) / CAST(1000000.0 AS DOUBLE) / CAST(60.0 AS DOUBLE))) AS baseline FROM w5)",
+)
+SPIKE_SQL = _anom(
+    {"type": "'edit_spike'", "page": "_title", "severity": _sev("c"), "timestamp": iso("last_us"),
+     "edit_count": "c", "window": "'5min'", "wiki": "_wiki", "ratio_vs_baseline": "round(c / baseline, 2)"},
+    1, "pseq", 0, "sb", "n >= 4 AND c >= 3 AND CAST(c AS DOUBLE) >= baseline * 3.0",
+    "QUALIFY row_number() OVER (PARTITION BY _title, _wiki ORDER BY _us) = 1")
+RAPID_CTES = (_windowed("w2", 120_000_000),)
+RAPID_SQL = _anom(
+    {"type": "'spam_heuristic'", "page": "_title", "severity": "'high'", "timestamp": iso("last_us"),
+     "edit_count": "c", "window": "'2min'", "wiki": "_wiki", "reason": "'rapid_page_edits'"},
+    2, "pseq", 0, "w2", "c >= 5", "QUALIFY row_number() OVER (PARTITION BY _title, _wiki ORDER BY _us) = 1")
+BOT_CTES = (
+    "bm AS (SELECT strftime(make_timestamp(_us), '%Y-%m-%d %H:%M') AS minute, count(*) AS n, min(_seq) AS mseq "
+    "FROM k WHERE coalesce(is_bot, false) GROUP BY 1 HAVING count(*) >= 30)",
+)
+BOT_SQL = _anom(
+    {"type": "'bot_behavior_anomaly'", "page": "'multiple'", "severity": "'high'",
+     "timestamp": "minute || ':00+00:00'", "edits_per_minute": "n", "threshold": "30",
+     "reason": "'bot_high_edit_rate'"}, 3, "mseq", 0, "bm")
+
+PUBLIC = ", ".join(f'"{c}"' for c in S.ANOMALY_COLUMNS)
+
+
+def _rule_query(ctes: tuple[str, ...], body: str) -> str:
+    return _with(KEYED, *ctes) + f"SELECT {PUBLIC} FROM ({body}) x"
+
+
+ALL_HITS = " UNION ALL ".join(
+    [f"({q})" for q in EVENT_RULE_SQL.values()] + [f"({SPIKE_SQL})", f"({RAPID_SQL})", f"({BOT_SQL})"]
+)
+DETECT_BODY = (
+    f"SELECT * FROM ({ALL_HITS}) h "
+    f"QUALIFY row_number() OVER (PARTITION BY \"type\", page, \"timestamp\" ORDER BY _phase, _seq, _rule) = 1"
+)
+
+ANOMALIES: dict[str, str] = {
+    "rule_wiki_null": _rule_query((), EVENT_RULE_SQL["wiki_null"]),
+    "rule_unknown_language": _rule_query((), EVENT_RULE_SQL["unknown_language"]),
+    "rule_future_timestamp": _rule_query((), EVENT_RULE_SQL["incoherent_timestamp"]),
+    "rule_short_title": _rule_query((), EVENT_RULE_SQL["short_title_repeated"]),
+    "rule_edit_spike": _rule_query(SPIKE_CTES, SPIKE_SQL),
+    "rule_rapid_edits": _rule_query(RAPID_CTES, RAPID_SQL),
+    "rule_bot_rate": _rule_query(BOT_CTES, BOT_SQL),
+    "detect_anomalies": _rule_query(SPIKE_CTES + RAPID_CTES + BOT_CTES, DETECT_BODY),
+    "anomaly_report": _with(KEYED, *SPIKE_CTES, *RAPID_CTES, *BOT_CTES)
+    + f"SELECT {iso(str(AS_OF_US))} AS generated_at, (SELECT count(*) FROM ev) AS events_analyzed, "
+    f"(SELECT count(*) FROM ({DETECT_BODY}) d) AS anomaly_count",
+}
+
+
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out.update(REPORTS)
+    out.update(ANOMALIES)
     return out

@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from recentlake.operators import anomalies as A
 from recentlake.operators import reports as R
 from recentlake.sources import testdata as TD
 
@@ -47,7 +48,34 @@ REPORT_QUERIES: dict[str, Query] = {
 }
 
 
+def _rule(name: str) -> Query:
+    return _on_events(lambda ev: A.rule(ev, name, TD.as_of_col()))
+
+
+def _detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.detect_anomalies(TD.load_processed(spark, sf_dir), TD.as_of_col())
+
+
+def _anomaly_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = TD.load_processed(spark, sf_dir)
+    return A.anomaly_report(ev, A.detect_anomalies(ev, TD.as_of_col()), TD.as_of_col())
+
+
+ANOMALY_QUERIES: dict[str, Query] = {
+    "rule_wiki_null": _rule("wiki_null"),
+    "rule_unknown_language": _rule("unknown_language"),
+    "rule_future_timestamp": _rule("incoherent_timestamp"),
+    "rule_short_title": _rule("short_title_repeated"),
+    "rule_edit_spike": _rule("edit_spike"),
+    "rule_rapid_edits": _rule("rapid_page_edits"),
+    "rule_bot_rate": _rule("bot_high_edit_rate"),
+    "detect_anomalies": _detect,
+    "anomaly_report": _anomaly_report,
+}
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
     out.update(REPORT_QUERIES)
+    out.update(ANOMALY_QUERIES)
     return out
