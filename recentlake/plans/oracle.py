@@ -257,8 +257,86 @@ ANOMALIES: dict[str, str] = {
 }
 
 
+# ---------------------------------------------------------------------------
+# Ingestion (raw feed built from the events table, parsed back from JSON)
+# ---------------------------------------------------------------------------
+
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+def _jx(path: str) -> str:
+    return f"try(json_extract_string(value, '{path}'))"
+
+
+RAW_CTES = (
+    f"rb AS ({_BASE})",
+    "raw AS (SELECT event_id, CASE WHEN event_id%211=5 THEN '{bad' WHEN event_id%223=7 THEN '[1]' "
+    "ELSE CAST(to_json(struct_pack(title := CASE WHEN event_id%229=9 THEN '   ' ELSE title END, wiki := wiki, "
+    "server_name := CASE WHEN event_id%7=1 THEN 'srv'||CAST(user_id%5 AS VARCHAR)||'.example.org' END, "
+    "\"timestamp\" := CASE WHEN event_id%2=0 THEN event_us // 1000000 END, \"user\" := \"user\", "
+    "userid := CASE WHEN event_id%31=0 THEN 0 ELSE user_id END, bot := is_bot, anonymous := is_anonymous, "
+    "\"type\" := event_type, page_id := CAST(page_id AS BIGINT), "
+    "meta := struct_pack(domain := CASE WHEN event_id%11=2 THEN 'meta-domain.example.org' END, "
+    f"dt := CASE WHEN event_id%2=1 AND event_us IS NOT NULL THEN {iso('event_us')} END, "
+    "id := CASE WHEN event_id%3<>0 THEN 'evt-'||CAST(event_id AS VARCHAR) END))) AS VARCHAR) END AS value FROM rb)",
+    "p AS (SELECT event_id, value, json_valid(value) AS json_ok, "
+    "json_valid(value) AND regexp_matches(value, '^\\s*\\{') AS is_object, "
+    f"{_jx('$.title')} AS e_title, {_jx('$.wiki')} AS e_wiki, {_jx('$.server_name')} AS e_server, "
+    f"{_jx('$.timestamp')} AS e_ts, {_jx('$.user')} AS e_user, try(CAST({_jx('$.userid')} AS BIGINT)) AS e_userid, "
+    f"try(CAST({_jx('$.bot')} AS BOOLEAN)) AS e_bot, try(CAST({_jx('$.anonymous')} AS BOOLEAN)) AS e_anon, "
+    f"{_jx('$.type')} AS e_type, {_jx('$.page_id')} AS e_page_id, {_jx('$.meta.domain')} AS e_domain, "
+    f"{_jx('$.meta.dt')} AS e_dt, {_jx('$.meta.id')} AS e_meta_id FROM raw)",
+    f"v AS (SELECT *, nullif({_strip('e_title')}, '') AS c_title, "
+    "coalesce(nullif(e_wiki,''), nullif(e_server,''), nullif(e_domain,'')) AS x_wiki, "
+    "coalesce(e_ts, e_dt) AS x_ts, "
+    "coalesce(e_anon, false) OR coalesce(e_userid = 0, false) "
+    "OR coalesce(regexp_matches(e_user, '^\\d{1,3}(\\.\\d{1,3}){3}$'), false) AS x_anon FROM p)",
+    "vr AS (SELECT *, CASE WHEN NOT json_ok THEN 'invalid_json' WHEN NOT is_object THEN 'json_not_object' "
+    "WHEN c_title IS NULL THEN 'missing_or_empty_title' WHEN x_wiki IS NULL THEN 'missing_wiki' "
+    "WHEN x_ts IS NULL THEN 'missing_timestamp' END AS error_reason FROM v)",
+    f"enr AS (SELECT event_id, {iso(str(AS_OF_US))} AS ingestion_timestamp, '{S.DEFAULT_SOURCE}' AS source, "
+    + _strip("coalesce(x_wiki, 'unknown')") + " AS partition_key, coalesce(e_bot, false) AS is_bot, "
+    "x_anon AS is_anonymous, coalesce(e_type, 'unknown') AS event_type, coalesce(x_wiki, 'unknown') AS wiki, "
+    "coalesce(c_title, 'unknown') AS title, coalesce(e_user, 'unknown') AS \"user\", "
+    "coalesce(e_page_id, e_meta_id) AS page_id FROM vr WHERE error_reason IS NULL)",
+    "errs AS (SELECT event_id, error_reason, CASE WHEN error_reason IN ('invalid_json','json_not_object') "
+    f"THEN 'unknown' ELSE coalesce({_strip('x_wiki')}, 'unknown') END AS partition_key, "
+    "error_reason NOT IN ('invalid_json','json_not_object') AS has_partial_event FROM vr "
+    "WHERE error_reason IS NOT NULL)",
+    "msgs AS (SELECT event_id, 'wm.recentchange.raw' AS topic, partition_key AS key FROM enr "
+    "UNION ALL SELECT event_id, 'wm.bot.events', partition_key FROM enr WHERE is_bot "
+    "UNION ALL SELECT event_id, 'wm.page.edits', partition_key FROM enr WHERE lower(event_type) IN ('edit','annotate') "
+    "UNION ALL SELECT event_id, 'wm.errors', partition_key FROM errs)",
+)
+
+
+def _ingest(body: str) -> str:
+    return "WITH " + ",\n".join(RAW_CTES) + "\n" + body
+
+
+INGEST: dict[str, str] = {
+    "validate_events": _ingest("SELECT event_id, error_reason FROM vr"),
+    "enrich_events": _ingest("SELECT * FROM enr"),
+    "extract_wiki": _ingest("SELECT event_id, x_wiki AS wiki FROM vr WHERE is_object"),
+    "is_anonymous": _ingest("SELECT event_id, x_anon AS is_anonymous FROM vr WHERE is_object"),
+    "error_records": _ingest("SELECT * FROM errs"),
+    "route_topics": _ingest("SELECT event_id, topic, key FROM msgs"),
+    "invalid_rate": _ingest(
+        "SELECT errors AS ingestion_errors, total AS total_events, "
+        "round(CAST(errors AS DOUBLE) / CAST(greatest(1, errors + total) AS DOUBLE) * 100.0, 2) "
+        "AS invalid_events_rate_pct FROM (SELECT count_if(error_reason IS NOT NULL) AS errors, "
+        "count_if(error_reason IS NULL) AS total FROM vr) c"),
+    "topic_volumes": _ingest(
+        "SELECT t.topic, coalesce(c.n, 0) AS message_count FROM (VALUES ('wm.recentchange.raw'), ('wm.bot.events'), "
+        "('wm.page.edits'), ('wm.errors')) t(topic) LEFT JOIN (SELECT topic, count(*) AS n FROM msgs GROUP BY 1) c "
+        "ON t.topic = c.topic"),
+}
+
+
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out.update(REPORTS)
     out.update(ANOMALIES)
+    out.update(INGEST)
     return out

@@ -11,7 +11,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
+from recentlake.functions import columns as C
 from recentlake.operators import anomalies as A
+from recentlake.operators import ingest as I
 from recentlake.operators import reports as R
 from recentlake.sources import testdata as TD
 
@@ -74,8 +78,72 @@ ANOMALY_QUERIES: dict[str, Query] = {
 }
 
 
+def _validated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.validate_events(TD.load_raw_feed(spark, sf_dir))
+
+
+def _q_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _validated(spark, sf_dir).select("event_id", "error_reason")
+
+
+def _q_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rec = I.enrich_events(_validated(spark, sf_dir), TD.as_of_col(), keep=["event_id"])
+    return rec.drop("payload")
+
+
+def _q_extract_wiki(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = I.parse_raw_events(TD.load_raw_feed(spark, sf_dir))
+    return I.select_where(parsed, F.col("is_object"), [F.col("event_id"), I.event_wiki().alias("wiki")])
+
+
+def _q_is_anonymous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = I.parse_raw_events(TD.load_raw_feed(spark, sf_dir))
+    anon = C.is_anonymous("event.anonymous", "event.userid", "event.user").alias("is_anonymous")
+    return I.select_where(parsed, F.col("is_object"), [F.col("event_id"), anon])
+
+
+def _q_error_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    err = I.error_records(_validated(spark, sf_dir), TD.as_of_col(), keep=["event_id"])
+    return err.select("event_id", "error_reason", "partition_key",
+                      F.col("partial_event").isNotNull().alias("has_partial_event"))
+
+
+def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.ingest_messages(TD.load_raw_feed(spark, sf_dir), TD.as_of_col(), keep=["event_id"])
+
+
+def _q_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _messages(spark, sf_dir).select("event_id", "topic", "key")
+
+
+def _q_invalid_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = I.validation_counts(_validated(spark, sf_dir))
+    return c.select(
+        F.col("invalid").alias("ingestion_errors"),
+        F.col("valid").alias("total_events"),
+        R.invalid_rate(F.col("invalid"), F.col("valid")).alias("invalid_events_rate_pct"),
+    )
+
+
+def _q_topic_volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.topic_volumes(_messages(spark, sf_dir))
+
+
+INGEST_QUERIES: dict[str, Query] = {
+    "validate_events": _q_validate,
+    "enrich_events": _q_enrich,
+    "extract_wiki": _q_extract_wiki,
+    "is_anonymous": _q_is_anonymous,
+    "error_records": _q_error_records,
+    "route_topics": _q_route,
+    "invalid_rate": _q_invalid_rate,
+    "topic_volumes": _q_topic_volumes,
+}
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
     out.update(REPORT_QUERIES)
     out.update(ANOMALY_QUERIES)
+    out.update(INGEST_QUERIES)
     return out
