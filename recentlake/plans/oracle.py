@@ -334,9 +334,78 @@ INGEST: dict[str, str] = {
 }
 
 
+# ---------------------------------------------------------------------------
+# Live views and monitoring
+# ---------------------------------------------------------------------------
+
+def _utc_label(us: str, ts: str) -> str:
+    return f"CASE WHEN {us} IS NULL THEN 'timestamp invalide' ELSE strftime({ts}, '%d/%m/%Y %H:%M:%S') || ' UTC' END"
+
+
+def _local_label(us: str, ts: str) -> str:
+    return (
+        f"CASE WHEN {us} IS NULL THEN 'timestamp invalide' ELSE "
+        f"strftime(timezone('Europe/Paris', timezone('UTC', {ts})), '%d/%m/%Y %H:%M:%S') || ' Europe/Paris' END"
+    )
+
+
+def _shorten(t: str) -> str:
+    st = _strip(t)
+    return (
+        f"CASE WHEN length({st}) <= 50 THEN {st} "
+        f"ELSE regexp_replace(left({st}, 49), '\\s+$', '', 'g') || '…' END"
+    )
+
+
+NEWEST = "coalesce(event_us, 0) DESC, kafka_partition ASC, kafka_offset ASC"
+BUF = f"buf AS (SELECT * FROM ev ORDER BY {NEWEST} LIMIT {S.LIVE_MAX_EVENTS})"
+OFFSETS = (
+    "eo AS (SELECT 'wm.recentchange.raw' AS topic, kafka_partition AS \"partition\", max(kafka_offset) + 1 "
+    "AS end_offset FROM ev GROUP BY 1, 2)",
+    "co AS (SELECT 'wm.recentchange.raw' AS topic, kafka_partition AS \"partition\", max(kafka_offset) + 1 "
+    f"AS committed_offset FROM ev WHERE event_time <= {AS_OF_TS} GROUP BY 1, 2)",
+)
+
+LIVE: dict[str, str] = {
+    "dedupe_offsets": _with("d AS (SELECT * FROM ev UNION ALL SELECT * FROM ev WHERE event_id % 50 = 0)")
+    + "SELECT event_id, kafka_partition, kafka_offset, title, wiki FROM d "
+    "QUALIFY row_number() OVER (PARTITION BY kafka_partition, kafka_offset ORDER BY event_id) = 1",
+    "latest_events": _with()
+    + f"SELECT title, wiki, \"user\", event_type, is_bot, {_utc_label('event_us', 'event_time')} AS ingestion_utc, "
+    f"{_local_label('event_us', 'event_time')} AS ingestion_local FROM ev ORDER BY {NEWEST} LIMIT {S.LIVE_TABLE_ROWS}",
+    "latest_event": _with()
+    + f"SELECT coalesce(ingestion_timestamp, '—') AS latest_raw, {_utc_label('event_us', 'event_time')} AS latest_utc, "
+    f"{_local_label('event_us', 'event_time')} AS latest_local FROM ev "
+    "ORDER BY coalesce(event_us, 0) DESC, kafka_partition DESC, kafka_offset DESC LIMIT 1",
+    "live_top_pages": _with(BUF)
+    + _top("SELECT coalesce(nullif(title,''),'?') AS title, coalesce(nullif(wiki,''),'?') AS wiki, "
+           "count(*) AS edit_count FROM buf GROUP BY 1, 2", ["title", "wiki"], "edit_count", S.LIVE_TOP_N,
+           f"rank, {_shorten('title')} || ' (' || wiki || ')' AS page, edit_count"),
+    "live_by_wiki": _with(BUF)
+    + _top(f"SELECT {PAGE_W} AS wiki, count(*) AS event_count FROM buf GROUP BY 1", ["wiki"], "event_count",
+           S.LIVE_TOP_N, "rank, wiki, event_count"),
+    "live_metrics": _with(BUF)
+    + "SELECT count(*) AS buffered, count_if(coalesce(is_bot, false)) AS bots, "
+    "count(*) - count_if(coalesce(is_bot, false)) AS humans FROM buf",
+    "shorten_title": _with() + "SELECT event_id, " + _shorten("coalesce(nullif(title,''),'?')")
+    + " AS short_title FROM ev",
+    "format_local_time": _with() + f"SELECT event_id, {_local_label('event_us', 'event_time')} AS local_time FROM ev",
+    "data_freshness": _with()
+    + f"SELECT CASE WHEN latest IS NOT NULL THEN {iso('latest')} END AS latest_event_time, "
+    f"CASE WHEN latest IS NULL THEN 'unknown' WHEN {AS_OF_US} - latest < 600000000 THEN 'fresh' ELSE 'stale' END "
+    "AS status FROM (SELECT max(event_us) AS latest FROM ev) m",
+    "offset_lag": _with(*OFFSETS)
+    + "SELECT eo.topic, eo.\"partition\", end_offset, coalesce(committed_offset, 0) AS committed_offset, "
+    "greatest(0, end_offset - coalesce(committed_offset, 0)) AS lag FROM eo LEFT JOIN co "
+    "ON eo.topic = co.topic AND eo.\"partition\" = co.\"partition\"",
+    "topic_end_volume": _with(*OFFSETS) + "SELECT topic, CAST(sum(end_offset) AS BIGINT) AS volume FROM eo GROUP BY 1",
+}
+
+
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out.update(REPORTS)
     out.update(ANOMALIES)
     out.update(INGEST)
+    out.update(LIVE)
     return out

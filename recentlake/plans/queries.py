@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from recentlake.functions import columns as C
 from recentlake.operators import anomalies as A
 from recentlake.operators import ingest as I
+from recentlake.operators import live as L
+from recentlake.operators import monitoring as M
 from recentlake.operators import reports as R
 from recentlake.sources import testdata as TD
 
@@ -141,9 +143,48 @@ INGEST_QUERIES: dict[str, Query] = {
 }
 
 
+def _q_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dup = TD.duplicated_events(TD.load_processed(spark, sf_dir))
+    return L.dedupe_offsets(dup).select("event_id", "kafka_partition", "kafka_offset", "title", "wiki")
+
+
+def _on_buffer(op: Callable[[DataFrame], DataFrame]) -> Query:
+    return _on_events(lambda ev: op(L.live_buffer(ev)))
+
+
+def _offsets(ev: DataFrame) -> tuple[DataFrame, DataFrame]:
+    end = M.end_offsets_from(ev)
+    done = M.committed_offsets_from(ev, F.col("event_time") <= TD.as_of_col())
+    return end, done
+
+
+def _q_global_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = TD.read_table(spark, sf_dir, "events").withColumn("source_file", F.col("_metadata.file_path"))
+    return R.global_activity(raw, source_path=sf_dir)
+
+
+LIVE_QUERIES: dict[str, Query] = {
+    "dedupe_offsets": _q_dedupe,
+    "latest_events": _on_events(L.latest_events),
+    "latest_event": _on_events(L.latest_event),
+    "live_top_pages": _on_buffer(L.live_top_pages),
+    "live_by_wiki": _on_buffer(L.live_by_wiki),
+    "live_metrics": _on_buffer(L.live_metrics),
+    "shorten_title": _on_events(
+        lambda ev: ev.select("event_id", C.shorten_title(C.or_default("title", "?")).alias("short_title"))),
+    "format_local_time": _on_events(
+        lambda ev: ev.select("event_id", C.format_local_time("event_time").alias("local_time"))),
+    "data_freshness": _on_events(lambda ev: L.data_freshness(ev, TD.as_of_col())),
+    "offset_lag": _on_events(lambda ev: M.offset_lag(*_offsets(ev))),
+    "topic_end_volume": _on_events(lambda ev: M.topic_end_volume(_offsets(ev)[0])),
+    "global_activity": _q_global_activity,
+}
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
     out.update(REPORT_QUERIES)
     out.update(ANOMALY_QUERIES)
     out.update(INGEST_QUERIES)
+    out.update(LIVE_QUERIES)
     return out
