@@ -139,54 +139,67 @@ def event_rules(keyed: DataFrame, as_of: Column, rules: Sequence[str] = EVENT_RU
 # Page window rules (Q6, Q7)
 # ---------------------------------------------------------------------------
 
-def _page_windows(keyed: DataFrame, width_min: int, slice_us: int | None) -> DataFrame:
-    return forward_window_stats(
-        keyed, ["_title", "_wiki"], "_us", width_min * MINUTE_US, slice_us=slice_us, carry_min="_seq"
-    )
+PAGE_RULES = ("edit_spike", "rapid_page_edits")
 
 
-def edit_spikes(keyed: DataFrame, slice_us: int | None = None) -> DataFrame:
-    """First 5-minute window per page with >= 3 events and >= 3x baseline."""
-    w = _page_windows(keyed, S.EDIT_SPIKE_WINDOW_MIN, slice_us)
+def page_window_rules(keyed: DataFrame, slice_us: int | None = None,
+                      rules: Sequence[str] = PAGE_RULES) -> DataFrame:
+    """Edit spikes and rapid edits from one scan, one shuffle, one aggregate.
+
+    edit_spike:        first t (per page) with c5 >= 3, c5 >= 3 x baseline and
+                       n >= 4; baseline = max(1, n / max(1, span minutes))
+    rapid_page_edits:  first t with c2 >= 5
+    where cW = events of the page in [t, t + W minutes].  "First" is the
+    smallest t: ``min_by`` over ``when(hit, t)`` (non-hits are ignored), a
+    partial aggregate, so no page ever gathers in one task.
+    """
+    widths = {"w5": S.EDIT_SPIKE_WINDOW_MIN * MINUTE_US, "w2": S.SPAM_WINDOW_MIN * MINUTE_US}
+    w = forward_window_stats(keyed, ["_title", "_wiki"], "_us", widths, slice_us=slice_us, carry_min="_seq")
     span_min = (F.col("key_last") - F.col("key_first")).cast("double") / F.lit(1_000_000.0) / F.lit(60.0)
     baseline = F.greatest(F.lit(1.0), F.col("key_count") / F.greatest(F.lit(1.0), span_min))
-    c = F.col("window_count")
-    hits = w.withColumn("_baseline", baseline).filter(
+    c5, c2 = F.col("w5_count"), F.col("w2_count")
+    spike_hit = (
         (F.col("key_count") >= S.EDIT_SPIKE_MIN_EVENTS)
-        & (c >= S.EDIT_SPIKE_MIN_IN_WINDOW)
-        & (c.cast("double") >= F.col("_baseline") * F.lit(S.EDIT_SPIKE_RATIO))
+        & (c5 >= S.EDIT_SPIKE_MIN_IN_WINDOW)
+        & (c5.cast("double") >= baseline * F.lit(S.EDIT_SPIKE_RATIO))
     )
-    first = hits.groupBy("_title", "_wiki").agg(
-        F.min_by(F.struct("window_count", "window_last", "_baseline", "key_min__seq"), F.col("_us")).alias("h")
+    rapid_hit = c2 >= S.SPAM_EDITS_IN_WINDOW
+    first = w.groupBy("_title", "_wiki").agg(
+        F.min_by(F.struct(c5.alias("c"), F.col("w5_last").alias("last"), baseline.alias("baseline")),
+                 F.when(spike_hit, F.col("_us"))).alias("s"),
+        F.min_by(F.struct(c2.alias("c"), F.col("w2_last").alias("last")),
+                 F.when(rapid_hit, F.col("_us"))).alias("r"),
+        F.min("key_min__seq").alias("_seq"),
     )
-    cnt = F.col("h.window_count")
-    return first.select(
-        *_row(type=F.lit(S.ANOMALY_SPIKE), page=F.col("_title"), severity=C.severity(cnt),
-              timestamp=C.iso_utc(F.timestamp_micros(F.col("h.window_last"))), edit_count=cnt,
+    sc, rc = F.col("s.c"), F.col("r.c")
+    spike = F.struct(
+        *_row(type=F.lit(S.ANOMALY_SPIKE), page=F.col("_title"), severity=C.severity(sc),
+              timestamp=C.iso_utc(F.timestamp_micros(F.col("s.last"))), edit_count=sc,
               window=F.lit(f"{S.EDIT_SPIKE_WINDOW_MIN}min"), wiki=F.col("_wiki"),
-              ratio_vs_baseline=F.round(cnt.cast("double") / F.col("h._baseline"), 2)),
-        F.lit(PHASE_SPIKE).alias("_phase"),
-        F.col("h.key_min__seq").alias("_seq"),
-        F.lit(0).alias("_rule"),
-    )
-
-
-def rapid_edits(keyed: DataFrame, slice_us: int | None = None) -> DataFrame:
-    """First 2-minute window per page with >= 5 events."""
-    w = _page_windows(keyed, S.SPAM_WINDOW_MIN, slice_us)
-    hits = w.filter(F.col("window_count") >= S.SPAM_EDITS_IN_WINDOW)
-    first = hits.groupBy("_title", "_wiki").agg(
-        F.min_by(F.struct("window_count", "window_last", "key_min__seq"), F.col("_us")).alias("h")
+              ratio_vs_baseline=F.round(sc.cast("double") / F.col("s.baseline"), 2)),
+        F.lit(PHASE_SPIKE).alias("_phase"), F.col("_seq"), F.lit(0).alias("_rule"),
     )
-    cnt = F.col("h.window_count")
-    return first.select(
+    rapid = F.struct(
         *_row(type=F.lit(S.ANOMALY_SPAM), page=F.col("_title"), severity=F.lit("high"),
-              timestamp=C.iso_utc(F.timestamp_micros(F.col("h.window_last"))), edit_count=cnt,
+              timestamp=C.iso_utc(F.timestamp_micros(F.col("r.last"))), edit_count=rc,
               window=F.lit(f"{S.SPAM_WINDOW_MIN}min"), wiki=F.col("_wiki"), reason=F.lit("rapid_page_edits")),
-        F.lit(PHASE_RAPID).alias("_phase"),
-        F.col("h.key_min__seq").alias("_seq"),
-        F.lit(0).alias("_rule"),
+        F.lit(PHASE_RAPID).alias("_phase"), F.col("_seq"), F.lit(0).alias("_rule"),
     )
+    hits = []
+    if "edit_spike" in rules:
+        hits.append(F.when(F.col("s").isNotNull(), spike))
+    if "rapid_page_edits" in rules:
+        hits.append(F.when(F.col("r").isNotNull(), rapid))
+    arr = F.filter(F.array(*hits), lambda x: x.isNotNull())
+    return first.select(F.explode(arr).alias("a")).select("a.*")
+
+
+def edit_spikes(keyed: DataFrame, slice_us: int | None = None) -> DataFrame:
+    return page_window_rules(keyed, slice_us, ["edit_spike"])
+
+
+def rapid_edits(keyed: DataFrame, slice_us: int | None = None) -> DataFrame:
+    return page_window_rules(keyed, slice_us, ["rapid_page_edits"])
 
 
 # ---------------------------------------------------------------------------
@@ -246,8 +259,7 @@ def detect_anomalies(events: DataFrame, as_of: Column, order_cols: Sequence[str]
     keyed = _keyed(events, as_of, order_cols)
     allhits = (
         event_rules(keyed, as_of)
-        .unionByName(edit_spikes(keyed, slice_us))
-        .unionByName(rapid_edits(keyed, slice_us))
+        .unionByName(page_window_rules(keyed, slice_us))
         .unionByName(bot_rate(keyed))
     )
     rest = [c for c in S.ANOMALY_COLUMNS if c not in dedup_keys]

@@ -26,17 +26,18 @@ def dedupe_offsets(events: DataFrame, partition_col: str = "kafka_partition", of
     combine map-side, so many copies of one key never meet in one task.
     """
     p, o = F.col(partition_col), F.col(offset_col)
-    no_key = events.filter(p.isNull() & o.isNull())
-    keyed = events.filter(p.isNotNull() | o.isNotNull())
+    # Rows without partition and offset get a unique extra key, so a single
+    # aggregate (one scan, one shuffle) keeps all of them and dedups the rest.
+    lone = F.when(p.isNull() & o.isNull(), F.monotonically_increasing_id())
+    tagged = events.withColumn("_lone", lone)
+    keys = [partition_col, offset_col, "_lone"]
     if order_cols:
         rest = [c for c in events.columns if c not in (partition_col, offset_col)]
-        first = keyed.groupBy(partition_col, offset_col).agg(
+        first = tagged.groupBy(*keys).agg(
             F.min_by(F.struct(*rest), F.struct(*[F.col(c) for c in order_cols])).alias("_r")
         )
-        keyed = first.select(partition_col, offset_col, *[F.col(f"_r.{c}").alias(c) for c in rest])
-    else:
-        keyed = keyed.dropDuplicates([partition_col, offset_col])
-    return keyed.unionByName(no_key.select(*keyed.columns))
+        return first.select(*[F.col(f"_r.{c}").alias(c) if c in rest else F.col(c) for c in events.columns])
+    return tagged.dropDuplicates(keys).select(*events.columns)
 
 
 def buffer_sort_key(ingestion_timestamp: str = "ingestion_timestamp") -> Column:

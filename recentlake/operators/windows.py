@@ -1,30 +1,34 @@
 """Forward time-window counts per key, exact and skew-safe.
 
-For every row r with key k and time t (µs), ``forward_window_stats`` gives
+For every row r with key k and time t (µs), and for each requested width w,
+``forward_window_stats`` gives
 
-    window_count = #rows of k with t <= t' <= t + width   (closed interval)
-    window_last  = max t' over those rows
+    <name>_count = #rows of k with t <= t' <= t + w     (closed interval)
+    <name>_last  = max t' over those rows
 
-plus per-key totals (count, first, last time, smallest ``carry_min`` value).
+plus per-key totals (count, first, last time, smallest ``carry_min``).
 
-A plain ``Window.partitionBy(k).orderBy(t).rangeBetween(0, width)`` gives
-the same numbers, but sends every row of a key to one task: a page holding a
-third of the data would become a single task.  Here time is cut into slices
-of ``slice_us`` (width = m * slice).  A row in slice f sees
+A plain ``Window.partitionBy(k).orderBy(t).rangeBetween(0, w)`` gives the
+same numbers but sends every row of a key to one task: a page holding a third
+of the data would become a single task.  Here time is cut into slices of
+``slice_us`` (w = m * slice).  A row in slice f sees
 
     own slice f           rows with t' >= t          (window over group f)
     slices f+1 .. f+m-1   all rows                   (pre-aggregated counts)
-    slice f+m             rows with t' <= t + width  (window over group f)
-
-Each row is copied once into the group of slice f-m as a "neighbour", so a
-group (k, f) holds two slices of one key at most, whatever the key's size.
-The middle slices come from a (k, slice) count table; its per-key window has
-one row per occupied slice (bounded by time span / slice, not by row count).
+    slice f+m             rows with t' <= t + w      (window over group f)
+
+Each row is copied once per distinct m into the group of slice f-m (a
+"neighbour" copy), so a group (k, f) holds a few slices of one key at most,
+whatever the key's total size.  The expanded rows are shuffled once
+(``repartition(k, f)``); the range-frame windows and the per-slice count
+table both read that one exchange.  The middle slices come from the count
+table, whose per-key window has one row per occupied slice: bounded by time
+span / slice, not by the key's row count.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,93 +41,132 @@ def _slice_of(t: Column, slice_us: int) -> Column:
     return ((t - F.pmod(t, F.lit(slice_us))) / F.lit(slice_us)).cast("long")
 
 
+def _pick_slice(widths: Mapping[str, int]) -> int:
+    if all(w % DEFAULT_SLICE_US == 0 for w in widths.values()):
+        return DEFAULT_SLICE_US
+    g = 0
+    for w in widths.values():
+        a, b = g, w
+        while b:
+            a, b = b, a % b
+        g = a
+    return g
+
+
 def forward_window_stats(
     df: DataFrame,
     keys: Sequence[str],
     t_col: str,
-    width_us: int,
+    widths: Mapping[str, int],
     slice_us: int | None = None,
     carry_min: str | None = None,
 ) -> DataFrame:
-    """Per-row forward window count/last plus per-key totals.
+    """Per-row forward window counts/lasts for several widths + key totals.
 
-    Returns columns: ``*keys, t_col, window_count, window_last, key_count,
-    key_first, key_last`` and ``key_min_<carry_min>`` when requested.  Keys
-    must be non-null (callers default them).  One output row per input row.
+    ``widths`` maps an output prefix to a width in the units of ``t_col``.
+    Returns ``*keys, t_col, <p>_count, <p>_last`` for each prefix,
+    ``key_count, key_first, key_last`` and ``key_min_<carry_min>``.  Keys must
+    be non-null (callers default them).  One output row per input row.
     """
-    if slice_us is None:
-        slice_us = DEFAULT_SLICE_US if width_us % DEFAULT_SLICE_US == 0 else width_us
-    if width_us % slice_us:
-        raise ValueError("width_us must be a multiple of slice_us")
-    m = width_us // slice_us
     keys = list(keys)
+    slice_us = slice_us or _pick_slice(widths)
+    for w in widths.values():
+        if w % slice_us:
+            raise ValueError("every width must be a multiple of slice_us")
+    ms = {name: w // slice_us for name, w in widths.items()}
+    offsets = sorted(set(ms.values()))
     t = F.col(t_col)
 
-    extra = [F.col(carry_min).alias("_carry")] if carry_min else []
-    base = df.select(*keys, t.alias("_t"), _slice_of(t, slice_us).alias("_f"), *extra)
-
-    # (key, slice) table: partial-aggregated, so hot keys shrink map-side.
-    slice_aggs = [F.count(F.lit(1)).alias("_n"), F.min("_t").alias("_mn"), F.max("_t").alias("_mx")]
+    carry = [F.col(carry_min).alias("_carry")] if carry_min else []
+    f = _slice_of(t, slice_us)
+    copies = F.array(
+        F.struct(f.alias("f"), F.lit(0).alias("role")),
+        *[F.struct((f - F.lit(m)).alias("f"), F.lit(m).alias("role")) for m in offsets],
+    )
+    rows = (
+        df.select(*keys, t.alias("_t"), *carry, F.explode(copies).alias("_c"))
+        .select(*keys, "_t", *(["_carry"] if carry_min else []),
+                F.col("_c.f").alias("_f"), F.col("_c.role").alias("_role"))
+        .repartition(*keys, "_f")
+    )
+    role = F.col("_role")
+
+    # Both branches below read ``rows`` with all its columns and no filter
+    # under the exchange, so the planner reuses one shuffle for both.
+    # (a) edge counts: range frame over own rows + the relevant neighbours
+    edge_cols = []
+    for name, w in widths.items():
+        m = ms[name]
+        frame = Window.partitionBy(*keys, "_f").orderBy("_t").rangeBetween(0, w)
+        mine = role.isin(0, m)
+        edge_cols += [
+            F.count(F.when(mine, F.lit(1))).over(frame).alias(f"_{name}_en"),
+            F.max(F.when(mine, F.col("_t"))).over(frame).alias(f"_{name}_em"),
+        ]
+    carry_out = [F.col("_carry")] if carry_min else []
+    edges = rows.select(*keys, "_f", "_t", "_role", *carry_out, *edge_cols).filter(role == 0)
+
+    # (b) per (key, slice) counts from the same exchange (already clustered);
+    # conditional aggregates instead of a filter keep the exchange shared.
+    own_t = F.when(role == 0, F.col("_t"))
+    slice_aggs = [F.count(own_t).alias("_n"), F.min(own_t).alias("_mn"), F.max(own_t).alias("_mx")]
     if carry_min:
-        slice_aggs.append(F.min("_carry").alias("_cm"))
-    slices = base.groupBy(*keys, "_f").agg(*slice_aggs)
+        slice_aggs.append(F.min(F.when(role == 0, F.col("_carry"))).alias("_cm"))
+    slices = rows.groupBy(*keys, "_f").agg(*slice_aggs).filter(F.col("_n") > 0)
 
     by_key = Window.partitionBy(*keys)
-    slice_cols = [
+    stat_cols = [
         F.sum("_n").over(by_key).alias("key_count"),
         F.min("_mn").over(by_key).alias("key_first"),
         F.max("_mx").over(by_key).alias("key_last"),
     ]
     if carry_min:
-        slice_cols.append(F.min("_cm").over(by_key).alias(f"key_min_{carry_min}"))
-    if m > 1:
-        middle = by_key.orderBy("_f").rangeBetween(1, m - 1)
-        slice_cols += [F.sum("_n").over(middle).alias("_mid_n"), F.max("_mx").over(middle).alias("_mid_max")]
-    else:
-        slice_cols += [F.lit(0).cast("long").alias("_mid_n"), F.lit(None).cast("long").alias("_mid_max")]
-    slice_stats = slices.select(*keys, "_f", *slice_cols)
-
-    # Own rows plus neighbour copies from slice f+m, grouped by (key, f).
-    own = base.select(*keys, "_t", "_f", F.lit(0).alias("_role"))
-    nbr = base.select(*keys, "_t", (F.col("_f") - F.lit(m)).alias("_f"), F.lit(1).alias("_role"))
-    frame = Window.partitionBy(*keys, "_f").orderBy("_t").rangeBetween(0, width_us)
-    edges = (
-        own.unionByName(nbr)
-        .select(
-            *keys, "_f", "_t", "_role",
-            F.count(F.lit(1)).over(frame).alias("_edge_n"),
-            F.max("_t").over(frame).alias("_edge_max"),
-        )
-        .filter(F.col("_role") == 0)
-    )
-
-    out_cols = [
-        *[F.col(k) for k in keys],
-        F.col("_t").alias(t_col),
-        (F.col("_edge_n") + F.coalesce(F.col("_mid_n"), F.lit(0))).alias("window_count"),
-        F.greatest(F.col("_edge_max"), F.col("_mid_max")).alias("window_last"),
-        "key_count",
-        "key_first",
-        "key_last",
-    ]
+        stat_cols.append(F.min("_cm").over(by_key).alias("_key_cm"))
+    for name in widths:
+        m = ms[name]
+        if m > 1:
+            middle = by_key.orderBy("_f").rangeBetween(1, m - 1)
+            stat_cols += [F.sum("_n").over(middle).alias(f"_{name}_mn"),
+                          F.max("_mx").over(middle).alias(f"_{name}_mm")]
+        else:
+            stat_cols += [F.lit(0).cast("long").alias(f"_{name}_mn"),
+                          F.lit(None).cast("long").alias(f"_{name}_mm")]
+    slice_stats = slices.select(*keys, "_f", *stat_cols)
+
+    out_cols = [*[F.col(k) for k in keys], F.col("_t").alias(t_col)]
+    for name in widths:
+        out_cols += [
+            (F.col(f"_{name}_en") + F.coalesce(F.col(f"_{name}_mn"), F.lit(0))).alias(f"{name}_count"),
+            F.greatest(F.col(f"_{name}_em"), F.col(f"_{name}_mm")).alias(f"{name}_last"),
+        ]
+    out_cols += ["key_count", "key_first", "key_last"]
     if carry_min:
-        out_cols.append(f"key_min_{carry_min}")
-    return edges.join(slice_stats, on=[*keys, "_f"], how="inner").select(*out_cols)
-
-
-def forward_window_stats_direct(df: DataFrame, keys: Sequence[str], t_col: str, width_us: int) -> DataFrame:
+        # the key's smallest carry (the row's own value is never smaller)
+        out_cols.append(F.least(F.col("_carry"), F.col("_key_cm")).alias(f"key_min_{carry_min}"))
+    # Null-safe equality: no inferred isnotnull filter is pushed under the
+    # shared exchange (which would make the two branches differ).
+    join_keys = [*keys, "_f"]
+    stats = slice_stats.select(*[F.col(c).alias(f"_s{c}") for c in join_keys],
+                               *[c for c in slice_stats.columns if c not in join_keys])
+    cond = [F.col(c).eqNullSafe(F.col(f"_s{c}")) for c in join_keys]
+    return edges.join(stats, on=cond, how="inner").select(*out_cols)
+
+
+def forward_window_stats_direct(df: DataFrame, keys: Sequence[str], t_col: str,
+                                widths: Mapping[str, int]) -> DataFrame:
     """Reference form: one range-frame window per key (not skew-safe).
 
     Used by tests as a cross-check of ``forward_window_stats``.
     """
     keys = list(keys)
     w = Window.partitionBy(*keys)
-    frame = w.orderBy(t_col).rangeBetween(0, width_us)
+    cols = []
+    for name, width in widths.items():
+        frame = w.orderBy(t_col).rangeBetween(0, width)
+        cols += [F.count(F.lit(1)).over(frame).alias(f"{name}_count"),
+                 F.max(t_col).over(frame).alias(f"{name}_last")]
     return df.select(
-        *keys,
-        t_col,
-        F.count(F.lit(1)).over(frame).alias("window_count"),
-        F.max(t_col).over(frame).alias("window_last"),
+        *keys, t_col, *cols,
         F.count(F.lit(1)).over(w).alias("key_count"),
         F.min(t_col).over(w).alias("key_first"),
         F.max(t_col).over(w).alias("key_last"),

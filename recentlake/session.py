@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every query relies on: UTC rendering of minute/hour buckets and
 # ISO strings, AQE for partition coalescing and skewed joins.
@@ -54,6 +54,21 @@ def ensure_session_conf(spark: SparkSession) -> None:
             spark.conf.set(key, value)
 
 
+def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Spread an input that arrives in fewer splits than there are cores.
+
+    A single large Parquet row group (or one gzip file) is one scan task, so
+    every map-side operator after it would run on one core.  Only then is a
+    round-robin repartition to the session parallelism added; inputs made of
+    many files or row groups are returned untouched (no extra shuffle).
+    """
+    spark = df.sparkSession
+    target = min_partitions or spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
 def checkpoint_root(spark: SparkSession, fallback: str | None = None) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from recentlake import schema as S
 from recentlake.functions import columns as C
-from recentlake.session import ensure_session_conf
+from recentlake.session import ensure_parallelism, ensure_session_conf
 
 # Fixed values of the fixture.
 EPOCH_US = 1_704_067_200_000_000          # 2024-01-01 00:00:00 UTC
@@ -34,7 +34,7 @@ def as_of_col() -> Column:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ensure_session_conf(spark)
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return ensure_parallelism(spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet")))
 
 
 def _adapter_columns() -> dict[str, Column]:
