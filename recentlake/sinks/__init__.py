@@ -1,0 +1 @@
+"""Writers for the lake, reports and Kafka rows."""
