@@ -253,3 +253,68 @@ def daily_traffic(events: DataFrame, n_hours: int = S.DAILY_HOURS_LIMIT) -> Data
 def invalid_rate(errors: Column, total: Column) -> Column:
     """errors / max(1, errors + total) * 100, two decimals."""
     return F.round(errors.cast("double") / F.greatest(F.lit(1), errors + total).cast("double") * F.lit(100.0), 2)
+
+
+def daily_quality(anomalies: DataFrame, errors: DataFrame, events: DataFrame) -> DataFrame:
+    """Quality section: stored anomaly count, ingestion errors, invalid rate.
+
+    ``errors`` has one row per rejected feed line (error records or the
+    errors topic); ``events`` are the processed events.  One row.
+    """
+    a = anomalies.agg(F.count(F.lit(1)).alias("anomalies_detected"))
+    e = errors.agg(F.count(F.lit(1)).alias("ingestion_errors_topic_count"))
+    t = events.agg(F.count(F.lit(1)).alias("_total"))
+    j = a.crossJoin(e).crossJoin(t)
+    return j.select(
+        "anomalies_detected",
+        "ingestion_errors_topic_count",
+        invalid_rate(F.col("ingestion_errors_topic_count"), F.col("_total")).alias("invalid_events_rate_pct"),
+    )
+
+
+def anomaly_sample(anomalies: DataFrame, n: int = 20, order: tuple[str, ...] = ("timestamp", "type", "page")) -> DataFrame:
+    """First ``n`` stored anomalies (a top-n, for the quality section)."""
+    return anomalies.orderBy(*order).limit(n)
+
+
+def _as_list(df: DataFrame, name: str) -> DataFrame:
+    return df.agg(F.collect_list(F.struct(*df.columns)).alias(name))
+
+
+def _as_map(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    return df.agg(F.map_from_entries(F.collect_list(F.struct(F.col(key), F.col(value)))).alias(name))
+
+
+def daily_report(events: DataFrame, as_of: Column, anomalies: DataFrame, errors: DataFrame,
+                 topic_volumes: DataFrame, lag: DataFrame | None = None) -> DataFrame:
+    """The full daily document (A20): one row of nested sections.
+
+    Every nested list is bounded by construction: top-10 pages and users,
+    48 hours, 20 anomalies, one entry per wiki / language / topic.  Each
+    section is a one-row frame; the document is their cross join.
+    """
+    gen = C.iso_utc(as_of).alias("generated_at")
+    date = F.date_format(as_of, "yyyy-MM-dd").alias("report_date")
+    glob = (
+        daily_global(events, as_of)
+        .crossJoin(_as_list(daily_top_pages(events), "top_pages"))
+        .crossJoin(_as_list(daily_top_users(events), "top_users"))
+    )
+    global_section = glob.select(F.struct(
+        gen, "report_date", "total_events", "top_pages", "top_users",
+        F.struct("bots", "humans", "bot_percentage").alias("bot_human_ratio")).alias("global_activity_report"))
+    q = daily_quality(anomalies, errors, events).crossJoin(_as_list(anomaly_sample(anomalies), "anomalies_sample"))
+    quality_section = q.select(F.struct(gen, *q.columns).alias("quality_report"))
+    traffic = (
+        _as_map(daily_traffic(events), "hour", "event_count", "by_hour")
+        .crossJoin(_as_map(language_distribution(events), "language", "event_count", "by_language"))
+        .crossJoin(_as_map(activity_by_wiki(events), "wiki", "event_count", "by_wiki"))
+        .crossJoin(_as_map(topic_volumes, "topic", "message_count", "kafka_topic_volumes"))
+    )
+    traffic_section = traffic.select(F.struct(gen, *traffic.columns).alias("traffic_report"))
+    lag_total = (lag.agg(F.coalesce(F.sum("lag"), F.lit(0)).alias("total_lag")) if lag is not None
+                 else events.sparkSession.range(1).select(F.lit(None).cast("long").alias("total_lag")))
+    system_section = lag_total.select(F.struct(gen, "total_lag").alias("system_report"))
+    head = events.sparkSession.range(1).select(gen, date)
+    return (head.crossJoin(global_section).crossJoin(quality_section).crossJoin(traffic_section)
+            .crossJoin(system_section))

@@ -33,7 +33,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_SLICE_US = 10_000_000  # 10 s
+DEFAULT_SLICE_US = 60_000_000  # 60 s: groups of (key, minute); a key's share of one task stays bounded by time
 
 
 def _slice_of(t: Column, slice_us: int) -> Column:

@@ -402,10 +402,20 @@ LIVE: dict[str, str] = {
 }
 
 
+QUALITY: dict[str, str] = {
+    "daily_quality": _with(KEYED, *SPIKE_CTES, *RAPID_CTES, *BOT_CTES, *RAW_CTES)
+    + f"SELECT (SELECT count(*) FROM ({DETECT_BODY}) d) AS anomalies_detected, "
+    "e.errors AS ingestion_errors_topic_count, "
+    "round(CAST(e.errors AS DOUBLE) / CAST(greatest(1, e.errors + t.total) AS DOUBLE) * 100.0, 2) "
+    "AS invalid_events_rate_pct FROM (SELECT count(*) AS errors FROM errs) e, (SELECT count(*) AS total FROM ev) t",
+}
+
+
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out.update(REPORTS)
     out.update(ANOMALIES)
     out.update(INGEST)
     out.update(LIVE)
+    out.update(QUALITY)
     return out

@@ -163,6 +163,21 @@ def _q_global_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.global_activity(raw, source_path=sf_dir)
 
 
+def _q_daily_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = TD.load_processed(spark, sf_dir)
+    anomalies = A.detect_anomalies(ev, TD.as_of_col())
+    errors = I.error_records(_validated(spark, sf_dir), TD.as_of_col())
+    return R.daily_quality(anomalies, errors, ev)
+
+
+def _q_daily_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = TD.load_processed(spark, sf_dir)
+    anomalies = A.detect_anomalies(ev, TD.as_of_col())
+    errors = I.error_records(_validated(spark, sf_dir), TD.as_of_col())
+    volumes = I.topic_volumes(_messages(spark, sf_dir))
+    return R.daily_report(ev, TD.as_of_col(), anomalies, errors, volumes, M.offset_lag(*_offsets(ev)))
+
+
 LIVE_QUERIES: dict[str, Query] = {
     "dedupe_offsets": _q_dedupe,
     "latest_events": _on_events(L.latest_events),
@@ -178,6 +193,8 @@ LIVE_QUERIES: dict[str, Query] = {
     "offset_lag": _on_events(lambda ev: M.offset_lag(*_offsets(ev))),
     "topic_end_volume": _on_events(lambda ev: M.topic_end_volume(_offsets(ev)[0])),
     "global_activity": _q_global_activity,
+    "daily_quality": _q_daily_quality,
+    "daily_report": _q_daily_report,
 }
 
 

@@ -34,7 +34,7 @@ def as_of_col() -> Column:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ensure_session_conf(spark)
-    return ensure_parallelism(spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet")))
+    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
 def _adapter_columns() -> dict[str, Column]:
@@ -156,7 +156,9 @@ def raw_feed(events: DataFrame) -> DataFrame:
 
 
 def load_raw_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raw_feed(read_table(spark, sf_dir, "events"))
+    # JSON building and parsing is CPU-heavy per row: when the table arrives
+    # as fewer splits than cores (one big row group), spread it first.
+    return raw_feed(ensure_parallelism(read_table(spark, sf_dir, "events")))
 
 
 def duplicated_events(processed: DataFrame) -> DataFrame:
