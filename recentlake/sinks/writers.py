@@ -112,10 +112,9 @@ def document(df: DataFrame, generated_at: Column, description: str | None = None
 
 
 def write_report(doc: DataFrame, path: str) -> None:
-    """Write a one-row document as JSON text into ``path`` (a folder holding
-    one part file), overwriting (K8)."""
-    doc.select(F.to_json(F.struct(*doc.columns)).alias("value")).coalesce(1).write.mode(
-        "overwrite").text(path)
+    """Write a one-row document as one JSON file into the folder ``path``
+    (``part-*.json``), overwriting (K8)."""
+    doc.coalesce(1).write.mode("overwrite").json(path)
 
 
 def write_versioned(df: DataFrame, root: str, run_id: str, latest_name: str = "latest") -> tuple[str, str]:
