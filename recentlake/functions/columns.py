@@ -22,13 +22,18 @@ def _c(col: ColumnOrName) -> Column:
 # Text helpers
 # ---------------------------------------------------------------------------
 
+# Whitespace set stripped by strip_ws / rstrip_ws: space, \t, \n, \x0b, \f, \r
+# (the ASCII whitespace class; plain ``trim`` strips spaces only).
+WHITESPACE = " \t\n\x0b\x0c\r"
+
+
 def strip_ws(col: ColumnOrName) -> Column:
-    """Strip leading/trailing whitespace (``trim`` strips spaces only)."""
-    return F.regexp_replace(_c(col), r"^\s+|\s+$", "")
+    """Strip leading/trailing whitespace (a character-set trim, no regex)."""
+    return F.btrim(_c(col), F.lit(WHITESPACE))
 
 
 def rstrip_ws(col: ColumnOrName) -> Column:
-    return F.regexp_replace(_c(col), r"\s+$", "")
+    return F.rtrim(_c(col), F.lit(WHITESPACE))
 
 
 def nonempty(col: ColumnOrName) -> Column:

@@ -22,7 +22,7 @@ from recentlake.operators import anomalies as A
 from recentlake.operators import ingest as I
 from recentlake.operators import monitoring as M
 from recentlake.operators import reports as R
-from recentlake.session import checkpoint_root
+from recentlake.session import reuse
 from recentlake.sinks import writers as W
 from recentlake.sources import files as SRC
 
@@ -44,8 +44,7 @@ def _events(spark: SparkSession, layout: W.LakeLayout, fmt: str, max_files: int
 
 def _reusable(df: DataFrame) -> DataFrame:
     """Materialise a frame read by several reports (reliable checkpoint)."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return reuse(df)
 
 
 def batch_job(spark: SparkSession, layout: W.LakeLayout, fmt: str = "json") -> dict[str, str]:

@@ -19,6 +19,7 @@ from recentlake.operators import ingest as I
 from recentlake.operators import live as L
 from recentlake.operators import monitoring as M
 from recentlake.operators import reports as R
+from recentlake.session import reuse
 from recentlake.sources import testdata as TD
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -172,7 +173,8 @@ def _q_daily_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _q_daily_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = TD.load_processed(spark, sf_dir)
-    anomalies = A.detect_anomalies(ev, TD.as_of_col())
+    # read twice below (count and sample): computed once, lineage cut
+    anomalies = reuse(A.detect_anomalies(ev, TD.as_of_col()))
     errors = I.error_records(_validated(spark, sf_dir), TD.as_of_col())
     volumes = I.topic_volumes(_messages(spark, sf_dir))
     return R.daily_report(ev, TD.as_of_col(), anomalies, errors, volumes, M.offset_lag(*_offsets(ev)))

@@ -93,3 +93,20 @@ def scratch_path(spark: SparkSession, *parts: str) -> str:
     """A path under the shared checkpoint root (for written lineage cuts)."""
     root = checkpoint_root(spark)
     return os.path.join(root, "recentlake", *parts)
+
+
+def reuse(df: DataFrame) -> DataFrame:
+    """Materialise a frame that several outputs read, cutting its lineage.
+
+    Writes a reliable checkpoint into the shared folder named by
+    ``spark.checkpoint.dir`` (survives executor loss, unlike cached blocks).
+    When the session names no such folder the frame is returned as is and
+    each consumer recomputes it.
+    """
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
+        "spark.checkpoint.dir", None)
+    if not root:
+        return df
+    checkpoint_root(spark)
+    return df.checkpoint(eager=True)
