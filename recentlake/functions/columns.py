@@ -158,6 +158,13 @@ def event_ts(event_time: ColumnOrName = "event_time",
     )
 
 
+def event_date(event_time: ColumnOrName = "event_time",
+               kafka_timestamp: ColumnOrName = "kafka_timestamp") -> Column:
+    """UTC date of the event (broker time when the event time is missing):
+    the lake's partition column."""
+    return F.to_date(F.coalesce(_c(event_time), _c(kafka_timestamp)))
+
+
 def minute_bucket(ts: ColumnOrName) -> Column:
     return F.date_format(_c(ts), "yyyy-MM-dd HH:mm")
 

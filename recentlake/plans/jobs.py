@@ -160,11 +160,21 @@ def monitoring_job(spark: SparkSession, layout: W.LakeLayout, runs: DataFrame, t
                              "latest_pipeline_monitoring")
 
 
-def publish_processed(events: DataFrame, layout: W.LakeLayout, fmt: str = "json") -> str:
-    """Batch write of processed events into the lake (append)."""
-    cols = [f.name for f in S.PROCESSED.fields]
-    events.select(*cols).write.mode("append").format(fmt).save(layout.processed)
+def publish_processed(events: DataFrame, layout: W.LakeLayout, fmt: str = "json",
+                      partition_by_date: bool = False) -> str:
+    """Batch write of processed events into the lake (append).
+
+    With ``partition_by_date`` rows go to ``event_date=YYYY-MM-DD`` folders,
+    so day-bounded reports prune the rest of the lake.
+    """
+    cols = [F.col(f.name) if f.name in events.columns else F.lit(None).cast(f.dataType).alias(f.name)
+            for f in S.PROCESSED.fields]
+    w = events.select(*cols, C.event_date().alias("event_date")) if partition_by_date else events.select(*cols)
+    writer = w.write.mode("append").format(fmt)
+    if partition_by_date:
+        writer = writer.partitionBy("event_date")
+    writer.save(layout.processed)
     return layout.processed
 
 
-__all__ = [n for n in dir() if n.endswith("_job")] + ["publish_processed", "C"]
+__all__ = [n for n in dir() if n.endswith("_job")] + ["publish_processed"]

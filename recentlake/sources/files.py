@@ -33,20 +33,34 @@ def read_raw_events(spark: SparkSession, path: str, streaming: bool = False,
     return lines.filter(F.length(F.trim(F.col("value"))) > 0)
 
 
+PARTITIONED = T.StructType(S.PROCESSED.fields + [T.StructField("event_date", T.DateType())])
+
+
 def read_processed(spark: SparkSession, path: str, fmt: str = "parquet", streaming: bool = False,
-                   with_file: bool = False, recursive: bool = True) -> DataFrame:
+                   with_file: bool = False, recursive: bool = True, partitioned: bool = False,
+                   since: str | None = None, until: str | None = None) -> DataFrame:
     """Processed events with the fixed ``PROCESSED`` schema (never inferred).
 
     ``fmt='json'`` reads JSON lines; bad lines give all-null rows in
     PERMISSIVE mode (use ``read_json_lines`` to drop or count them).
     ``with_file`` adds ``source_file`` from the file metadata column.
+
+    ``partitioned=True`` reads a lake written with ``partition_by=
+    ("event_date",)``: the partition column is discovered from the folder
+    names and ``since``/``until`` (inclusive 'YYYY-MM-DD') prune whole
+    folders before any file is opened (PartitionFilters in the plan).
     """
-    reader = (spark.readStream if streaming else spark.read).schema(S.PROCESSED).format(fmt)
-    if recursive and not streaming:
+    schema = PARTITIONED if partitioned else S.PROCESSED
+    reader = (spark.readStream if streaming else spark.read).schema(schema).format(fmt)
+    if recursive and not streaming and not partitioned:
         reader = reader.option("recursiveFileLookup", "true")
     if fmt == "json":
         reader = reader.option("pathGlobFilter", "*.json")
     df = reader.load(path)
+    if partitioned and since:
+        df = df.filter(F.col("event_date") >= F.to_date(F.lit(since)))
+    if partitioned and until:
+        df = df.filter(F.col("event_date") <= F.to_date(F.lit(until)))
     if with_file:
         df = df.withColumn("source_file", F.col("_metadata.file_path"))
     return df
@@ -107,14 +121,17 @@ def read_first_available(spark: SparkSession, paths: Sequence[str],
 
 
 def load_events(spark: SparkSession, root: str, legacy_root: str | None = None, fmt: str = "json",
-                max_files: int | None = None) -> DataFrame:
+                max_files: int | None = None, partitioned: bool = False, since: str | None = None,
+                until: str | None = None) -> DataFrame:
     """Processed events of the lake with ``source_file`` (for files_read).
 
     ``max_files`` keeps only the last files by path order (the studied
-    pipeline's optional cap; no cap by default).
+    pipeline's optional cap; no cap by default).  With a date-partitioned
+    lake, ``since``/``until`` restrict the read to those days.
     """
     paths = [root] + ([legacy_root] if legacy_root else [])
-    df, _ = read_first_available(spark, paths, lambda s, p: read_processed(s, p, fmt=fmt, with_file=True))
+    df, _ = read_first_available(spark, paths, lambda s, p: read_processed(
+        s, p, fmt=fmt, with_file=True, partitioned=partitioned, since=since, until=until))
     if df is None:
         empty = T.StructType(S.PROCESSED.fields + [T.StructField("source_file", T.StringType())])
         return spark.createDataFrame([], empty)

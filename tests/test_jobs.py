@@ -56,3 +56,18 @@ def test_jobs_write_reports(spark, scratch):
 
     health = _doc(spark, J.healthcheck_job(spark, layout, AS_OF))
     assert health["overall_healthy"] is True and health["top_pages_files"] == 3
+
+
+def test_partitioned_lake_prunes_days(spark, scratch):
+    from conftest import make_events
+
+    layout = LakeLayout(os.path.join(scratch, "lake"))
+    rows = [{"t": d * 86400 + i} for d in range(3) for i in range(5)]
+    J.publish_processed(make_events(spark, rows), layout, partition_by_date=True)
+    assert sorted(os.listdir(layout.processed))[-3:] == [
+        "event_date=2024-01-01", "event_date=2024-01-02", "event_date=2024-01-03"]
+    day = SRC.load_events(spark, layout.processed, partitioned=True, since="2024-01-02", until="2024-01-02")
+    assert day.count() == 5
+    plan = day._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(event_date" in plan
+    assert R.top_pages(day).first()["edit_count"] == 5
