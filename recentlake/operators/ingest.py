@@ -218,3 +218,14 @@ def topic_volumes(messages: DataFrame, cap: int | None = None) -> DataFrame:
     if cap is not None:
         n = F.least(n, F.lit(cap).cast("long"))
     return names.join(F.broadcast(counts), "topic", "left").select("topic", n.alias("message_count"))
+
+
+def bounded_batch(raw: DataFrame, max_events: int | None) -> DataFrame:
+    """At most ``max_events`` raw lines (valid and invalid together).
+
+    The bounded ingestion run of the studied pipeline ("stop after N
+    events"): a limit is the feature here.  Streaming jobs bound each
+    micro-batch with ``maxFilesPerTrigger`` / ``maxOffsetsPerTrigger`` and
+    ``trigger(availableNow=True)`` instead.
+    """
+    return raw if not max_events else raw.limit(max_events)

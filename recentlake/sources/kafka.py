@@ -40,6 +40,19 @@ def kafka_reader(spark: SparkSession, bootstrap: str, topic: str, group: str | N
     return reader.options(**kafka_options(bootstrap, topic, group, mode, max_offsets_per_trigger))
 
 
+def read_topic_replay(spark: SparkSession, bootstrap: str, topic: str, max_messages: int | None = None,
+                      mode: str = "replay") -> DataFrame:
+    """Bounded batch read of a topic (debug replay from the start, or only
+    the newest offsets with ``mode='new'``), decoded to processed events."""
+    opts = kafka_options(bootstrap, topic, None, mode)
+    if mode == "new":
+        opts["startingOffsets"] = "latest"
+    rows = spark.read.format("kafka").options(**opts).load()
+    if max_messages:
+        rows = rows.limit(max_messages)
+    return add_event_time(decode_kafka(rows))
+
+
 def read_events_stream(spark: SparkSession, bootstrap: str, topic: str = S.TOPIC_RAW,
                        group: str | None = None, mode: str = "replay",
                        max_offsets_per_trigger: int | None = None) -> DataFrame:

@@ -55,3 +55,13 @@ def test_carry_min_is_key_minimum(spark):
     got = {(r["k"], r["t"]): r["key_min_s"]
            for r in forward_window_stats(df, ["k"], "t", {"w": 20}, slice_us=10, carry_min="s").collect()}
     assert got == {("a", 5): 3, ("a", 100): 3, ("b", 1): 7}
+
+
+def test_window_groups_are_page_and_slice(spark):
+    """The range frames never partition raw rows by the key alone."""
+    df = spark.createDataFrame([("a", t) for t in range(100)], "k string, t long")
+    out = forward_window_stats(df, ["k"], "t", {"w": 30}, slice_us=10)
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(k#" in plan and "_f#" in plan
+    assert "ReusedExchange" in plan  # one shuffle of the expanded rows, read twice
