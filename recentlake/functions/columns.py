@@ -122,6 +122,13 @@ def page_wiki(wiki: ColumnOrName = "wiki", default: str = S.UNKNOWN) -> Column:
     return or_default(wiki, default)
 
 
+def page_key(title: ColumnOrName = "title", wiki: ColumnOrName = "wiki",
+             default: str = S.UNKNOWN) -> tuple[Column, Column]:
+    """(title, wiki) page key with missing / empty parts set to ``default``
+    ('unknown' in reports, '?' in live views)."""
+    return or_default(title, default).alias("title"), or_default(wiki, default).alias("wiki")
+
+
 def user_key(user: ColumnOrName = "user", default: str = S.UNKNOWN) -> Column:
     return or_default(user, default)
 
@@ -227,6 +234,12 @@ def freshness(ts: ColumnOrName, as_of: Column, minutes: int = S.FRESHNESS_MINUTE
     ).otherwise(F.lit("stale"))
 
 
+def report_freshness(generated_at: ColumnOrName, as_of: Column, minutes: int = S.FRESHNESS_MINUTES) -> Column:
+    """Freshness of a report from its ``generated_at`` text."""
+    ts = F.try_to_timestamp(nonempty(strip_ws(generated_at)))
+    return freshness(ts, as_of, minutes)
+
+
 def shorten_title(title: ColumnOrName, max_len: int = S.TITLE_MAX_LEN) -> Column:
     """Strip; longer than max_len -> first max_len-1 chars, right-stripped, + '…'."""
     t = strip_ws(title)

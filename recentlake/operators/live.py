@@ -110,6 +110,12 @@ def live_metrics(buffer: DataFrame) -> DataFrame:
     return c.select("buffered", "bots", (F.col("buffered") - F.col("bots")).alias("humans"))
 
 
+def live_bot_share(buffer: DataFrame) -> DataFrame:
+    """Bots vs humans over the buffer (L5), with the bot percentage."""
+    m = live_metrics(buffer)
+    return m.select("bots", "humans", C.pct("bots", "buffered").alias("bot_percentage"))
+
+
 def data_freshness(events: DataFrame, as_of: Column, minutes: int = S.FRESHNESS_MINUTES) -> DataFrame:
     """Newest event time and its freshness status at ``as_of``."""
     from recentlake.operators.reports import _ts

@@ -72,24 +72,27 @@ def top_pages_job(spark: SparkSession, layout: W.LakeLayout, as_of: datetime | N
 
 def global_activity_job(spark: SparkSession, layout: W.LakeLayout, as_of: datetime | None = None,
                         fmt: str = "json", max_files: int | None = None) -> dict[str, str]:
-    """Minute / hour / language / wiki distributions from one grouping-sets pass."""
+    """Minute / hour / language / wiki distributions from one grouping-sets pass.
+
+    Each distribution is written as rows (bucket, event_count), count-desc,
+    in parallel: the minute distribution grows with the lake's time span,
+    so it is never folded into one document row.  The envelope (totals,
+    files read, source) is a one-row document.
+    """
     ev = _events(spark, layout, fmt, max_files)
     ts = _as_of(as_of)
-    dims = _reusable(R.activity_dimensions(ev))  # small: distinct buckets only
-
-    def as_map(dim: str, name: str) -> DataFrame:
-        part = dims.filter(F.col("dimension") == dim).select("bucket", "event_count")
-        return W.document(part.agg(F.map_from_entries(F.collect_list(F.struct("bucket", "event_count")))
-                                   .alias(name)), ts)
-
-    docs = {
-        "activity_by_minute": as_map("minute", "activity_by_minute"),
-        "activity_by_hour": as_map("hour", "activity_by_hour"),
-        "language_distribution": as_map("language", "language_distribution"),
-        "activity_by_wiki": as_map("wiki", "events_by_wiki"),
-        "global_activity": W.document(R.global_activity(ev, layout.processed), ts),
-    }
-    return W.write_report_set(docs, layout, "global")
+    dims = _reusable(R.activity_dimensions(ev))  # distinct buckets only
+    out = {}
+    for dim, name in (("minute", "activity_by_minute"), ("hour", "activity_by_hour"),
+                      ("language", "language_distribution"), ("wiki", "activity_by_wiki")):
+        rows = (dims.filter(F.col("dimension") == dim)
+                .select(F.col("bucket").alias(dim), "event_count", C.iso_utc(ts).alias("generated_at"))
+                .orderBy(F.col("event_count").desc(), F.col(dim)))
+        out[name] = layout.report("global", name)
+        rows.write.mode("overwrite").json(out[name])
+    out["global_activity"] = layout.report("global", "global_activity")
+    W.write_report(W.document(R.global_activity(ev, layout.processed), ts), out["global_activity"])
+    return out
 
 
 def user_activity_job(spark: SparkSession, layout: W.LakeLayout, as_of: datetime | None = None,
@@ -177,4 +180,4 @@ def publish_processed(events: DataFrame, layout: W.LakeLayout, fmt: str = "json"
     return layout.processed
 
 
-__all__ = [n for n in dir() if n.endswith("_job")] + ["publish_processed"]
+__all__ = [n for n in dir() if n.endswith("_job")] + ["publish_processed", "C"]

@@ -36,8 +36,10 @@ def test_jobs_write_reports(spark, scratch):
     assert top["total_events"] == ev.count() and top["generated_at"] == "2024-01-01T00:50:00+00:00"
 
     g = J.global_activity_job(spark, layout, AS_OF)
-    by_wiki = _doc(spark, g["activity_by_wiki"])["events_by_wiki"]
+    by_wiki = {r["wiki"]: r["event_count"] for r in spark.read.json(g["activity_by_wiki"]).collect()}
     assert by_wiki == {r["wiki"]: r["event_count"] for r in R.activity_by_wiki(ev).collect()}
+    minutes = spark.read.json(g["activity_by_minute"])
+    assert minutes.agg(F.sum("event_count")).first()[0] == ev.count()
     assert _doc(spark, g["global_activity"])["files_read"] == 3
 
     J.user_activity_job(spark, layout, AS_OF)
