@@ -28,6 +28,7 @@ from recentlake import schema as S
 from recentlake.functions import columns as C
 from recentlake.operators.reports import _ts
 from recentlake.operators.windows import forward_window_stats
+from recentlake.session import reuse
 
 MINUTE_US = 60_000_000
 
@@ -249,14 +250,22 @@ def rule(events: DataFrame, name: str, as_of: Column, order_cols: Sequence[str]
 
 def detect_anomalies(events: DataFrame, as_of: Column, order_cols: Sequence[str] = ("event_id",),
                      slice_us: int | None = None, dedup_keys: Sequence[str] = ("type", "page", "timestamp"),
-                     ) -> DataFrame:
+                     materialize: bool = False) -> DataFrame:
     """All rules, then first row per (type, page, timestamp).
 
     The dedup is a hash aggregate with ``min_by`` over the order struct: it is
     partially aggregated map-side, so a key with many hits (say all events of
     one page without time, placed at ``as_of``) never gathers in one task.
+
+    The rule families read the input three times (per-event rules, window
+    rules, bot rate).  On a columnar lake each read prunes to its columns; on
+    a JSON lake, where every read parses whole lines, pass
+    ``materialize=True``: the narrow keyed projection is written once as a
+    reliable checkpoint (shared ``spark.checkpoint.dir``) and read thrice.
     """
     keyed = _keyed(events, as_of, order_cols)
+    if materialize:
+        keyed = reuse(keyed)
     allhits = (
         event_rules(keyed, as_of)
         .unionByName(page_window_rules(keyed, slice_us))
