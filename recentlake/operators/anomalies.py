@@ -28,7 +28,7 @@ from recentlake import schema as S
 from recentlake.functions import columns as C
 from recentlake.operators.reports import _ts
 from recentlake.operators.windows import forward_window_stats
-from recentlake.session import reuse
+from recentlake.session import ensure_parallelism, reuse
 
 MINUTE_US = 60_000_000
 
@@ -48,7 +48,12 @@ def _row(**values: Column) -> list[Column]:
 
 
 def _keyed(events: DataFrame, as_of: Column, order_cols: Sequence[str]) -> DataFrame:
-    """Events with page keys, event time (µs, missing -> as_of) and order."""
+    """Events with page keys, event time (µs, missing -> as_of) and order.
+
+    The rule set is CPU-heavy per row, so an input arriving in fewer splits
+    than cores is spread first (a no-op on a many-file lake or a stream).
+    """
+    events = ensure_parallelism(events)
     raw_ts = _ts(events)
     ts = F.coalesce(raw_ts, as_of)
     cols = set(events.columns)

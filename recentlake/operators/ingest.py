@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from recentlake import schema as S
 from recentlake.functions import columns as C
+from recentlake.session import ensure_parallelism
 
 
 def _get(v: Column, path: str, dtype: str) -> Column:
@@ -34,6 +35,7 @@ def parse_raw_events(raw: DataFrame, value_col: str = "value") -> DataFrame:
     removed before (``sources.read_raw_events`` does).  Number-valued string
     fields come back as their JSON text (``12`` -> ``'12'``).
     """
+    raw = ensure_parallelism(raw)  # JSON parsing is CPU-heavy per row
     text = F.col(value_col)
     # The parse gets its own projection: CollapseProject does not copy a
     # costly expression into several consumers, so each line parses once.

@@ -62,6 +62,8 @@ def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> Data
     round-robin repartition to the session parallelism added; inputs made of
     many files or row groups are returned untouched (no extra shuffle).
     """
+    if df.isStreaming:
+        return df
     spark = df.sparkSession
     target = min_partitions or spark.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < target:

@@ -156,8 +156,8 @@ def raw_feed(events: DataFrame) -> DataFrame:
 
 
 def load_raw_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # JSON building and parsing is CPU-heavy per row: when the table arrives
-    # as fewer splits than cores (one big row group), spread it first.
+    # Building the JSON text is CPU-heavy per row: when the table arrives as
+    # fewer splits than cores (one big row group), spread it first.
     return raw_feed(ensure_parallelism(read_table(spark, sf_dir, "events")))
 
 
