@@ -261,10 +261,13 @@ def daily_quality(anomalies: DataFrame, errors: DataFrame, events: DataFrame) ->
     ``errors`` has one row per rejected feed line (error records or the
     errors topic); ``events`` are the processed events.  One row.
     """
+    return _quality_from_total(anomalies, errors, events.agg(F.count(F.lit(1)).alias("total_events")))
+
+
+def _quality_from_total(anomalies: DataFrame, errors: DataFrame, total: DataFrame) -> DataFrame:
     a = anomalies.agg(F.count(F.lit(1)).alias("anomalies_detected"))
     e = errors.agg(F.count(F.lit(1)).alias("ingestion_errors_topic_count"))
-    t = events.agg(F.count(F.lit(1)).alias("_total"))
-    j = a.crossJoin(e).crossJoin(t)
+    j = a.crossJoin(e).crossJoin(total.select(F.col("total_events").alias("_total")))
     return j.select(
         "anomalies_detected",
         "ingestion_errors_topic_count",
@@ -285,30 +288,82 @@ def _as_map(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
     return df.agg(F.map_from_entries(F.collect_list(F.struct(F.col(key), F.col(value)))).alias(name))
 
 
+DAILY_SETS = ("total", "page", "user", "hour", "language", "wiki")
+
+
+def daily_dimensions(events: DataFrame) -> DataFrame:
+    """All event counts of the daily document in one scan.
+
+    GROUPING SETS over (page title, page wiki), (user), (hour), (language),
+    (wiki) and () with event and bot counts: each row is expanded in the
+    map-side partial aggregate and only distinct keys are shuffled.  Output:
+    ``dim, k1, k2, event_count, bots`` (small: one row per distinct key).
+    """
+    keyed = events.select(
+        C.page_title("title").alias("p_title"), C.page_wiki("wiki").alias("p_wiki"),
+        C.user_key("user").alias("u"), C.hour_bucket(_ts(events)).alias("h"),
+        C.wiki_to_language("wiki").alias("lang"), C.page_wiki("wiki").alias("w"),
+        C.is_true("is_bot").alias("bot"),
+    )
+    g = keyed.groupingSets(
+        [["p_title", "p_wiki"], ["u"], ["h"], ["lang"], ["w"], []], "p_title", "p_wiki", "u", "h", "lang", "w"
+    ).agg(F.count(F.lit(1)).alias("event_count"), F.count_if("bot").alias("bots"), F.grouping_id().alias("gid"))
+    # grouping_id bits, high to low: p_title p_wiki u h lang w (0 = grouped)
+    dim = (F.when(F.col("gid") == 0b001111, F.lit("page")).when(F.col("gid") == 0b110111, F.lit("user"))
+           .when(F.col("gid") == 0b111011, F.lit("hour")).when(F.col("gid") == 0b111101, F.lit("language"))
+           .when(F.col("gid") == 0b111110, F.lit("wiki")).otherwise(F.lit("total")))
+    k1 = F.coalesce("p_title", "u", "h", "lang", "w")
+    return g.select(dim.alias("dim"), k1.alias("k1"), F.col("p_wiki").alias("k2"), "event_count", "bots")
+
+
 def daily_report(events: DataFrame, as_of: Column, anomalies: DataFrame, errors: DataFrame,
                  topic_volumes: DataFrame, lag: DataFrame | None = None) -> DataFrame:
     """The full daily document (A20): one row of nested sections.
 
     Every nested list is bounded by construction: top-10 pages and users,
-    48 hours, 20 anomalies, one entry per wiki / language / topic.  Each
-    section is a one-row frame; the document is their cross join.
+    48 hours, 20 anomalies, one entry per wiki / language / topic.  The
+    event counts of all sections come from one grouping-sets pass
+    (``daily_dimensions``), materialised once; each section is a one-row
+    frame and the document is their cross join.
     """
+    from recentlake.session import reuse
+
+    dims = reuse(daily_dimensions(events))
+
+    def part(dim: str) -> DataFrame:
+        return dims.filter(F.col("dim") == dim)
+
+    total = part("total").select(F.col("event_count").alias("total_events"), "bots")
+    head_global = total.select(
+        F.date_format(as_of, "yyyy-MM-dd").alias("report_date"), "total_events", "bots",
+        (F.col("total_events") - F.col("bots")).alias("humans"),
+        C.pct("bots", "total_events").alias("bot_percentage"))
+    pages = top_n(part("page").select(F.col("k1").alias("title"), F.col("k2").alias("wiki"), "event_count"),
+                  S.DAILY_TOP_LIMIT, "event_count", ["title", "wiki"])
+    users = top_n(part("user").select(F.col("k1").alias("user"), "event_count"), S.DAILY_TOP_LIMIT,
+                  "event_count", ["user"])
+    hours = top_n(part("hour").filter(F.col("k1").isNotNull()).select(F.col("k1").alias("hour"), "event_count"),
+                  S.DAILY_HOURS_LIMIT, "event_count", ["hour"])
     gen = C.iso_utc(as_of).alias("generated_at")
     date = F.date_format(as_of, "yyyy-MM-dd").alias("report_date")
     glob = (
-        daily_global(events, as_of)
-        .crossJoin(_as_list(daily_top_pages(events), "top_pages"))
-        .crossJoin(_as_list(daily_top_users(events), "top_users"))
+        head_global
+        .crossJoin(_as_list(pages.select("rank", C.page_label("title", "wiki").alias("page"),
+                                         F.col("event_count").alias("edit_count")), "top_pages"))
+        .crossJoin(_as_list(users.select("rank", "user", F.col("event_count").alias("edit_count")), "top_users"))
     )
     global_section = glob.select(F.struct(
         gen, "report_date", "total_events", "top_pages", "top_users",
         F.struct("bots", "humans", "bot_percentage").alias("bot_human_ratio")).alias("global_activity_report"))
-    q = daily_quality(anomalies, errors, events).crossJoin(_as_list(anomaly_sample(anomalies), "anomalies_sample"))
+    q = _quality_from_total(anomalies, errors, total).crossJoin(
+        _as_list(anomaly_sample(anomalies), "anomalies_sample"))
     quality_section = q.select(F.struct(gen, *q.columns).alias("quality_report"))
     traffic = (
-        _as_map(daily_traffic(events), "hour", "event_count", "by_hour")
-        .crossJoin(_as_map(language_distribution(events), "language", "event_count", "by_language"))
-        .crossJoin(_as_map(activity_by_wiki(events), "wiki", "event_count", "by_wiki"))
+        _as_map(hours, "hour", "event_count", "by_hour")
+        .crossJoin(_as_map(part("language").select(F.col("k1").alias("language"), "event_count"),
+                           "language", "event_count", "by_language"))
+        .crossJoin(_as_map(part("wiki").select(F.col("k1").alias("wiki"), "event_count"),
+                           "wiki", "event_count", "by_wiki"))
         .crossJoin(_as_map(topic_volumes, "topic", "message_count", "kafka_topic_volumes"))
     )
     traffic_section = traffic.select(F.struct(gen, *traffic.columns).alias("traffic_report"))

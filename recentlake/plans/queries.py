@@ -175,8 +175,9 @@ def _q_daily_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = TD.load_processed(spark, sf_dir)
     # read twice below (count and sample): computed once, lineage cut
     anomalies = reuse(A.detect_anomalies(ev, TD.as_of_col()))
-    errors = I.error_records(_validated(spark, sf_dir), TD.as_of_col())
-    volumes = I.topic_volumes(_messages(spark, sf_dir))
+    validated = reuse(_validated(spark, sf_dir))  # errors and topic volumes both read it
+    errors = I.error_records(validated, TD.as_of_col())
+    volumes = I.topic_volumes(I.ingest_messages(validated, TD.as_of_col()))
     return R.daily_report(ev, TD.as_of_col(), anomalies, errors, volumes, M.offset_lag(*_offsets(ev)))
 
 
