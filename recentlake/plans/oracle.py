@@ -327,6 +327,14 @@ INGEST: dict[str, str] = {
         "round(CAST(errors AS DOUBLE) / CAST(greatest(1, errors + total) AS DOUBLE) * 100.0, 2) "
         "AS invalid_events_rate_pct FROM (SELECT count_if(error_reason IS NOT NULL) AS errors, "
         "count_if(error_reason IS NULL) AS total FROM vr) c"),
+    "rule_missing_page_id": _ingest(
+        "SELECT " + ", ".join(
+            f"CAST({v} AS {_ANOM_TYPES[k]}) AS \"{k}\"" for k, v in {
+                "type": "'data_anomaly'", "page": "title", "severity": "'medium'",
+                "timestamp": iso(str(AS_OF_US)), "reason": "'missing_page_id'"}.items())
+        + ", " + ", ".join(f"CAST(NULL AS {t}) AS \"{k}\"" for k, t in _ANOM_TYPES.items()
+                           if k not in ("type", "page", "severity", "timestamp", "reason"))
+        + " FROM enr WHERE page_id IS NULL"),
     "topic_volumes": _ingest(
         "SELECT t.topic, coalesce(c.n, 0) AS message_count FROM (VALUES ('wm.recentchange.raw'), ('wm.bot.events'), "
         "('wm.page.edits'), ('wm.errors')) t(topic) LEFT JOIN (SELECT topic, count(*) AS n FROM msgs GROUP BY 1) c "

@@ -132,6 +132,12 @@ def _q_topic_volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.topic_volumes(_messages(spark, sf_dir))
 
 
+def _q_missing_page_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q3 on enriched records (they keep the raw event as ``payload``)."""
+    rec = I.enrich_events(_validated(spark, sf_dir), TD.as_of_col(), keep=["event_id"])
+    return A.rule(rec, "missing_page_id", TD.as_of_col())
+
+
 INGEST_QUERIES: dict[str, Query] = {
     "validate_events": _q_validate,
     "enrich_events": _q_enrich,
@@ -141,6 +147,7 @@ INGEST_QUERIES: dict[str, Query] = {
     "route_topics": _q_route,
     "invalid_rate": _q_invalid_rate,
     "topic_volumes": _q_topic_volumes,
+    "rule_missing_page_id": _q_missing_page_id,
 }
 
 
