@@ -83,3 +83,28 @@ def test_lake_inventory(spark, scratch):
     assert first.count() == 1
     health = M.lake_health(spark, os.path.join(scratch, "processed"), os.path.join(scratch, "reports")).first()
     assert health["overall_healthy"] is True and health["top_pages_files"] == 0
+
+
+def test_monitoring_job_versioned(spark, scratch):
+    import json
+    import os
+    from datetime import timezone
+
+    from recentlake.plans import jobs as J
+    from recentlake.sinks.writers import LakeLayout
+
+    runs = spark.createDataFrame([("a", "r1", "failed", datetime(2024, 1, 1), False)],
+                                 "dag_id string, run_id string, state string, start_date timestamp, is_paused boolean")
+    tasks = spark.createDataFrame([("a", "r1", "t", "failed", 1.5, 1)],
+                                  "dag_id string, run_id string, task_id string, state string, duration_sec double, "
+                                  "try_number int")
+    layout = LakeLayout(os.path.join(scratch, "lake"))
+    run_path, latest = J.monitoring_job(spark, layout, runs, tasks, as_of=datetime(2024, 1, 2, tzinfo=timezone.utc))
+    a = json.loads(spark.read.text(run_path).first()[0])
+    b = json.loads(spark.read.text(latest).first()[0])
+    assert a == b and a["dag_failure_rate_pct"] == 100.0 and a["total_task_failures"] == 1
+
+
+def test_live_bot_share(spark):
+    rows = [{"is_bot": True}, {"is_bot": None}, {"is_bot": False}, {"is_bot": False}]
+    assert tuple(L.live_bot_share(make_events(spark, rows)).first()) == (1, 3, 25.0)

@@ -101,3 +101,27 @@ def test_live_buffer_replay_is_idempotent(spark, scratch):
     buf(parts[2], 2)  # batch 2 delivered again after a failure
     assert sorted(r["event_id"] for r in buf.current(spark).collect()) == once
     assert once == sorted(r["event_id"] for r in L.live_buffer(ev, 40).collect())
+
+
+def test_fan_out_rate_and_staleness(spark, scratch):
+    ev = TD.load_processed(spark, SF)
+    src = os.path.join(scratch, "events")
+    ev.repartition(2).write.parquet(src)
+    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    seen = {}
+
+    def count_sink(name):
+        def sink(batch, batch_id):
+            seen[(name, batch_id)] = batch.count()
+        return sink
+
+    q = ETL.fan_out(stream, {"a": count_sink("a"), "b": count_sink("b")}, os.path.join(scratch, "ck"),
+                    trigger={"availableNow": True})
+    q.awaitTermination(120)
+    a = sum(v for (n, _), v in seen.items() if n == "a")
+    b = sum(v for (n, _), v in seen.items() if n == "b")
+    assert a == b == ev.count()
+    rate = ETL.live_rate(q)
+    assert rate["total_received"] == ev.count() and rate["last_batch_rows"] > 0
+    stale = ETL.stream_staleness(q, stale_seconds=3600)
+    assert stale["stale"] is False and stale["last_input_at"] is not None
