@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from recentlake import schema as S
 from recentlake.functions import columns as C
+from recentlake.operators.frames import combine_rows
 from recentlake.operators.reports import _ts
 from recentlake.operators.windows import forward_window_stats
 from recentlake.session import ensure_parallelism, reuse
@@ -286,7 +287,7 @@ def anomaly_report(events: DataFrame, anomalies: DataFrame, as_of: Column) -> Da
     """Run envelope: generated_at, events analysed, anomaly count (one row)."""
     n_events = events.agg(F.count(F.lit(1)).alias("events_analyzed"))
     n_anom = anomalies.agg(F.count(F.lit(1)).alias("anomaly_count"))
-    return n_events.crossJoin(n_anom).select(
+    return combine_rows(n_events, n_anom).select(
         C.iso_utc(as_of).alias("generated_at"), "events_analyzed", "anomaly_count"
     )
 

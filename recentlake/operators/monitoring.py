@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recentlake.operators.frames import combine_rows
+
 
 def end_offsets_from(messages: DataFrame, topic: str = "kafka_topic", partition: str = "kafka_partition",
                      offset: str = "kafka_offset") -> DataFrame:
@@ -100,7 +102,7 @@ def run_summary(runs: DataFrame, task_runs: DataFrame) -> DataFrame:
         F.count_if(F.col("state") == "failed").alias("total_task_failures"),
         F.coalesce(F.round(F.avg("duration_sec"), 2), F.lit(0.0)).alias("avg_task_duration_sec"),
     )
-    return dag_part.crossJoin(task_part)
+    return combine_rows(dag_part, task_part)
 
 
 def pipeline_failure_rate(runs: DataFrame) -> DataFrame:
@@ -150,10 +152,7 @@ def lake_health(spark: SparkSession, processed_root: str, reports_root: str,
         list_files(spark, f"{reports_root.rstrip('/')}/{d}").agg(F.count(F.lit(1)).alias(f"{d}_files"))
         for d in report_subdirs
     ]
-    out = counts
-    for s in sub:
-        out = out.crossJoin(s)
-    return out.withColumn("overall_healthy", F.col("json_file_count") > 0)
+    return combine_rows(counts, *sub).withColumn("overall_healthy", F.col("json_file_count") > 0)
 
 
 def report_coverage(reports: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from recentlake import schema as S
 from recentlake.functions import columns as C
+from recentlake.operators.frames import combine_rows
 from recentlake.operators.ranking import sorted_counts, top_n
 
 
@@ -267,7 +268,7 @@ def daily_quality(anomalies: DataFrame, errors: DataFrame, events: DataFrame) ->
 def _quality_from_total(anomalies: DataFrame, errors: DataFrame, total: DataFrame) -> DataFrame:
     a = anomalies.agg(F.count(F.lit(1)).alias("anomalies_detected"))
     e = errors.agg(F.count(F.lit(1)).alias("ingestion_errors_topic_count"))
-    j = a.crossJoin(e).crossJoin(total.select(F.col("total_events").alias("_total")))
+    j = combine_rows(a, e, total.select(F.col("total_events").alias("_total")))
     return j.select(
         "anomalies_detected",
         "ingestion_errors_topic_count",
@@ -324,7 +325,8 @@ def daily_report(events: DataFrame, as_of: Column, anomalies: DataFrame, errors:
     48 hours, 20 anomalies, one entry per wiki / language / topic.  The
     event counts of all sections come from one grouping-sets pass
     (``daily_dimensions``), materialised once; each section is a one-row
-    frame and the document is their cross join.
+    frame, and the document puts them side by side with ``combine_rows``
+    (a union folded by one aggregate, no join).
     """
     from recentlake.session import reuse
 
@@ -346,30 +348,28 @@ def daily_report(events: DataFrame, as_of: Column, anomalies: DataFrame, errors:
                   S.DAILY_HOURS_LIMIT, "event_count", ["hour"])
     gen = C.iso_utc(as_of).alias("generated_at")
     date = F.date_format(as_of, "yyyy-MM-dd").alias("report_date")
-    glob = (
-        head_global
-        .crossJoin(_as_list(pages.select("rank", C.page_label("title", "wiki").alias("page"),
-                                         F.col("event_count").alias("edit_count")), "top_pages"))
-        .crossJoin(_as_list(users.select("rank", "user", F.col("event_count").alias("edit_count")), "top_users"))
+    glob = combine_rows(
+        head_global,
+        _as_list(pages.select("rank", C.page_label("title", "wiki").alias("page"),
+                              F.col("event_count").alias("edit_count")), "top_pages"),
+        _as_list(users.select("rank", "user", F.col("event_count").alias("edit_count")), "top_users"),
     )
     global_section = glob.select(F.struct(
         gen, "report_date", "total_events", "top_pages", "top_users",
         F.struct("bots", "humans", "bot_percentage").alias("bot_human_ratio")).alias("global_activity_report"))
-    q = _quality_from_total(anomalies, errors, total).crossJoin(
-        _as_list(anomaly_sample(anomalies), "anomalies_sample"))
+    q = combine_rows(_quality_from_total(anomalies, errors, total),
+                     _as_list(anomaly_sample(anomalies), "anomalies_sample"))
     quality_section = q.select(F.struct(gen, *q.columns).alias("quality_report"))
-    traffic = (
-        _as_map(hours, "hour", "event_count", "by_hour")
-        .crossJoin(_as_map(part("language").select(F.col("k1").alias("language"), "event_count"),
-                           "language", "event_count", "by_language"))
-        .crossJoin(_as_map(part("wiki").select(F.col("k1").alias("wiki"), "event_count"),
-                           "wiki", "event_count", "by_wiki"))
-        .crossJoin(_as_map(topic_volumes, "topic", "message_count", "kafka_topic_volumes"))
+    traffic = combine_rows(
+        _as_map(hours, "hour", "event_count", "by_hour"),
+        _as_map(part("language").select(F.col("k1").alias("language"), "event_count"),
+                "language", "event_count", "by_language"),
+        _as_map(part("wiki").select(F.col("k1").alias("wiki"), "event_count"), "wiki", "event_count", "by_wiki"),
+        _as_map(topic_volumes, "topic", "message_count", "kafka_topic_volumes"),
     )
     traffic_section = traffic.select(F.struct(gen, *traffic.columns).alias("traffic_report"))
     lag_total = (lag.agg(F.coalesce(F.sum("lag"), F.lit(0)).alias("total_lag")) if lag is not None
                  else events.sparkSession.range(1).select(F.lit(None).cast("long").alias("total_lag")))
     system_section = lag_total.select(F.struct(gen, "total_lag").alias("system_report"))
     head = events.sparkSession.range(1).select(gen, date)
-    return (head.crossJoin(global_section).crossJoin(quality_section).crossJoin(traffic_section)
-            .crossJoin(system_section))
+    return combine_rows(head, global_section, quality_section, traffic_section, system_section)

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from recentlake import schema as S
 from recentlake.functions import columns as C
 from recentlake.operators import anomalies as A
+from recentlake.operators.frames import combine_rows
 from recentlake.operators import ingest as I
 from recentlake.operators import monitoring as M
 from recentlake.operators import reports as R
@@ -62,8 +63,9 @@ def top_pages_job(spark: SparkSession, layout: W.LakeLayout, as_of: datetime | N
     ts = _as_of(as_of)
     totals = R.global_activity(ev)
     docs = {
-        "top_pages": W.document(R.top_pages(ev), ts, "most active pages (all event types)", "top_pages")
-        .crossJoin(totals.select("total_events")),
+        "top_pages": combine_rows(
+            W.document(R.top_pages(ev), ts, "most active pages (all event types)", "top_pages"),
+            totals.select("total_events")),
         "most_created_pages": W.document(R.most_created_pages(ev), ts, "most created pages", "most_created_pages"),
         "most_deleted_pages": W.document(R.most_deleted_pages(ev), ts, "most deleted pages", "most_deleted_pages"),
     }
@@ -99,9 +101,9 @@ def user_activity_job(spark: SparkSession, layout: W.LakeLayout, as_of: datetime
                       fmt: str = "json", max_files: int | None = None) -> dict[str, str]:
     ev = _events(spark, layout, fmt, max_files)
     ts = _as_of(as_of)
-    user = (
-        W.document(R.top_contributors(ev), ts, None, "top_contributors")
-        .crossJoin(R.bots_vs_humans(ev).select(F.struct("*").alias("bots_vs_humans")))
+    user = combine_rows(
+        W.document(R.top_contributors(ev), ts, None, "top_contributors"),
+        R.bots_vs_humans(ev).select(F.struct("*").alias("bots_vs_humans")),
     )
     docs = {"user_activity": user, "anonymous_vs_logged": W.document(R.anonymous_vs_logged(ev), ts)}
     return W.write_report_set(docs, layout, "users")
@@ -156,9 +158,10 @@ def monitoring_job(spark: SparkSession, layout: W.LakeLayout, runs: DataFrame, t
                    lag: DataFrame | None = None, as_of: datetime | None = None) -> tuple[str, str]:
     """Run-log summary + failure rate (+ lag), dated and latest copies."""
     ts = _as_of(as_of)
-    summary = M.run_summary(runs, task_runs).crossJoin(M.pipeline_failure_rate(runs))
+    parts = [M.run_summary(runs, task_runs), M.pipeline_failure_rate(runs)]
     if lag is not None:
-        summary = summary.crossJoin(lag.agg(F.coalesce(F.sum("lag"), F.lit(0)).alias("ingestion_kafka_lag")))
+        parts.append(lag.agg(F.coalesce(F.sum("lag"), F.lit(0)).alias("ingestion_kafka_lag")))
+    summary = combine_rows(*parts)
     doc = W.document(summary, ts)
     return W.write_versioned(doc, os.path.join(layout.reports, "monitoring"), _run_id(as_of),
                              "latest_pipeline_monitoring")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from recentlake import schema as S
 from recentlake.functions import columns as C
+from recentlake.operators.frames import combine_rows
 
 
 @dataclass(frozen=True)
@@ -139,7 +140,7 @@ def write_anomaly_run(anomalies: DataFrame, events_analyzed: DataFrame, root: st
     anomalies.select(*S.ANOMALY_COLUMNS).write.mode("overwrite").json(run_path)
     spark = anomalies.sparkSession
     stored = spark.read.schema(S.ANOMALY).json(run_path)
-    summary = events_analyzed.crossJoin(stored.agg(F.count(F.lit(1)).alias("anomaly_count"))).select(
+    summary = combine_rows(events_analyzed, stored.agg(F.count(F.lit(1)).alias("anomaly_count"))).select(
         C.iso_utc(generated_at).alias("generated_at"), "events_analyzed", "anomaly_count")
     # '_'-prefixed folders are hidden from readers of ``root``
     summary_path = os.path.join(root, "_summary", f"run={run_id}")
