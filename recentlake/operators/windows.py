@@ -36,9 +36,10 @@ from pyspark.sql import functions as F
 DEFAULT_SLICE_US = 60_000_000  # 60 s: groups of (key, minute); a key's share of one task stays bounded by time
 
 
-def _slice_of(t: Column, slice_us: int) -> Column:
-    # exact integer floor division (t - pmod(t, s) is a multiple of s)
-    return ((t - F.pmod(t, F.lit(slice_us))) / F.lit(slice_us)).cast("long")
+def _slice_of(t_col: str, slice_us: int) -> Column:
+    """floor(t / slice) in exact long arithmetic (SQL ``div`` truncates; the
+    numerator is a multiple of the slice, so truncation is the floor)."""
+    return F.expr(f"(`{t_col}` - pmod(`{t_col}`, {int(slice_us)})) div {int(slice_us)}")
 
 
 def _pick_slice(widths: Mapping[str, int]) -> int:
@@ -78,7 +79,7 @@ def forward_window_stats(
     t = F.col(t_col)
 
     carry = [F.col(carry_min).alias("_carry")] if carry_min else []
-    f = _slice_of(t, slice_us)
+    f = _slice_of(t_col, slice_us)
     copies = F.array(
         F.struct(f.alias("f"), F.lit(0).alias("role")),
         *[F.struct((f - F.lit(m)).alias("f"), F.lit(m).alias("role")) for m in offsets],
