@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from recentlake.llm import quality_rules
+from recentlake.llm import mixing, quality_rules, token_files, warc
 from recentlake.llm.common import read_table
 
 
@@ -15,9 +16,30 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *quality_rules.STATS, "base_failed", "kept", "distance")
 
 
+def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mixing.mix_plan(read_table(spark, sf_dir, "documents"))
+    return plan.select(
+        "doc_id", "size", "source_size", "target", "taken",
+        F.element_at("positions", F.when(F.size("positions") > 0, 1)).alias("first_position"),
+    ).orderBy(F.col("first_position").asc_nulls_last(), "doc_id")
+
+
+def op6_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = token_files.write_token_files(read_table(spark, sf_dir, "documents"))
+    return token_files.read_documents(manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op4_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive = warc.write_archive(read_table(spark, sf_dir, "pages"))
+    return warc.read_captures(archive).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from recentlake.llm.oracle import SQL
+
+    return dict(SQL)
