@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recentlake.llm import mixing, quality_rules, token_files, warc
+from recentlake.llm import fingerprints, mixing, quality_net, quality_rules, token_files, warc
 from recentlake.llm.common import read_table
 
 
@@ -35,6 +35,15 @@ def op4_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
 
 
+def op8_quality_net(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return quality_net.scored(docs, quality_net.fit(docs, read_table(spark, sf_dir, "labels")))
+
+
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
