@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recentlake.llm import fingerprints, mixing, quality_net, quality_rules, token_files, warc
+from recentlake.llm import fingerprints, html_text, mixing, quality_net, quality_rules, sampled_pieces, token_files, warc
 from recentlake.llm.common import read_table
 
 
@@ -44,6 +44,19 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(read_table(spark, sf_dir, "documents"))
 
 
+def op7_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded by a sampled segmentation and decoded again."""
+    docs = read_table(spark, sf_dir, "documents").select(
+        "doc_id", "text", F.length("text").cast("long").alias("n_chars"), F.xxhash64("text").alias("before"))
+    back = sampled_pieces.decoded(sampled_pieces.encoded(docs))
+    same = F.col("text").isNull() | (F.xxhash64("text") == F.col("before")) & (F.length("text") == F.col("n_chars"))
+    return back.select("doc_id", "n_chars", "n_pieces", "ids_crc32", same.alias("lossless"))
+
+
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(read_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
