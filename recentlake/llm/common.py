@@ -22,7 +22,7 @@ WORD_SEPARATORS = r"[\x20\x09-\x0D]+"
 
 #: Rows of one Arrow batch sent to Python, so that a run of very long texts
 #: stays within a worker's memory.
-BATCH_ROWS = 500
+BATCH_ROWS = 1000
 #: Text bytes that the vectorised helpers handle at once.
 BLOCK_BYTES = 2 << 20
 

@@ -46,4 +46,30 @@ select doc_id, size, source_size, target, cast(copies * size as bigint) as taken
 from counted
 """
 
-SQL = {"op10_mix_sources": _MIX}
+_REPEATS = r"""
+with split as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents
+), starts as (
+  select doc_id, unnest(range(1, len(words) - 11)) as i, words from split
+), windows as (
+  select doc_id, i, array_to_string(words[i:i + 12], ' ') as w from starts
+), firsts as (
+  select w, min(doc_id) as first from windows group by w
+), gone as (
+  select distinct doc_id, unnest(range(i, i + 13)) as i from windows join firsts using (w) where first < doc_id
+), gone_lists as (
+  select doc_id, list(i) as gone from gone group by doc_id
+), kept as (
+  select s.doc_id, words, coalesce(gone, []) as gone from split s left join gone_lists using (doc_id)
+), flagged as (
+  select doc_id, len(words) as n_words, len(gone) as n_removed,
+         case when len(gone) = 0 then words
+              else (select list(words[x] order by x) from (select unnest(range(1, len(words) + 1)) as x) where not list_contains(gone, x)) end as left_words
+  from kept
+)
+select doc_id, cast(n_words as bigint) as n_words, cast(n_removed as bigint) as n_removed,
+       sha256(array_to_string(coalesce(left_words, []), ' ')) as kept_sha256
+from flagged
+"""
+
+SQL = {"op5_repeated_spans": _REPEATS, "op10_mix_sources": _MIX}
