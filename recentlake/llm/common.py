@@ -32,8 +32,13 @@ DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 # -- tables and the shared folder ------------------------------------------
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def python_batches(spark: SparkSession) -> None:
+    """Rows of an Arrow batch for the operators that handle whole texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    python_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -225,6 +230,32 @@ def per_row(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.diff(total[bounds])
 
 
+class HashIndex:
+    """Positions of 64-bit keys in a sorted table, by their leading bits."""
+
+    BITS = 20
+
+    def __init__(self, table: np.ndarray):
+        self.table = np.append(table, np.uint64(0))
+        head = (table >> np.uint64(64 - self.BITS)).astype(np.int64)
+        self.start = np.searchsorted(head, np.arange(1 << self.BITS)).astype(np.int32)
+        self.most = int(np.bincount(head, minlength=1).max(initial=0))
+        self.n = len(table)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Index of each key, or -1."""
+        at = self.start[(keys >> np.uint64(64 - self.BITS)).astype(np.int64)]
+        out = np.where(self.table[at] == keys, at, -1)
+        out[at == self.n] = -1
+        missing = np.flatnonzero((out < 0) & (self.table[at] < keys))
+        for k in range(1, self.most):
+            place = np.minimum(at[missing] + k, self.n)
+            hit = (self.table[place] == keys[missing]) & (place < self.n)
+            out[missing[hit]] = place[hit]
+            missing = missing[~hit & (self.table[place] < keys[missing]) & (place < self.n)]
+        return out
+
+
 def words_column(text="text"):
     """The words of a text as an array column; null and blank texts have none."""
     return F.filter(F.split(F.coalesce(F.col(text), F.lit("")), WORD_SEPARATORS), lambda w: w != "")

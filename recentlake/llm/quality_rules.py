@@ -261,3 +261,12 @@ def quality_verdicts(docs: DataFrame, min_rows: int = MIN_ROWS, cut: float = CUT
     return vectors.join(best, "cell", "left").withColumn("distance", _distance()).select(
         "doc_id", *extra, *STATS, "base_failed", "cell", "distance",
         F.when(F.col("base_failed"), F.lit(False)).otherwise(F.coalesce(F.col("distance") <= cut, F.lit(True))).alias("kept"))
+
+
+def kept_documents(docs: DataFrame, min_rows: int = MIN_ROWS, cut: float = CUT) -> DataFrame:
+    """The rows of ``docs`` that no rule rejects, unchanged."""
+    key = F.xxhash64("lang", "source", "text")
+    keyed = docs.withColumn("__key", key)
+    gone = quality_verdicts(keyed, min_rows, cut, extra=("__key",)).where(~F.col("kept")) \
+        .select(F.col("doc_id").alias("__d"), F.col("__key").alias("__k")).distinct()
+    return keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__key") == F.col("__k")), "left_anti").drop("__key")

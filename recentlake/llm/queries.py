@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recentlake.llm import fingerprints, html_text, mixing, quality_net, quality_rules, repeated_spans, sampled_pieces, token_files, warc
+from recentlake.llm import fingerprints, html_text, mixing, quality_net, quality_rules, repeated_spans, sampled_pieces, shingle_join, token_files, warc
 from recentlake.llm.common import read_table
 
 
@@ -62,6 +62,10 @@ def op5_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op3_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.joined(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 

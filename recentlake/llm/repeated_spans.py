@@ -408,3 +408,14 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                  pa.array(left, pa.binary()).cast(pa.string())], [*kept, *added])
 
     return joined.mapInArrow(run, schema)
+
+
+def cleaned(docs: DataFrame) -> DataFrame:
+    """``docs`` with repeats cut from ``text`` and ``n_chars`` counted anew;
+    texts without repeats keep their white space too."""
+    left = without_repeats(docs)
+    changed = F.col("n_removed") > 0
+    kind = dict(docs.dtypes)["n_chars"]
+    return left.withColumn("text", F.when(changed, F.col("kept_text")).otherwise(F.col("text"))) \
+        .withColumn("n_chars", F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast(kind)) \
+        .select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recentlake.llm.common import mix64
+from recentlake.llm.common import HashIndex, mix64
 
 ALPHA = 1.0
 OFFSET = 10.0
@@ -55,32 +55,6 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-class HashIndex:
-    """Positions of 64-bit keys in a sorted table, by their leading bits."""
-
-    BITS = 20
-
-    def __init__(self, table: np.ndarray):
-        self.table = np.append(table, np.uint64(0))
-        head = (table >> np.uint64(64 - self.BITS)).astype(np.int64)
-        self.start = np.searchsorted(head, np.arange(1 << self.BITS)).astype(np.int32)
-        self.most = int(np.bincount(head, minlength=1).max(initial=0))
-        self.n = len(table)
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Index of each key, or -1."""
-        at = self.start[(keys >> np.uint64(64 - self.BITS)).astype(np.int64)]
-        out = np.where(self.table[at] == keys, at, -1)
-        out[at == self.n] = -1
-        missing = np.flatnonzero((out < 0) & (self.table[at] < keys))
-        for k in range(1, self.most):
-            place = np.minimum(at[missing] + k, self.n)
-            hit = (self.table[place] == keys[missing]) & (place < self.n)
-            out[missing[hit]] = place[hit]
-            missing = missing[~hit & (self.table[place] < keys[missing]) & (place < self.n)]
-        return out
-
-
 class Pieces:
     """The pieces of a model as arrays, and sampling and decoding with them."""
 
