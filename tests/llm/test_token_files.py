@@ -47,7 +47,7 @@ def test_wavelet_matrix(n, bits):
 def test_files_round_trip(spark, tokenizer):
     rows = odd_rows() + [(100 + k * 7 % 83, prose(30 + k, k)) for k in range(83)]
     manifest = t.write_token_files(documents(spark, rows), shard_ids=2000)
-    assert manifest.count() > 4
+    assert manifest.count() >= 4
     got = sorted(t.read_documents(manifest).collect(), key=lambda r: r["start"])
     order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
     assert [r["doc_id"] for r in got] == [r[0] for r in order]
