@@ -172,6 +172,13 @@ def event_date(event_time: ColumnOrName = "event_time",
     return F.to_date(F.coalesce(_c(event_time), _c(kafka_timestamp)))
 
 
+def bucket_us(us: ColumnOrName, width_us: int) -> Column:
+    """Start of the bucket of ``width_us`` that holds a time in µs, as a long:
+    the cheap grouping key; format it after the aggregate."""
+    u = _c(us)
+    return u - F.pmod(u, F.lit(width_us).cast("long"))
+
+
 def minute_bucket(ts: ColumnOrName) -> Column:
     return F.date_format(_c(ts), "yyyy-MM-dd HH:mm")
 
@@ -188,7 +195,7 @@ def pct(part: ColumnOrName, total: ColumnOrName) -> Column:
 
 def severity(count: ColumnOrName, high: int = S.SEVERITY_HIGH_AT, medium: int = S.SEVERITY_MEDIUM_AT) -> Column:
     c = _c(count)
-    return F.when(c >= high, F.lit("high")).when(c >= medium, F.lit("medium")).otherwise(F.lit("low"))
+    return F.when(c >= high, F.lit(S.SEVERITY_HIGH)).when(c >= medium, F.lit(S.SEVERITY_MEDIUM)).otherwise(F.lit(S.SEVERITY_LOW))
 
 
 # ---------------------------------------------------------------------------

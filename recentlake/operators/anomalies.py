@@ -29,7 +29,7 @@ from recentlake.functions import columns as C
 from recentlake.operators.frames import combine_rows
 from recentlake.operators.reports import _ts
 from recentlake.operators.windows import forward_window_stats
-from recentlake.session import ensure_parallelism, reuse
+from recentlake.session import reuse
 
 MINUTE_US = 60_000_000
 
@@ -48,13 +48,23 @@ def _row(**values: Column) -> list[Column]:
     return out
 
 
-def _keyed(events: DataFrame, as_of: Column, order_cols: Sequence[str]) -> DataFrame:
-    """Events with page keys, event time (µs, missing -> as_of) and order.
+#: Event order within the lake: broker partition and offset.
+ORDER_COLS = ("kafka_partition", "kafka_offset")
+_OFFSET_BITS = 44
 
-    The rule set is CPU-heavy per row, so an input arriving in fewer splits
-    than cores is spread first (a no-op on a many-file lake or a stream).
-    """
-    events = ensure_parallelism(events)
+
+def _order(order_cols: Sequence[str]) -> Column:
+    """Event order as one long (so that its minimum stays in a hash
+    aggregate): the single column given, or partition and offset packed."""
+    last = F.lit((1 << 63) - 1)
+    if len(order_cols) == 1:
+        return F.coalesce(F.col(order_cols[0]).cast("long"), last)
+    part, offset = (F.col(c).cast("long") for c in order_cols)
+    return F.coalesce(F.shiftleft(part, _OFFSET_BITS) + offset, last)
+
+
+def _keyed(events: DataFrame, as_of: Column, order_cols: Sequence[str]) -> DataFrame:
+    """Events with page keys, event time (µs, missing -> as_of) and order."""
     raw_ts = _ts(events)
     ts = F.coalesce(raw_ts, as_of)
     cols = set(events.columns)
@@ -73,8 +83,8 @@ def _keyed(events: DataFrame, as_of: Column, order_cols: Sequence[str]) -> DataF
         ing.alias("_ing"),
         raw_ts.alias("_raw_ts"),
         ts.alias("_ts"),
-        F.unix_micros(ts).alias("_us"),
-        F.struct(*[F.col(c) for c in order_cols]).alias("_seq"),
+        F.coalesce(F.unix_micros(ts), F.lit(0).cast("long")).alias("_us"),
+        _order(order_cols).alias("_seq"),
     )
 
 
@@ -89,34 +99,34 @@ def _event_rule_structs(k: DataFrame, as_of: Column) -> dict[str, tuple[Column,
     return {
         "wiki_null": (
             wiki.isNull() | (C.strip_ws(wiki) == F.lit("")),
-            _row(type=F.lit(S.ANOMALY_DATA), page=F.col("_title"), severity=F.lit("high"), timestamp=stamp,
-                 reason=F.lit("wiki_null"), wiki=wiki),
+            _row(type=F.lit(S.ANOMALY_DATA), page=F.col("_title"), severity=F.lit(S.SEVERITY_HIGH), timestamp=stamp,
+                 reason=F.lit(S.RULE_WIKI_NULL), wiki=wiki),
         ),
         "unknown_language": (
             C.nonempty(wiki).isNotNull() & (C.wiki_to_language(wiki) == F.lit(S.UNKNOWN)),
-            _row(type=F.lit(S.ANOMALY_DATA), page=F.col("_title"), severity=F.lit("medium"), timestamp=stamp,
-                 reason=F.lit("unknown_language"), wiki=wiki),
+            _row(type=F.lit(S.ANOMALY_DATA), page=F.col("_title"), severity=F.lit(S.SEVERITY_MEDIUM), timestamp=stamp,
+                 reason=F.lit(S.RULE_UNKNOWN_LANGUAGE), wiki=wiki),
         ),
         "missing_page_id": (
             F.col("_page_id").isNull()
             & C.nonempty(payload).isNotNull()
             & C.is_json_object_text(payload)
             & F.get_json_object(payload, "$.page_id").isNull(),
-            _row(type=F.lit(S.ANOMALY_DATA), page=F.col("_title"), severity=F.lit("medium"), timestamp=stamp,
-                 reason=F.lit("missing_page_id")),
+            _row(type=F.lit(S.ANOMALY_DATA), page=F.col("_title"), severity=F.lit(S.SEVERITY_MEDIUM), timestamp=stamp,
+                 reason=F.lit(S.RULE_MISSING_PAGE_ID)),
         ),
         "incoherent_timestamp": (
             F.coalesce(
                 F.col("_raw_ts") > as_of + F.expr(f"INTERVAL {S.FUTURE_TOLERANCE_MIN} MINUTES"), F.lit(False)
             ),
-            _row(type=F.lit(S.ANOMALY_DATA), page=F.col("_title"), severity=F.lit("high"), timestamp=stamp,
-                 reason=F.lit("incoherent_timestamp"),
+            _row(type=F.lit(S.ANOMALY_DATA), page=F.col("_title"), severity=F.lit(S.SEVERITY_HIGH), timestamp=stamp,
+                 reason=F.lit(S.RULE_FUTURE_TIME),
                  ingestion_timestamp=F.coalesce(F.col("_ing"), F.lit("None"))),
         ),
         "short_title_repeated": (
             F.length(F.coalesce(C.nonempty("_raw_title"), F.lit(""))) <= S.SHORT_TITLE_LEN,
-            _row(type=F.lit(S.ANOMALY_SPAM), page=F.col("_title"), severity=F.lit("low"), timestamp=stamp,
-                 reason=F.lit("short_title_repeated"), title=F.col("_title"), user=C.user_key("_user")),
+            _row(type=F.lit(S.ANOMALY_SPAM), page=F.col("_title"), severity=F.lit(S.SEVERITY_LOW), timestamp=stamp,
+                 reason=F.lit(S.RULE_SHORT_TITLE), title=F.col("_title"), user=C.user_key("_user")),
         ),
     }
 
@@ -171,7 +181,8 @@ def page_window_rules(keyed: DataFrame, slice_us: int | None = None,
         & (c5.cast("double") >= baseline * F.lit(S.EDIT_SPIKE_RATIO))
     )
     rapid_hit = c2 >= S.SPAM_EDITS_IN_WINDOW
-    first = w.groupBy("_title", "_wiki").agg(
+    # Only hits are aggregated: few rows carry the structs.
+    first = w.where(spike_hit | rapid_hit).groupBy("_title", "_wiki").agg(
         F.min_by(F.struct(c5.alias("c"), F.col("w5_last").alias("last"), baseline.alias("baseline")),
                  F.when(spike_hit, F.col("_us"))).alias("s"),
         F.min_by(F.struct(c2.alias("c"), F.col("w2_last").alias("last")),
@@ -187,9 +198,9 @@ def page_window_rules(keyed: DataFrame, slice_us: int | None = None,
         F.lit(PHASE_SPIKE).alias("_phase"), F.col("_seq"), F.lit(0).alias("_rule"),
     )
     rapid = F.struct(
-        *_row(type=F.lit(S.ANOMALY_SPAM), page=F.col("_title"), severity=F.lit("high"),
+        *_row(type=F.lit(S.ANOMALY_SPAM), page=F.col("_title"), severity=F.lit(S.SEVERITY_HIGH),
               timestamp=C.iso_utc(F.timestamp_micros(F.col("r.last"))), edit_count=rc,
-              window=F.lit(f"{S.SPAM_WINDOW_MIN}min"), wiki=F.col("_wiki"), reason=F.lit("rapid_page_edits")),
+              window=F.lit(f"{S.SPAM_WINDOW_MIN}min"), wiki=F.col("_wiki"), reason=F.lit(S.RULE_RAPID_EDITS)),
         F.lit(PHASE_RAPID).alias("_phase"), F.col("_seq"), F.lit(0).alias("_rule"),
     )
     hits = []
@@ -214,17 +225,19 @@ def rapid_edits(keyed: DataFrame, slice_us: int | None = None) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 def bot_rate(keyed: DataFrame, threshold: int = S.BOT_EDITS_PER_MIN_THRESHOLD) -> DataFrame:
+    """Minutes with ``threshold`` bot events or more: a hash aggregate on the
+    minute's number, formatted afterwards."""
     per_minute = (
         keyed.filter(C.is_true("_is_bot"))
-        .select(C.minute_bucket("_ts").alias("minute"), "_seq")
+        .select(C.bucket_us("_us", MINUTE_US).alias("minute"), "_seq")
         .groupBy("minute")
         .agg(F.count(F.lit(1)).alias("n"), F.min("_seq").alias("_seq"))
         .filter(F.col("n") >= threshold)
     )
     return per_minute.select(
-        *_row(type=F.lit(S.ANOMALY_BOT), page=F.lit(S.BOT_PAGE_LABEL), severity=F.lit("high"),
-              timestamp=F.concat(F.col("minute"), F.lit(":00+00:00")), edits_per_minute=F.col("n"),
-              threshold=F.lit(threshold), reason=F.lit("bot_high_edit_rate")),
+        *_row(type=F.lit(S.ANOMALY_BOT), page=F.lit(S.BOT_PAGE_LABEL), severity=F.lit(S.SEVERITY_HIGH),
+              timestamp=F.concat(C.minute_bucket(F.timestamp_micros("minute")), F.lit(":00+00:00")),
+              edits_per_minute=F.col("n"), threshold=F.lit(threshold), reason=F.lit(S.RULE_BOT_RATE)),
         F.lit(PHASE_BOT).alias("_phase"),
         "_seq",
         F.lit(0).alias("_rule"),
@@ -239,7 +252,7 @@ def _public(df: DataFrame) -> DataFrame:
     return df.select(*S.ANOMALY_COLUMNS)
 
 
-def rule(events: DataFrame, name: str, as_of: Column, order_cols: Sequence[str] = ("event_id",),
+def rule(events: DataFrame, name: str, as_of: Column, order_cols: Sequence[str] = ORDER_COLS,
          slice_us: int | None = None) -> DataFrame:
     """One rule's raw hits (no cross-rule dedup)."""
     keyed = _keyed(events, as_of, order_cols)
@@ -254,7 +267,7 @@ def rule(events: DataFrame, name: str, as_of: Column, order_cols: Sequence[str]
     raise KeyError(name)
 
 
-def detect_anomalies(events: DataFrame, as_of: Column, order_cols: Sequence[str] = ("event_id",),
+def detect_anomalies(events: DataFrame, as_of: Column, order_cols: Sequence[str] = ORDER_COLS,
                      slice_us: int | None = None, dedup_keys: Sequence[str] = ("type", "page", "timestamp"),
                      materialize: bool = False) -> DataFrame:
     """All rules, then first row per (type, page, timestamp).

@@ -1,6 +1,6 @@
-"""Forward time-window counts per key, exact and skew-safe.
+"""Forward time-window counts per key: exact, linear and skew-safe.
 
-For every row r with key k and time t (µs), and for each requested width w,
+For every distinct time t (µs) of a key k, and for each requested width w,
 ``forward_window_stats`` gives
 
     <name>_count = #rows of k with t <= t' <= t + w     (closed interval)
@@ -8,22 +8,21 @@ For every row r with key k and time t (µs), and for each requested width w,
 
 plus per-key totals (count, first, last time, smallest ``carry_min``).
 
-A plain ``Window.partitionBy(k).orderBy(t).rangeBetween(0, w)`` gives the
-same numbers but sends every row of a key to one task: a page holding a third
-of the data would become a single task.  Here time is cut into slices of
-``slice_us`` (w = m * slice).  A row in slice f sees
-
-    own slice f           rows with t' >= t          (window over group f)
-    slices f+1 .. f+m-1   all rows                   (pre-aggregated counts)
-    slice f+m             rows with t' <= t + w      (window over group f)
-
-Each row is copied once per distinct m into the group of slice f-m (a
-"neighbour" copy), so a group (k, f) holds a few slices of one key at most,
-whatever the key's total size.  The expanded rows are shuffled once
-(``repartition(k, f)``); the range-frame windows and the per-slice count
-table both read that one exchange.  The middle slices come from the count
-table, whose per-key window has one row per occupied slice: bounded by time
-span / slice, not by the key's row count.
+Rows of one key and time are first summed map-side, so any number of them is
+one row afterwards.  Time is cut into slices of ``slice_us`` (w = m * slice).
+A time in slice f sees
+
+    own slice f           rows with t' >= t          total minus running count
+    slices f+1 .. f+m-1   all rows                   per-slice totals
+    slice f+m             rows with t' - w <= t      running count of marks
+
+Each time is copied once per distinct m as a mark at t' - w into the group of
+slice f-m.  A group (k, f) is read once in the order of its marks and times
+with frames that only grow (UNBOUNDED PRECEDING .. CURRENT ROW): constant
+work for each row, however many rows a page has in a minute.  The middle
+slices come from a table with one row per occupied slice of a key, bounded
+by time span / slice and joined on the columns that the groups are already
+clustered by.
 """
 
 from __future__ import annotations
@@ -62,113 +61,86 @@ def forward_window_stats(
     slice_us: int | None = None,
     carry_min: str | None = None,
 ) -> DataFrame:
-    """Per-row forward window counts/lasts for several widths + key totals.
+    """Forward window counts / lasts for several widths + key totals.
 
     ``widths`` maps an output prefix to a width in the units of ``t_col``.
-    Returns ``*keys, t_col, <p>_count, <p>_last`` for each prefix,
-    ``key_count, key_first, key_last`` and ``key_min_<carry_min>``.  Keys must
-    be non-null (callers default them).  One output row per input row.
+    One output row per distinct (keys, ``t_col``): ``*keys, t_col, rows``
+    (rows at that time), ``<p>_count, <p>_last`` for each prefix,
+    ``key_count, key_first, key_last`` and ``key_min_<carry_min>``.  Keys,
+    times and ``carry_min`` (a long) must be non-null (callers default them).
     """
     keys = list(keys)
     slice_us = slice_us or _pick_slice(widths)
     for w in widths.values():
         if w % slice_us:
             raise ValueError("every width must be a multiple of slice_us")
-    ms = {name: w // slice_us for name, w in widths.items()}
-    offsets = sorted(set(ms.values()))
-    t = F.col(t_col)
+    steps = {name: w // slice_us for name, w in widths.items()}
 
-    carry = [F.col(carry_min).alias("_carry")] if carry_min else []
-    f = _slice_of(t_col, slice_us)
+    aggs = [F.count(F.lit(1)).alias("_n")]
+    if carry_min:
+        aggs.append(F.min(carry_min).alias("_carry"))
+    times = df.groupBy(*keys, F.col(t_col).alias("_t")).agg(*aggs).withColumn("_slice", _slice_of("_t", slice_us))
+
+    # (a) own times, and marks of the slice m further on, in groups (key, slice)
     copies = F.array(
-        F.struct(f.alias("f"), F.lit(0).alias("role")),
-        *[F.struct((f - F.lit(m)).alias("f"), F.lit(m).alias("role")) for m in offsets],
+        F.struct(F.col("_slice").alias("f"), F.col("_t").alias("at"), F.lit(0).cast("long").alias("role")),
+        *[F.struct((F.col("_slice") - F.lit(m)).alias("f"), (F.col("_t") - F.lit(m * slice_us)).alias("at"),
+                   F.lit(m).cast("long").alias("role")) for m in sorted(set(steps.values()))],
     )
     rows = (
-        df.select(*keys, t.alias("_t"), *carry, F.explode(copies).alias("_c"))
-        .select(*keys, "_t", *(["_carry"] if carry_min else []),
-                F.col("_c.f").alias("_f"), F.col("_c.role").alias("_role"))
+        times.select(*keys, "_t", "_n", F.explode(copies).alias("_c"))
+        .select(*keys, "_t", "_n", F.col("_c.f").alias("_f"), F.col("_c.at").alias("_at"), F.col("_c.role").alias("_role"))
         .repartition(*keys, "_f")
     )
-    role = F.col("_role")
-
-    # Both branches below read ``rows`` with all its columns and no filter
-    # under the exchange, so the planner reuses one shuffle for both.
-    # (a) edge counts: range frame over own rows + the relevant neighbours
-    edge_cols = []
-    for name, w in widths.items():
-        m = ms[name]
-        frame = Window.partitionBy(*keys, "_f").orderBy("_t").rangeBetween(0, w)
-        mine = role.isin(0, m)
-        edge_cols += [
-            F.count(F.when(mine, F.lit(1))).over(frame).alias(f"_{name}_en"),
-            F.max(F.when(mine, F.col("_t"))).over(frame).alias(f"_{name}_em"),
-        ]
-    carry_out = [F.col("_carry")] if carry_min else []
-    edges = rows.select(*keys, "_f", "_t", "_role", *carry_out, *edge_cols).filter(role == 0)
-
-    # (b) per (key, slice) counts from the same exchange (already clustered);
-    # conditional aggregates instead of a filter keep the exchange shared.
-    own_t = F.when(role == 0, F.col("_t"))
-    slice_aggs = [F.count(own_t).alias("_n"), F.min(own_t).alias("_mn"), F.max(own_t).alias("_mx")]
+    own = F.col("_role") == 0
+    group = Window.partitionBy(*keys, "_f")
+    # marks before the times they equal: both ends of the interval are closed
+    upto = group.orderBy("_at", own.cast("int")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own_n = F.when(own, F.col("_n"))
+    edges = [
+        (F.sum(own_n).over(group) - F.sum(own_n).over(upto) + F.col("_n")).alias("_own_n"),
+        F.max(F.when(own, F.col("_t"))).over(group).alias("_own_last"),
+    ]
+    for name, m in steps.items():
+        mark = F.col("_role") == m
+        edges += [F.coalesce(F.sum(F.when(mark, F.col("_n"))).over(upto), F.lit(0)).alias(f"_{name}_en"),
+                  F.max(F.when(mark, F.col("_t"))).over(upto).alias(f"_{name}_em")]
+    placed = rows.select(*keys, "_f", "_t", "_n", "_role", *edges).filter(own)
+
+    # (b) totals per (key, slice) and their windows over the key's slices
+    slice_aggs = [F.sum("_n").alias("_sn"), F.min("_t").alias("_mn"), F.max("_t").alias("_mx")]
     if carry_min:
-        slice_aggs.append(F.min(F.when(role == 0, F.col("_carry"))).alias("_cm"))
-    slices = rows.groupBy(*keys, "_f").agg(*slice_aggs).filter(F.col("_n") > 0)
-
+        slice_aggs.append(F.min("_carry").alias("_cm"))
+    slices = times.groupBy(*keys, F.col("_slice").alias("_f")).agg(*slice_aggs)
     by_key = Window.partitionBy(*keys)
     stat_cols = [
-        F.sum("_n").over(by_key).alias("key_count"),
+        F.sum("_sn").over(by_key).alias("key_count"),
         F.min("_mn").over(by_key).alias("key_first"),
         F.max("_mx").over(by_key).alias("key_last"),
     ]
     if carry_min:
-        stat_cols.append(F.min("_cm").over(by_key).alias("_key_cm"))
-    for name in widths:
-        m = ms[name]
+        stat_cols.append(F.min("_cm").over(by_key).alias(f"key_min_{carry_min}"))
+    in_order = by_key.orderBy("_f")
+    running = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    slice_stats = slices.select(*keys, "_f", "_sn", "_mx", *stat_cols, F.sum("_sn").over(running).alias("_run"))
+    # Rows of the slices after this one and before f + m: the running total at
+    # the last of them minus that of this slice.  A key has at most one row per
+    # occupied slice here, and the frame at most m - 1 rows.
+    middle_cols = []
+    for name, m in steps.items():
         if m > 1:
-            middle = by_key.orderBy("_f").rangeBetween(1, m - 1)
-            stat_cols += [F.sum("_n").over(middle).alias(f"_{name}_mn"),
-                          F.max("_mx").over(middle).alias(f"_{name}_mm")]
+            middle = in_order.rangeBetween(1, m - 1)
+            middle_cols += [F.coalesce(F.max("_run").over(middle) - F.col("_run"), F.lit(0)).alias(f"_{name}_mn"),
+                            F.max("_mx").over(middle).alias(f"_{name}_mm")]
         else:
-            stat_cols += [F.lit(0).cast("long").alias(f"_{name}_mn"),
-                          F.lit(None).cast("long").alias(f"_{name}_mm")]
-    slice_stats = slices.select(*keys, "_f", *stat_cols)
+            middle_cols += [F.lit(0).cast("long").alias(f"_{name}_mn"), F.lit(None).cast("long").alias(f"_{name}_mm")]
+    totals = ["key_count", "key_first", "key_last"] + ([f"key_min_{carry_min}"] if carry_min else [])
+    slice_stats = slice_stats.select(*keys, "_f", *totals, *middle_cols)
 
-    out_cols = [*[F.col(k) for k in keys], F.col("_t").alias(t_col)]
+    out_cols = [*[F.col(k) for k in keys], F.col("_t").alias(t_col), F.col("_n").alias("rows")]
     for name in widths:
         out_cols += [
-            (F.col(f"_{name}_en") + F.coalesce(F.col(f"_{name}_mn"), F.lit(0))).alias(f"{name}_count"),
-            F.greatest(F.col(f"_{name}_em"), F.col(f"_{name}_mm")).alias(f"{name}_last"),
+            (F.col("_own_n") + F.col(f"_{name}_en") + F.col(f"_{name}_mn")).alias(f"{name}_count"),
+            F.greatest("_own_last", f"_{name}_em", f"_{name}_mm").alias(f"{name}_last"),
         ]
-    out_cols += ["key_count", "key_first", "key_last"]
-    if carry_min:
-        # the key's smallest carry (the row's own value is never smaller)
-        out_cols.append(F.least(F.col("_carry"), F.col("_key_cm")).alias(f"key_min_{carry_min}"))
-    # Null-safe equality: no inferred isnotnull filter is pushed under the
-    # shared exchange (which would make the two branches differ).
-    join_keys = [*keys, "_f"]
-    stats = slice_stats.select(*[F.col(c).alias(f"_s{c}") for c in join_keys],
-                               *[c for c in slice_stats.columns if c not in join_keys])
-    cond = [F.col(c).eqNullSafe(F.col(f"_s{c}")) for c in join_keys]
-    return edges.join(stats, on=cond, how="inner").select(*out_cols)
-
-
-def forward_window_stats_direct(df: DataFrame, keys: Sequence[str], t_col: str,
-                                widths: Mapping[str, int]) -> DataFrame:
-    """Reference form: one range-frame window per key (not skew-safe).
-
-    Used by tests as a cross-check of ``forward_window_stats``.
-    """
-    keys = list(keys)
-    w = Window.partitionBy(*keys)
-    cols = []
-    for name, width in widths.items():
-        frame = w.orderBy(t_col).rangeBetween(0, width)
-        cols += [F.count(F.lit(1)).over(frame).alias(f"{name}_count"),
-                 F.max(t_col).over(frame).alias(f"{name}_last")]
-    return df.select(
-        *keys, t_col, *cols,
-        F.count(F.lit(1)).over(w).alias("key_count"),
-        F.min(t_col).over(w).alias("key_first"),
-        F.max(t_col).over(w).alias("key_last"),
-    )
+    return placed.join(slice_stats, [*keys, "_f"]).select(*out_cols, *totals)

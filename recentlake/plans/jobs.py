@@ -123,7 +123,7 @@ def anomaly_job(spark: SparkSession, layout: W.LakeLayout, as_of: datetime | Non
     """Detect anomalies over the lake and store the run (rows + summary)."""
     ev = _events(spark, layout, fmt, max_files)
     ts = _as_of(as_of)
-    found = A.detect_anomalies(ev, ts, order_cols=("source_file", "kafka_partition", "kafka_offset"),
+    found = A.detect_anomalies(ev, ts, order_cols=A.ORDER_COLS,
                                materialize=(fmt == "json"))
     analysed = ev.agg(F.count(F.lit(1)).alias("events_analyzed"))
     return W.write_anomaly_run(found, analysed, layout.anomalies, _run_id(as_of), ts)

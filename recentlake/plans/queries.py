@@ -55,17 +55,20 @@ REPORT_QUERIES: dict[str, Query] = {
 }
 
 
+BY_ID = ("event_id",)  # the fixture's event order
+
+
 def _rule(name: str) -> Query:
-    return _on_events(lambda ev: A.rule(ev, name, TD.as_of_col()))
+    return _on_events(lambda ev: A.rule(ev, name, TD.as_of_col(), BY_ID))
 
 
 def _detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.detect_anomalies(TD.load_processed(spark, sf_dir), TD.as_of_col())
+    return A.detect_anomalies(TD.load_processed(spark, sf_dir), TD.as_of_col(), BY_ID)
 
 
 def _anomaly_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = TD.load_processed(spark, sf_dir)
-    return A.anomaly_report(ev, A.detect_anomalies(ev, TD.as_of_col()), TD.as_of_col())
+    return A.anomaly_report(ev, A.detect_anomalies(ev, TD.as_of_col(), BY_ID), TD.as_of_col())
 
 
 ANOMALY_QUERIES: dict[str, Query] = {
@@ -135,7 +138,7 @@ def _q_topic_volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _q_missing_page_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q3 on enriched records (they keep the raw event as ``payload``)."""
     rec = I.enrich_events(_validated(spark, sf_dir), TD.as_of_col(), keep=["event_id"])
-    return A.rule(rec, "missing_page_id", TD.as_of_col())
+    return A.rule(rec, "missing_page_id", TD.as_of_col(), BY_ID)
 
 
 INGEST_QUERIES: dict[str, Query] = {
@@ -173,7 +176,7 @@ def _q_global_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _q_daily_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = TD.load_processed(spark, sf_dir)
-    anomalies = A.detect_anomalies(ev, TD.as_of_col())
+    anomalies = A.detect_anomalies(ev, TD.as_of_col(), BY_ID)
     errors = I.error_records(_validated(spark, sf_dir), TD.as_of_col())
     return R.daily_quality(anomalies, errors, ev)
 
@@ -181,7 +184,7 @@ def _q_daily_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _q_daily_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = TD.load_processed(spark, sf_dir)
     # read twice below (count and sample): computed once, lineage cut
-    anomalies = reuse(A.detect_anomalies(ev, TD.as_of_col()))
+    anomalies = reuse(A.detect_anomalies(ev, TD.as_of_col(), BY_ID))
     validated = reuse(_validated(spark, sf_dir))  # errors and topic volumes both read it
     errors = I.error_records(validated, TD.as_of_col())
     volumes = I.topic_volumes(I.ingest_messages(validated, TD.as_of_col()))

@@ -42,7 +42,6 @@ LIVE_TABLE_ROWS = 30    # live latest-events table
 TITLE_MAX_LEN = 50      # live chart title shortening
 FRESHNESS_MINUTES = 10
 STALE_SECONDS = 30
-TOPIC_READ_CAP = 5000   # per-topic message cap of the topic-volume probe
 RAW_DATA_MAX_CHARS = 2000
 
 UNKNOWN = "unknown"
@@ -64,6 +63,21 @@ ANOMALY_SPAM = "spam_heuristic"
 ANOMALY_SPIKE = "edit_spike"
 ANOMALY_BOT = "bot_behavior_anomaly"
 BOT_PAGE_LABEL = "multiple"
+RULE_WIKI_NULL = "wiki_null"
+RULE_UNKNOWN_LANGUAGE = "unknown_language"
+RULE_MISSING_PAGE_ID = "missing_page_id"
+RULE_FUTURE_TIME = "incoherent_timestamp"
+RULE_SHORT_TITLE = "short_title_repeated"
+RULE_RAPID_EDITS = "rapid_page_edits"
+RULE_BOT_RATE = "bot_high_edit_rate"
+SEVERITY_HIGH = "high"
+SEVERITY_MEDIUM = "medium"
+SEVERITY_LOW = "low"
+
+# Report folders of the lake.
+REPORT_ZONES = ("top_pages", "users", "bots", "global", "monitoring")
+# Columns that a decoded message gets from the broker.
+KAFKA_COLUMNS = ("kafka_key", "kafka_topic", "kafka_partition", "kafka_offset", "kafka_timestamp")
 
 # Value written in the `source` field of enriched records.
 DEFAULT_SOURCE = "recentchange-feed"
@@ -190,7 +204,7 @@ ANOMALY = T.StructType(
 )
 ANOMALY_COLUMNS = [f.name for f in ANOMALY.fields]
 
-# Run-log tables (scheduler monitoring) and Kafka offset tables.
+# Run-log tables (scheduler monitoring).
 RUNS = T.StructType(
     [
         T.StructField("dag_id", T.StringType()),
@@ -210,17 +224,3 @@ TASK_RUNS = T.StructType(
         T.StructField("try_number", T.IntegerType()),
     ]
 )
-END_OFFSETS = T.StructType(
-    [
-        T.StructField("topic", T.StringType()),
-        T.StructField("partition", T.IntegerType()),
-        T.StructField("end_offset", T.LongType()),
-    ]
-)
-COMMITTED_OFFSETS = T.StructType(
-    [
-        T.StructField("topic", T.StringType()),
-        T.StructField("partition", T.IntegerType()),
-        T.StructField("committed_offset", T.LongType()),
-    ]
-)
