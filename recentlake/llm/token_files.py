@@ -22,11 +22,15 @@ are not read.
 from __future__ import annotations
 
 import json
+import os
+import re
 import struct
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,7 +39,7 @@ from recentlake.llm.common import open_fs, saved, shared_path, spread, write_fil
 END_ID = 2
 SHARD_IDS = 4_000_000
 #: Words whose ids a worker remembers.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 800_000
 
 MAGIC = b"WMTX0001"
 RANK_BLOCK = 512
@@ -50,63 +54,139 @@ def default_tokenizer() -> str:
 # -- tokenizer ----------------------------------------------------------------
 
 
+#: Rules of the tokenizer's own first cut, fixed values.
+_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+#: Words of these characters only are cut and lower-cased here just as the
+#: tokenizer does it; others go to the library whole.
+_PLAIN = re.compile(r"[\x21-\x7E\xA1-\u012F\u0131-\u024F]+")
+_JOINED = 500
+
+
+class _Numbers(dict):
+    """Numbers words as they come up, and lists the new ones."""
+
+    def __init__(self):
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = k = len(self)
+        self.fresh.append(word)
+        return k
+
+
+class _Runs:
+    """Runs of ids, appended."""
+
+    def __init__(self):
+        self.flat = np.zeros(1 << 16, np.uint32)
+        self.ends = np.zeros(1 << 16, np.int64)
+        self.n = 0
+
+    def append(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        old = int(self.ends[self.n])
+        while old + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while self.n + len(sizes) >= len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        self.flat[old:old + len(ids)] = ids
+        self.ends[self.n + 1:self.n + 1 + len(sizes)] = old + np.cumsum(sizes)
+        self.n += len(sizes)
+
+    def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of runs ``at``, joined, and the bounds of each."""
+        first = self.ends[at]
+        sizes = self.ends[at + 1] - first
+        total = np.concatenate([[0], np.cumsum(sizes)])
+        return self.flat[np.repeat(first - total[:-1], sizes) + np.arange(total[-1])], total
+
+
 class WordEncoder:
     """Ids of whole texts by the tokenizers library.
 
-    The tokenizer drops white space and no token spans it, so a text's ids are
-    those of its words in order; the library encodes each distinct word once
-    and the ids are remembered.
+    The tokenizer drops white space, and none of its tokens spans white space
+    or a change between letters, digits and other characters.  So a text's ids
+    are those of its words, and a word's those of its parts, in order; the
+    library encodes each distinct part once and the ids are remembered.
     """
 
     def __init__(self, path: str):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.bits = max(1, int(self.tokenizer.get_vocab_size() - 1).bit_length())
+        self.parts, self.part_ids = _Numbers(), _Runs()
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.ends = np.zeros(1, np.int64)
-
-    def _learn(self, words: list[bytes]) -> None:
-        encoded = self.tokenizer.encode_batch([w.decode("utf-8") for w in words], add_special_tokens=False)
-        ids = [e.ids for e in encoded]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        old = int(self.ends[-1])
-        new = old + int(sizes.sum())
-        if new > len(self.flat):
-            self.flat = np.concatenate([self.flat[:old], np.zeros(max(new, 2 * old) - old, np.uint32)])
-        self.flat[old:new] = [i for x in ids for i in x]
-        for k, w in enumerate(words, len(self.known)):
-            self.known[w] = k
-        self.ends = np.concatenate([self.ends, old + np.cumsum(sizes)])
+        self.words, self.word_ids = _Numbers(), _Runs()
+        if len(self.parts) > MEMO_WORDS:
+            self.parts, self.part_ids = _Numbers(), _Runs()
+
+    def _learn_parts(self) -> None:
+        """Encode new parts, many in one string: each is one word of it."""
+        fresh, self.parts.fresh = self.parts.fresh, []
+        for lo in range(0, len(fresh), _JOINED):
+            some = fresh[lo:lo + _JOINED]
+            done = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            sizes = np.bincount(np.array(done.word_ids, np.int64), minlength=len(some))
+            if len(sizes) != len(some) or not sizes.all():
+                alone = self.tokenizer.encode_batch(some, add_special_tokens=False)
+                sizes = np.array([len(x.ids) for x in alone], np.int64)
+                ids = [i for x in alone for i in x.ids]
+            else:
+                ids = done.ids
+            self.part_ids.append(np.array(ids, np.uint32), sizes)
+
+    def _learn(self) -> None:
+        fresh, self.words.fresh = self.words.fresh, []
+        number = self.parts.__getitem__
+        at, sizes, odd = [], [], []
+        for k, word in enumerate(fresh):
+            text = word.decode("utf-8")
+            if not (text.isascii() or _PLAIN.fullmatch(text)):
+                odd.append(k)
+                sizes.append(0)
+            elif text.isalpha():
+                at.append(number(text.lower()))
+                sizes.append(1)
+            elif text[:-1].isalpha():
+                at += number(text[:-1].lower()), number(text[-1])
+                sizes.append(2)
+            elif _PLAIN.fullmatch(text) and not ("<|" in text and any(s in text for s in self.special)):
+                cut = _PARTS.findall(text.lower())
+                at += map(number, cut)
+                sizes.append(len(cut))
+            else:
+                odd.append(k)
+                sizes.append(0)
+        self._learn_parts()
+        ids, bounds = self.part_ids.take(np.array(at, np.int64))
+        per_word = np.diff(bounds[np.concatenate([[0], np.cumsum(sizes)])])
+        if odd:
+            whole = [x.ids for x in self.tokenizer.encode_batch([fresh[k].decode("utf-8") for k in odd], add_special_tokens=False)]
+            pieces = np.split(ids, np.cumsum(per_word)[:-1])
+            for k, x in zip(odd, whole, strict=True):
+                pieces[k] = np.array(x, np.uint32)
+                per_word[k] = len(x)
+            ids = np.concatenate(pieces)
+        self.word_ids.append(ids, per_word)
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of ``texts``, an end id after each, and the ids per text."""
-        if len(self.known) > MEMO_WORDS:
+        if len(self.words) > MEMO_WORDS:
             self._clear()
         split = [t.split() for t in texts]
-        fresh = set().union(*split).difference(self.known)
-        if fresh:
-            self._learn(list(fresh))
         n_words = np.fromiter(map(len, split), np.int64, len(split))
-        get = self.known.__getitem__
-        at = np.fromiter((get(w) for ws in split for w in ws), np.int64, int(n_words.sum()))
-        sizes = self.ends[at + 1] - self.ends[at] if len(at) else at
-        starts = self.ends[at]
-        total = np.concatenate([[0], np.cumsum(sizes)])
-        word_bounds = np.concatenate([[0], np.cumsum(n_words)])
-        per_text = np.diff(total[word_bounds])
-        ids = self.flat[np.repeat(starts - total[:-1], sizes) + np.arange(total[-1])]
+        at = np.fromiter(map(self.words.__getitem__, chain.from_iterable(split)), np.int64, int(n_words.sum()))
+        if self.words.fresh:
+            self._learn()
+        ids, bounds = self.word_ids.take(at)
+        per_text = np.diff(bounds[np.concatenate([[0], np.cumsum(n_words)])])
         out = np.full(len(ids) + len(texts), END_ID, np.uint32)
-        ends = np.cumsum(per_text + 1) - 1
         keep = np.ones(len(out), bool)
-        keep[ends] = False
+        keep[np.cumsum(per_text + 1) - 1] = False
         out[keep] = ids
         return out, per_text + 1
 
