@@ -122,13 +122,6 @@ def page_wiki(wiki: ColumnOrName = "wiki", default: str = S.UNKNOWN) -> Column:
     return or_default(wiki, default)
 
 
-def page_key(title: ColumnOrName = "title", wiki: ColumnOrName = "wiki",
-             default: str = S.UNKNOWN) -> tuple[Column, Column]:
-    """(title, wiki) page key with missing / empty parts set to ``default``
-    ('unknown' in reports, '?' in live views)."""
-    return or_default(title, default).alias("title"), or_default(wiki, default).alias("wiki")
-
-
 def user_key(user: ColumnOrName = "user", default: str = S.UNKNOWN) -> Column:
     return or_default(user, default)
 

@@ -20,22 +20,54 @@ from pyspark.sql import functions as F
 
 from recentlake import schema as S
 from recentlake.functions import columns as C
-from recentlake.session import ensure_parallelism
+from recentlake.session import ensure_session_conf
 
 
 def _get(v: Column, path: str, dtype: str) -> Column:
     return F.try_variant_get(v, path, dtype)
 
 
+def _kind(v: Column, path: str) -> Column:
+    """JSON type of a field: BOOLEAN, STRING, BIGINT, ...; null when missing."""
+    return F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+
+
+def truthy(v: Column, path: str) -> Column:
+    """Truth of a JSON value: non-empty text (also ``"false"``), a number
+    other than 0, a non-empty list or object, or true."""
+    kind, text = _kind(v, path), _get(v, path, "string")
+    return (
+        F.when(kind == "BOOLEAN", _get(v, path, "boolean"))
+        .when(kind == "STRING", text != "")
+        .when(kind.startswith("OBJECT") | kind.startswith("ARRAY"), ~text.isin("{}", "[]"))
+        .when(kind == "VOID", F.lit(False))
+        .otherwise(F.try_variant_get(v, path, "double") != 0.0)
+    )
+
+
+def is_json_true(v: Column, path: str) -> Column:
+    """The value is the boolean true, nothing like it."""
+    return (_kind(v, path) == "BOOLEAN") & _get(v, path, "boolean")
+
+
+def whole_number(v: Column, path: str) -> Column:
+    """The value of a whole JSON number (false is 0, true is 1); null for text
+    and anything else."""
+    kind = _kind(v, path)
+    value = F.when(kind == "BOOLEAN", _get(v, path, "boolean").cast("double")).when(
+        (kind != "STRING") & (kind != "VOID"), F.try_variant_get(v, path, "double"))
+    return F.when(value == F.floor(value), value.cast("long"))
+
+
 def parse_raw_events(raw: DataFrame, value_col: str = "value") -> DataFrame:
     """Parse each line once; extract the fields the pipeline reads.
 
     Adds ``json_ok`` (valid JSON), ``is_object`` (top level is an object) and
-    ``event`` (struct typed as ``schema.RAW_EVENT``).  Blank lines should be
+    ``event`` (the fields the pipeline reads).  Blank lines should be
     removed before (``sources.read_raw_events`` does).  Number-valued string
     fields come back as their JSON text (``12`` -> ``'12'``).
     """
-    raw = ensure_parallelism(raw)  # JSON parsing is CPU-heavy per row
+    ensure_session_conf(raw.sparkSession)
     text = F.col(value_col)
     # The parse gets its own projection: CollapseProject does not copy a
     # costly expression into several consumers, so each line parses once.
@@ -47,9 +79,9 @@ def parse_raw_events(raw: DataFrame, value_col: str = "value") -> DataFrame:
         _get(v, "$.server_name", "string").alias("server_name"),
         _get(v, "$.timestamp", "string").alias("timestamp"),
         _get(v, "$.user", "string").alias("user"),
-        _get(v, "$.userid", "bigint").alias("userid"),
-        _get(v, "$.bot", "boolean").alias("bot"),
-        _get(v, "$.anonymous", "boolean").alias("anonymous"),
+        whole_number(v, "$.userid").alias("userid"),
+        truthy(v, "$.bot").alias("bot"),
+        is_json_true(v, "$.anonymous").alias("anonymous"),
         _get(v, "$.type", "string").alias("type"),
         _get(v, "$.page_id", "string").alias("page_id"),
         F.struct(
@@ -97,13 +129,6 @@ def select_where(df: DataFrame, cond: Column, cols: list[Column]) -> DataFrame:
     return df.select(F.explode(one).alias("_r")).select("_r.*")
 
 
-def split_valid(validated: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(valid rows, invalid rows) of a validated frame."""
-    cols = [F.col(c) for c in validated.columns]
-    ok = F.col("error_reason").isNull()
-    return select_where(validated, ok, cols), select_where(validated, ~ok, cols)
-
-
 def validation_counts(validated: DataFrame) -> DataFrame:
     """One row: total, valid, invalid."""
     return validated.agg(
@@ -143,7 +168,10 @@ def enrich_events(validated: DataFrame, ingestion_ts: Column | None = None, sour
     return select_where(validated, F.col("error_reason").isNull(), cols)
 
 
-def error_columns(ingestion_ts: Column, source: str = S.DEFAULT_SOURCE, value_col: str = "value") -> list[Column]:
+def error_columns(ingestion_ts: Column, source: str = S.DEFAULT_SOURCE, value_col: str = "value",
+                  raw_max_chars: int | None = None) -> list[Column]:
+    """``raw_data`` is the whole line, or its first ``raw_max_chars``."""
+    raw = F.col(value_col) if raw_max_chars is None else F.substring(F.col(value_col), 1, raw_max_chars)
     reason = F.col("error_reason")
     unparsed = reason.isin(S.REASON_INVALID_JSON, S.REASON_NOT_OBJECT)
     wiki = F.when(unparsed, F.lit(None).cast("string")).otherwise(event_wiki())
@@ -152,15 +180,16 @@ def error_columns(ingestion_ts: Column, source: str = S.DEFAULT_SOURCE, value_co
         F.lit(source).alias("source"),
         F.coalesce(C.partition_key(wiki), F.lit(S.UNKNOWN)).alias("partition_key"),
         reason.alias("error_reason"),
-        F.substring(F.col(value_col), 1, S.RAW_DATA_MAX_CHARS).alias("raw_data"),
+        raw.alias("raw_data"),
         F.when(unparsed, F.lit(None).cast("string")).otherwise(F.col(value_col)).alias("partial_event"),
     ]
 
 
 def error_records(validated: DataFrame, ingestion_ts: Column | None = None, source: str = S.DEFAULT_SOURCE,
-                  keep: list[str] | None = None, value_col: str = "value") -> DataFrame:
+                  keep: list[str] | None = None, value_col: str = "value",
+                  raw_max_chars: int | None = None) -> DataFrame:
     ts = ingestion_ts if ingestion_ts is not None else F.current_timestamp()
-    cols = [F.col(c) for c in (keep or [])] + error_columns(ts, source, value_col)
+    cols = [F.col(c) for c in (keep or [])] + error_columns(ts, source, value_col, raw_max_chars)
     return select_where(validated, F.col("error_reason").isNotNull(), cols)
 
 
@@ -174,15 +203,20 @@ def topics_for(is_bot: Column, event_type: Column) -> Column:
     return F.filter(arr, lambda x: x.isNotNull())
 
 
+def _per_topic(rows: DataFrame, topics: Column, key: Column, value: Column, keep: list[str] | None) -> DataFrame:
+    """One row per topic.  Key and value are made once for each input row: a
+    generator of one element keeps the optimizer from copying them."""
+    one = F.filter(F.array(F.struct(topics.alias("topics"), key.alias("key"), value.alias("value"))),
+                   lambda m: F.size(m["topics"]) > 0)
+    made = rows.select(*(keep or []), F.explode(one).alias("_m"))
+    return made.select(*(keep or []), F.explode("_m.topics").alias("topic"), F.col("_m.key").alias("key"),
+                       F.col("_m.value").alias("value"))
+
+
 def route_topics(records: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Enriched records -> one message per target topic: topic, key, value."""
     value = F.to_json(F.struct(*[F.col(c) for c in RECORD_FIELDS]))
-    return records.select(
-        *(keep or []),
-        F.explode(topics_for(F.col("is_bot"), F.col("event_type"))).alias("topic"),
-        F.col("partition_key").alias("key"),
-        value.alias("value"),
-    )
+    return _per_topic(records, topics_for(F.col("is_bot"), F.col("event_type")), F.col("partition_key"), value, keep)
 
 
 def ingest_messages(raw: DataFrame, ingestion_ts: Column | None = None, source: str = S.DEFAULT_SOURCE,
@@ -203,7 +237,7 @@ def ingest_messages(raw: DataFrame, ingestion_ts: Column | None = None, source:
     )
     key = F.when(valid, rec["partition_key"]).otherwise(err["partition_key"])
     value = F.when(valid, F.to_json(rec)).otherwise(F.to_json(err))
-    return v.select(*(keep or []), F.explode(topics).alias("topic"), key.alias("key"), value.alias("value"))
+    return _per_topic(v, topics, key, value, keep)
 
 
 def topic_volumes(messages: DataFrame, cap: int | None = None) -> DataFrame:

@@ -50,20 +50,43 @@ def newest_order(tie_cols: Sequence[str] = ("kafka_partition", "kafka_offset"))
     return [buffer_sort_key().desc()] + [F.col(c).asc_nulls_first() for c in tie_cols]
 
 
-def live_buffer(events: DataFrame, n: int = S.LIVE_MAX_EVENTS,
-                tie_cols: Sequence[str] = ("kafka_partition", "kafka_offset")) -> DataFrame:
+def newest_keys(events: DataFrame, n: int, partition_col: str = "kafka_partition",
+                offset_col: str = "kafka_offset") -> DataFrame:
+    """(partition, offset, time) of the ``n`` newest messages, three longs.
+
+    Redelivered messages are one key with the time of the newest copy.
+    Messages without partition and offset are one key for each time, so the
+    keys cover at least ``n`` distinct messages.
+    """
+    p, o, us = F.col(partition_col).cast("long"), F.col(offset_col).cast("long"), buffer_sort_key()
+    lone = F.when(p.isNull() & o.isNull(), us)
+    narrow = events.select(p.alias("_part"), o.alias("_offset"), lone.alias("_lone"), us.alias("_us"))
+    first = narrow.groupBy("_part", "_offset", "_lone").agg(F.max("_us").alias("_us"))
+    order = [F.col("_us").desc(), F.col("_part").asc_nulls_first(), F.col("_offset").asc_nulls_first()]
+    return first.orderBy(*order).limit(n).select("_part", "_offset", "_us")
+
+
+def live_buffer(events: DataFrame, n: int = S.LIVE_MAX_EVENTS, partition_col: str = "kafka_partition",
+                offset_col: str = "kafka_offset") -> DataFrame:
     """Newest ``n`` distinct events by ingestion time (the live buffer).
 
-    A top-k (TakeOrderedAndProject): each partition keeps its own newest n,
-    so only ``n x partitions`` rows reach the final merge.
+    The choice is a top-k over narrow keys (TakeOrderedAndProject: each
+    partition keeps its own newest n).  The rows are then fetched by a
+    semi-join with at most ``n`` keys, and only they are deduplicated and cut.
     """
-    return dedupe_offsets(events).orderBy(*newest_order(tie_cols)).limit(n)
+    keys = newest_keys(events, n, partition_col, offset_col)
+    same = (F.col(partition_col).cast("long").eqNullSafe(F.col("_part"))
+            & F.col(offset_col).cast("long").eqNullSafe(F.col("_offset")) & (buffer_sort_key() == F.col("_us")))
+    # at most n rows by construction, n being the view's fixed size
+    newest = events.join(F.broadcast(keys), same, "left_semi")
+    order = newest_order((partition_col, offset_col))
+    return dedupe_offsets(newest, partition_col, offset_col).orderBy(*order).limit(n)
 
 
 def latest_events(events: DataFrame, n: int = S.LIVE_TABLE_ROWS) -> DataFrame:
     """Newest ``n`` events with UTC and local-time labels (live table)."""
     ts = F.try_to_timestamp(C.nonempty(C.strip_ws("ingestion_timestamp")))
-    newest = dedupe_offsets(events).orderBy(*newest_order()).limit(n)
+    newest = live_buffer(events, n).orderBy(*newest_order())
     return newest.select(
         "title", "wiki", "user", "event_type", "is_bot",
         C.format_utc_label(ts).alias("ingestion_utc"),

@@ -7,9 +7,12 @@ DataFrame operations; nothing is collected to the driver.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recentlake import schema as S
 from recentlake.operators.frames import combine_rows
 
 
@@ -57,22 +60,30 @@ def topic_end_volume(end_offsets: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 def last_runs(runs: DataFrame) -> DataFrame:
-    """Latest run per DAG (by start date)."""
+    """Latest run per DAG (by start date, then run id)."""
     return runs.groupBy("dag_id").agg(
-        F.max_by(F.struct("run_id", "state", "start_date", "is_paused"), "start_date").alias("r")
+        F.max_by(F.struct("run_id", "state", "start_date", "is_paused"), F.struct("start_date", "run_id")).alias("r")
     ).select("dag_id", "r.*")
 
 
-def run_monitoring(runs: DataFrame, task_runs: DataFrame) -> DataFrame:
-    """Per DAG: last run state and id, task failure % of that run.
+def _known_dags(runs: DataFrame, dags: DataFrame | None) -> DataFrame:
+    """``dag_id`` of every DAG: the given list, or those with runs."""
+    return (runs if dags is None else dags).select("dag_id").distinct()
+
+
+def run_monitoring(runs: DataFrame, task_runs: DataFrame, dags: DataFrame | None = None) -> DataFrame:
+    """Per DAG: last run state and id, tasks, failures and failure % of that run.
 
-    Rows: dag_id, is_paused, last_run_state, last_run_id, task_count,
-    failed_tasks, failure_rate_pct (tasks of no run count as one, as 0 %).
+    ``dags`` lists the known DAGs; one without runs has null state and run
+    and 0 tasks.  Rows: dag_id, is_paused, last_run_state, last_run_id,
+    task_count, failed_tasks, failure_rate_pct (a run without tasks is 0 %),
+    avg_task_duration_sec.
     """
-    last = last_runs(runs)
+    last = _known_dags(runs, dags).join(last_runs(runs), "dag_id", "left")
     tasks = task_runs.groupBy("dag_id", "run_id").agg(
         F.count(F.lit(1)).alias("task_count"),
         F.count_if(F.col("state") == "failed").alias("failed_tasks"),
+        F.avg("duration_sec").alias("avg_duration"),
     )
     j = last.join(tasks, ["dag_id", "run_id"], "left")
     n = F.coalesce(F.col("task_count"), F.lit(0).cast("long"))
@@ -85,15 +96,16 @@ def run_monitoring(runs: DataFrame, task_runs: DataFrame) -> DataFrame:
         failed.alias("failed_tasks"),
         F.round(failed.cast("double") / F.greatest(n, F.lit(1)).cast("double") * F.lit(100.0), 2).alias(
             "failure_rate_pct"),
+        F.round("avg_duration", 2).alias("avg_task_duration_sec"),
     )
 
 
-def run_summary(runs: DataFrame, task_runs: DataFrame) -> DataFrame:
-    """One row: DAGs, failed / successful last runs, task failures and mean
-    task duration over the last runs."""
+def run_summary(runs: DataFrame, task_runs: DataFrame, dags: DataFrame | None = None) -> DataFrame:
+    """One row: DAGs (those without runs too), failed / successful last runs,
+    task failures and mean task duration over the last runs."""
     last = last_runs(runs)
     t = task_runs.join(last.select("dag_id", "run_id"), ["dag_id", "run_id"], "left_semi")
-    dag_part = last.agg(
+    dag_part = _known_dags(runs, dags).join(last, "dag_id", "left").agg(
         F.count(F.lit(1)).alias("total_dags"),
         F.count_if(F.col("state") == "failed").alias("failed_runs"),
         F.count_if(F.col("state") == "success").alias("success_runs"),
@@ -105,9 +117,9 @@ def run_summary(runs: DataFrame, task_runs: DataFrame) -> DataFrame:
     return combine_rows(dag_part, task_part)
 
 
-def pipeline_failure_rate(runs: DataFrame) -> DataFrame:
+def pipeline_failure_rate(runs: DataFrame, dags: DataFrame | None = None) -> DataFrame:
     """Failed last runs / max(1, DAGs) in %, two decimals."""
-    last = last_runs(runs)
+    last = _known_dags(runs, dags).join(last_runs(runs), "dag_id", "left")
     return last.agg(
         F.round(F.count_if(F.col("state") == "failed").cast("double")
                 / F.greatest(F.count(F.lit(1)), F.lit(1)).cast("double") * F.lit(100.0), 2).alias(
@@ -136,23 +148,46 @@ def list_files(spark: SparkSession, root: str, glob: str = "*.json") -> DataFram
     return df.select("path", "modificationTime", "length")
 
 
-def zone_inventory(spark: SparkSession, root: str, sample: int = 10) -> tuple[DataFrame, DataFrame]:
-    """(one-row counts, first ``sample`` paths in path order)."""
-    files = list_files(spark, root)
-    counts = files.agg(F.count(F.lit(1)).alias("json_file_count"), F.sum("length").alias("bytes"))
-    first = files.select("path").orderBy("path").limit(sample)
-    return counts, first
+def folder_exists(spark: SparkSession, path: str) -> DataFrame:
+    """One row: whether ``path`` exists in the lake's file system.
 
-
-def lake_health(spark: SparkSession, processed_root: str, reports_root: str,
-                report_subdirs: tuple[str, ...] = ("top_pages", "users", "bots", "global", "monitoring")) -> DataFrame:
-    """One row: processed file count, per-report-folder file counts, healthy flag."""
-    counts, _ = zone_inventory(spark, processed_root)
-    sub = [
-        list_files(spark, f"{reports_root.rstrip('/')}/{d}").agg(F.count(F.lit(1)).alias(f"{d}_files"))
-        for d in report_subdirs
-    ]
-    return combine_rows(counts, *sub).withColumn("overall_healthy", F.col("json_file_count") > 0)
+    Asks Spark's own file index, by listing file names only."""
+    try:
+        spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*").load(path)
+        found = True
+    except Exception as exc:  # noqa: BLE001
+        if "PATH_NOT_FOUND" not in str(exc) and "does not exist" not in str(exc):
+            raise
+        found = False
+    return spark.range(1).select(F.lit(found).alias("present"))
+
+
+def zone_inventory(spark: SparkSession, root: str, fmt: str = "json", sample: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(one-row counts of the ``fmt`` files, their paths in path order).
+
+    ``sample`` keeps the first paths only (off by default)."""
+    files = list_files(spark, root, f"*.{fmt}")
+    counts = files.agg(F.count(F.lit(1)).alias("file_count"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
+    paths = files.select("path").orderBy("path")
+    return counts, paths if sample is None else paths.limit(sample)
+
+
+def lake_health(spark: SparkSession, processed_roots: Sequence[str], reports_root: str, anomalies_root: str | None = None,
+                fmt: str = "json", zones: Sequence[str] = S.REPORT_ZONES) -> DataFrame:
+    """One row: processed files of the lake's format, whether each report zone
+    and the anomaly folder exist, and whether there are events at all."""
+    parts = []
+    for k, root in enumerate(processed_roots):
+        parts.append(zone_inventory(spark, root, fmt)[0].select(F.col("file_count").alias(f"_n{k}"), F.col("bytes").alias(f"_b{k}")))
+    for zone in zones:
+        parts.append(folder_exists(spark, f"{reports_root.rstrip('/')}/{zone}").select(F.col("present").alias(f"{zone}_present")))
+    if anomalies_root:
+        parts.append(folder_exists(spark, anomalies_root).select(F.col("present").alias("anomalies_present")))
+    one = combine_rows(*parts)
+    n = sum((F.col(f"_n{k}") for k in range(len(processed_roots))), F.lit(0).cast("long"))
+    size = sum((F.col(f"_b{k}") for k in range(len(processed_roots))), F.lit(0).cast("long"))
+    shown = [c for c in one.columns if not c.startswith("_")]
+    return one.select(n.alias("file_count"), size.alias("bytes"), *shown, (n > 0).alias("overall_healthy"))
 
 
 def report_coverage(reports: DataFrame) -> DataFrame:

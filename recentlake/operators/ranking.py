@@ -13,21 +13,18 @@ def count_order(count_col: str, key_cols: Sequence[str]) -> list[Column]:
     return [F.col(count_col).desc()] + [F.col(k).asc_nulls_first() for k in key_cols]
 
 
-def top_n(counts: DataFrame, n: int | None, count_col: str, key_cols: Sequence[str],
+def top_n(counts: DataFrame, n: int, count_col: str, key_cols: Sequence[str],
           rank_col: str = "rank") -> DataFrame:
     """Keep the ``n`` largest counts and number them 1..n.
 
     ``orderBy().limit()`` plans as TakeOrderedAndProject: each partition keeps
     its own top ``n`` and only those rows reach the final merge, so the full
     aggregate is never sorted.  The rank window then runs over at most ``n``
-    rows.  ``n=None`` ranks everything (a full sort: use for small outputs).
+    rows; for a whole aggregate use ``sorted_counts``, which numbers nothing.
     """
     order = count_order(count_col, key_cols)
-    ranked_input = counts.orderBy(*order)
-    if n is not None:
-        ranked_input = ranked_input.limit(n)
     w = Window.orderBy(*order)
-    return ranked_input.withColumn(rank_col, F.row_number().over(w).cast("long"))
+    return counts.orderBy(*order).limit(n).withColumn(rank_col, F.row_number().over(w).cast("long"))
 
 
 def sorted_counts(counts: DataFrame, count_col: str, key_cols: Sequence[str]) -> DataFrame:

@@ -7,13 +7,17 @@ scan to the few columns a report touches.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recentlake import schema as S
 from recentlake.functions import columns as C
 from recentlake.operators.frames import combine_rows
 from recentlake.operators.ranking import sorted_counts, top_n
+from recentlake.session import reuse
+
+
+MINUTE_US, HOUR_US = 60_000_000, 3_600_000_000
 
 
 def _ts(events: DataFrame) -> Column:
@@ -60,12 +64,21 @@ def _bucket_counts(events: DataFrame, bucket: Column, name: str) -> DataFrame:
     return sorted_counts(counts, "event_count", [name])
 
 
+def _time_counts(events: DataFrame, width_us: int, label, name: str) -> DataFrame:
+    """Counts per time bucket: grouped by the bucket's number (a long), its
+    text made afterwards; events without a time are 'unknown'."""
+    us = C.bucket_us(F.unix_micros(_ts(events)), width_us)
+    counts = events.select(us.alias("_us")).groupBy("_us").agg(F.count(F.lit(1)).alias("event_count"))
+    text = F.coalesce(label(F.timestamp_micros("_us")), F.lit(S.UNKNOWN))
+    return sorted_counts(counts.select(text.alias(name), "event_count"), "event_count", [name])
+
+
 def activity_by_minute(events: DataFrame) -> DataFrame:
-    return _bucket_counts(events, F.coalesce(C.minute_bucket(_ts(events)), F.lit(S.UNKNOWN)), "minute")
+    return _time_counts(events, MINUTE_US, C.minute_bucket, "minute")
 
 
 def activity_by_hour(events: DataFrame) -> DataFrame:
-    return _bucket_counts(events, F.coalesce(C.hour_bucket(_ts(events)), F.lit(S.UNKNOWN)), "hour")
+    return _time_counts(events, HOUR_US, C.hour_bucket, "hour")
 
 
 def language_distribution(events: DataFrame) -> DataFrame:
@@ -82,10 +95,10 @@ def activity_dimensions(events: DataFrame) -> DataFrame:
     GROUPING SETS expands each row four times inside the map-side partial
     aggregate, so the shuffle carries only distinct (dimension, bucket) pairs.
     """
-    ts = _ts(events)
+    us = F.unix_micros(_ts(events))
     keyed = events.select(
-        F.coalesce(C.minute_bucket(ts), F.lit(S.UNKNOWN)).alias("minute"),
-        F.coalesce(C.hour_bucket(ts), F.lit(S.UNKNOWN)).alias("hour"),
+        C.bucket_us(us, MINUTE_US).alias("minute"),
+        C.bucket_us(us, HOUR_US).alias("hour"),
         C.wiki_to_language("wiki").alias("language"),
         C.page_wiki("wiki").alias("wiki"),
     )
@@ -99,7 +112,8 @@ def activity_dimensions(events: DataFrame) -> DataFrame:
         .when(F.col("gid") == 13, F.lit("language"))
         .otherwise(F.lit("wiki"))
     )
-    bucket = F.coalesce("minute", "hour", "language", "wiki")
+    bucket = F.coalesce(C.minute_bucket(F.timestamp_micros("minute")), C.hour_bucket(F.timestamp_micros("hour")),
+                        "language", "wiki", F.lit(S.UNKNOWN))
     return grouped.select(dimension.alias("dimension"), bucket.alias("bucket"), "event_count")
 
 
@@ -127,20 +141,20 @@ def _page_counts(events: DataFrame, where: Column | None = None) -> DataFrame:
     )
 
 
-def top_pages(events: DataFrame, n: int | None = S.TOP_LIMIT) -> DataFrame:
+def top_pages(events: DataFrame, n: int = S.TOP_LIMIT) -> DataFrame:
     """Most active pages over all event types: rank, title, wiki, edit_count."""
     return top_n(_page_counts(events), n, "edit_count", ["title", "wiki"]).select(
         "rank", "title", "wiki", "edit_count"
     )
 
 
-def most_created_pages(events: DataFrame, n: int | None = S.TOP_LIMIT) -> DataFrame:
+def most_created_pages(events: DataFrame, n: int = S.TOP_LIMIT) -> DataFrame:
     return top_n(_page_counts(events, C.is_create("event_type")), n, "edit_count", ["title", "wiki"]).select(
         "rank", "title", "wiki", "edit_count"
     )
 
 
-def most_deleted_pages(events: DataFrame, n: int | None = S.TOP_LIMIT) -> DataFrame:
+def most_deleted_pages(events: DataFrame, n: int = S.TOP_LIMIT) -> DataFrame:
     return top_n(_page_counts(events, C.is_delete("event_type")), n, "edit_count", ["title", "wiki"]).select(
         "rank", "title", "wiki", "edit_count"
     )
@@ -150,7 +164,7 @@ def most_deleted_pages(events: DataFrame, n: int | None = S.TOP_LIMIT) -> DataFr
 # Users and bots
 # ---------------------------------------------------------------------------
 
-def top_contributors(events: DataFrame, n: int | None = S.TOP_LIMIT) -> DataFrame:
+def top_contributors(events: DataFrame, n: int = S.TOP_LIMIT) -> DataFrame:
     """Humans only (is_bot not true), by user name ('unknown' if missing)."""
     counts = (
         events.filter(~C.is_true("is_bot"))
@@ -201,7 +215,7 @@ def bot_ratio(events: DataFrame) -> DataFrame:
     )
 
 
-def active_bots(events: DataFrame, n: int | None = S.TOP_LIMIT) -> DataFrame:
+def active_bots(events: DataFrame, n: int = S.TOP_LIMIT) -> DataFrame:
     counts = (
         events.filter(C.is_true("is_bot"))
         .select(C.user_key("user", S.UNKNOWN_BOT).alias("bot_user"))
@@ -241,14 +255,21 @@ def daily_top_users(events: DataFrame, n: int = S.DAILY_TOP_LIMIT) -> DataFrame:
     return top_n(counts, n, "edit_count", ["user"]).select("rank", "user", "edit_count")
 
 
-def daily_traffic(events: DataFrame, n_hours: int = S.DAILY_HOURS_LIMIT) -> DataFrame:
-    """Hourly buckets, events without time dropped, the ``n_hours`` largest."""
-    hour = C.hour_bucket(_ts(events))
+def daily_traffic(events: DataFrame, n_hours: int | None = None) -> DataFrame:
+    """Hourly buckets, events without time dropped, largest first.
+
+    ``n_hours`` keeps the largest only (the studied document keeps
+    ``DAILY_HOURS_LIMIT``); all hours by default."""
+    us = C.bucket_us(F.unix_micros(_ts(events)), HOUR_US)
     counts = (
-        events.select(hour.alias("hour")).filter(F.col("hour").isNotNull())
-        .groupBy("hour").agg(F.count(F.lit(1)).alias("event_count"))
+        events.select(us.alias("_us")).filter(F.col("_us").isNotNull())
+        .groupBy("_us").agg(F.count(F.lit(1)).alias("event_count"))
+        .select(C.hour_bucket(F.timestamp_micros("_us")).alias("hour"), "event_count")
     )
-    return top_n(counts, n_hours, "event_count", ["hour"]).select("rank", "hour", "event_count")
+    # one row for each hour of the lake's time span
+    rank = F.row_number().over(Window.orderBy(F.col("event_count").desc(), "hour")).cast("long").alias("rank")
+    ranked = counts.select(rank, "hour", "event_count")
+    return ranked if n_hours is None else ranked.filter(F.col("rank") <= n_hours)
 
 
 def invalid_rate(errors: Column, total: Column) -> Column:
@@ -276,17 +297,11 @@ def _quality_from_total(anomalies: DataFrame, errors: DataFrame, total: DataFram
     )
 
 
-def anomaly_sample(anomalies: DataFrame, n: int = 20, order: tuple[str, ...] = ("timestamp", "type", "page")) -> DataFrame:
-    """First ``n`` stored anomalies (a top-n, for the quality section)."""
-    return anomalies.orderBy(*order).limit(n)
-
-
-def _as_list(df: DataFrame, name: str) -> DataFrame:
-    return df.agg(F.collect_list(F.struct(*df.columns)).alias(name))
-
-
-def _as_map(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
-    return df.agg(F.map_from_entries(F.collect_list(F.struct(F.col(key), F.col(value)))).alias(name))
+def anomaly_sample(anomalies: DataFrame, n: int | None = None, order: tuple[str, ...] = ("timestamp", "type", "page", "reason")) -> DataFrame:
+    """Stored anomalies in order; ``n`` keeps the first (the studied document
+    shows ``ANOMALY_SAMPLE``), all of them by default."""
+    rows = anomalies.orderBy(*order)
+    return rows if n is None else rows.limit(n)
 
 
 DAILY_SETS = ("total", "page", "user", "hour", "language", "wiki")
@@ -302,7 +317,7 @@ def daily_dimensions(events: DataFrame) -> DataFrame:
     """
     keyed = events.select(
         C.page_title("title").alias("p_title"), C.page_wiki("wiki").alias("p_wiki"),
-        C.user_key("user").alias("u"), C.hour_bucket(_ts(events)).alias("h"),
+        C.user_key("user").alias("u"), C.bucket_us(F.unix_micros(_ts(events)), HOUR_US).alias("h"),
         C.wiki_to_language("wiki").alias("lang"), C.page_wiki("wiki").alias("w"),
         C.is_true("is_bot").alias("bot"),
     )
@@ -313,63 +328,85 @@ def daily_dimensions(events: DataFrame) -> DataFrame:
     dim = (F.when(F.col("gid") == 0b001111, F.lit("page")).when(F.col("gid") == 0b110111, F.lit("user"))
            .when(F.col("gid") == 0b111011, F.lit("hour")).when(F.col("gid") == 0b111101, F.lit("language"))
            .when(F.col("gid") == 0b111110, F.lit("wiki")).otherwise(F.lit("total")))
-    k1 = F.coalesce("p_title", "u", "h", "lang", "w")
+    k1 = F.coalesce("p_title", "u", C.hour_bucket(F.timestamp_micros("h")), "lang", "w")
     return g.select(dim.alias("dim"), k1.alias("k1"), F.col("p_wiki").alias("k2"), "event_count", "bots")
 
 
-def daily_report(events: DataFrame, as_of: Column, anomalies: DataFrame, errors: DataFrame,
-                 topic_volumes: DataFrame, lag: DataFrame | None = None) -> DataFrame:
-    """The full daily document (A20): one row of nested sections.
+# Sections of the daily document and their files.
+GLOBAL_SECTION, QUALITY_SECTION = "global_activity_report", "quality_report"
+TRAFFIC_SECTION, SYSTEM_SECTION = "traffic_report", "system_report"
 
-    Every nested list is bounded by construction: top-10 pages and users,
-    48 hours, 20 anomalies, one entry per wiki / language / topic.  The
-    event counts of all sections come from one grouping-sets pass
-    (``daily_dimensions``), materialised once; each section is a one-row
-    frame, and the document puts them side by side with ``combine_rows``
-    (a union folded by one aggregate, no join).
-    """
-    from recentlake.session import reuse
 
+def daily_report(events: DataFrame, as_of: Column, anomalies: DataFrame, topic_volumes: DataFrame,
+                 lag: DataFrame | None = None, files_read: DataFrame | None = None,
+                 n_hours: int | None = S.DAILY_HOURS_LIMIT, n_anomalies: int | None = S.ANOMALY_SAMPLE) -> DataFrame:
+    """The daily document (A20) as rows ``section, item, rank, key, value,
+    text``: one row per figure, so that no list or map meets in one task.
+
+    ``value`` holds numbers, ``text`` everything else.  Top lists keep the
+    document's own lengths; ``n_hours`` and ``n_anomalies`` may be None for
+    all.  The event counts of every section come from one grouping-sets pass,
+    materialised once.  ``topic_volumes`` has one row per topic; the errors
+    topic counts the ingestion errors.  ``files_read`` and ``lag`` (rows per
+    topic and partition) are optional.
+    """
     dims = reuse(daily_dimensions(events))
+    anomalies = reuse(anomalies)
+    volumes = reuse(topic_volumes)
 
     def part(dim: str) -> DataFrame:
         return dims.filter(F.col("dim") == dim)
 
+    def rows(df: DataFrame, section: str, item: str, rank: Column | None = None, key: Column | None = None,
+             value: Column | None = None, text: Column | None = None) -> DataFrame:
+        return df.select(
+            F.lit(section).alias("section"), F.lit(item).alias("item"),
+            (F.lit(None) if rank is None else rank).cast("long").alias("rank"),
+            (F.lit(None) if key is None else key).cast("string").alias("key"),
+            (F.lit(None) if value is None else value).cast("double").alias("value"),
+            (F.lit(None) if text is None else text).cast("string").alias("text"))
+
     total = part("total").select(F.col("event_count").alias("total_events"), "bots")
-    head_global = total.select(
-        F.date_format(as_of, "yyyy-MM-dd").alias("report_date"), "total_events", "bots",
-        (F.col("total_events") - F.col("bots")).alias("humans"),
-        C.pct("bots", "total_events").alias("bot_percentage"))
+    humans = F.col("total_events") - F.col("bots")
+    one = total.sparkSession.range(1)
+    out = []
+    for section in (GLOBAL_SECTION, QUALITY_SECTION, TRAFFIC_SECTION, SYSTEM_SECTION):
+        out.append(rows(one, section, "generated_at", text=C.iso_utc(as_of)))
+    out.append(rows(one, GLOBAL_SECTION, "report_date", text=F.date_format(as_of, "yyyy-MM-dd")))
+    out.append(rows(total, GLOBAL_SECTION, "total_events", value=F.col("total_events")))
+    if files_read is not None:
+        out.append(rows(files_read, GLOBAL_SECTION, "files_read", value=F.col("files_read")))
     pages = top_n(part("page").select(F.col("k1").alias("title"), F.col("k2").alias("wiki"), "event_count"),
                   S.DAILY_TOP_LIMIT, "event_count", ["title", "wiki"])
-    users = top_n(part("user").select(F.col("k1").alias("user"), "event_count"), S.DAILY_TOP_LIMIT,
-                  "event_count", ["user"])
-    hours = top_n(part("hour").filter(F.col("k1").isNotNull()).select(F.col("k1").alias("hour"), "event_count"),
-                  S.DAILY_HOURS_LIMIT, "event_count", ["hour"])
-    gen = C.iso_utc(as_of).alias("generated_at")
-    date = F.date_format(as_of, "yyyy-MM-dd").alias("report_date")
-    glob = combine_rows(
-        head_global,
-        _as_list(pages.select("rank", C.page_label("title", "wiki").alias("page"),
-                              F.col("event_count").alias("edit_count")), "top_pages"),
-        _as_list(users.select("rank", "user", F.col("event_count").alias("edit_count")), "top_users"),
-    )
-    global_section = glob.select(F.struct(
-        gen, "report_date", "total_events", "top_pages", "top_users",
-        F.struct("bots", "humans", "bot_percentage").alias("bot_human_ratio")).alias("global_activity_report"))
-    q = combine_rows(_quality_from_total(anomalies, errors, total),
-                     _as_list(anomaly_sample(anomalies), "anomalies_sample"))
-    quality_section = q.select(F.struct(gen, *q.columns).alias("quality_report"))
-    traffic = combine_rows(
-        _as_map(hours, "hour", "event_count", "by_hour"),
-        _as_map(part("language").select(F.col("k1").alias("language"), "event_count"),
-                "language", "event_count", "by_language"),
-        _as_map(part("wiki").select(F.col("k1").alias("wiki"), "event_count"), "wiki", "event_count", "by_wiki"),
-        _as_map(topic_volumes, "topic", "message_count", "kafka_topic_volumes"),
-    )
-    traffic_section = traffic.select(F.struct(gen, *traffic.columns).alias("traffic_report"))
-    lag_total = (lag.agg(F.coalesce(F.sum("lag"), F.lit(0)).alias("total_lag")) if lag is not None
-                 else events.sparkSession.range(1).select(F.lit(None).cast("long").alias("total_lag")))
-    system_section = lag_total.select(F.struct(gen, "total_lag").alias("system_report"))
-    head = events.sparkSession.range(1).select(gen, date)
-    return combine_rows(head, global_section, quality_section, traffic_section, system_section)
+    out.append(rows(pages, GLOBAL_SECTION, "top_pages", F.col("rank"), C.page_label("title", "wiki"), F.col("event_count")))
+    users = top_n(part("user").select(F.col("k1").alias("user"), "event_count"), S.DAILY_TOP_LIMIT, "event_count", ["user"])
+    out.append(rows(users, GLOBAL_SECTION, "top_users", F.col("rank"), F.col("user"), F.col("event_count")))
+    out.append(rows(total, GLOBAL_SECTION, "bots", value=F.col("bots")))
+    out.append(rows(total, GLOBAL_SECTION, "humans", value=humans))
+    out.append(rows(total, GLOBAL_SECTION, "bot_percentage", value=C.pct("bots", "total_events")))
+
+    found = anomalies.agg(F.count(F.lit(1)).alias("n"))
+    errors = volumes.filter(F.col("topic") == S.TOPIC_ERRORS).select(F.col("message_count").alias("errors"))
+    rate = combine_rows(errors, total.select("total_events"))
+    out.append(rows(found, QUALITY_SECTION, "anomalies_detected", value=F.col("n")))
+    out.append(rows(errors, QUALITY_SECTION, "ingestion_errors_topic_count", value=F.col("errors")))
+    out.append(rows(rate, QUALITY_SECTION, "invalid_events_rate_pct", value=invalid_rate(F.col("errors"), F.col("total_events"))))
+    sample = anomaly_sample(anomalies, n_anomalies)
+    out.append(rows(sample, QUALITY_SECTION, "anomalies_sample", key=F.col("page"),
+                    text=F.concat_ws(" ", "timestamp", "type", "severity", "reason")))
+
+    hours = part("hour").filter(F.col("k1").isNotNull()).select(F.col("k1").alias("hour"), "event_count")
+    if n_hours is not None:
+        hours = hours.orderBy(F.col("event_count").desc(), "hour").limit(n_hours)
+    out.append(rows(hours, TRAFFIC_SECTION, "by_hour", key=F.col("hour"), value=F.col("event_count")))
+    for dim in ("language", "wiki"):
+        out.append(rows(part(dim), TRAFFIC_SECTION, f"by_{dim}", key=F.col("k1"), value=F.col("event_count")))
+    out.append(rows(volumes, TRAFFIC_SECTION, "kafka_topic_volumes", key=F.col("topic"), value=F.col("message_count")))
+
+    if lag is not None:
+        out.append(rows(lag.agg(F.coalesce(F.sum("lag"), F.lit(0)).alias("n")), SYSTEM_SECTION, "total_lag", value=F.col("n")))
+        out.append(rows(lag, SYSTEM_SECTION, "partition_lag", key=F.concat_ws("/", "topic", F.col("partition").cast("string")), value=F.col("lag")))
+    report = out[0]
+    for df in out[1:]:
+        report = report.unionByName(df)
+    return report

@@ -8,14 +8,15 @@ key.  The fixture adapter is written out once as CTE text and shared.
 from __future__ import annotations
 
 from recentlake import schema as S
-from recentlake.sources.testdata import AS_OF_US, EPOCH_US, TIME_COMPRESSION
+from recentlake.sources.testdata import AS_OF_US, EPOCH_US, HOT_EVERY, HOT_MINUTE_US, LONG_TITLE, TIME_COMPRESSION
 
 # events -> processed events (same rules as recentlake.sources.testdata).
 _BASE = f"""
 SELECT event_id,
  CASE WHEN event_id%101=0 THEN NULL WHEN event_id%53=0 THEN 'p'||json_extract_string(props,'$.k')
-      ELSE 'page_'||json_extract_string(props,'$.k') END AS title,
- CASE WHEN event_id%97=0 THEN NULL WHEN event_id%89=0 THEN 'unknown' WHEN event_id%83=0 THEN ''
+      WHEN event_id%71=6 THEN 'page_'||json_extract_string(props,'$.k')||'{LONG_TITLE}'
+      WHEN event_id%{HOT_EVERY}=8 THEN 'hot_page' ELSE 'page_'||json_extract_string(props,'$.k') END AS title,
+ CASE WHEN event_id%{HOT_EVERY}=8 THEN 'enwiki' WHEN event_id%97=0 THEN NULL WHEN event_id%89=0 THEN 'unknown' WHEN event_id%83=0 THEN ''
       WHEN user_id%5=0 THEN 'enwiki' WHEN user_id%5=1 THEN 'frwiki' WHEN user_id%5=2 THEN 'dewiki'
       WHEN user_id%5=3 THEN 'wikidatawiki' ELSE 'meta.example.org' END AS wiki,
  CASE WHEN event_id%103=0 THEN NULL WHEN user_id%13=0 THEN '10.0.0.'||CAST(user_id AS VARCHAR)
@@ -25,6 +26,7 @@ SELECT event_id,
  CASE event_type WHEN 'view' THEN 'edit' WHEN 'click' THEN 'Annotate' WHEN 'signup' THEN 'new'
       WHEN 'error' THEN 'delete' ELSE 'categorize' END AS event_type,
  CASE WHEN event_id%113=0 THEN NULL
+      WHEN event_id%{HOT_EVERY}=8 THEN {HOT_MINUTE_US} + (event_id * 104729) % 60000000
       ELSE {EPOCH_US} + (epoch_us(ts) - {EPOCH_US}) // {TIME_COMPRESSION} END AS event_us,
  CAST(event_id%3 AS INTEGER) AS kafka_partition, event_id // 3 AS kafka_offset,
  CASE WHEN event_id%127=0 THEN NULL ELSE json_extract_string(props,'$.k') END AS page_id,
@@ -141,7 +143,7 @@ REPORTS: dict[str, str] = {
     "daily_traffic": _with()
     + _top("SELECT strftime(event_time, '%Y-%m-%d %H:00') AS hour, count(*) AS event_count FROM ev "
            "WHERE event_time IS NOT NULL GROUP BY 1",
-           ["hour"], "event_count", S.DAILY_HOURS_LIMIT, "rank, hour, event_count"),
+           ["hour"], "event_count", None, "rank, hour, event_count"),
 }
 
 
@@ -272,20 +274,23 @@ def _jx(path: str) -> str:
 RAW_CTES = (
     f"rb AS ({_BASE})",
     "raw AS (SELECT event_id, CASE WHEN event_id%211=5 THEN '{bad' WHEN event_id%223=7 THEN '[1]' "
-    "ELSE CAST(to_json(struct_pack(title := CASE WHEN event_id%229=9 THEN '   ' ELSE title END, wiki := wiki, "
+    "ELSE doc END AS value, event_id%61=3 AS odd_bot, event_id%59=4 AS odd_user, event_id%67=5 AS twice FROM "
+    "(SELECT *, CAST(to_json(struct_pack(title := CASE WHEN event_id%229=9 THEN '   ' ELSE title END, wiki := wiki, "
     "server_name := CASE WHEN event_id%7=1 THEN 'srv'||CAST(user_id%5 AS VARCHAR)||'.example.org' END, "
     "\"timestamp\" := CASE WHEN event_id%2=0 THEN event_us // 1000000 END, \"user\" := \"user\", "
     "userid := CASE WHEN event_id%31=0 THEN 0 ELSE user_id END, bot := is_bot, anonymous := is_anonymous, "
     "\"type\" := event_type, page_id := CAST(page_id AS BIGINT), "
     "meta := struct_pack(domain := CASE WHEN event_id%11=2 THEN 'meta-domain.example.org' END, "
     f"dt := CASE WHEN event_id%2=1 AND event_us IS NOT NULL THEN {iso('event_us')} END, "
-    "id := CASE WHEN event_id%3<>0 THEN 'evt-'||CAST(event_id AS VARCHAR) END))) AS VARCHAR) END AS value FROM rb)",
+    "id := CASE WHEN event_id%3<>0 THEN 'evt-'||CAST(event_id AS VARCHAR) END))) AS VARCHAR) AS doc FROM rb) d)",
     "p AS (SELECT event_id, value, json_valid(value) AS json_ok, "
     "json_valid(value) AND regexp_matches(value, '^\\s*\\{') AS is_object, "
     f"{_jx('$.title')} AS e_title, {_jx('$.wiki')} AS e_wiki, {_jx('$.server_name')} AS e_server, "
-    f"{_jx('$.timestamp')} AS e_ts, {_jx('$.user')} AS e_user, try(CAST({_jx('$.userid')} AS BIGINT)) AS e_userid, "
-    f"try(CAST({_jx('$.bot')} AS BOOLEAN)) AS e_bot, try(CAST({_jx('$.anonymous')} AS BOOLEAN)) AS e_anon, "
-    f"{_jx('$.type')} AS e_type, {_jx('$.page_id')} AS e_page_id, {_jx('$.meta.domain')} AS e_domain, "
+    f"{_jx('$.timestamp')} AS e_ts, {_jx('$.user')} AS e_user, "
+    f"CASE WHEN odd_user AND NOT odd_bot THEN NULL ELSE try(CAST({_jx('$.userid')} AS BIGINT)) END AS e_userid, "
+    f"CASE WHEN odd_bot AND {_jx('$.bot')} IS NOT NULL THEN true ELSE try(CAST({_jx('$.bot')} AS BOOLEAN)) END AS e_bot, "
+    f"CASE WHEN odd_user AND NOT odd_bot THEN NULL ELSE try(CAST({_jx('$.anonymous')} AS BOOLEAN)) END AS e_anon, "
+    f"CASE WHEN twice AND NOT odd_bot AND NOT odd_user THEN 'edit' ELSE {_jx('$.type')} END AS e_type, {_jx('$.page_id')} AS e_page_id, {_jx('$.meta.domain')} AS e_domain, "
     f"{_jx('$.meta.dt')} AS e_dt, {_jx('$.meta.id')} AS e_meta_id FROM raw)",
     f"v AS (SELECT *, nullif({_strip('e_title')}, '') AS c_title, "
     "coalesce(nullif(e_wiki,''), nullif(e_server,''), nullif(e_domain,'')) AS x_wiki, "
@@ -302,7 +307,7 @@ RAW_CTES = (
     "coalesce(e_page_id, e_meta_id) AS page_id FROM vr WHERE error_reason IS NULL)",
     "errs AS (SELECT event_id, error_reason, CASE WHEN error_reason IN ('invalid_json','json_not_object') "
     f"THEN 'unknown' ELSE coalesce({_strip('x_wiki')}, 'unknown') END AS partition_key, "
-    "error_reason NOT IN ('invalid_json','json_not_object') AS has_partial_event FROM vr "
+    "true AS raw_is_line, CASE WHEN error_reason NOT IN ('invalid_json','json_not_object') THEN true END AS partial_is_line FROM vr "
     "WHERE error_reason IS NOT NULL)",
     "msgs AS (SELECT event_id, 'wm.recentchange.raw' AS topic, partition_key AS key FROM enr "
     "UNION ALL SELECT event_id, 'wm.bot.events', partition_key FROM enr WHERE is_bot "
@@ -317,11 +322,20 @@ def _ingest(body: str) -> str:
 
 INGEST: dict[str, str] = {
     "validate_events": _ingest("SELECT event_id, error_reason FROM vr"),
-    "enrich_events": _ingest("SELECT * FROM enr"),
+    "enrich_events": _ingest("SELECT *, true AS payload_is_line FROM enr"),
     "extract_wiki": _ingest("SELECT event_id, x_wiki AS wiki FROM vr WHERE is_object"),
     "is_anonymous": _ingest("SELECT event_id, x_anon AS is_anonymous FROM vr WHERE is_object"),
     "error_records": _ingest("SELECT * FROM errs"),
-    "route_topics": _ingest("SELECT event_id, topic, key FROM msgs"),
+    "route_topics": _ingest(
+        "SELECT m.event_id, topic, key, r.title AS value_title, r.wiki AS value_wiki, r.\"user\" AS value_user, "
+        "CAST(r.is_bot AS VARCHAR) AS value_is_bot, CAST(r.is_anonymous AS VARCHAR) AS value_is_anonymous, "
+        "r.event_type AS value_event_type, r.page_id AS value_page_id, e.error_reason AS value_error_reason, "
+        "true AS value_has_line FROM msgs m LEFT JOIN enr r ON m.event_id = r.event_id "
+        "LEFT JOIN errs e ON m.event_id = e.event_id"),
+    "decode_kafka": _ingest(
+        "SELECT key AS kafka_key, topic AS kafka_topic, m.event_id AS kafka_offset, r.title, r.wiki, r.\"user\", "
+        "r.is_bot, r.is_anonymous, r.event_type, coalesce(r.ingestion_timestamp, " + iso(str(AS_OF_US)) + ") AS ingestion_timestamp, "
+        f"r.page_id, CAST({AS_OF_US} AS BIGINT) AS event_us FROM msgs m LEFT JOIN enr r ON m.event_id = r.event_id"),
     "invalid_rate": _ingest(
         "SELECT errors AS ingestion_errors, total AS total_events, "
         "round(CAST(errors AS DOUBLE) / CAST(greatest(1, errors + total) AS DOUBLE) * 100.0, 2) "
@@ -410,7 +424,111 @@ LIVE: dict[str, str] = {
 }
 
 
+def _own_time(sql: str) -> str:
+    """The same query on the events' own 30 days."""
+    return sql.replace(f"// {TIME_COMPRESSION} END", "// 1 END")
+
+
+_HOURS = ("SELECT strftime(event_time, '%Y-%m-%d %H:00') AS hour, count(*) AS event_count FROM ev "
+          "WHERE event_time IS NOT NULL GROUP BY 1")
+
+LAKE: dict[str, str] = {
+    "load_events": _with()
+    + f"SELECT wiki AS kafka_key, '{S.TOPIC_RAW}' AS kafka_topic, kafka_partition, kafka_offset, title, wiki, \"user\", "
+    "is_bot, is_anonymous, event_type, ingestion_timestamp, "
+    f"'{S.DEFAULT_SOURCE}' AS source, wiki AS partition_key, page_id, event_us FROM ev",
+    "global_activity": "SELECT count(*) AS total_events, 1 AS files_read, 'events.parquet' AS source_name FROM events",
+    "activity_by_hour_30_days": _own_time(REPORTS["activity_by_hour"]),
+    "daily_traffic_30_days": _own_time(_with() + _top(_HOURS, ["hour"], "event_count", None, "rank, hour, event_count")),
+    "daily_traffic_largest": _own_time(_with() + _top(_HOURS, ["hour"], "event_count", S.DAILY_HOURS_LIMIT, "rank, hour, event_count")),
+    "live_bot_share": _with(BUF)
+    + "SELECT bots, n - bots AS humans, " + _pct("bots", "n") + " AS bot_percentage FROM "
+    "(SELECT count(*) AS n, count_if(coalesce(is_bot, false)) AS bots FROM buf) c",
+    "newest_keys": _with(BUF) + "SELECT CAST(kafka_partition AS BIGINT) AS kafka_partition, kafka_offset, "
+    "coalesce(event_us, 0) AS event_us FROM buf",
+}
+
+# Customers as DAGs, orders as runs, line items as task runs.
+RUN_CTES = (
+    "runs AS (SELECT 'dag_' || o_custkey AS dag_id, 'run_' || o_orderkey AS run_id, CASE o_orderstatus WHEN 'F' THEN 'failed' "
+    "WHEN 'O' THEN 'success' ELSE 'running' END AS state, o_orderdate AS start_date, o_custkey % 5 = 0 AS is_paused FROM orders)",
+    "tasks AS (SELECT 'dag_' || o_custkey AS dag_id, 'run_' || l_orderkey AS run_id, CASE l_returnflag WHEN 'R' THEN 'failed' "
+    "ELSE 'success' END AS state, CAST(l_quantity AS DOUBLE) AS duration_sec FROM lineitem JOIN orders ON l_orderkey = o_orderkey)",
+    "dags AS (SELECT DISTINCT 'dag_' || c_custkey AS dag_id FROM customer)",
+    "last AS (SELECT d.dag_id, run_id, state, is_paused FROM dags d LEFT JOIN (SELECT * FROM runs QUALIFY "
+    "row_number() OVER (PARTITION BY dag_id ORDER BY start_date DESC, run_id DESC) = 1) r ON d.dag_id = r.dag_id)",
+    "per_run AS (SELECT dag_id, run_id, count(*) AS n, count_if(state = 'failed') AS failed, avg(duration_sec) AS mean "
+    "FROM tasks GROUP BY 1, 2)",
+)
+
+
+def _runs(body: str) -> str:
+    return "WITH " + ",\n".join(RUN_CTES) + "\n" + body
+
+
+RUNS: dict[str, str] = {
+    "run_monitoring": _runs(
+        "SELECT l.dag_id, is_paused, state AS last_run_state, l.run_id AS last_run_id, coalesce(n, 0) AS task_count, "
+        "coalesce(failed, 0) AS failed_tasks, round(CAST(coalesce(failed, 0) AS DOUBLE) / greatest(coalesce(n, 0), 1) * 100.0, 2) "
+        "AS failure_rate_pct, round(mean, 2) AS avg_task_duration_sec FROM last l LEFT JOIN per_run p "
+        "ON l.dag_id = p.dag_id AND l.run_id = p.run_id"),
+    "run_summary": _runs(
+        "SELECT * FROM (SELECT count(*) AS total_dags, count_if(state = 'failed') AS failed_runs, "
+        "count_if(state = 'success') AS success_runs FROM last), (SELECT count_if(t.state = 'failed') AS total_task_failures, "
+        "coalesce(round(avg(duration_sec), 2), 0.0) AS avg_task_duration_sec FROM tasks t JOIN last l "
+        "ON t.dag_id = l.dag_id AND t.run_id = l.run_id)"),
+    "pipeline_failure_rate": _runs(
+        "SELECT round(CAST(count_if(state = 'failed') AS DOUBLE) / greatest(count(*), 1) * 100.0, 2) AS dag_failure_rate_pct FROM last"),
+}
+
+
+def _section(section: str, item: str, src: str, rank: str = "NULL", key: str = "NULL", value: str = "NULL", text: str = "NULL") -> str:
+    return (f"SELECT '{section}' AS section, '{item}' AS item, CAST({rank} AS BIGINT) AS rank, CAST({key} AS VARCHAR) AS key, "
+            f"CAST({value} AS DOUBLE) AS value, CAST({text} AS VARCHAR) AS text FROM {src}")
+
+
+def _ranked(counts: str, keys: list[str], n: int) -> str:
+    return "(" + _top(counts, keys, "event_count", n, "*") + ") x"
+
+
+_STAMP = iso(str(AS_OF_US))
+_TOTAL = "(SELECT count(*) AS total, count_if(coalesce(is_bot, false)) AS bots FROM ev) x"
+_ERRORS = "(SELECT count(*) AS errors FROM errs) x"
+_G, _Q, _T, _Y = "global_activity_report", "quality_report", "traffic_report", "system_report"
+DAILY = " UNION ALL ".join(f"({x})" for x in [
+    *(_section(s, "generated_at", "(SELECT 1) x", text=_STAMP) for s in (_G, _Q, _T, _Y)),
+    _section(_G, "report_date", "(SELECT 1) x", text=f"strftime({AS_OF_TS}, '%Y-%m-%d')"),
+    _section(_G, "total_events", _TOTAL, value="total"),
+    _section(_G, "files_read", "(SELECT 1) x", value="1"),
+    _section(_G, "top_pages", _ranked(f"SELECT {PAGE_T} AS title, {PAGE_W} AS wiki, count(*) AS event_count FROM ev GROUP BY 1, 2",
+                                      ["title", "wiki"], S.DAILY_TOP_LIMIT), "rank", "title || ' (' || wiki || ')'", "event_count"),
+    _section(_G, "top_users", _ranked(f"SELECT {USER_K} AS u, count(*) AS event_count FROM ev GROUP BY 1", ["u"], S.DAILY_TOP_LIMIT),
+             "rank", "u", "event_count"),
+    _section(_G, "bots", _TOTAL, value="bots"),
+    _section(_G, "humans", _TOTAL, value="total - bots"),
+    _section(_G, "bot_percentage", _TOTAL, value=_pct("bots", "total")),
+    _section(_Q, "anomalies_detected", f"(SELECT count(*) AS n FROM ({DETECT_BODY}) d) x", value="n"),
+    _section(_Q, "ingestion_errors_topic_count", _ERRORS, value="errors"),
+    _section(_Q, "invalid_events_rate_pct", f"{_ERRORS}, (SELECT count(*) AS total FROM ev) y",
+             value="round(CAST(errors AS DOUBLE) / greatest(1, errors + total) * 100.0, 2)"),
+    _section(_Q, "anomalies_sample", f"(SELECT * FROM ({DETECT_BODY}) d ORDER BY \"timestamp\" NULLS FIRST, \"type\" NULLS FIRST, "
+             f"page NULLS FIRST, reason NULLS FIRST LIMIT {S.ANOMALY_SAMPLE}) x", key="page",
+             text="concat_ws(' ', \"timestamp\", \"type\", severity, reason)"),
+    _section(_T, "by_hour", f"(SELECT * FROM ({_HOURS}) h ORDER BY event_count DESC, hour LIMIT {S.DAILY_HOURS_LIMIT}) x",
+             key="hour", value="event_count"),
+    _section(_T, "by_language", f"(SELECT {LANG} AS k, count(*) AS n FROM ev GROUP BY 1) x", key="k", value="n"),
+    _section(_T, "by_wiki", f"(SELECT {PAGE_W} AS k, count(*) AS n FROM ev GROUP BY 1) x", key="k", value="n"),
+    _section(_T, "kafka_topic_volumes", "(SELECT t.topic, coalesce(c.n, 0) AS n FROM (VALUES "
+             + ", ".join(f"('{t}')" for t in S.TOPICS) + ") t(topic) LEFT JOIN (SELECT topic, count(*) AS n FROM msgs GROUP BY 1) c "
+             "ON t.topic = c.topic) x", key="topic", value="n"),
+    _section(_Y, "total_lag", "(SELECT sum(lag) AS n FROM lags) x", value="n"),
+    _section(_Y, "partition_lag", "lags x", key="topic || '/' || \"partition\"", value="lag"),
+])
+LAGS = ("lags AS (SELECT eo.topic, eo.\"partition\", greatest(0, end_offset - coalesce(committed_offset, 0)) AS lag FROM eo "
+        "LEFT JOIN co ON eo.topic = co.topic AND eo.\"partition\" = co.\"partition\")",)
+
 QUALITY: dict[str, str] = {
+    "daily_report": _with(KEYED, *SPIKE_CTES, *RAPID_CTES, *BOT_CTES, *RAW_CTES, *OFFSETS, *LAGS) + f"SELECT * FROM ({DAILY}) r",
     "daily_quality": _with(KEYED, *SPIKE_CTES, *RAPID_CTES, *BOT_CTES, *RAW_CTES)
     + f"SELECT (SELECT count(*) FROM ({DETECT_BODY}) d) AS anomalies_detected, "
     "e.errors AS ingestion_errors_topic_count, "
@@ -426,4 +544,6 @@ def oracle_sql() -> dict[str, str]:
     out.update(INGEST)
     out.update(LIVE)
     out.update(QUALITY)
+    out.update(LAKE)
+    out.update(RUNS)
     return out

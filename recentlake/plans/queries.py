@@ -7,6 +7,7 @@ Column names equal those of the SQL oracle of the same name.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +20,10 @@ from recentlake.operators import ingest as I
 from recentlake.operators import live as L
 from recentlake.operators import monitoring as M
 from recentlake.operators import reports as R
-from recentlake.session import reuse
+from recentlake import schema as S
+from recentlake.session import checkpoint_root
+from recentlake.sources import files as SRC
+from recentlake.sources import kafka as K
 from recentlake.sources import testdata as TD
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,8 +97,8 @@ def _q_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _q_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rec = I.enrich_events(_validated(spark, sf_dir), TD.as_of_col(), keep=["event_id"])
-    return rec.drop("payload")
+    rec = I.enrich_events(_validated(spark, sf_dir), TD.as_of_col(), keep=["event_id", "value"])
+    return rec.withColumn("payload_is_line", F.col("payload") == F.col("value")).drop("payload", "value")
 
 
 def _q_extract_wiki(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,9 +113,9 @@ def _q_is_anonymous(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _q_error_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    err = I.error_records(_validated(spark, sf_dir), TD.as_of_col(), keep=["event_id"])
-    return err.select("event_id", "error_reason", "partition_key",
-                      F.col("partial_event").isNotNull().alias("has_partial_event"))
+    err = I.error_records(_validated(spark, sf_dir), TD.as_of_col(), keep=["event_id", "value"])
+    return err.select("event_id", "error_reason", "partition_key", (F.col("raw_data") == F.col("value")).alias("raw_is_line"),
+                      (F.col("partial_event") == F.col("value")).alias("partial_is_line"))
 
 
 def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +123,35 @@ def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _q_route(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _messages(spark, sf_dir).select("event_id", "topic", "key")
+    value = [F.get_json_object("value", f"$.{f}").alias(f"value_{f}") for f in
+             ("title", "wiki", "user", "is_bot", "is_anonymous", "event_type", "page_id", "error_reason")]
+    line = F.coalesce(F.get_json_object("value", "$.payload"), F.get_json_object("value", "$.raw_data"))
+    sent = I.ingest_messages(TD.load_raw_feed(spark, sf_dir).withColumn("line", F.col("value")), TD.as_of_col(),
+                             keep=["event_id", "line"])
+    return sent.select("event_id", "topic", "key", *value, (line == F.col("line")).alias("value_has_line"))
+
+
+def _q_decode_kafka(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routed messages in Kafka's columns, decoded (E1) with event time."""
+    rows = _messages(spark, sf_dir).select(
+        F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"), "topic",
+        F.lit(0).alias("partition"), F.col("event_id").alias("offset"), TD.as_of_col().alias("timestamp"))
+    return K.add_event_time(K.decode_kafka(K.json_objects(rows))).select(
+        "kafka_key", "kafka_topic", "kafka_offset", "title", "wiki", "user", "is_bot", "is_anonymous", "event_type",
+        "ingestion_timestamp", "page_id", F.unix_micros("event_time").alias("event_us"))
+
+
+def _q_load_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events written as JSON lines with broken lines between them, and
+    read back by the lake reader."""
+    ev = TD.load_processed(spark, sf_dir)
+    line = F.to_json(F.struct(*(f.name for f in S.PROCESSED.fields)), {"timestampFormat": S.JSON_TIME})
+    broken = F.when(F.col("event_id") % 7 == 0, F.lit('{"title": "cut')).when(F.col("event_id") % 11 == 0, F.lit("[1]"))
+    root = f"{checkpoint_root(spark)}/lake-{uuid.uuid4().hex}"
+    ev.select(F.explode(F.filter(F.array(line, broken), lambda x: x.isNotNull()))).write.text(root)
+    got = SRC.load_events(spark, root, glob="part-*")
+    return got.select(*(f.name for f in S.PROCESSED.fields if f.dataType.typeName() != "timestamp"),
+                      F.unix_micros("event_time").alias("event_us"))
 
 
 def _q_invalid_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,7 +203,8 @@ def _offsets(ev: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _q_global_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = TD.read_table(spark, sf_dir, "events").withColumn("source_file", F.col("_metadata.file_path"))
-    return R.global_activity(raw, source_path=sf_dir)
+    name = F.element_at(F.split("source_path", "/"), -1).alias("source_name")  # folders differ between machines
+    return R.global_activity(raw, source_path=f"{sf_dir}/events.parquet").select("total_events", "files_read", name)
 
 
 def _q_daily_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,12 +216,44 @@ def _q_daily_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _q_daily_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = TD.load_processed(spark, sf_dir)
-    # read twice below (count and sample): computed once, lineage cut
-    anomalies = reuse(A.detect_anomalies(ev, TD.as_of_col(), BY_ID))
-    validated = reuse(_validated(spark, sf_dir))  # errors and topic volumes both read it
-    errors = I.error_records(validated, TD.as_of_col())
-    volumes = I.topic_volumes(I.ingest_messages(validated, TD.as_of_col()))
-    return R.daily_report(ev, TD.as_of_col(), anomalies, errors, volumes, M.offset_lag(*_offsets(ev)))
+    files = R.global_activity(TD.read_table(spark, sf_dir, "events").withColumn("source_file", F.col("_metadata.file_path")))
+    return R.daily_report(ev, TD.as_of_col(), A.detect_anomalies(ev, TD.as_of_col(), BY_ID),
+                          I.topic_volumes(_messages(spark, sf_dir)), M.offset_lag(*_offsets(ev)), files.select("files_read"))
+
+
+def _run_logs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Customers as DAGs, their orders as runs and the line items as task runs."""
+    dag = lambda c: F.concat(F.lit("dag_"), F.col(c).cast("string")).alias("dag_id")
+    run = lambda c: F.concat(F.lit("run_"), F.col(c).cast("string")).alias("run_id")
+    orders = TD.read_table(spark, sf_dir, "orders")
+    state = F.when(F.col("o_orderstatus") == "F", F.lit("failed")).when(
+        F.col("o_orderstatus") == "O", F.lit("success")).otherwise(F.lit("running")).alias("state")
+    runs = orders.select(dag("o_custkey"), run("o_orderkey"), state, F.col("o_orderdate").cast("timestamp").alias("start_date"),
+                         (F.col("o_custkey") % 5 == 0).alias("is_paused"))
+    done = F.when(F.col("l_returnflag") == "R", F.lit("failed")).otherwise(F.lit("success")).alias("state")
+    items = TD.read_table(spark, sf_dir, "lineitem").join(orders.select("o_orderkey", "o_custkey"),
+                                                          F.col("l_orderkey") == F.col("o_orderkey"))
+    tasks = items.select(dag("o_custkey"), run("l_orderkey"), F.col("l_linenumber").cast("string").alias("task_id"), done,
+                         F.col("l_quantity").cast("double").alias("duration_sec"), F.lit(1).alias("try_number"))
+    return runs, tasks, TD.read_table(spark, sf_dir, "customer").select(dag("c_custkey"))
+
+
+def _q_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.run_summary(*_run_logs(spark, sf_dir))
+
+
+def _q_run_monitoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.run_monitoring(*_run_logs(spark, sf_dir))
+
+
+def _q_failure_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs, _, dags = _run_logs(spark, sf_dir)
+    return M.pipeline_failure_rate(runs, dags)
+
+
+def _own_time(op: Callable[[DataFrame], DataFrame]) -> Query:
+    """On the events' own 30 days instead of the compressed hour."""
+    return lambda spark, sf_dir: op(TD.load_processed(spark, sf_dir, compression=1))
 
 
 LIVE_QUERIES: dict[str, Query] = {
@@ -208,6 +273,16 @@ LIVE_QUERIES: dict[str, Query] = {
     "global_activity": _q_global_activity,
     "daily_quality": _q_daily_quality,
     "daily_report": _q_daily_report,
+    "load_events": _q_load_events,
+    "decode_kafka": _q_decode_kafka,
+    "run_summary": _q_run_summary,
+    "run_monitoring": _q_run_monitoring,
+    "pipeline_failure_rate": _q_failure_rate,
+    "activity_by_hour_30_days": _own_time(R.activity_by_hour),
+    "daily_traffic_30_days": _own_time(R.daily_traffic),
+    "daily_traffic_largest": _own_time(lambda ev: R.daily_traffic(ev, S.DAILY_HOURS_LIMIT)),
+    "live_bot_share": _on_buffer(L.live_bot_share),
+    "newest_keys": _on_events(lambda ev: L.newest_keys(ev, S.LIVE_MAX_EVENTS).toDF("kafka_partition", "kafka_offset", "event_us")),
 }
 
 

@@ -36,13 +36,14 @@ SEVERITY_MEDIUM_AT = 5
 TOP_LIMIT = 20          # top pages / contributors / bots
 DAILY_TOP_LIMIT = 10    # daily report top pages / users
 DAILY_HOURS_LIMIT = 48  # daily report hourly buckets
+ANOMALY_SAMPLE = 20     # daily report stored anomalies shown
 LIVE_MAX_EVENTS = 1000  # live buffer size
 LIVE_TOP_N = 15         # live top pages / wikis
 LIVE_TABLE_ROWS = 30    # live latest-events table
 TITLE_MAX_LEN = 50      # live chart title shortening
 FRESHNESS_MINUTES = 10
 STALE_SECONDS = 30
-RAW_DATA_MAX_CHARS = 2000
+RAW_DATA_MAX_CHARS = 2000  # of the studied error records (an option here)
 
 UNKNOWN = "unknown"
 UNKNOWN_BOT = "unknown_bot"
@@ -74,6 +75,9 @@ SEVERITY_HIGH = "high"
 SEVERITY_MEDIUM = "medium"
 SEVERITY_LOW = "low"
 
+# Times in JSON files keep their microseconds.
+JSON_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+
 # Report folders of the lake.
 REPORT_ZONES = ("top_pages", "users", "bots", "global", "monitoring")
 # Columns that a decoded message gets from the broker.
@@ -86,34 +90,6 @@ DEFAULT_SOURCE = "recentchange-feed"
 # Schemas
 # ---------------------------------------------------------------------------
 
-# Raw feed event, only the fields the pipeline reads.  Loosely typed fields
-# (`timestamp`, `page_id`) are kept as strings: from_json renders numbers as
-# their JSON text.
-RAW_EVENT = T.StructType(
-    [
-        T.StructField("title", T.StringType()),
-        T.StructField("wiki", T.StringType()),
-        T.StructField("server_name", T.StringType()),
-        T.StructField("timestamp", T.StringType()),
-        T.StructField("user", T.StringType()),
-        T.StructField("userid", T.LongType()),
-        T.StructField("bot", T.BooleanType()),
-        T.StructField("anonymous", T.BooleanType()),
-        T.StructField("type", T.StringType()),
-        T.StructField("page_id", T.StringType()),
-        T.StructField(
-            "meta",
-            T.StructType(
-                [
-                    T.StructField("domain", T.StringType()),
-                    T.StructField("dt", T.StringType()),
-                    T.StructField("id", T.StringType()),
-                ]
-            ),
-        ),
-    ]
-)
-
 # Enriched ("valid") record as published to the topics.
 VALID_RECORD = T.StructType(
     [

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings every query relies on: UTC rendering of minute/hour buckets and
-# ISO strings, AQE for partition coalescing and skewed joins.
+# ISO strings, the JSON parse of repeated keys.
 REQUIRED_CONF = {
     "spark.sql.session.timeZone": "UTC",
+    # A JSON object with a repeated key is valid; its last value counts.
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 DEFAULT_CONF = {
@@ -48,67 +50,36 @@ def build_session(
 
 
 def ensure_session_conf(spark: SparkSession) -> None:
-    """Pin the runtime settings the operators depend on (UTC time zone)."""
+    """Pin the runtime settings the operators depend on."""
     for key, value in REQUIRED_CONF.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
 
 
-def ensure_parallelism(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Spread an input that arrives in fewer splits than there are cores.
-
-    A single large Parquet row group (or one gzip file) is one scan task, so
-    every map-side operator after it would run on one core.  Only then is a
-    round-robin repartition to the session parallelism added; inputs made of
-    many files or row groups are returned untouched (no extra shuffle).
-    """
-    if df.isStreaming:
-        return df
-    spark = df.sparkSession
-    target = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
-
-
-def checkpoint_root(spark: SparkSession, fallback: str | None = None) -> str:
+def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     On a cluster this must be a shared file system (HDFS, S3, ...): it is read
-    from the session and never replaced.  Only when it is unset (unit tests)
-    is ``fallback`` used and written back to the session.
+    from the session and never replaced, and its absence is an error.  In
+    local mode (tests, one process) an unset folder becomes a new temporary one.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    key = "spark.checkpoint.dir"
+    root = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key, None)
     if not root:
-        root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not root:
-        if fallback is None:
-            raise RuntimeError("spark.checkpoint.dir is not set; pass a shared folder")
-        root = fallback
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="recentlake-checkpoint-")
+        spark.conf.set(key, root)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
     return root
 
 
-def scratch_path(spark: SparkSession, *parts: str) -> str:
-    """A path under the shared checkpoint root (for written lineage cuts)."""
-    root = checkpoint_root(spark)
-    return os.path.join(root, "recentlake", *parts)
-
-
 def reuse(df: DataFrame) -> DataFrame:
     """Materialise a frame that several outputs read, cutting its lineage.
 
-    Writes a reliable checkpoint into the shared folder named by
-    ``spark.checkpoint.dir`` (survives executor loss, unlike cached blocks).
-    When the session names no such folder the frame is returned as is and
-    each consumer recomputes it.
+    Always a reliable checkpoint in the shared folder (it survives lost
+    executors, unlike cached blocks); it runs the job of ``df`` at once.
     """
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir", None)
-    if not root:
-        return df
-    checkpoint_root(spark)
+    checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -27,6 +27,17 @@ class LakeLayout:
     def processed(self) -> str:
         return os.path.join(self.root, "processed")
 
+    @property
+    def processed_batch(self) -> str:
+        """Batch writes: a folder of their own, because a stream sink's
+        metadata log hides files that it did not write itself."""
+        return os.path.join(self.root, "processed_batch")
+
+    @property
+    def event_folders(self) -> tuple[str, str]:
+        """All folders with processed events, one for each writer."""
+        return self.processed, self.processed_batch
+
     @property
     def checkpoints(self) -> str:
         return os.path.join(self.root, "checkpoints")
@@ -74,7 +85,7 @@ def write_processed_stream(events: DataFrame, path: str, checkpoint: str, fmt: s
     column for partition pruning on read.  The sink's metadata log makes
     readers see committed micro-batches only.
     """
-    w = (events.writeStream.outputMode("append").format(fmt).option("path", path)
+    w = (events.writeStream.outputMode("append").format(fmt).option("path", path).option("timestampFormat", S.JSON_TIME)
          .option("checkpointLocation", checkpoint).queryName(query_name))
     if partition_by:
         w = w.partitionBy(*partition_by)
@@ -90,11 +101,7 @@ def write_console(events: DataFrame, query_name: str = "console_debug", truncate
 
 
 def write_summary(df: DataFrame, path: str) -> None:
-    """Small aggregate as one JSON file, overwritten (K7).
-
-    Only for outputs bounded by construction (one row, a top-N, a per-wiki
-    count): ``coalesce(1)`` funnels the data through one task.
-    """
+    """One-row or top-N aggregate as one JSON file, overwritten (K7)."""
     df.coalesce(1).write.mode("overwrite").json(path)
 
 

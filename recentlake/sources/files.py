@@ -42,7 +42,7 @@ def read_processed(spark: SparkSession, path: str, fmt: str = "parquet", streami
     """Processed events with the fixed ``PROCESSED`` schema (never inferred).
 
     ``fmt='json'`` reads JSON lines; bad lines give all-null rows in
-    PERMISSIVE mode (use ``read_json_lines`` to drop or count them).
+    PERMISSIVE mode (``load_events`` drops and counts them).
     ``with_file`` adds ``source_file`` from the file metadata column.
 
     ``partitioned=True`` reads a lake written with ``partition_by=
@@ -88,21 +88,14 @@ def read_json_tree(spark: SparkSession, root: str, schema: T.StructType = S.PROC
     return df.withColumn("source_file", F.col("_metadata.file_path"))
 
 
-def latest_files(df: DataFrame, n: int, by: str = "path") -> DataFrame:
-    """Rows of the ``n`` last files, by path order (``by='path'``) or by
-    modification time (``by='mtime'``).
+def latest_files(df: DataFrame, n: int) -> DataFrame:
+    """Rows of the ``n`` last files, by path order of ``source_file``.
 
     The distinct file list is reduced with a top-n; the row filter is a
-    left-semi join against at most ``n`` paths, broadcast (bounded by n).
+    left-semi join against those paths (Spark broadcasts them by size).
     """
-    meta = df.select(
-        F.col("_metadata.file_path").alias("_path"),
-        F.col("_metadata.file_modification_time").alias("_mtime"),
-    ).distinct()
-    order = [F.col("_path").desc()] if by == "path" else [F.col("_mtime").desc(), F.col("_path").desc()]
-    keep = meta.orderBy(*order).limit(n).select("_path")
-    tagged = df.withColumn("_path", F.col("_metadata.file_path"))
-    return tagged.join(F.broadcast(keep), "_path", "left_semi").drop("_path")
+    keep = df.select("source_file").distinct().orderBy(F.col("source_file").desc()).limit(n)
+    return df.join(keep, "source_file", "left_semi").select(*df.columns)
 
 
 def read_first_available(spark: SparkSession, paths: Sequence[str],
@@ -120,40 +113,122 @@ def read_first_available(spark: SparkSession, paths: Sequence[str],
     return None, None
 
 
-def load_events(spark: SparkSession, root: str, legacy_root: str | None = None, fmt: str = "json",
+def _json_events(spark: SparkSession, root: str, partitioned: bool, since: str | None, until: str | None,
+                 glob: str) -> DataFrame:
+    """Every non-blank line of the JSON files under ``root``: ``line_ok`` and
+    the event's columns (null on a line that is no JSON object).
+
+    Lines are read as text and parsed here, so that a count of good or bad
+    lines sees the same rows as a report does.
+    """
+    reader = spark.read.option("pathGlobFilter", glob)
+    if partitioned:
+        reader = reader.schema("value string, event_date date")
+    else:
+        reader = reader.option("recursiveFileLookup", "true")
+    lines = reader.format("text").load(root)
+    if partitioned and since:
+        lines = lines.filter(F.col("event_date") >= F.to_date(F.lit(since)))
+    if partitioned and until:
+        lines = lines.filter(F.col("event_date") <= F.to_date(F.lit(until)))
+    full = T.StructType([*S.PROCESSED.fields, T.StructField("_corrupt", T.StringType())])
+    rec = F.from_json(F.col("value"), full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    line = F.struct(rec.alias("r"), C.is_json_object_text("value").alias("o"))
+    # A generator of one element: the optimizer copies no parse into the uses
+    # of its columns, so each line is parsed once.
+    one = F.filter(F.array(F.when(F.length(C.strip_ws("value")) > 0, line)), lambda x: x.isNotNull())
+    more = ["event_date"] if partitioned else []
+    parsed = lines.select(F.explode(one).alias("_p"), F.col("_metadata.file_path").alias("source_file"), *more)
+    ok = F.col("_p.o") & F.col("_p.r").isNotNull() & F.col("_p.r._corrupt").isNull()
+    return parsed.select(ok.alias("line_ok"), *(F.col(f"_p.r.{f.name}").alias(f.name) for f in S.PROCESSED.fields),
+                         "source_file", *more)
+
+
+def _zone(spark: SparkSession, root: str, fmt: str, partitioned: bool, since: str | None, until: str | None,
+          glob: str) -> DataFrame | None:
+    """One folder of the lake with ``line_ok``; None when it does not exist."""
+    try:
+        if fmt == "json":
+            return _json_events(spark, root, partitioned, since, until, glob)
+        df = read_processed(spark, root, fmt=fmt, with_file=True, partitioned=partitioned, since=since, until=until)
+        return df.select(F.lit(True).alias("line_ok"), *(f.name for f in S.PROCESSED.fields), "source_file",
+                         *(["event_date"] if partitioned else []))
+    except Exception as exc:  # noqa: BLE001
+        if _missing(exc):
+            return None
+        raise
+
+
+def lake_lines(spark: SparkSession, roots: str | Sequence[str], legacy_root: str | None = None, fmt: str = "json",
+               partitioned: bool = False, since: str | None = None, until: str | None = None,
+               glob: str = "*.json") -> DataFrame:
+    """All lines of the lake folders ``roots`` with ``line_ok``; the legacy
+    folder is read only when none of them exists or has rows."""
+    wanted = [roots] if isinstance(roots, str) else list(roots)
+    found = [z for z in (_zone(spark, r, fmt, partitioned, since, until, glob) for r in wanted) if z is not None]
+    if legacy_root and all(z.isEmpty() for z in found):
+        legacy = _zone(spark, legacy_root, fmt, partitioned, since, until, glob)
+        found = [legacy] if legacy is not None else found
+    if not found:
+        return spark.createDataFrame([], T.StructType([
+            T.StructField("line_ok", T.BooleanType()), *S.PROCESSED.fields, T.StructField("source_file", T.StringType())]))
+    out = found[0]
+    for z in found[1:]:
+        out = out.unionByName(z)
+    return out
+
+
+def load_events(spark: SparkSession, roots: str | Sequence[str], legacy_root: str | None = None, fmt: str = "json",
                 max_files: int | None = None, partitioned: bool = False, since: str | None = None,
-                until: str | None = None) -> DataFrame:
+                until: str | None = None, glob: str = "*.json") -> DataFrame:
     """Processed events of the lake with ``source_file`` (for files_read).
 
-    ``max_files`` keeps only the last files by path order (the studied
-    pipeline's optional cap; no cap by default).  With a date-partitioned
-    lake, ``since``/``until`` restrict the read to those days.
+    Lines that do not decode to a JSON object are no events: they are
+    skipped (``skipped_lines`` counts them).  ``roots`` may name several
+    folders, one for each writer.  ``max_files`` keeps only the last files by
+    path order (the studied pipeline's optional cap; no cap by default).
+    With a date-partitioned lake, ``since``/``until`` restrict the read.
     """
-    paths = [root] + ([legacy_root] if legacy_root else [])
-    df, _ = read_first_available(spark, paths, lambda s, p: read_processed(
-        s, p, fmt=fmt, with_file=True, partitioned=partitioned, since=since, until=until))
-    if df is None:
-        empty = T.StructType(S.PROCESSED.fields + [T.StructField("source_file", T.StringType())])
-        return spark.createDataFrame([], empty)
-    if max_files is not None:
-        df = latest_files(df, max_files)
-    return df
+    df = lake_lines(spark, roots, legacy_root, fmt, partitioned, since, until, glob)
+    df = df.filter("line_ok").drop("line_ok")
+    return df if max_files is None else latest_files(df, max_files)
+
+
+def skipped_lines(spark: SparkSession, roots: str | Sequence[str], legacy_root: str | None = None, fmt: str = "json",
+                  partitioned: bool = False, since: str | None = None, until: str | None = None) -> DataFrame:
+    """One row: lines of the lake that are no events."""
+    lines = lake_lines(spark, roots, legacy_root, fmt, partitioned, since, until)
+    return lines.agg(F.count_if(~F.col("line_ok")).alias("skipped_lines"))
 
 
 def load_anomalies(spark: SparkSession, root: str) -> DataFrame:
-    """All stored anomaly rows of every run, with their ``run`` id.
+    """All stored anomalies of every run, with their ``run``.
 
-    Reads the run folders written by ``sinks.write_anomaly_run`` (JSON lines,
-    one anomaly per line, partitioned by ``run``; the '_summary' folder is
-    hidden from the listing).  A missing root gives an empty frame.
+    Reads the run folders of ``sinks.write_anomaly_run`` (JSON lines, one
+    anomaly a line), and documents of the studied pipeline: an object with an
+    ``anomalies`` list, or a bare list, over one or more lines of a file.  The
+    '_summary' folder is hidden from the listing; a missing root gives an
+    empty frame.
     """
     schema = T.StructType(S.ANOMALY.fields + [T.StructField("run", T.StringType())])
     try:
-        return spark.read.schema(schema).json(root)
+        # A document may span lines: whole small files, one row each.
+        whole = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(root, wholetext=True)
     except Exception as exc:  # noqa: BLE001
         if _missing(exc):
             return spark.createDataFrame([], schema)
         raise
+    text = C.strip_ws("value")
+    run = F.coalesce(C.nonempty(F.regexp_extract(F.col("_metadata.file_path"), "/run=([^/]+)/", 1)),
+                     F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), "[.]json$", ""))
+    # Every form becomes the text of one JSON list, parsed once.
+    lines = F.filter(F.split(text, "\n"), lambda x: F.try_parse_json(x).isNotNull())
+    listed = F.when(text.startswith("["), text).otherwise(
+        F.coalesce(F.get_json_object(text, "$.anomalies"), F.concat(F.lit("["), F.array_join(lines, ","), F.lit("]"))))
+    texts = whole.select(listed.alias("_list"), run.alias("run"))
+    parsed = texts.select("run", F.from_json("_list", T.ArrayType(S.ANOMALY)).alias("_rows"))
+    one = parsed.select(F.explode("_rows").alias("a"), "run").filter(F.col("a.type").isNotNull())
+    return one.select(*(F.col(f"a.{c}").alias(c) for c in S.ANOMALY_COLUMNS), "run")
 
 
 def load_reports(spark: SparkSession, catalog: dict[str, str]) -> DataFrame:

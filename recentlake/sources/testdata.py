@@ -19,13 +19,17 @@ from pyspark.sql import functions as F
 
 from recentlake import schema as S
 from recentlake.functions import columns as C
-from recentlake.session import ensure_parallelism, ensure_session_conf
+from recentlake.session import ensure_session_conf
 
 # Fixed values of the fixture.
 EPOCH_US = 1_704_067_200_000_000          # 2024-01-01 00:00:00 UTC
 AS_OF_US = 1_704_070_200_000_000          # 2024-01-01 00:50:00 UTC
 AS_OF = "2024-01-01 00:50:00"
 TIME_COMPRESSION = 720
+# One page has every 17th event within one minute.
+HOT_EVERY = 17
+HOT_MINUTE_US = EPOCH_US + 1_800_000_000
+LONG_TITLE = " with a long subtitle, longer than labels of live charts are"
 
 
 def as_of_col() -> Column:
@@ -37,15 +41,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def _adapter_columns() -> dict[str, Column]:
+def _adapter_columns(compression: int) -> dict[str, Column]:
     eid, uid = F.col("event_id"), F.col("user_id")
     k = F.get_json_object(F.col("props"), "$.k")
     null_str = F.lit(None).cast("string")
-    title = F.when(eid % 101 == 0, null_str).when(eid % 53 == 0, F.concat(F.lit("p"), k)).otherwise(
-        F.concat(F.lit("page_"), k)
+    hot = eid % HOT_EVERY == 8
+    title = (
+        F.when(eid % 101 == 0, null_str).when(eid % 53 == 0, F.concat(F.lit("p"), k))
+        .when(eid % 71 == 6, F.concat(F.lit("page_"), k, F.lit(LONG_TITLE)))
+        .when(hot, F.lit("hot_page")).otherwise(F.concat(F.lit("page_"), k))
     )
     wiki = (
-        F.when(eid % 97 == 0, null_str)
+        F.when(hot, F.lit("enwiki"))
+        .when(eid % 97 == 0, null_str)
         .when(eid % 89 == 0, F.lit("unknown"))
         .when(eid % 83 == 0, F.lit(""))
         .when(uid % 5 == 0, F.lit("enwiki"))
@@ -66,9 +74,10 @@ def _adapter_columns() -> dict[str, Column]:
         .when(F.col("event_type") == "error", F.lit("delete"))
         .otherwise(F.lit("categorize"))
     )
-    event_us = F.when(eid % 113 == 0, F.lit(None).cast("long")).otherwise(
-        F.lit(EPOCH_US)
-        + F.expr(f"(unix_micros(CAST(ts AS TIMESTAMP)) - {EPOCH_US}) div {TIME_COMPRESSION}")
+    event_us = F.when(eid % 113 == 0, F.lit(None).cast("long")).when(
+        hot, F.lit(HOT_MINUTE_US) + (eid * 104_729) % 60_000_000
+    ).otherwise(
+        F.lit(EPOCH_US) + F.expr(f"(unix_micros(CAST(ts AS TIMESTAMP)) - {EPOCH_US}) div {compression}")
     )
     return {
         "event_id": eid,
@@ -86,9 +95,10 @@ def _adapter_columns() -> dict[str, Column]:
     }
 
 
-def processed_events(events: DataFrame, source: str = S.DEFAULT_SOURCE) -> DataFrame:
+def processed_events(events: DataFrame, source: str = S.DEFAULT_SOURCE,
+                     compression: int = TIME_COMPRESSION) -> DataFrame:
     """events table -> processed change events (PROCESSED columns + event_id)."""
-    cols = _adapter_columns()
+    cols = _adapter_columns(compression)
     base = events.select(*[c.alias(n) for n, c in cols.items()])
     t = F.timestamp_micros(F.col("event_us"))
     return base.select(
@@ -112,8 +122,9 @@ def processed_events(events: DataFrame, source: str = S.DEFAULT_SOURCE) -> DataF
     )
 
 
-def load_processed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return processed_events(read_table(spark, sf_dir, "events"))
+def load_processed(spark: SparkSession, sf_dir: str, compression: int = TIME_COMPRESSION) -> DataFrame:
+    """``compression=1`` keeps the table's own 30 days."""
+    return processed_events(read_table(spark, sf_dir, "events"), compression=compression)
 
 
 def raw_feed(events: DataFrame) -> DataFrame:
@@ -122,9 +133,11 @@ def raw_feed(events: DataFrame) -> DataFrame:
     Fields follow the public change feed: title, wiki, server_name, timestamp
     (epoch seconds), user, userid, bot, anonymous, type, page_id, meta{domain,
     dt, id}.  Fallback fields are filled on some rows only, and a few lines
-    are replaced by broken text, so each validation branch is reached.
+    are replaced by broken text, so each validation branch is reached.  Some
+    flags are text (``"bot":"false"``, ``"anonymous":"true"``,
+    ``"userid":"0"``) and some objects repeat a key.
     """
-    cols = _adapter_columns()
+    cols = _adapter_columns(TIME_COMPRESSION)
     eid = F.col("event_id")
     base = events.select(*[c.alias(n) for n, c in cols.items()])
     t = F.timestamp_micros(F.col("event_us"))
@@ -150,15 +163,19 @@ def raw_feed(events: DataFrame) -> DataFrame:
     value = (
         F.when(eid % 211 == 5, F.lit("{bad"))
         .when(eid % 223 == 7, F.lit("[1]"))
+        .when(eid % 61 == 3, F.regexp_replace(F.to_json(obj), '"bot":(true|false)', '"bot":"false"'))
+        .when(eid % 59 == 4, F.regexp_replace(F.regexp_replace(
+            F.to_json(obj), '"userid":[0-9]+', '"userid":"0"'), '"anonymous":(true|false)', '"anonymous":"true"'))
+        .when(eid % 67 == 5, F.regexp_replace(F.to_json(obj), "[}]$", ',"type":"edit"}'))
         .otherwise(F.to_json(obj))
     )
     return base.select("event_id", value.alias("value"))
 
 
 def load_raw_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Building the JSON text is CPU-heavy per row: when the table arrives as
-    # fewer splits than cores (one big row group), spread it first.
-    return raw_feed(ensure_parallelism(read_table(spark, sf_dir, "events")))
+    # The test table is one row group and building its JSON text costs CPU: the
+    # fixture always spreads it.
+    return raw_feed(read_table(spark, sf_dir, "events").repartition("event_id"))
 
 
 def duplicated_events(processed: DataFrame) -> DataFrame:

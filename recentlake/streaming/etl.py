@@ -81,32 +81,22 @@ def run_streams(spark: SparkSession, timeout_s: float | None = None) -> None:
             q.stop()
 
 
-def stream_staleness(query: StreamingQuery, stale_seconds: int = S.STALE_SECONDS,
-                     now: float | None = None) -> dict:
-    """Seconds since the last micro-batch that brought rows.
-
-    Reads the query's own progress reports (driver-side metadata, a few
-    dozen entries), never data.
-    """
-    now = time.time() if now is None else now
-    last = None
-    for p in query.recentProgress:
-        if p.get("numInputRows", 0) > 0:
-            last = p.get("timestamp")
-    if last is None:
-        return {"last_input_at": None, "stale": True}
-    ts = time.mktime(time.strptime(last[:19], "%Y-%m-%dT%H:%M:%S")) - time.timezone
-    age = now - ts
-    return {"last_input_at": last, "seconds_since_input": age, "stale": age > stale_seconds}
-
-
-def live_rate(query: StreamingQuery) -> dict:
-    """Rows of the last micro-batch, its rate, and the running total."""
-    progress = query.recentProgress
-    total = sum(p.get("numInputRows", 0) for p in progress)
-    last = progress[-1] if progress else {}
+def stream_staleness(state: dict | None, stale_seconds: int = S.STALE_SECONDS, now: float | None = None) -> dict:
+    """Seconds since the last micro-batch that brought rows (L6), from the
+    row that ``RunningTotal.current`` returns."""
+    last = state and state["last_input_us"]
+    if not last:
+        return {"last_input_us": None, "stale": True}
+    age = (time.time() if now is None else now) - last / 1e6
+    return {"last_input_us": last, "seconds_since_input": age, "stale": age > stale_seconds}
+
+
+def live_rate(query: StreamingQuery, state: dict | None) -> dict:
+    """Arrival rate of the last micro-batch (A25: rows over the time since the
+    batch before it) and the running total (A26)."""
+    last = query.lastProgress or {}
     return {
-        "last_batch_rows": last.get("numInputRows", 0),
-        "events_per_sec": round(float(last.get("processedRowsPerSecond", 0.0) or 0.0), 2),
-        "total_received": total,
+        "last_batch_rows": state["last_batch_rows"] if state else 0,
+        "events_per_sec": round(float(last.get("inputRowsPerSecond", 0.0) or 0.0), 2),
+        "total_received": state["total_received"] if state else 0,
     }

@@ -28,8 +28,7 @@ def spark():
     )
     s.sparkContext.setLogLevel("ERROR")
     ensure_session_conf(s)
-    # only used when the session names no shared checkpoint folder
-    checkpoint_root(s, fallback=tempfile.mkdtemp(prefix="recentlake-ckpt-", dir="/tmp"))
+    checkpoint_root(s)
     yield s
 
 

@@ -57,8 +57,30 @@ def test_routing_and_errors(spark):
     assert by_id[2] == [(S.TOPIC_RAW, "enwiki")]
     assert by_id[3] == [(S.TOPIC_ERRORS, "unknown")]
     assert by_id[4] == [(S.TOPIC_ERRORS, "frwiki")]
-    err = I.error_records(I.validate_events(lines(spark, ["x" * 2500])), F.current_timestamp()).first()
-    assert err["error_reason"] == "invalid_json" and len(err["raw_data"]) == 2000 and err["partial_event"] is None
+    long = I.validate_events(lines(spark, ["x" * 2500]))
+    err = I.error_records(long, F.current_timestamp()).first()
+    assert err["error_reason"] == "invalid_json" and len(err["raw_data"]) == 2500 and err["partial_event"] is None
+    cut = I.error_records(long, F.current_timestamp(), raw_max_chars=S.RAW_DATA_MAX_CHARS).first()
+    assert len(cut["raw_data"]) == 2000
+
+
+def test_flags_by_json_type_and_repeated_keys(spark):
+    base = {k: v for k, v in GOOD.items() if k not in ("bot", "user")}
+    cases = [({"bot": "false"}, True, False), ({"bot": ""}, False, False), ({"bot": 0}, False, False), ({"bot": 2}, True, False),
+             ({"bot": None}, False, False), ({"bot": []}, False, False), ({"bot": [0]}, True, False), ({}, False, False),
+             ({"anonymous": "true"}, False, False), ({"anonymous": 1}, False, False), ({"anonymous": True}, False, True),
+             ({"userid": "0"}, False, False), ({"userid": 0}, False, True), ({"userid": 0.0}, False, True),
+             ({"userid": 0.5}, False, False), ({"userid": False}, False, True), ({"userid": 7}, False, False)]
+    v = I.validate_events(lines(spark, [json.dumps({**base, **c}) for c, _, _ in cases]))
+    got = {r["id"]: (r["is_bot"], r["is_anonymous"]) for r in I.enrich_events(v, keep=["id"]).collect()}
+    assert [got[k] for k in range(len(cases))] == [(b, a) for _, b, a in cases]
+    twice = I.enrich_events(I.validate_events(lines(spark, ['{"title":"A","title":"B","wiki":"w","timestamp":1}']))).first()
+    assert twice["title"] == "B"
+
+
+def test_bounded_batch(spark):
+    raw = lines(spark, [json.dumps(GOOD)] * 5)
+    assert I.bounded_batch(raw, 3).count() == 3 and I.bounded_batch(raw, None).count() == 5
 
 
 def test_topic_volumes_include_empty_topics(spark):

@@ -79,10 +79,29 @@ def test_lake_inventory(spark, scratch):
     ev = make_events(spark, [{"t": 1}, {"t": 2}])
     ev.coalesce(1).write.json(os.path.join(scratch, "processed", "batch=1"))
     counts, first = M.zone_inventory(spark, os.path.join(scratch, "processed"))
-    assert counts.first()["json_file_count"] == 1
+    assert counts.first()["file_count"] == 1
     assert first.count() == 1
-    health = M.lake_health(spark, os.path.join(scratch, "processed"), os.path.join(scratch, "reports")).first()
-    assert health["overall_healthy"] is True and health["top_pages_files"] == 0
+    os.makedirs(os.path.join(scratch, "reports", "users"))
+    health = M.lake_health(spark, [os.path.join(scratch, "processed")], os.path.join(scratch, "reports")).first()
+    assert health["overall_healthy"] is True and health["top_pages_present"] is False and health["users_present"] is True
+    ev.write.parquet(os.path.join(scratch, "columnar"))
+    health = M.lake_health(spark, [os.path.join(scratch, "columnar"), os.path.join(scratch, "none")], scratch, fmt="parquet").first()
+    assert health["overall_healthy"] is True and health["file_count"] >= 1
+
+
+def test_report_coverage(spark):
+    reports = spark.createDataFrame([("a", True), ("b", False), ("c", True)], "name string, loaded boolean")
+    assert tuple(M.report_coverage(reports).first()) == (2, 3)
+
+
+def test_known_dags_without_runs(spark):
+    runs = spark.createDataFrame([("a", "r1", "failed", datetime(2024, 1, 1), False)],
+                                 "dag_id string, run_id string, state string, start_date timestamp, is_paused boolean")
+    tasks = spark.createDataFrame([], "dag_id string, run_id string, state string, duration_sec double")
+    dags = spark.createDataFrame([("a",), ("b",), ("c",)], "dag_id string")
+    assert M.run_monitoring(runs, tasks, dags).count() == 3
+    assert M.pipeline_failure_rate(runs, dags).first()[0] == 33.33
+    assert M.run_summary(runs, tasks, dags).first()["total_dags"] == 3
 
 
 def test_monitoring_job_versioned(spark, scratch):
@@ -99,7 +118,11 @@ def test_monitoring_job_versioned(spark, scratch):
                                   "dag_id string, run_id string, task_id string, state string, duration_sec double, "
                                   "try_number int")
     layout = LakeLayout(os.path.join(scratch, "lake"))
-    run_path, latest = J.monitoring_job(spark, layout, runs, tasks, as_of=datetime(2024, 1, 2, tzinfo=timezone.utc))
+    lag = spark.createDataFrame([("t", 0, 10, 4, 6)], "topic string, partition int, end_offset long, committed_offset long, lag long")
+    written = J.monitoring_job(spark, layout, runs, tasks, lag, datetime(2024, 1, 2, tzinfo=timezone.utc))
+    assert spark.read.json(written["dags"][1]).first()["last_run_state"] == "failed"
+    assert spark.read.json(written["lag"][0]).first()["lag"] == 6
+    run_path, latest = written["summary"]
     a = json.loads(spark.read.text(run_path).first()[0])
     b = json.loads(spark.read.text(latest).first()[0])
     assert a == b and a["dag_failure_rate_pct"] == 100.0 and a["total_task_failures"] == 1

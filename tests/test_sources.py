@@ -53,6 +53,24 @@ def test_report_catalogue(spark, scratch):
     assert SRC.latest_generated_at(reports).first()[0] == datetime(2024, 1, 1, 0, 10)
 
 
+def opts_of(mode):
+    return K.kafka_options("b:9092", S.TOPIC_RAW, mode=mode)
+
+
+def test_anomaly_history_forms(spark, scratch):
+    one = {"type": "spam_heuristic", "page": "P", "severity": "low", "edit_count": 4}
+    for name, text in (("doc", json.dumps({"generated_at": "x", "anomalies": [one, {**one, "page": "Q"}]}, indent=1)),
+                       ("list", json.dumps([{**one, "page": "R"}])), ("lines", json.dumps({**one, "page": "S"}) + "\n{broken\n"),
+                       ("empty", json.dumps({"anomalies": []}))):
+        os.makedirs(os.path.join(scratch, "anomalies"), exist_ok=True)
+        with open(os.path.join(scratch, "anomalies", f"{name}.json"), "w") as f:
+            f.write(text)
+    got = SRC.load_anomalies(spark, os.path.join(scratch, "anomalies"))
+    assert sorted((r["page"], r["run"], r["edit_count"]) for r in got.collect()) == [
+        ("P", "doc", 4), ("Q", "doc", 4), ("R", "list", 4), ("S", "lines", 4)]
+    assert SRC.load_anomalies(spark, os.path.join(scratch, "none")).count() == 0
+
+
 def test_decode_kafka_rows(spark):
     rec = {"title": "T", "wiki": "enwiki", "user": "u", "is_bot": True, "is_anonymous": False,
            "event_type": "edit", "ingestion_timestamp": "2024-01-01T00:00:05+00:00", "source": "s",
@@ -64,8 +82,11 @@ def test_decode_kafka_rows(spark):
     assert decoded[0]["title"] == "T" and decoded[0]["page_id"] == "7" and decoded[0]["kafka_key"] == "enwiki"
     assert decoded[0]["event_time"] == datetime(2024, 1, 1, 0, 0, 5)
     assert decoded[1]["title"] is None and decoded[1]["event_time"] is None
-    ok, bad = K.quarantine_invalid(K.decode_kafka(rows))
-    assert ok.count() == 1 and bad.count() == 1
+    assert K.json_objects(rows).count() == 1 and K.other_messages(rows).count() == 1
+    assert opts_of("replay")["failOnDataLoss"] == "true"
+    batch = K.batch_options("b:9092", S.TOPIC_RAW, since_ms=5)
+    assert batch["startingTimestamp"] == "5" and "startingOffsets" not in batch
+    assert K.batch_options("b:9092", S.TOPIC_RAW)["startingOffsets"] == "earliest"
     opts = K.kafka_options("b:9092", S.TOPIC_RAW, "g", mode="new", max_offsets_per_trigger=100)
     assert opts["startingOffsets"] == "latest" and opts["maxOffsetsPerTrigger"] == "100"
 

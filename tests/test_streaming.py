@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from recentlake import schema as S
 from recentlake.operators import ingest as I
+from recentlake.operators import anomalies as A
 from recentlake.operators import live as L
+from recentlake.operators import reports as R
 from recentlake.sources import files as SRC
 from recentlake.sources import testdata as TD
 from recentlake.streaming import etl as ETL
@@ -59,22 +61,35 @@ def test_processed_sink_restart_no_duplicates(spark, scratch):
 
 def test_dedupe_stream_and_minute_counts(spark, scratch):
     ev = TD.duplicated_events(TD.load_processed(spark, SF))
+    # rows without a key are no copies of each other
+    lone = ev.filter(F.col("event_id") % 40 == 0).withColumn("kafka_partition", F.lit(None).cast("int")) \
+        .withColumn("kafka_offset", F.lit(None).cast("long"))
+    ev = ev.unionByName(lone)
     src = os.path.join(scratch, "events")
     ev.repartition(3).write.parquet(src)
     stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(src)
-    stream = stream.filter(F.col("event_time").isNotNull())
     q = (LV.dedupe_stream(stream, "365 days").writeStream.format("memory").queryName("dedup_out")
          .option("checkpointLocation", os.path.join(scratch, "ck1")).trigger(availableNow=True).start())
     q.awaitTermination(120)
-    want = L.dedupe_offsets(ev.filter(F.col("event_time").isNotNull())).count()
+    want = L.dedupe_offsets(ev).count()
     assert spark.table("dedup_out").count() == want
 
-    counts = LV.per_minute_counts(stream, "1 minute")
+    as_of = F.to_timestamp(F.lit("2024-01-01 00:50:00"))
+    counts = LV.per_minute_counts(stream, "1 minute", by=(), untimed_at=as_of)
     q2 = (counts.writeStream.format("memory").queryName("minute_out").outputMode("complete")
           .option("checkpointLocation", os.path.join(scratch, "ck2")).trigger(availableNow=True).start())
     q2.awaitTermination(120)
-    total = spark.table("minute_out").agg(F.sum("event_count")).first()[0]
-    assert total == ev.filter(F.col("event_time").isNotNull()).count()
+    got = {r["minute"]: r["n"] for r in spark.table("minute_out").groupBy("minute").agg(F.sum("event_count").alias("n")).collect()}
+    timed = ev.drop("ingestion_timestamp", "kafka_timestamp")
+    assert got == {r["minute"]: r["event_count"] for r in R.activity_by_minute(timed).collect()}
+
+    rate = LV.bot_rate_stream(stream, "1 minute", threshold=5, untimed_at=as_of)
+    q3 = (rate.writeStream.format("memory").queryName("rate_out").outputMode("complete")
+          .option("checkpointLocation", os.path.join(scratch, "ck3")).trigger(availableNow=True).start())
+    q3.awaitTermination(120)
+    keyed = A._keyed(timed, as_of, ("event_id",))
+    batch = {(r["timestamp"], r["edits_per_minute"]) for r in A.bot_rate(keyed, 5).collect()}
+    assert {(r["timestamp"], r["edits_per_minute"]) for r in spark.table("rate_out").collect()} == batch and batch
 
 
 def test_live_buffer_foreach_batch(spark, scratch):
@@ -115,13 +130,34 @@ def test_fan_out_rate_and_staleness(spark, scratch):
             seen[(name, batch_id)] = batch.count()
         return sink
 
-    q = ETL.fan_out(stream, {"a": count_sink("a"), "b": count_sink("b")}, os.path.join(scratch, "ck"),
+    total = LV.RunningTotal(os.path.join(scratch, "total"))
+    q = ETL.fan_out(stream, {"a": count_sink("a"), "b": count_sink("b"), "total": total}, os.path.join(scratch, "ck"),
                     trigger={"availableNow": True})
     q.awaitTermination(120)
     a = sum(v for (n, _), v in seen.items() if n == "a")
     b = sum(v for (n, _), v in seen.items() if n == "b")
     assert a == b == ev.count()
-    rate = ETL.live_rate(q)
+    rate = ETL.live_rate(q, total.current(spark))
     assert rate["total_received"] == ev.count() and rate["last_batch_rows"] > 0
-    stale = ETL.stream_staleness(q, stale_seconds=3600)
-    assert stale["stale"] is False and stale["last_input_at"] is not None
+    stale = ETL.stream_staleness(total.current(spark), stale_seconds=3600)
+    assert stale["stale"] is False and stale["last_input_us"] is not None
+    assert ETL.stream_staleness(None)["stale"] is True
+
+
+def test_running_total_after_many_batches(spark, scratch):
+    total = LV.RunningTotal(os.path.join(scratch, "total"))
+    for b in range(150):
+        total(spark.range(b % 3), b)
+    total(spark.range(149 % 3), 149)  # delivered again
+    assert total.current(spark)["total_received"] == sum(b % 3 for b in range(150))
+
+
+def test_live_totals(spark, scratch):
+    ev = TD.load_processed(spark, SF)
+    src = os.path.join(scratch, "events")
+    ev.write.parquet(src)
+    stream = spark.readStream.schema(ev.schema).parquet(src)
+    q = (LV.live_totals(stream).writeStream.format("memory").queryName("totals_out").outputMode("complete")
+         .option("checkpointLocation", os.path.join(scratch, "ck")).trigger(availableNow=True).start())
+    q.awaitTermination(120)
+    assert spark.table("totals_out").agg(F.sum("events"), F.sum("bots")).first() == ev.agg(F.count("*"), F.count_if("is_bot")).first()
