@@ -72,4 +72,69 @@ select doc_id, cast(n_words as bigint) as n_words, cast(n_removed as bigint) as
 from flagged
 """
 
-SQL = {"op5_repeated_spans": _REPEATS, "op10_mix_sources": _MIX}
+_LINKED = r"""
+with recursive split as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') as words
+  from documents
+), listed as (
+  select doc_id, case when len(words) = 0 then [] when len(words) < 5 then [array_to_string(words, ' ')]
+         else list_distinct([array_to_string(words[i:i + 4], ' ') for i in range(1, len(words) - 3)]) end as shingles
+  from split
+), tokens as (
+  select doc_id, len(shingles) as n, unnest(shingles) as shingle from listed
+), pairs as (
+  select a.doc_id as a, b.doc_id as b, a.n as na, b.n as nb, count(*) as common
+  from tokens a join tokens b on a.shingle = b.shingle and a.doc_id <> b.doc_id
+    and 5 * a.n >= 4 * b.n and 5 * b.n >= 4 * a.n
+  group by all
+), links as (
+  select a, b from pairs where 100 * common >= 80 * (na + nb - common)
+), reach(a, b) as (
+  select a, b from links
+  union
+  select r.a, l.b from reach r join links l on r.b = l.a
+), smallest as (
+  select a, min(b) as b from reach group by a
+)
+select doc_id, cast(len(shingles) as bigint) as n_shingles, least(doc_id, coalesce(b, doc_id)) as component_id
+from listed left join smallest on doc_id = a
+"""
+
+_ARCHIVE = r"""
+with hashed as (
+  select page_id, url, coalesce(html, '') as html, sha1(coalesce(html, '')) as digest from pages
+), best as (
+  select digest, max(page_id) as last from hashed group by digest
+)
+select page_id, url, cast(strlen(html) as bigint) as payload_bytes,
+       array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + cast((cast('0x' || substr(digest, 10 * (x // 8) + 1, 10) as ubigint)
+                               >> (35 - 5 * (x % 8))) & 31 as integer), 1) for x in range(0, 32)], '') as payload_digest,
+       case when page_id < last then 'revisit' else 'response' end as record_type,
+       case when page_id < last then last end as refers_to
+from hashed join best using (digest)
+"""
+
+_STATISTICS = r"""
+with split as (
+  select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents
+), windows as (
+  select doc_id, i, array_to_string(words[i:i + 4], ' ') as w
+  from (select doc_id, words, unnest(range(1, len(words) - 3)) as i from split where len(words) >= 5)
+), twice as (
+  select doc_id, i from windows qualify count(*) over (partition by doc_id, w) > 1
+), repeated as (
+  select doc_id, count(distinct i + j) as n from twice, range(0, 5) as r(j) group by doc_id
+), counted as (
+  select doc_id, cast(len(words) as bigint) as n_words,
+         cast(coalesce(list_sum([length(w) for w in words]), 0) as bigint) as word_chars,
+         cast(length(text) - length(translate(text, '#*$%&|<>', '')) as bigint) as n_symbols,
+         cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines
+  from (select *, [l for l in string_split(text, chr(10)) if regexp_matches(l, '[^\x20\x09-\x0D]')] as lines from split)
+)
+select c.*, coalesce(n, 0) as n_repeat_words, n_words < 10 or 100 * coalesce(n, 0) > 20 * n_words as base_failed
+from counted c left join repeated r using (doc_id)
+"""
+
+SQL = {"op3_shingle_join": _LINKED, "op4_warc_archive": _ARCHIVE, "text_statistics": _STATISTICS,
+       "op5_repeated_spans": _REPEATS, "op10_mix_sources": _MIX}

@@ -66,8 +66,16 @@ def op3_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.joined(read_table(spark, sf_dir, "documents"))
 
 
+def text_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts that operator 9 starts from, and its base rule."""
+    stats = quality_rules.text_statistics(read_table(spark, sf_dir, "documents"), ("doc_id",))
+    return stats.select("*", quality_rules.base_failed_column().alias("base_failed"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op")}
+    return {f.__name__: f for f in (
+        op1_main_text, op2_fingerprints, op3_shingle_join, op4_warc_archive, op5_repeated_spans, op6_wavelet_tokens,
+        op7_sampled_pieces, op8_quality_net, op9_quality_rules, op10_mix_sources, text_statistics)}
 
 
 def oracle_sql() -> dict[str, str]:
