@@ -2,7 +2,8 @@
 
 A shard holds the ids of consecutive documents as one bit-plane per id bit,
 highest first.  Each plane is the stable partition of the one above: ids with
-a zero bit first.  With a running count of ones per ``RANK_BLOCK`` bits, a
+a zero bit first.  The planes hold ranks in the shard's own alphabet, the ids
+that occur in it.  With a running count of ones per ``RANK_BLOCK`` bits, a
 plane answers rank and select, and with them the shard answers
 
 * ``access(positions)``: the ids at positions,
@@ -225,8 +226,13 @@ def _directory(packed: np.ndarray) -> np.ndarray:
 def shard_bytes(ids: np.ndarray, bits: int, documents: bytes) -> list[bytes]:
     """The parts of a shard file; ``documents`` is its table of documents."""
     table = zlib.compress(documents)
-    parts = [MAGIC, struct.pack("<QIQ", len(ids), bits, len(table)), table]
-    for zeros, packed, directory in build_planes(ids, bits):
+    seen = np.zeros(1 << bits, bool)
+    seen[ids] = True
+    alphabet = np.flatnonzero(seen).astype(np.uint32)
+    rank = np.cumsum(seen, dtype=np.uint32) - np.uint32(1)
+    bits = max(1, (len(alphabet) - 1).bit_length())
+    parts = [MAGIC, struct.pack("<QIQQ", len(ids), bits, len(table), len(alphabet)), table, alphabet.tobytes()]
+    for zeros, packed, directory in build_planes(rank[ids], bits):
         parts += [struct.pack("<QQQ", zeros, len(packed), len(directory)), packed, directory]
     return parts
 
@@ -237,10 +243,12 @@ class Shard:
     def __init__(self, content: bytes):
         if content[:8] != MAGIC:
             raise ValueError("not a token shard")
-        self.n, self.bits, size = struct.unpack_from("<QIQ", content, 8)
-        at = 8 + struct.calcsize("<QIQ")
+        self.n, self.bits, size, letters = struct.unpack_from("<QIQQ", content, 8)
+        at = 8 + struct.calcsize("<QIQQ")
         self.documents = zlib.decompress(content[at:at + size])
         at += size
+        self.alphabet = np.frombuffer(content, np.uint32, letters, at)
+        at += 4 * letters
         self.planes = []
         for _ in range(self.bits):
             zeros, n_bits, n_dir = struct.unpack_from("<QQQ", content, at)
@@ -250,6 +258,11 @@ class Shard:
             self.planes.append((zeros, packed, directory))
             at += n_bits + n_dir
 
+    def _letter(self, token: int) -> int | None:
+        """Rank of a token in the alphabet, None if it doesn't occur."""
+        at = int(np.searchsorted(self.alphabet, token))
+        return at if at < len(self.alphabet) and self.alphabet[at] == token else None
+
     def _ones(self, plane: int, ends: np.ndarray) -> np.ndarray:
         """Ones of a plane before each of ``ends``."""
         _, packed, directory = self.planes[plane]
@@ -271,7 +284,7 @@ class Shard:
             ones = self._ones(k, at)
             at = np.where(bit == 1, zeros + ones, at - ones)
             out = (out << np.uint32(1)) | bit
-        return out
+        return self.alphabet[out] if len(out) else out
 
     def _range(self, token: int, end: int) -> tuple[int, int]:
         lo, hi = 0, end
@@ -283,14 +296,16 @@ class Shard:
 
     def count(self, token: int, end: int | None = None) -> int:
         """Occurrences of ``token`` before position ``end``."""
-        if token >> self.bits:
+        token = self._letter(token)
+        if token is None:
             return 0
         lo, hi = self._range(token, self.n if end is None else end)
         return hi - lo
 
     def occurrences(self, token: int) -> np.ndarray:
         """All positions of ``token``, ascending: select from the last plane up."""
-        if token >> self.bits:
+        token = self._letter(token)
+        if token is None:
             return np.zeros(0, np.int64)
         at = np.arange(*self._range(token, self.n), dtype=np.int64)
         for k in range(self.bits - 1, -1, -1):
@@ -316,7 +331,7 @@ class Shard:
             above[~ones] = row[:zeros]
             above[ones] = row[zeros:]
             row = above
-        return row.astype(np.uint32)
+        return self.alphabet[row] if self.n else row.astype(np.uint32)
 
 
 # -- writing and reading shards ------------------------------------------------
