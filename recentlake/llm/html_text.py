@@ -9,6 +9,9 @@ list.  A decision tree, trained on the small table ``LABELLED`` when the
 operator starts, marks the blocks of the article; these are joined by line
 feeds in page order.
 
+Elements are told by their tags and by words in class, id and role (``HINTS``);
+such a word on an element around ``main`` does not count.
+
 Scripts, styles, comments and markup are never text; character references
 are decoded, white space inside a block becomes one space, nothing else is
 dropped or cut.  Unclosed and stray tags are tolerated: a closing tag closes
@@ -166,6 +169,11 @@ def blocks(page: str) -> list[Block]:
                 pop()
         elif stack and stack[-1][0] == "p" and tag != "span":
             pop()
+        if tag == "main" and never:
+            # What holds the page's main part is no notice or sidebar, whatever its classes say.
+            kept = [(t, a if t in NEVER else 0, b, c, d) for t, a, b, c, d in stack]
+            never -= sum(x[1] for x in stack) - sum(x[1] for x in kept)
+            stack[:] = kept
         in_article = content > 0
         out = tag in NEVER or tag == "header" and not in_article or \
             tag not in ("html", "body", "article", "main") and _marked(token[3])

@@ -18,6 +18,7 @@ A, B, C = prose(25, 1), prose(31, 2), prose(27, 3)
     ("<article><p>a<script>var x='</p><p>no';</script>b<style>p{}</style><!-- <p>c</p> -->d</article>", "abd"),
     ("<article><p>half <b>open <i>tags</p><p>next</article></div></p>", "half open tags\nnext"),
     ("<article class='post has-sidebar'><p>kept</p><p hidden>gone</p><p style='display: none'>gone</p></article>", "kept"),
+    ("<div class='page sidebar-left'><main><p>in</p><div class=sidebar><p>out</p></div></main><p>after</p></div>", "in"),
     ("<article><p>1 &lt; 2 &#65;&#x42;</p><p>a<b", "1 < 2 AB\na"),
     (f"<div class='cookie-notice'><p>{A}</p></div><div id=main><p>{B}</p><p>ok</p><p>{C}</p></div><div class=sidebar><p>{A}</p></div>", f"{B}\nok\n{C}"),
     (f"<header><p>{A}</p></header><div><a href=1>a b</a> <a href=2>c d</a></div><p>{B}</p><p>{C}</p><div><a href=3>more links here</a></div>", f"{B}\n{C}"),
