@@ -63,7 +63,7 @@ def op5_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shingle_join.joined(read_table(spark, sf_dir, "documents"))
+    return shingle_join.joined(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def text_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -126,8 +126,10 @@ def hot_shingles(docs: DataFrame) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, hot: np.ndarray) -> DataFrame:
-    """``doc_id, n, k1, k2, prefix`` of every row."""
-    picked = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    """``doc_id, tag, n, k1, k2, prefix`` of every row; ``tag`` tells rows of
+    one ``doc_id`` apart by their text."""
+    picked = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc_id"), F.xxhash64("text").alias("tag"),
+                         F.col("text").cast("string").alias("text"))
 
     def run(batches):
         order = np.argsort(hot)
@@ -151,10 +153,10 @@ def prefixes(docs: DataFrame, hot: np.ndarray) -> DataFrame:
             bounds = np.concatenate([[0], np.cumsum([len(p) for p in prefix])]).astype(np.int32)
             flat = np.concatenate([np.zeros(0, np.uint64), *prefix]).view(np.int64)
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()),
-                pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat))], ["doc_id", "n", "k1", "k2", "prefix"])
+                batch.column("doc_id"), batch.column("tag"), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()),
+                pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat))], ["doc_id", "tag", "n", "k1", "k2", "prefix"])
 
-    return picked.mapInArrow(run, "doc_id bigint, n bigint, k1 bigint, k2 bigint, prefix array<bigint>")
+    return picked.mapInArrow(run, "doc_id bigint, tag bigint, n bigint, k1 bigint, k2 bigint, prefix array<bigint>")
 
 
 def _by_band(values: np.ndarray, band):
@@ -364,7 +366,7 @@ def _rest(key, rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def joined(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every row."""
+    """``doc_id, n_shingles, component_id, tag`` of every row."""
     found = saved(prefixes(docs, hot_shingles(docs)), "prefixes")
     classes = found.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
     shared = shared_shingles(found)
@@ -381,13 +383,15 @@ def joined(docs: DataFrame) -> DataFrame:
     rows = found.join(placed, (F.col("k1") == F.col("__k1")) & (F.col("k2") == F.col("__k2")) & (F.col("n") > 0), "left")
     known = lambda c: F.when(F.col(c) != LAST_ID, F.col(c))
     return rows.select(known("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"),
-                       F.coalesce(known("__component"), known("doc_id")).alias("component_id"))
+                       F.coalesce(known("__component"), known("doc_id")).alias("component_id"), "tag")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """One row of each component: those whose ``doc_id`` names it; of equal
     rows of one ``doc_id`` the first.  Rows without an id stay unless they
     link with a row that has one."""
-    stay = joined(docs).where("component_id is null or component_id = doc_id").select(F.col("doc_id").alias("__d")).distinct()
-    kept = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("__d")), "left_semi")
-    return kept.withColumn("__key", F.xxhash64("text")).dropDuplicates(["doc_id", "__key"]).drop("__key")
+    stay = joined(docs).where("component_id is null or component_id = doc_id") \
+        .select(F.col("doc_id").alias("__d"), F.col("tag").alias("__t")).distinct()
+    keyed = docs.withColumn("__key", F.xxhash64("text"))
+    kept = keyed.join(stay, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__key") == F.col("__t")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "__key"]).drop("__key")
