@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from recentlake import schema as S
 from recentlake.operators import ingest as I
-from recentlake.sources.kafka import add_event_time, decode_kafka
+from recentlake.sources.kafka import add_event_time, decode_kafka, json_objects
 
 
 def ingest_stream(raw_lines: DataFrame, ingestion_ts: Column | None = None,
@@ -30,6 +30,12 @@ def processed_stream(kafka_rows: DataFrame) -> DataFrame:
     return add_event_time(decode_kafka(kafka_rows))
 
 
+def live_stream(kafka_rows: DataFrame) -> DataFrame:
+    """Kafka-shaped rows (streaming) -> events of the live views: messages
+    whose value is no JSON object are not shown."""
+    return processed_stream(json_objects(kafka_rows))
+
+
 def messages_as_processed(messages: DataFrame, topic: str = S.TOPIC_RAW) -> DataFrame:
     """Routed messages of one topic -> processed events, without a broker.
 

@@ -40,6 +40,18 @@ def test_ingest_stream_equals_batch(spark, scratch):
     assert got == want and len(got) > 1000
 
 
+def test_live_stream_drops_other_messages(spark, scratch):
+    rows = spark.createDataFrame([(b"k", v, "t", 0, i, None) for i, v in enumerate(
+        (b'{"title": "A"}', b"not json", b"[1]", b"null", None, b' {"title": "B"}'))], S.KAFKA_ROW)
+    src = os.path.join(scratch, "kafka")
+    rows.write.parquet(src)
+    stream = spark.readStream.schema(S.KAFKA_ROW).parquet(src)
+    q = (ETL.live_stream(stream).writeStream.format("memory").queryName("live_out")
+         .option("checkpointLocation", os.path.join(scratch, "ck")).trigger(availableNow=True).start())
+    q.awaitTermination(120)
+    assert sorted(r["title"] for r in spark.table("live_out").collect()) == ["A", "B"]
+
+
 def test_processed_sink_restart_no_duplicates(spark, scratch):
     raw_dir = _write_raw_files(spark, scratch)
     fixed = F.to_timestamp(F.lit("2024-01-01 00:50:00"))
