@@ -43,7 +43,8 @@ MARK = 0x2581
 BYTE = 0x110000
 #: Probabilities are counted in these units, so that sums are exact.
 UNIT = 1 << 30
-BLOCK_CHARS = 3 << 20
+#: Characters encoded at once: a lattice of some 100 bytes for each.
+BLOCK_CHARS = 1 << 19
 
 _FACTOR = 0x2545F4914F6CDD1D
 _CHUNK, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
