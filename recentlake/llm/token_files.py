@@ -122,7 +122,7 @@ class WordEncoder:
 
     def _clear(self) -> None:
         self.words, self.word_ids = _Numbers(), _Runs()
-        if len(self.parts) > MEMO_WORDS:
+        if len(self.parts) > 2 * MEMO_WORDS:
             self.parts, self.part_ids = _Numbers(), _Runs()
 
     def _learn_parts(self) -> None:
@@ -210,7 +210,7 @@ def build_planes(ids: np.ndarray, bits: int) -> list[tuple[int, bytes, bytes]]:
     planes = []
     row = ids.astype(np.uint16 if bits <= 16 else np.uint32)
     for shift in range(bits - 1, -1, -1):
-        ones = (row >> row.dtype.type(shift)) & row.dtype.type(1) != 0
+        ones = (row & row.dtype.type(1 << shift)).astype(bool)
         packed = np.packbits(ones, bitorder="little")
         planes.append((int(len(ones) - ones.sum()), packed.tobytes(), _directory(packed).tobytes()))
         row = np.concatenate([row[~ones], row[ones]])
