@@ -38,7 +38,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recentlake.llm.common import HashIndex, mix64, run_hashes, runs, saved, text_blocks, windows
@@ -172,11 +172,16 @@ def _band(n):
 def shared_shingles(found: DataFrame) -> DataFrame:
     """``shingle, key, n, band, df``: prefix shingles of two classes and more,
     of the classes that keep enough of them to be linked."""
-    rows = found.where(F.size("prefix") > 0).select(F.explode("prefix").alias("shingle"), F.col("k1").alias("key"), "n")
-    several = rows.groupBy("shingle").agg(F.min("key").alias("__lo"), F.max("key").alias("__hi")).where("__lo <> __hi").select("shingle")
-    kept = saved(rows.join(several, "shingle", "left_semi").distinct(), "shared")
-    enough = kept.groupBy("key", "n").agg(F.count(F.lit(1)).alias("__count"))
-    enough = enough.withColumn("band", _band(F.col("n"))).where(F.col("__count") > _by_band(SUBCLASSES, F.col("band"))).select("key", "band")
+    rows = found.where(F.size("prefix") > 0).select(F.explode("prefix").alias("shingle"), F.col("k1").alias("key"))
+    # One exchange for counting and choosing.  A row is two longs, and a class
+    # has each shingle once, so even a shingle of a third of all classes is a
+    # small part of the rows; a window reads it as a stream and spills.
+    of = Window.partitionBy("shingle")
+    several = F.min("key").over(of) != F.max("key").over(of)
+    kept = saved(rows.select("shingle", "key", several.alias("__several")).where("__several").select("shingle", "key").distinct(), "shared")
+    sizes = found.where(F.size("prefix") > 0).select(F.col("k1").alias("key"), "n").distinct()
+    enough = kept.groupBy("key").agg(F.count(F.lit(1)).alias("__count")).join(sizes, "key")
+    enough = enough.withColumn("band", _band(F.col("n"))).where(F.col("__count") > _by_band(SUBCLASSES, F.col("band"))).select("key", "n", "band")
     kept = kept.join(enough, "key")
     df = kept.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     return saved(kept.join(df, "shingle"), "candidates")
@@ -244,16 +249,22 @@ def whole_sets(docs: DataFrame, reps: DataFrame) -> DataFrame:
         .join(wanted, F.col("__id") == F.col("__rep")).select("__key", "__k2", "__rep", "text")
 
     def run(batches):
+        last = None
         for batch in batches:
             keys, seconds, reps_ = (batch.column(c).to_pylist() for c in ("__key", "__k2", "__rep"))
             found = [s for _, _, data, offs in text_blocks(batch.column("text")) for s in shingle_sets(data, offs)]
-            # Rows of one doc_id may differ in text: keep the one that is meant.
-            own = [k for k, s in enumerate(found) if set_key(s) == (keys[k], seconds[k])]
+            # Rows of one doc_id may differ in text: keep the one that is meant,
+            # and the first of neighbouring repeats (others change no link).
+            own = []
+            for k, s in enumerate(found):
+                if set_key(s) == (keys[k], seconds[k]) and (keys[k], reps_[k]) != last:
+                    own.append(k)
+                    last = keys[k], reps_[k]
             yield pa.RecordBatch.from_arrays([
                 pa.array([keys[k] for k in own], pa.int64()), pa.array([reps_[k] for k in own], pa.int64()),
                 pa.array([found[k].tobytes() for k in own], pa.binary())], ["key", "rep", "shingles"])
 
-    return picked.mapInArrow(run, "key bigint, rep bigint, shingles binary").dropDuplicates(["key", "rep"])
+    return picked.mapInArrow(run, "key bigint, rep bigint, shingles binary")
 
 
 def _linked(common, na, nb):
@@ -390,8 +401,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """One row of each component: those whose ``doc_id`` names it; of equal
     rows of one ``doc_id`` the first.  Rows without an id stay unless they
     link with a row that has one."""
+    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("__id"), F.xxhash64("text").alias("__key")]
     stay = joined(docs).where("component_id is null or component_id = doc_id") \
-        .select(F.col("doc_id").alias("__d"), F.col("tag").alias("__t")).distinct()
-    keyed = docs.withColumn("__key", F.xxhash64("text"))
-    kept = keyed.join(stay, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__key") == F.col("__t")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__key"]).drop("__key")
+        .select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("__id"), F.col("tag").alias("__key")).distinct()
+    # Join and dedup by the same key: the texts are shuffled once.
+    kept = docs.select("*", *key).join(stay, ["__id", "__key"], "left_semi").dropDuplicates(["__id", "__key"])
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
