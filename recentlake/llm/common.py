@@ -60,15 +60,25 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/llm/{name}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+def saved(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFrame:
     """``df`` written to the shared folder and read again: a lineage cut that
-    outlives lost executors."""
+    outlives lost executors.  Its path is added to ``paths``, for ``discard``."""
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
+    if paths is not None:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete written tables that nothing reads any more."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+
+
 def spread(spark: SparkSession) -> int:
     """Partitions of an explicit exchange: the session's shuffle setting."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

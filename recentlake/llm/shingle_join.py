@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recentlake.llm.common import HashIndex, mix64, run_hashes, runs, saved, text_blocks, windows
+from recentlake.llm.common import HashIndex, discard, mix64, run_hashes, runs, saved, text_blocks, windows
 from recentlake.llm.components import components
 
 SHINGLE = 5
@@ -169,7 +169,7 @@ def _band(n):
     return F.size(F.filter(F.array(*(F.lit(int(v)).cast("long") for v in BANDS[:80])), lambda v: v <= n)) - 1
 
 
-def shared_shingles(found: DataFrame) -> DataFrame:
+def shared_shingles(found: DataFrame, paths: list[str]) -> DataFrame:
     """``shingle, key, n, band, df``: prefix shingles of two classes and more,
     of the classes that keep enough of them to be linked."""
     rows = found.where(F.size("prefix") > 0).select(F.explode("prefix").alias("shingle"), F.col("k1").alias("key"))
@@ -178,13 +178,13 @@ def shared_shingles(found: DataFrame) -> DataFrame:
     # small part of the rows; a window reads it as a stream and spills.
     of = Window.partitionBy("shingle")
     several = F.min("key").over(of) != F.max("key").over(of)
-    kept = saved(rows.select("shingle", "key", several.alias("__several")).where("__several").select("shingle", "key").distinct(), "shared")
+    kept = saved(rows.select("shingle", "key", several.alias("__several")).where("__several").select("shingle", "key").distinct(), "shared", paths)
     sizes = found.where(F.size("prefix") > 0).select(F.col("k1").alias("key"), "n").distinct()
     enough = kept.groupBy("key").agg(F.count(F.lit(1)).alias("__count")).join(sizes, "key")
     enough = enough.withColumn("band", _band(F.col("n"))).where(F.col("__count") > _by_band(SUBCLASSES, F.col("band"))).select("key", "n", "band")
     kept = kept.join(enough, "key")
     df = kept.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    return saved(kept.join(df, "shingle"), "candidates")
+    return saved(kept.join(df, "shingle"), "candidates", paths)
 
 
 # -- candidates ----------------------------------------------------------------------
@@ -232,9 +232,9 @@ def combinations(shared: DataFrame) -> DataFrame:
     return lists.mapInArrow(combine, "combination bigint, key bigint")
 
 
-def clusters(shared: DataFrame) -> DataFrame:
+def clusters(shared: DataFrame, paths: list[str]) -> DataFrame:
     """``node, component``: classes connected by shared combinations."""
-    index = saved(combinations(shared), "combinations")
+    index = saved(combinations(shared), "combinations", paths)
     first = index.groupBy("combination").agg(F.min("key").alias("a"))
     return components(index.join(first, "combination").where("a <> key").select("a", F.col("key").alias("b")).distinct())
 
@@ -338,7 +338,7 @@ def _forest(key, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
 
-def verified_clusters(members: DataFrame, sets: DataFrame) -> DataFrame:
+def verified_clusters(members: DataFrame, sets: DataFrame, paths: list[str]) -> DataFrame:
     """Links that connect the classes of each cluster; ``members``: node
     (key), component (cluster)."""
     sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("__g"))
@@ -346,7 +346,7 @@ def verified_clusters(members: DataFrame, sets: DataFrame) -> DataFrame:
         F.col("component").alias("cluster"), "key", "rep", "shingles",
         F.ceil(F.col("__g") / F.lit(BLOCK)).cast("long").alias("blocks"),
         F.pmod(F.xxhash64("key"), F.ceil(F.col("__g") / F.lit(BLOCK)).cast("long")).alias("block"))
-    rows = saved(rows, "clusters")
+    rows = saved(rows, "clusters", paths)
     # The class whose key names the cluster stands in every block of it.
     every = rows.where("key = cluster and blocks > 1").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     first = saved(rows.unionByName(every).withColumn("open", F.lit(True)).groupBy("cluster", "block").applyInPandas(_forest, "a bigint, b bigint"), "links")
@@ -377,24 +377,30 @@ def _rest(key, rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def joined(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id, tag`` of every row."""
-    found = saved(prefixes(docs, hot_shingles(docs)), "prefixes")
+    """``doc_id, n_shingles, component_id, tag`` of every row.
+
+    The narrow result is written; the tables on the way to it are deleted."""
+    paths: list[str] = []
+    found = saved(prefixes(docs, hot_shingles(docs)), "prefixes", paths)
     classes = found.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
-    shared = shared_shingles(found)
-    pairs = saved(rare_pairs(shared), "pairs")
-    members = clusters(shared)
+    shared = shared_shingles(found, paths)
+    pairs = saved(rare_pairs(shared), "pairs", paths)
+    members = clusters(shared, paths)
     keys = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))) \
         .unionByName(members.select(F.col("node").alias("key"))).distinct()
     reps = classes.withColumnRenamed("k1", "key").join(keys, "key", "left_semi")
-    sets = saved(whole_sets(docs, reps), "sets")
-    links = verified_pairs(pairs, sets).unionByName(verified_clusters(members, sets))
+    sets = saved(whole_sets(docs, reps), "sets", paths)
+    links = verified_pairs(pairs, sets).unionByName(verified_clusters(members, sets, paths))
     reached = components(links).select(F.col("node").alias("rep"), F.col("component").alias("__component"))
     placed = classes.join(reached, "rep", "left").select(
         F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.coalesce("__component", "rep").alias("__component"))
     rows = found.join(placed, (F.col("k1") == F.col("__k1")) & (F.col("k2") == F.col("__k2")) & (F.col("n") > 0), "left")
     known = lambda c: F.when(F.col(c) != LAST_ID, F.col(c))
-    return rows.select(known("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"),
+    result = rows.select(known("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"),
                        F.coalesce(known("__component"), known("doc_id")).alias("component_id"), "tag")
+    result = saved(result, "components")
+    discard(docs.sparkSession, paths)
+    return result
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
