@@ -4,7 +4,8 @@ A document is the set of its distinct 5-word shingles (A-Z lower-cased); two
 documents link when ``100 * common >= 80 * union``.  The join is exact and in
 five steps.
 
-1. Equal sets are one class; only classes are joined.
+1. Equal sets are one class; only classes are joined.  A class is known by its
+   128-bit key and has a number of its own, whatever ids its rows have.
 2. Prefixes: under one order of all shingles, rarest first, a set of ``n``
    keeps the first ``n / 5 + k`` shingles (``n / 5`` rounded down; the extension ``k`` grows with ``n``).  Linked
    sets share at least ``k`` of their prefix shingles.  The order is by hash,
@@ -24,7 +25,8 @@ five steps.
    compared with all blocks.  Blocks return only links that connect
    (a spanning forest), never all pairs.
 
-The components of the links come from distributed label propagation.
+The components of the links (between numbers of classes) come from distributed
+label propagation; each is named by the smallest known ``doc_id`` of its classes.
 
 Special cases: null and blank texts have no shingles and link with nothing;
 with 1 to 4 words the whole sequence is the only shingle; sets under four
@@ -242,24 +244,35 @@ def clusters(shared: DataFrame, paths: list[str]) -> DataFrame:
 # -- verification --------------------------------------------------------------------
 
 
+def numbered_classes(found: DataFrame, paths: list[str]) -> DataFrame:
+    """``k1, k2, id, tag, rep`` of every class: its smallest ``doc_id``, the
+    tag of a row with that id, and a number that no other class has."""
+    classes = found.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("id"), F.min_by("tag", "doc_id").alias("tag"))
+    # Written, so that a number stays the same wherever it is read.
+    return saved(classes.withColumn("rep", F.monotonically_increasing_id()), "classes", paths)
+
+
 def whole_sets(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """``key, rep, shingles`` (hashes as bytes) of the classes in ``reps`` (key, k2, rep)."""
-    wanted = reps.select(F.col("rep").alias("__rep"), F.col("key").alias("__key"), F.col("k2").alias("__k2"))
-    picked = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("__id"), F.col("text").cast("string").alias("text")) \
-        .join(wanted, F.col("__id") == F.col("__rep")).select("__key", "__k2", "__rep", "text")
+    """``key, rep, shingles`` (hashes as bytes) of the classes in ``reps``
+    (key, k2, id, tag, rep)."""
+    wanted = reps.select(F.col("id").alias("__id"), F.col("tag").alias("__tag"), F.col("rep").alias("__rep"),
+                         F.col("key").alias("__key"), F.col("k2").alias("__k2"))
+    picked = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("__id"), F.xxhash64("text").alias("__tag"),
+                         F.col("text").cast("string").alias("text")) \
+        .join(wanted, ["__id", "__tag"]).select("__key", "__k2", "__rep", "text")
 
     def run(batches):
-        last = None
+        seen = set()
         for batch in batches:
             keys, seconds, reps_ = (batch.column(c).to_pylist() for c in ("__key", "__k2", "__rep"))
             found = [s for _, _, data, offs in text_blocks(batch.column("text")) for s in shingle_sets(data, offs)]
-            # Rows of one doc_id may differ in text: keep the one that is meant,
-            # and the first of neighbouring repeats (others change no link).
+            # Repeated rows of a class are read once in a task; those of other
+            # tasks change no link.
             own = []
             for k, s in enumerate(found):
-                if set_key(s) == (keys[k], seconds[k]) and (keys[k], reps_[k]) != last:
+                if reps_[k] not in seen and set_key(s) == (keys[k], seconds[k]):
                     own.append(k)
-                    last = keys[k], reps_[k]
+                    seen.add(reps_[k])
             yield pa.RecordBatch.from_arrays([
                 pa.array([keys[k] for k in own], pa.int64()), pa.array([reps_[k] for k in own], pa.int64()),
                 pa.array([found[k].tobytes() for k in own], pa.binary())], ["key", "rep", "shingles"])
@@ -272,7 +285,7 @@ def _linked(common, na, nb):
 
 
 def verified_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The links ``a, b`` (representatives) among candidate pairs of keys."""
+    """The links ``a, b`` (numbers of classes) among candidate pairs of keys."""
     left = sets.select(F.col("key").alias("a"), F.col("rep").alias("ra"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("key").alias("b"), F.col("rep").alias("rb"), F.col("shingles").alias("sb"))
 
@@ -382,7 +395,7 @@ def joined(docs: DataFrame) -> DataFrame:
     The narrow result is written; the tables on the way to it are deleted."""
     paths: list[str] = []
     found = saved(prefixes(docs, hot_shingles(docs)), "prefixes", paths)
-    classes = found.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
+    classes = numbered_classes(found, paths)
     shared = shared_shingles(found, paths)
     pairs = saved(rare_pairs(shared), "pairs", paths)
     members = clusters(shared, paths)
@@ -391,9 +404,10 @@ def joined(docs: DataFrame) -> DataFrame:
     reps = classes.withColumnRenamed("k1", "key").join(keys, "key", "left_semi")
     sets = saved(whole_sets(docs, reps), "sets", paths)
     links = verified_pairs(pairs, sets).unionByName(verified_clusters(members, sets, paths))
-    reached = components(links).select(F.col("node").alias("rep"), F.col("component").alias("__component"))
-    placed = classes.join(reached, "rep", "left").select(
-        F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.coalesce("__component", "rep").alias("__component"))
+    reached = components(links).select(F.col("node").alias("rep"), F.col("component").alias("__c"))
+    named = classes.select("rep", "id").join(reached, "rep").groupBy("__c").agg(F.min("id").alias("__component"))
+    placed = classes.join(reached.join(named, "__c"), "rep", "left").select(
+        F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.coalesce("__component", "id").alias("__component"))
     rows = found.join(placed, (F.col("k1") == F.col("__k1")) & (F.col("k2") == F.col("__k2")) & (F.col("n") > 0), "left")
     known = lambda c: F.when(F.col(c) != LAST_ID, F.col(c))
     result = rows.select(known("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"),

@@ -83,6 +83,34 @@ def test_one_of_each_keeps_clean_rows(spark):
     assert ids == sorted([1, 2, 3, 4, 5, 7, 9, 9, 10, 11, 12, None], key=str)
 
 
+def unrelated_classes():
+    """Near copies whose rows have no id, or one id for different texts."""
+    a, b, c, d, e = (prose(60, 70 + k, 3000) for k in range(5))
+    near = lambda text: text + " tail"
+    return [(1, a), (2, b), (None, near(a)), (None, near(b)), (None, c), (None, d), (None, near(d)), (None, near(d)),
+            (7, e), (7, prose(60, 80, 3000)), (8, near(prose(60, 80, 3000))), (6, near(e))]
+
+
+def test_classes_that_share_an_id_or_have_none_do_not_merge(spark):
+    assert got(spark, unrelated_classes()) == brute(unrelated_classes())
+
+
+def test_one_of_each_keeps_unrelated_rows_without_an_id(spark):
+    rows = unrelated_classes()
+    left = sorted(((r["doc_id"], r["text"]) for r in j.one_of_each(documents(spark, rows)).collect()), key=str)
+    # The copies of 1, 2, 6 and 7 go, and one of two equal rows.
+    assert left == sorted([rows[k] for k in (0, 1, 4, 5, 6, 9, 11)], key=str)
+
+
+def test_whole_sets_are_read_by_class(spark):
+    rows = [(None, prose(40, 300 + k)) for k in range(12)] * 3
+    docs, paths = documents(spark, rows), []
+    found = j.saved(j.prefixes(docs, j.hot_shingles(docs)), "prefixes", paths)
+    classes = j.numbered_classes(found, paths)
+    sets = j.whole_sets(docs, classes.withColumnRenamed("k1", "key")).distinct().collect()
+    assert len(sets) == 12 == len({r["rep"] for r in sets})
+
+
 def test_prefix_and_bands():
     for n in range(4, 3000):
         b = int(j.band_of(n))
