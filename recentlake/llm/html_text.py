@@ -96,6 +96,7 @@ def blocks(page: str) -> list[Block]:
     """The flat text blocks of a page, in order."""
     found: list[Block] = []
     stack: list[tuple[str, int, int, bool, bool]] = []  # tag, never, content, heading, list: of what it adds
+    places: dict[str, list[int]] = {}  # where on the stack the open elements of a tag are
     never = content = heading = listed = links = 0
     parts: list[str] = []
     words = linked = 0
@@ -119,7 +120,8 @@ def blocks(page: str) -> list[Block]:
 
     def pop() -> None:
         nonlocal never, content, heading, listed
-        _, a, b, c, d = stack.pop()
+        tag, a, b, c, d = stack.pop()
+        places[tag].pop()
         never, content, heading, listed = never - a, content - b, heading - c, listed - d
 
     at, n = 0, len(page)
@@ -146,15 +148,15 @@ def blocks(page: str) -> list[Block]:
         if tag in INLINE:
             if tag in ("br", "img"):
                 parts.append(" ")
-            if tag != "span" or not (closing or _marked(token[3])) and not any(x[0] == "span" for x in stack[-8:]):
+            if tag != "span" or not (closing or _marked(token[3])) and not places.get("span"):
                 continue
         else:
             links = 0  # a link left open ends with its block
         if closing:
-            depth = next((k for k in range(len(stack) - 1, max(-1, len(stack) - 200), -1) if stack[k][0] == tag), None)
-            if depth is not None:
+            if places.get(tag):
                 if tag != "span" or never:
                     close()
+                depth = places[tag][-1]
                 while len(stack) > depth:
                     pop()
             elif tag not in INLINE:
@@ -178,6 +180,7 @@ def blocks(page: str) -> list[Block]:
         out = tag in NEVER or tag == "header" and not in_article or \
             tag not in ("html", "body", "article", "main") and _marked(token[3])
         entry = (tag, int(out), int(tag in CONTENT or 'role="main"' in token[3]), tag in HEADINGS, tag in LISTS)
+        places.setdefault(tag, []).append(len(stack))
         stack.append(entry)
         never, content, heading, listed = never + entry[1], content + entry[2], heading + entry[3], listed + entry[4]
     close()

@@ -49,6 +49,22 @@ def test_long_and_broken_pages_take_linear_time():
         assert time.time() - start < 5, page[:10]
 
 
+@pytest.mark.parametrize("open_,close", [("<nav>", "</nav>"), ("<div class=sidebar>", "</div>" * 301), ("<form>", "</form>"), ("<section id=comments>", "</section>")])
+def test_a_closing_tag_finds_its_element_at_any_depth(open_, close):
+    for inside in ("<li><div>item" * 150, "<section2>item" * 250, "<div>item" * 300):
+        assert h.main_text(f"{open_}{inside}{close}<article><p>{A}</p></article>", TREE) == A
+    deep = "<span class=ad>" + "<i2>" * 20 + "<span>x</span> buy " + "</i2>" * 20 + "</span>"
+    assert h.main_text(f"<article><p>{A}</p>{deep}<p>{B}</p></article>", TREE) == f"{A}\n{B}"
+
+
+def test_many_closing_tags_on_a_deep_page_take_linear_time():
+    import time
+
+    start = time.time()
+    assert h.main_text("<nav>" + "<div><x1>" * 30_000 + "</x2>" * 30_000 + "</x1>" * 30_000 + f"</nav><article>{A}", TREE) == A
+    assert time.time() - start < 5
+
+
 def test_on_spark(spark):
     rows = [(1, "u", "<article><p>é日本</article>"), (1, "u", "<article><p>é日本</article>"), (None, None, None), (2, None, "")]
     pages = spark.createDataFrame([(*r, "t") for r in rows], PAGE_SCHEMA + ", text string")
