@@ -12,10 +12,11 @@ feeds in page order.
 Elements are told by their tags and by words in class, id and role (``HINTS``);
 such a word on an element around ``main`` does not count.
 
-Scripts, styles, comments and markup are never text; character references
-are decoded, white space inside a block becomes one space, nothing else is
-dropped or cut.  Unclosed and stray tags are tolerated: a closing tag closes
-what was opened since its opening tag, or nothing.
+Scripts, styles, comments and markup are never text, nor is the content of
+``RAW`` and ``HELD`` elements; character references are decoded, white space
+inside a block becomes one space, nothing else is dropped or cut.  Unclosed and
+stray tags are tolerated: a closing tag closes what was opened since its opening
+tag, or nothing; a ``HELD`` element without an end tag holds nothing.
 
 Special cases: null and empty html, and pages without a content block, give
 the empty text; null page_id and url are kept; equal rows are extracted each;
@@ -40,11 +41,17 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Their content is not text of the page.
-RAW = frozenset("script style noscript template iframe textarea svg math object canvas audio video title".split())
+#: Their content is not text of the page, up to the end tag or the page's end.
+RAW = frozenset("script style iframe textarea title".split())
+#: The same, but without an end tag they hold nothing.
+HELD = frozenset("noscript template svg canvas audio video annotation annotation-xml".split())
+#: Those of them that may stand in each other.
+NESTED = frozenset(("svg", "template"))
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small "
-    "span strike strong sub sup time tt u var wbr".split())
+    "span strike strong sub sup time tt u var wbr "
+    "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom mfenced menclose msub msup msubsup "
+    "munder mover munderover mmultiscripts mprescripts mtable mtr mlabeledtr mtd maction semantics".split())
 NEVER = frozenset("head nav footer aside form menu dialog button select fieldset".split())
 CONTENT = frozenset(("article", "main"))
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -98,6 +105,7 @@ def blocks(page: str) -> list[Block]:
     stack: list[tuple[str, int, int, bool, bool]] = []  # tag, never, content, heading, list: of what it adds
     places: dict[str, list[int]] = {}  # where on the stack the open elements of a tag are
     never = content = heading = listed = links = 0
+    endless: set[str] = set()  # tags with no end tag in the rest of the page
     parts: list[str] = []
     words = linked = 0
 
@@ -143,10 +151,19 @@ def blocks(page: str) -> list[Block]:
                 at = page.find(">", end.start()) + 1 if end else n
                 at = at or n
             continue
+        if tag in HELD:
+            if not closing and not token[3].endswith("/") and tag not in endless:
+                # Another opening tag before the end tag: this one was left open.
+                end = re.compile(rf"</{'' if tag in NESTED else '?'}{tag}[\s/>]", re.I).search(page, at)
+                if end is None:
+                    endless.add(tag)
+                elif page[end.start() + 1] == "/":
+                    at = page.find(">", end.start()) + 1 or n
+            continue
         if tag == "a":
             links = 0 if closing else 1
         if tag in INLINE:
-            if tag in ("br", "img"):
+            if tag in ("br", "img", "mtd"):
                 parts.append(" ")
             if tag != "span" or not (closing or _marked(token[3])) and not places.get("span"):
                 continue

@@ -57,6 +57,29 @@ def test_a_closing_tag_finds_its_element_at_any_depth(open_, close):
     assert h.main_text(f"<article><p>{A}</p>{deep}<p>{B}</p></article>", TREE) == f"{A}\n{B}"
 
 
+@pytest.mark.parametrize("tag", ["audio", "video", "canvas", "noscript", "svg", "template", "object", "math"])
+def test_an_unclosed_element_loses_no_text(tag):
+    assert h.main_text(f"<article><p>a</p><{tag} class=x><p>b</p></article><footer>c", TREE) == "a\nb"
+
+
+def test_held_elements_and_the_text_of_math_and_object():
+    page = ("<article><p>a <audio src=1> b <audio src=2>no</audio> c<svg><svg></svg> d</p>"
+            "<p>so <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation>no</annotation></semantics></math> holds</p>"
+            "<object data=1><p>kept</p></object><canvas>no</canvas><noscript>no</noscript><video controls>no</video></article>")
+    assert h.main_text(page, TREE) == "a b c d\nso x=2 holds\nkept"
+    assert h.main_text("<article><p>a<script>no</article>", TREE) == "a"
+
+
+def test_many_unclosed_elements_take_linear_time():
+    import time
+
+    for tag in sorted(h.HELD | h.RAW):
+        for page in (f"<{tag}>" * 30_000, f"<{tag}'x>'>" * 20_000):
+            start = time.time()
+            h.main_text(page, TREE)
+            assert time.time() - start < 5, page[:12]
+
+
 def test_many_closing_tags_on_a_deep_page_take_linear_time():
     import time
 
