@@ -15,8 +15,8 @@ and what meets in one group is at most ``BINS`` rows of sums per start.
 
 Cells: a (language, source) pair with at least ``min_rows`` rows; smaller
 pairs are pooled per language, and where that pool is small too, in one pool
-of the rest.  A pool that is still too small has no estimate and rejects
-nothing.
+of the rest.  Rows of a rest that is still too small are judged by an estimate
+over all rows of the table; a table under ``min_rows`` rows has no estimate.
 
 Special cases: null text has zero counts and fails the base rule (fewer than
 10 words), null language or source is a value of its own, repeated rows are
@@ -51,6 +51,8 @@ P = len(FLOORS)
 #: Share of a cell's rows that the estimate must cover, and its smallest size.
 SUBSET_SHARE = 0.75
 MIN_ROWS = 60
+#: The cell of rows that are judged by all rows.
+ALL = "all"
 STEPS = 4
 #: Squared robust distance above which a row is rejected.
 CUT = 60.0
@@ -135,7 +137,8 @@ def base_failed_column():
 
 
 def with_cells(stats: DataFrame, min_rows: int) -> DataFrame:
-    """Adds ``cell``, null where no estimate is possible.
+    """Adds ``cell``: the pair, the language, the small pools' rest or, for
+    what is still too small, ``ALL`` rows; null in a table under ``min_rows``.
 
     The counts have one row per language and source; they come back by joins
     on that key, which Spark broadcasts or splits by measured size.
@@ -146,11 +149,13 @@ def with_cells(stats: DataFrame, min_rows: int) -> DataFrame:
     by_lang = sizes.where(small).groupBy(F.col("lang").alias("__lang")).agg(F.sum("__n").alias("__nl"))
     pooled = sizes.join(by_lang, F.col("lang").eqNullSafe(F.col("__lang")), "left").withColumn("__one", F.lit(1))
     rest = pooled.where(small & (F.col("__nl") < min_rows)).groupBy("__one").agg(F.sum("__n").alias("__nr"))
-    cells = pooled.join(rest, "__one", "left").select(
+    whole = sizes.groupBy(F.lit(1).alias("__one")).agg(F.sum("__n").alias("__na"))
+    cells = pooled.join(rest, "__one", "left").join(whole, "__one", "left").select(
         F.col("lang").alias("__l"), F.col("source").alias("__s"),
         F.when(~small, F.concat(F.lit("pair "), F.to_json(pair)))
         .when(F.col("__nl") >= min_rows, F.concat(F.lit("language "), F.to_json(F.struct("lang"))))
-        .when(F.col("__nr") >= min_rows, F.lit("rest")).alias("cell"))
+        .when(F.col("__nr") >= min_rows, F.lit("rest"))
+        .when(F.col("__na") >= min_rows, F.lit(ALL)).alias("cell"))
     return stats.join(cells, F.col("lang").eqNullSafe(F.col("__l")) & F.col("source").eqNullSafe(F.col("__s")), "left") \
         .drop("__l", "__s")
 
@@ -257,7 +262,9 @@ def quality_verdicts(docs: DataFrame, min_rows: int = MIN_ROWS, cut: float = CUT
     stats = text_statistics(docs, keys)
     vectors = saved(stats.select("*", base_failed_column().alias("base_failed"), *vector_columns()), "statistics")
     vectors = with_cells(vectors, min_rows)
-    best = mcd_estimates(vectors).select("cell", "mu", "prec")
+    best = mcd_estimates(vectors.where(F.col("cell") != ALL)).select("cell", "mu", "prec")
+    if vectors.where(F.col("cell") == ALL).limit(1).count():
+        best = best.unionByName(mcd_estimates(vectors.withColumn("cell", F.lit(ALL))).select("cell", "mu", "prec"))
     return vectors.join(best, "cell", "left").withColumn("distance", _distance()).select(
         "doc_id", *extra, *STATS, "base_failed", "cell", "distance",
         F.when(F.col("base_failed"), F.lit(False)).otherwise(F.coalesce(F.col("distance") <= cut, F.lit(True))).alias("kept"))

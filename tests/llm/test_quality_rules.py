@@ -67,6 +67,17 @@ def test_odd_rows_small_pools_and_empty_table(spark):
     assert q.kept_documents(docs.limit(0)).count() == 0
 
 
+def test_a_small_rest_is_judged_by_all_rows(spark):
+    rows = [(k, clean(k), "en", "s") for k in range(150)] + [(200, clean(200), "xx", "s"), (201, clean(201), None, None)]
+    junk = [(300 + k, " ".join(f"{w}###" for w in clean(k).split()), lang, "s") for k, lang in enumerate(("xx", "yy", None))]
+    got = {r["doc_id"]: r for r in q.quality_verdicts(documents(spark, rows + junk)).collect()}
+    assert len(got) == 155 and all(r["distance"] is not None for r in got.values())
+    assert got[200]["kept"] and got[201]["kept"]
+    assert not any(got[r[0]]["kept"] for r in junk)
+    own = {r["doc_id"]: r["distance"] for r in q.quality_verdicts(documents(spark, rows[:150])).collect()}
+    assert all(got[k]["distance"] == own[k] for k in own)  # a large cell keeps its own estimate
+
+
 def test_reruns_agree(spark):
     rows = [(k, clean(k), "en", "s") for k in range(150)]
     a = {r["doc_id"]: r["distance"] for r in q.quality_verdicts(documents(spark, rows)).collect()}
