@@ -17,7 +17,8 @@ of the whole byte array, so the cost for each byte is constant.
 :func:`with_next` pairs each row with the next one by ``doc_id`` with one
 shuffle of the texts and no global window.
 
-Special cases: a text shorter than a window is one feature, its whole hash;
+Special cases: a text that is shorter than a window, or of which no window is
+selected, is one feature, its whole hash;
 null and empty texts have the empty fingerprint, which equals itself (likeness
 1) and nothing else (0); null ``doc_id`` rows come last, equal ``doc_id`` rows
 in text order; an empty table gives an empty result.
@@ -109,14 +110,11 @@ def features(data: np.ndarray, offs: np.ndarray, rank: np.ndarray) -> tuple[np.n
     """Selected features of each text: ``(row, feature)``, rows ascending."""
     n = len(data)
     sizes = np.diff(offs)
-    short = np.flatnonzero((sizes > 0) & (sizes < WINDOW))
+    bare = sizes > 0  # texts without a selected window
     rows, found = [], []
     forward, inverse = _powers(max(1 << 18, n + 1))
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE_VALUES[data] * forward[:n], out=sums[1:])
-    if len(short):
-        rows.append(short)
-        found.append(mix64((sums[offs[1:]] - sums[offs[:-1]])[short] * inverse[offs[:-1][short]]))
     if n >= WINDOW:
         bins = entropy_bins(data)
         m = len(bins)
@@ -141,6 +139,11 @@ def features(data: np.ndarray, offs: np.ndarray, rank: np.ndarray) -> tuple[np.n
         at = np.searchsorted(lasts[long], ends[picked] - 1 - RUN)
         rows.append(long[at])
         found.append(low[starts[picked]])
+        bare[rows[0]] = False
+    whole = np.flatnonzero(bare)
+    if len(whole):
+        rows.append(whole)
+        found.append(mix64((sums[offs[1:]] - sums[offs[:-1]])[whole] * inverse[offs[:-1][whole]]))
     if not rows:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     row, feature = np.concatenate(rows), np.concatenate(found)

@@ -42,6 +42,20 @@ def test_likeness_falls_with_edits():
     assert 0.3 < scores[2] < 0.8
 
 
+def test_texts_of_plain_windows_only_are_told_apart():
+    rank = f.ranks(np.arange(f.BINS))
+    plain = ["-" * 64, "-" * 65, "=" * 500, " " * 300, "a" * 900 + "b", "ab" * 20, "-" * 63]
+    prints = [f.fingerprint(t, rank) for t in plain]
+    assert all(len(x) == 1 for x in prints)
+    for k, a in enumerate(prints):
+        assert f.likeness(a, f.fingerprint("", rank)) == 0.0
+        assert [f.likeness(a, b) == 1.0 for b in prints] == [k == m for m in range(len(plain))]
+    raw = [t.encode() for t in ["", *plain, prose(300, 1), "x" * 80]]
+    offs = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+    together = f.chains(np.frombuffer(b"".join(raw), np.uint8), offs, rank)
+    assert all(np.array_equal(a, b) for a, b in zip(together[1:8], prints)) and not len(together[0])
+
+
 def test_query_rows_against_brute_force(spark):
     rows = odd_rows() + [(50 + k * 13 % 97, prose(20 + k * 5 % 300, k)) for k in range(97)]
     docs = documents(spark, rows)
