@@ -138,3 +138,41 @@ from counted c left join repeated r using (doc_id)
 
 SQL = {"op3_shingle_join": _LINKED, "op4_warc_archive": _ARCHIVE, "text_statistics": _STATISTICS,
        "op5_repeated_spans": _REPEATS, "op10_mix_sources": _MIX}
+
+
+def _clusters_sql() -> str:
+    """K-means as one statement: a pair of subqueries for each round."""
+    from recentlake.llm.hadamard_clusters import CENTROIDS, DIM, LARGEST, ROUNDS, SCALE, SEED
+
+    parts = [f"""
+with kept as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor({SCALE} * greatest(least(cast(x as double), {LARGEST} / {SCALE}), -{LARGEST} / {SCALE})) as bigint)) as v,
+         row_number() over () as id
+  from embeddings
+  where len(embedding) = {DIM} and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), c0 as (
+  select row_number() over (order by sha256('{SEED}:' || coalesce(cast(vec_id as varchar), 'null')), v) - 1 as cluster, v as c
+  from kept qualify cluster < {CENTROIDS}
+)"""]
+    distance = f"list_sum(list_transform(range(1, {DIM + 1}), lambda i: (v[i] - c[i]) * (v[i] - c[i])))"
+    for r in range(ROUNDS + 1):
+        parts.append(f""", a{r} as materialized (
+  select id, any_value(vec_id) as vec_id, any_value(v) as v, min(d) as distance, arg_min(cluster, (d, cluster)) as cluster
+  from (select kept.*, cluster, cast({distance} as bigint) as d from kept, c{r}) group by id
+)""")
+        if r < ROUNDS:
+            parts.append(f""", m{r} as (
+  select cluster, list(((s - ((s % n) + n) % n) // n) order by i) as m
+  from (select cluster, i, sum(v[i]) as s, count(*) as n from a{r}, (select unnest(range(1, {DIM + 1})) as i) group by cluster, i) group by cluster
+), c{r + 1} as materialized (
+  select cluster, coalesce(m, c) as c from c{r} left join m{r} using (cluster)
+)""")
+    parts.append(f"""
+select vec_id, cast(cluster as integer) as cluster, distance,
+       cast(sum(distance) over (partition by cluster) as bigint) as cluster_inertia, cast(sum(distance) over () as bigint) as inertia,
+       sha256(array_to_string(list_transform(c, lambda x: cast(cast(x as bigint) as varchar)), ',')) as centroid_sha256
+from a{ROUNDS} join c{ROUNDS} using (cluster)""")
+    return "".join(parts)
+
+
+SQL["op11_hadamard_clusters"] = _clusters_sql()

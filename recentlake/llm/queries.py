@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recentlake.llm import fingerprints, html_text, mixing, quality_net, quality_rules, repeated_spans, sampled_pieces, shingle_join, token_files, warc
+from recentlake.llm import (bpe_merges, fingerprints, hadamard_clusters, html_text, mixing, periodic_runs, quality_net, quality_rules,
+                            repeated_spans, sampled_pieces, shingle_join, token_files, warc)
 from recentlake.llm.common import read_table
 
 
@@ -66,6 +67,31 @@ def op3_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.joined(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op11_hadamard_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = hadamard_clusters.clustered(read_table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia",
+                        hadamard_clusters.centroid_digest().alias("centroid_sha256"))
+
+
+def op12_bpe_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded, and its ids decoded again."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    back = bpe_merges.decoded(bpe_merges.encoded(docs).drop("text"))
+    return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded_text", 256).alias("decoded_sha256"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every text, of which one in ten gets a periodic tail first."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = periodic_runs.periodic_runs(periodic_runs.looped_tails(docs).select("doc_id", "text"))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))), "")
+    best = F.col("best")
+    return found.withColumn("best", periodic_runs.highest_run()).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"),
+        best["period"].alias("period"), F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed_text", 256).alias("collapsed_sha256"))
+
+
 def text_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counts that operator 9 starts from, and its base rule."""
     stats = quality_rules.text_statistics(read_table(spark, sf_dir, "documents"), ("doc_id",))
@@ -75,7 +101,8 @@ def text_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_main_text, op2_fingerprints, op3_shingle_join, op4_warc_archive, op5_repeated_spans, op6_wavelet_tokens,
-        op7_sampled_pieces, op8_quality_net, op9_quality_rules, op10_mix_sources, text_statistics)}
+        op7_sampled_pieces, op8_quality_net, op9_quality_rules, op10_mix_sources,
+        op11_hadamard_clusters, op12_bpe_merges, op13_periodic_runs, text_statistics)}
 
 
 def oracle_sql() -> dict[str, str]:
