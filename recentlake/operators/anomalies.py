@@ -157,6 +157,7 @@ def event_rules(keyed: DataFrame, as_of: Column, rules: Sequence[str] = EVENT_RU
 # ---------------------------------------------------------------------------
 
 PAGE_RULES = ("edit_spike", "rapid_page_edits")
+WIDTHS = {"w5": S.EDIT_SPIKE_WINDOW_MIN * MINUTE_US, "w2": S.SPAM_WINDOW_MIN * MINUTE_US}
 
 
 def page_window_rules(keyed: DataFrame, slice_us: int | None = None,
@@ -170,8 +171,13 @@ def page_window_rules(keyed: DataFrame, slice_us: int | None = None,
     smallest t: ``min_by`` over ``when(hit, t)`` (non-hits are ignored), a
     partial aggregate, so no page ever gathers in one task.
     """
-    widths = {"w5": S.EDIT_SPIKE_WINDOW_MIN * MINUTE_US, "w2": S.SPAM_WINDOW_MIN * MINUTE_US}
-    w = forward_window_stats(keyed, ["_title", "_wiki"], "_us", widths, slice_us=slice_us, carry_min="_seq")
+    w = forward_window_stats(keyed, ["_title", "_wiki"], "_us", WIDTHS, slice_us=slice_us, carry_min="_seq")
+    return page_hits(w, rules)
+
+
+def page_hits(w: DataFrame, rules: Sequence[str] = PAGE_RULES) -> DataFrame:
+    """The hits of window counts ``w`` (as ``forward_window_stats`` gives them
+    for ``WIDTHS``, with the totals of their page)."""
     span_min = (F.col("key_last") - F.col("key_first")).cast("double") / F.lit(1_000_000.0) / F.lit(60.0)
     baseline = F.greatest(F.lit(1.0), F.col("key_count") / F.greatest(F.lit(1.0), span_min))
     c5, c2 = F.col("w5_count"), F.col("w2_count")
@@ -227,14 +233,21 @@ def rapid_edits(keyed: DataFrame, slice_us: int | None = None) -> DataFrame:
 def bot_rate(keyed: DataFrame, threshold: int = S.BOT_EDITS_PER_MIN_THRESHOLD) -> DataFrame:
     """Minutes with ``threshold`` bot events or more: a hash aggregate on the
     minute's number, formatted afterwards."""
-    per_minute = (
+    return bot_hits(bot_minutes(keyed), threshold)
+
+
+def bot_minutes(keyed: DataFrame) -> DataFrame:
+    """``minute`` (its number), ``n`` bot events and their first ``_seq``."""
+    return (
         keyed.filter(C.is_true("_is_bot"))
         .select(C.bucket_us("_us", MINUTE_US).alias("minute"), "_seq")
         .groupBy("minute")
         .agg(F.count(F.lit(1)).alias("n"), F.min("_seq").alias("_seq"))
-        .filter(F.col("n") >= threshold)
     )
-    return per_minute.select(
+
+
+def bot_hits(minutes: DataFrame, threshold: int = S.BOT_EDITS_PER_MIN_THRESHOLD) -> DataFrame:
+    return minutes.filter(F.col("n") >= threshold).select(
         *_row(type=F.lit(S.ANOMALY_BOT), page=F.lit(S.BOT_PAGE_LABEL), severity=F.lit(S.SEVERITY_HIGH),
               timestamp=F.concat(C.minute_bucket(F.timestamp_micros("minute")), F.lit(":00+00:00")),
               edits_per_minute=F.col("n"), threshold=F.lit(threshold), reason=F.lit(S.RULE_BOT_RATE)),
@@ -290,10 +303,15 @@ def detect_anomalies(events: DataFrame, as_of: Column, order_cols: Sequence[str]
         .unionByName(page_window_rules(keyed, slice_us))
         .unionByName(bot_rate(keyed))
     )
-    rest = [c for c in S.ANOMALY_COLUMNS if c not in dedup_keys]
-    order = F.struct("_phase", "_seq", "_rule")
-    first = allhits.groupBy(*dedup_keys).agg(F.min_by(F.struct(*rest), order).alias("r"))
-    return first.select(*dedup_keys, *[F.col(f"r.{c}").alias(c) for c in rest]).select(*S.ANOMALY_COLUMNS)
+    return _public(first_hits(allhits, dedup_keys))
+
+
+def first_hits(hits: DataFrame, dedup_keys: Sequence[str] = ("type", "page", "timestamp")) -> DataFrame:
+    """The first hit of each key by (phase, event order, rule), with its order:
+    a hash aggregate, combined map-side."""
+    rest = [c for c in hits.columns if c not in dedup_keys]
+    first = hits.groupBy(*dedup_keys).agg(F.min_by(F.struct(*rest), F.struct("_phase", "_seq", "_rule")).alias("r"))
+    return first.select(*dedup_keys, *[F.col(f"r.{c}").alias(c) for c in rest]).select(*hits.columns)
 
 
 def anomaly_report(events: DataFrame, anomalies: DataFrame, as_of: Column) -> DataFrame:

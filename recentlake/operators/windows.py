@@ -60,6 +60,7 @@ def forward_window_stats(
     widths: Mapping[str, int],
     slice_us: int | None = None,
     carry_min: str | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
     """Forward window counts / lasts for several widths + key totals.
 
@@ -68,6 +69,7 @@ def forward_window_stats(
     (rows at that time), ``<p>_count, <p>_last`` for each prefix,
     ``key_count, key_first, key_last`` and ``key_min_<carry_min>``.  Keys,
     times and ``carry_min`` (a long) must be non-null (callers default them).
+    ``weight`` is a column with the number of rows that a row stands for.
     """
     keys = list(keys)
     slice_us = slice_us or _pick_slice(widths)
@@ -76,7 +78,7 @@ def forward_window_stats(
             raise ValueError("every width must be a multiple of slice_us")
     steps = {name: w // slice_us for name, w in widths.items()}
 
-    aggs = [F.count(F.lit(1)).alias("_n")]
+    aggs = [(F.sum(weight) if weight else F.count(F.lit(1))).alias("_n")]
     if carry_min:
         aggs.append(F.min(carry_min).alias("_carry"))
     times = df.groupBy(*keys, F.col(t_col).alias("_t")).agg(*aggs).withColumn("_slice", _slice_of("_t", slice_us))

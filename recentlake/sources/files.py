@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -113,8 +113,36 @@ def read_first_available(spark: SparkSession, paths: Sequence[str],
     return None, None
 
 
-def _json_events(spark: SparkSession, root: str, partitioned: bool, since: str | None, until: str | None,
-                 glob: str) -> DataFrame:
+def file_version() -> Column:
+    """A number of the file being read and its state: path, time of change and
+    length, as the listing has them."""
+    m = F.col("_metadata")
+    return F.xxhash64(m["file_path"], m["file_modification_time"], m["file_size"])
+
+
+def list_files(spark: SparkSession, roots: Sequence[str], glob: str = "*.json") -> DataFrame:
+    """``path, version`` of the files under ``roots``, from their listing
+    alone: no file is opened."""
+    listed = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
+              .load([r for r in roots if path_exists(spark, r)] or []))
+    return listed.select("path", file_version().alias("version"))
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether the file system has ``path``: one call, no listing."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place))
+
+
+def open_files(spark: SparkSession, paths: Sequence[str], fmt: str = "json") -> DataFrame:
+    """Processed events of just these files, with their ``version``."""
+    if fmt == "json":
+        return _json_events(spark, list(paths), False, None, None, "*", version=True).filter("line_ok").drop("line_ok", "source_file")
+    return spark.read.schema(S.PROCESSED).format(fmt).load(list(paths)).select("*", file_version().alias("version"))
+
+
+def _json_events(spark: SparkSession, root: str | list[str], partitioned: bool, since: str | None, until: str | None,
+                 glob: str, version: bool = False) -> DataFrame:
     """Every non-blank line of the JSON files under ``root``: ``line_ok`` and
     the event's columns (null on a line that is no JSON object).
 
@@ -138,6 +166,9 @@ def _json_events(spark: SparkSession, root: str, partitioned: bool, since: str |
     # of its columns, so each line is parsed once.
     one = F.filter(F.array(F.when(F.length(C.strip_ws("value")) > 0, line)), lambda x: x.isNotNull())
     more = ["event_date"] if partitioned else []
+    if version:
+        lines = lines.select("value", "_metadata", file_version().alias("version"))
+        more = [*more, "version"]
     parsed = lines.select(F.explode(one).alias("_p"), F.col("_metadata.file_path").alias("source_file"), *more)
     ok = F.col("_p.o") & F.col("_p.r").isNotNull() & F.col("_p.r._corrupt").isNull()
     return parsed.select(ok.alias("line_ok"), *(F.col(f"_p.r.{f.name}").alias(f.name) for f in S.PROCESSED.fields),
