@@ -134,8 +134,10 @@ def _event_rule_structs(k: DataFrame, as_of: Column) -> dict[str, tuple[Column,
 EVENT_RULES = ("wiki_null", "unknown_language", "missing_page_id", "incoherent_timestamp", "short_title_repeated")
 
 
-def event_rules(keyed: DataFrame, as_of: Column, rules: Sequence[str] = EVENT_RULES) -> DataFrame:
-    """All per-event rules in one pass: an array of optional hits, exploded."""
+def event_rules(keyed: DataFrame, as_of: Column, rules: Sequence[str] = EVENT_RULES,
+                carry: Sequence[str] = ()) -> DataFrame:
+    """All per-event rules in one pass: an array of optional hits, exploded
+    (with the columns ``carry`` of the event)."""
     specs = _event_rule_structs(keyed, as_of)
     hits = []
     for idx, name in enumerate(EVENT_RULES):
@@ -149,7 +151,7 @@ def event_rules(keyed: DataFrame, as_of: Column, rules: Sequence[str] = EVENT_RU
             )
         )
     arr = F.filter(F.array(*hits), lambda x: x.isNotNull())
-    return keyed.select(F.explode(arr).alias("a")).select("a.*")
+    return keyed.select(F.explode(arr).alias("a"), *carry).select("a.*", *carry)
 
 
 # ---------------------------------------------------------------------------

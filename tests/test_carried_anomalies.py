@@ -24,7 +24,7 @@ def _bursty(seed, n=500, hours=1.0):
     rng = random.Random(seed)
     rows = []
     while len(rows) < n:
-        t, page = rng.uniform(0, 3600 * hours), rng.choice(["Alpha", "Beta", "Gamma", "Delta", "x", None])
+        t, page = rng.uniform(0, 3600 * hours), rng.choice(["Alpha page", "Beta page", "Gamma", "Delta page", "x", None])
         wiki = rng.choice(["enwiki", "frwiki", None])
         for _ in range(rng.choice([1, 1, 2, 6, 12])):
             rows.append({"t": round(t + rng.choice([0, rng.uniform(0, 150)]), rng.choice([0, 3])), "title": page, "wiki": wiki,
@@ -42,7 +42,7 @@ def test_runs_in_time_order_equal_one_run(spark, scratch, parts):
         assert state.update(part, TD.as_of_col(), f"run{k}", order_cols=BY_ID)
         sofar = ev.where((F.col("event_id") * parts / len(rows)).cast("int") <= k)
         assert _rows(state.anomalies(spark)) == _rows(A.detect_anomalies(sofar, TD.as_of_col(), BY_ID))
-    assert {r.type for r in state.anomalies(spark).collect()} >= {"edit_spike", "spam_heuristic"}
+    assert {r.reason or r.type for r in state.anomalies(spark).collect()} >= {"edit_spike", "rapid_page_edits", "short_title_repeated"}
     assert not state.update(ev, TD.as_of_col(), "run0", order_cols=BY_ID)  # a repeated run adds nothing
     report = state.report(spark, TD.as_of_col()).first()
     assert report == A.anomaly_report(ev, A.detect_anomalies(ev, TD.as_of_col(), BY_ID), TD.as_of_col()).first()
