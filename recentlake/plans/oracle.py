@@ -537,6 +537,27 @@ QUALITY: dict[str, str] = {
 }
 
 
+_PAST = f"past AS (SELECT kafka_partition, kafka_offset FROM ev WHERE event_us <= {AS_OF_US})"
+_NEXT = ("nexts AS (SELECT kafka_partition, kafka_offset, lead(kafka_offset) OVER (PARTITION BY kafka_partition ORDER BY kafka_offset) "
+         "AS following FROM past)")
+_GAPS = ("gaps AS (SELECT kafka_partition, kafka_offset + 1 AS first_missing, following - 1 AS last_missing, "
+         "following - kafka_offset - 1 AS missing FROM nexts WHERE following > kafka_offset + 1)")
+
+CARRIED: dict[str, str] = {
+    **{f"{name}_carried": REPORTS[name] for name in ("activity_by_hour", "top_pages", "active_bots", "bots_vs_humans")},
+    **{f"{name}_carried": ANOMALIES[name] for name in ("detect_anomalies", "anomaly_report")},
+    "new_messages": _with() + "SELECT event_id, kafka_partition, kafka_offset, title FROM ev "
+    f"WHERE event_us IS NULL OR event_us > {AS_OF_US}",
+    "offset_gaps": _with(_PAST, _NEXT, _GAPS) + "SELECT * FROM gaps",
+    "offset_volumes": _with(_PAST, _NEXT, _GAPS)
+    + "SELECT p.*, coalesce(g.missing, 0) AS missing FROM (SELECT kafka_partition, count(*) AS messages, max(kafka_offset) + 1 AS end_offset "
+    "FROM past GROUP BY 1) p LEFT JOIN (SELECT kafka_partition, CAST(sum(missing) AS BIGINT) AS missing FROM gaps GROUP BY 1) g "
+    "ON p.kafka_partition = g.kafka_partition",
+    "stream_bursts": _with(KEYED, *SPIKE_CTES, *RAPID_CTES, *BOT_CTES)
+    + "SELECT " + ", ".join(f'"{c}"' for c in S.ANOMALY_COLUMNS) + f" FROM ({DETECT_BODY}) d WHERE \"type\" = '{S.ANOMALY_SPIKE}' OR reason = '{S.RULE_RAPID_EDITS}'",
+}
+
+
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
     out.update(REPORTS)
@@ -546,4 +567,5 @@ def oracle_sql() -> dict[str, str]:
     out.update(QUALITY)
     out.update(LAKE)
     out.update(RUNS)
+    out.update(CARRIED)
     return out

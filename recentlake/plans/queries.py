@@ -10,7 +10,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
@@ -19,12 +19,16 @@ from recentlake.operators import anomalies as A
 from recentlake.operators import ingest as I
 from recentlake.operators import live as L
 from recentlake.operators import monitoring as M
+from recentlake.operators import offsets as O
+from recentlake.operators import partials as P
 from recentlake.operators import reports as R
+from recentlake.operators.carried_anomalies import AnomalyState
 from recentlake import schema as S
 from recentlake.session import checkpoint_root
 from recentlake.sources import files as SRC
 from recentlake.sources import kafka as K
 from recentlake.sources import testdata as TD
+from recentlake.streaming import bursts as B
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -286,10 +290,107 @@ LIVE_QUERIES: dict[str, Query] = {
 }
 
 
+# ---------------------------------------------------------------------------
+# Carried state: the same results from what earlier runs left
+# ---------------------------------------------------------------------------
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _placed_before(time: str) -> Column:
+    return F.coalesce(F.col("event_time"), TD.as_of_col()) < F.lit(time).cast("timestamp")
+
+
+def _carried_report(name: str) -> Query:
+    """A report from carried counts: the events as a lake of two deliveries,
+    counted one after the other."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ev = TD.load_processed(spark, sf_dir).select(*(f.name for f in S.PROCESSED.fields))
+        lake, table = _scratch(spark, "lake"), P.ReportTable(_scratch(spark, "counts"))
+        first = _placed_before("2024-01-01 00:30:00")
+        for batch, part in (("first", ev.where(first)), ("second", ev.where(~first))):
+            part.write.mode("append").parquet(lake)
+            table.update(spark, [lake], batch, "parquet", "*.parquet")
+        return P.REPORTS[name](table.counts(spark))
+
+    return run
+
+
+def _anomaly_runs(spark: SparkSession, sf_dir: str) -> AnomalyState:
+    """Two anomaly runs, each over the events that the one before had not."""
+    ev = TD.load_processed(spark, sf_dir)
+    state = AnomalyState(_scratch(spark, "anomaly-state"))
+    first = _placed_before("2024-01-01 00:30:30")
+    state.update(ev.where(first), TD.as_of_col(), "first", order_cols=BY_ID)
+    state.update(ev.where(~first), TD.as_of_col(), "second", ev, BY_ID)
+    return state
+
+
+def _q_anomalies_carried(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _anomaly_runs(spark, sf_dir).anomalies(spark)
+
+
+def _q_anomaly_report_carried(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _anomaly_runs(spark, sf_dir).report(spark, TD.as_of_col())
+
+
+def _seen_offsets(spark: SparkSession, ev: DataFrame) -> O.SeenOffsets:
+    """Offsets of the events up to the run time, noted as two batches that overlap."""
+    seen = O.SeenOffsets(_scratch(spark, "offsets"))
+    past = ev.where(F.col("event_time") <= TD.as_of_col())
+    seen.add(past.where(_placed_before("2024-01-01 00:30:00")), 0)
+    seen.add(past.where(~_placed_before("2024-01-01 00:29:00")), 1)
+    return seen
+
+
+def _q_new_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message delivered again: those that the history did not have."""
+    ev = TD.load_processed(spark, sf_dir)
+    return _seen_offsets(spark, ev).fresh(TD.duplicated_events(ev)).select("event_id", "kafka_partition", "kafka_offset", "title")
+
+
+def _q_offset_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.offset_gaps(_seen_offsets(spark, TD.load_processed(spark, sf_dir)).bitmaps(spark))
+
+
+def _q_offset_volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _seen_offsets(spark, TD.load_processed(spark, sf_dir)).volume(spark)
+
+
+def _q_stream_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edit spikes and rapid edits found on a stream of the events, in four
+    micro-batches; a last event, two hours on, ends the run."""
+    ev = TD.load_processed(spark, sf_dir)
+    src, out = _scratch(spark, "stream"), _scratch(spark, "bursts")
+    quarter = F.coalesce(F.minute("event_time"), F.lit(50)) / 15
+    end = spark.range(1).select(F.timestamp_micros(F.lit(TD.EPOCH_US + 3 * 3_600_000_000)).alias("event_time"), F.lit("end").alias("title"))
+    for k in range(4):
+        ev.where(F.floor(quarter) == k).write.mode("append").parquet(src)
+    ev.limit(0).unionByName(end, allowMissingColumns=True).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(ev.schema).parquet(src)
+    found = B.page_bursts_stream(stream, TD.as_of_col(), order_cols=BY_ID)
+    found.writeStream.format("parquet").option("path", out).option("checkpointLocation", _scratch(spark, "bursts-log")) \
+        .trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(found.schema).parquet(out).select(*S.ANOMALY_COLUMNS)
+
+
+CARRIED_QUERIES: dict[str, Query] = {
+    **{f"{name}_carried": _carried_report(name) for name in ("activity_by_hour", "top_pages", "active_bots", "bots_vs_humans")},
+    "detect_anomalies_carried": _q_anomalies_carried,
+    "anomaly_report_carried": _q_anomaly_report_carried,
+    "new_messages": _q_new_messages,
+    "offset_gaps": _q_offset_gaps,
+    "offset_volumes": _q_offset_volumes,
+    "stream_bursts": _q_stream_bursts,
+}
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {}
     out.update(REPORT_QUERIES)
     out.update(ANOMALY_QUERIES)
     out.update(INGEST_QUERIES)
     out.update(LIVE_QUERIES)
+    out.update(CARRIED_QUERIES)
     return out
