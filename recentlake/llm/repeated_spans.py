@@ -12,14 +12,14 @@ A segment is shuffled as one code byte for each word and ``CHECK`` bytes of a
 strong hash for each window.
 
 Within an anchor's group segments come in ascending ``doc_id``.  They are
-streamed through a suffix automaton of the segments of smaller documents:
-wherever the matching statistic reaches ``WINDOW`` the window is a candidate,
-and a repeat if its hash was seen there too (one byte does not tell a changed
-word from the old one for certain: a window counts as equal by 13 code bytes,
-its 64-bit anchor and its own hash).  Then the document's own segments extend
-the automaton.  A segment that
-equals an earlier one needs no second pass, and a group that holds a single
-segment text needs no automaton.
+streamed through a suffix automaton of the segments of smaller documents.
+Where the matching statistic reaches ``WINDOW``, the state of the last
+``WINDOW`` codes holds the hashes of the windows that were read with these
+codes, and the window is a repeat if its own is one of them (one byte does not
+tell a changed word from the old one for certain: a window counts as equal by
+13 code bytes, its 64-bit anchor and its own hash).  Then the document's own
+segments extend the automaton.  A segment that equals an earlier one needs no
+second pass, and a group that holds a single segment text needs no automaton.
 
 Hot anchors (a passage in a large share of all documents; the most frequent
 of a sample of documents, a list of at most ``HOT_ANCHORS``) are salted by
@@ -30,7 +30,8 @@ work is dealt out, never the result.
 
 Special cases: null text has no words, texts under ``WINDOW`` words keep all,
 rows of equal ``doc_id`` do not remove each other's words, a null ``doc_id``
-counts as larger than all others, an empty table gives an empty result,
+counts as larger than all others (rows of one or no ``doc_id`` are told apart
+by 88 bits of two hashes of their text), an empty table gives an empty result,
 columns of the input that clash with the result's are replaced.
 """
 
@@ -41,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recentlake.llm.common import mix64, run_hashes, runs, spread, text_blocks, windows
+from recentlake.llm.common import mix64, run_hashes, runs, saved, spread, text_blocks, windows
 
 WINDOW = 13
 ANCHOR = 3
@@ -57,13 +58,18 @@ SALTS = 64
 GROUP_ROWS = 50_000
 LAST_ID = (1 << 63) - 1
 
-_PACK = "place"  # start, number of windows and the row's tag in one long
-_TAG_BITS = 24
+_PACK = "place"  # start, number of windows and the row's mark in one long
+_MARK_BITS = 24
 
 
 def row_tag():
-    """Tells rows of one ``doc_id`` apart by their text."""
-    return F.xxhash64("text").bitwiseAND(F.lit((1 << _TAG_BITS) - 1))
+    """Tells rows of one ``doc_id`` apart by their text, with ``row_mark``."""
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
+def row_mark():
+    """More bits of another hash, which fit into the place."""
+    return F.hash(F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("long").bitwiseAND(F.lit((1 << _MARK_BITS) - 1))
 
 
 # -- segments ---------------------------------------------------------------------
@@ -115,14 +121,14 @@ def segments(data: np.ndarray, offs: np.ndarray):
 
 
 def split_codes(codes: bytes) -> tuple[bytes, list[bytes]]:
-    """Word codes of a segment, and each window's codes with its check."""
+    """Word codes of a segment, and the check of each of its windows."""
     n = (len(codes) - WINDOW + 1) // (CHECK + 1)
     words, checks = codes[:n + WINDOW - 1], codes[n + WINDOW - 1:]
-    return words, [words[k:k + WINDOW] + checks[CHECK * k:CHECK * (k + 1)] for k in range(n)]
+    return words, [checks[CHECK * k:CHECK * (k + 1)] for k in range(n)]
 
 
-_SEGMENTS = f"anchor bigint, doc_id bigint, {_PACK} bigint, codes binary"
-_SEGMENT_NAMES = ["anchor", "doc_id", _PACK, "codes"]
+_SEGMENTS = f"anchor bigint, doc_id bigint, tag bigint, {_PACK} bigint, codes binary"
+_SEGMENT_NAMES = ["anchor", "doc_id", "tag", _PACK, "codes"]
 
 
 def emit_segments(docs: DataFrame, hot: np.ndarray) -> DataFrame:
@@ -130,13 +136,13 @@ def emit_segments(docs: DataFrame, hot: np.ndarray) -> DataFrame:
     into the anchor and are marked by a negative doc_id bit (see ``salted``)."""
     picked = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc_id"), row_tag().alias("tag"),
-        F.col("text").cast("string").alias("text"))
+        row_mark().alias("mark"), F.col("text").cast("string").alias("text"))
     hot = np.sort(hot)
 
     def run(batches):
         for batch in batches:
             ids = np.asarray(batch.column("doc_id"))
-            tags = np.asarray(batch.column("tag").fill_null(0))
+            tags, marks = np.asarray(batch.column("tag")), np.asarray(batch.column("mark"))
             for lo, _, data, offs in text_blocks(batch.column("text")):
                 found = segments(data, offs)
                 if found is None:
@@ -149,9 +155,10 @@ def emit_segments(docs: DataFrame, hot: np.ndarray) -> DataFrame:
                     salted = hot[np.minimum(at, len(hot) - 1)] == anchor
                     salt = mix64(doc.view(np.uint64) + np.uint64(1)) % np.uint64(SALTS) + np.uint64(1)
                     anchor = np.where(salted, mix64(anchor + salt), anchor)
-                place = (tags[lo + row] << 39) | (size << 32) | start
+                place = (marks[lo + row] << 39) | (size << 32) | start
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor.view(np.int64)), pa.array(doc), pa.array(place), codes, pa.array(salted)], [*_SEGMENT_NAMES, "salted"])
+                    [pa.array(anchor.view(np.int64)), pa.array(doc), pa.array(tags[lo + row]), pa.array(place), codes, pa.array(salted)],
+                    [*_SEGMENT_NAMES, "salted"])
 
     return picked.mapInArrow(run, _SEGMENTS + ", salted boolean")
 
@@ -168,49 +175,62 @@ def hot_anchors(docs: DataFrame) -> np.ndarray:
 
 
 class SuffixAutomaton:
-    """Of the byte strings added so far; ``matches`` gives the windows of a
-    string whose matching statistic reaches ``WINDOW``."""
+    """Of the code strings added so far, with the checks of their windows.
+
+    The windows of one string of ``WINDOW`` codes are those of one state: the
+    highest one that is as long.  ``checks`` has the hashes of its windows."""
 
     def __init__(self):
         self.next: list[dict[int, int]] = [{}]
         self.link = [-1]
         self.size = [0]
+        self.checks: dict[int, set[bytes]] = {}
 
-    def add(self, text: bytes) -> None:
+    def _window_state(self, state: int) -> int:
+        """The state of the last ``WINDOW`` codes of a longer match at ``state``."""
+        link, size = self.link, self.size
+        while size[link[state]] >= WINDOW:
+            state = link[state]
+        return state
+
+    def add(self, text: bytes, checks: list[bytes]) -> None:
+        """``checks`` has the hash of each window of ``text``."""
         nxt, link, size = self.next, self.link, self.size
         last = 0
-        for c in text:
+        for place, c in enumerate(text, 1 - WINDOW):
             if c in nxt[last]:
                 q = nxt[last][c]
                 if size[q] == size[last] + 1:
                     last = q
-                    continue
-                clone = self._clone(q, size[last] + 1)
-                p = last
-                while p != -1 and nxt[p].get(c) == q:
-                    nxt[p][c] = clone
-                    p = link[p]
-                last = clone
-                continue
-            new = len(nxt)
-            nxt.append({})
-            size.append(size[last] + 1)
-            link.append(0)
-            p = last
-            while p != -1 and c not in nxt[p]:
-                nxt[p][c] = new
-                p = link[p]
-            if p != -1:
-                q = nxt[p][c]
-                if size[q] == size[p] + 1:
-                    link[new] = q
                 else:
-                    clone = self._clone(q, size[p] + 1)
+                    clone = self._clone(q, size[last] + 1)
+                    p = last
                     while p != -1 and nxt[p].get(c) == q:
                         nxt[p][c] = clone
                         p = link[p]
-                    link[new] = clone
-            last = new
+                    last = clone
+            else:
+                new = len(nxt)
+                nxt.append({})
+                size.append(size[last] + 1)
+                link.append(0)
+                p = last
+                while p != -1 and c not in nxt[p]:
+                    nxt[p][c] = new
+                    p = link[p]
+                if p != -1:
+                    q = nxt[p][c]
+                    if size[q] == size[p] + 1:
+                        link[new] = q
+                    else:
+                        clone = self._clone(q, size[p] + 1)
+                        while p != -1 and nxt[p].get(c) == q:
+                            nxt[p][c] = clone
+                            p = link[p]
+                        link[new] = clone
+                last = new
+            if place >= 0:
+                self.checks.setdefault(self._window_state(last), set()).add(checks[place])
 
     def _clone(self, q: int, size: int) -> int:
         """A copy of state ``q`` for its strings up to ``size``, above it."""
@@ -219,22 +239,25 @@ class SuffixAutomaton:
         self.size.append(size)
         self.link.append(self.link[q])
         self.link[q] = new
+        if size >= WINDOW and q in self.checks:
+            self.checks[new] = self.checks.pop(q)  # the string of WINDOW codes is a string of the copy now
         return new
 
-    def matches(self, text: bytes) -> list[bool]:
-        """For each window of ``text``: whether it is in an added string."""
+    def matches(self, text: bytes, checks: list[bytes]) -> list[bool]:
+        """For each window of ``text``: whether an added string has it."""
         nxt, link, size = self.next, self.link, self.size
         state = length = 0
         out = []
-        for c in text:
+        for place, c in enumerate(text, 1 - WINDOW):
             while state and c not in nxt[state]:
                 state = link[state]
                 length = size[state]
             to = nxt[state].get(c)
             if to is not None:
                 state, length = to, length + 1
-            out.append(length >= WINDOW)
-        return out[WINDOW - 1:]
+            if place >= 0:
+                out.append(length >= WINDOW and checks[place] in self.checks.get(self._window_state(state), ()))
+        return out
 
 
 class GroupReader:
@@ -242,7 +265,7 @@ class GroupReader:
 
     def __init__(self):
         self.automaton: SuffixAutomaton | None = None
-        self.known: set[bytes] = set()  # whole segments, and windows, of smaller documents
+        self.known: set[bytes] = set()  # whole segments of smaller documents
         self.doc: int | None = None
         self.held: list[bytes] = []
 
@@ -253,17 +276,14 @@ class GroupReader:
                 if segment not in self.known:
                     if self.automaton is None:
                         self.automaton = SuffixAutomaton()
-                    words, own = split_codes(segment)
-                    self.automaton.add(words)
+                    self.automaton.add(*split_codes(segment))
                     self.known.add(segment)
-                    self.known.update(own)
             self.doc, self.held = doc, []
         if codes in self.known:
             return True
         found: list[bool] | bool = False
         if self.automaton is not None:
-            words, own = split_codes(codes)
-            found = [hit and w in self.known for hit, w in zip(self.automaton.matches(words), own, strict=True)]
+            found = self.automaton.matches(*split_codes(codes))
             if all(found):
                 return True
         self.held.append(codes)
@@ -273,9 +293,9 @@ class GroupReader:
 # -- resolving ---------------------------------------------------------------------
 
 
-def _resolve(anchor, doc, place, codes: pa.Array, salted, reader: dict):
-    """Repeats ``(doc, place)`` among the rows, sorted by anchor and doc, and
-    windows that go on to the second round ``(doc, place, codes)``.
+def _resolve(anchor, doc, tag, place, codes: pa.Array, salted, reader: dict):
+    """Repeats ``(doc, tag, place)`` among the rows, sorted by anchor and doc,
+    and windows that go on to the second round ``(doc, tag, place, codes)``.
 
     ``reader`` holds the state of a group cut by the end of the rows."""
     n = len(anchor)
@@ -292,36 +312,35 @@ def _resolve(anchor, doc, place, codes: pa.Array, salted, reader: dict):
     if reader.get("anchor") is not None and reader["anchor"] == anchor[0]:
         walk[0] = True
     plain = (several & ~walk)[group] & (doc > np.minimum.reduceat(doc, first)[group])
-    docs, places = [doc[plain]], [place[plain]]
-    more: list[tuple[int, int, bytes]] = []
-    out_doc, out_place = [], []
+    more: list[tuple[int, int, int, bytes]] = []
+    out: list[tuple[int, int, int]] = []
     for g in np.flatnonzero(walk).tolist():
         lo, hi = int(first[g]), int(first[g] + sizes[g])
         if reader.get("anchor") != anchor[lo]:
             reader["anchor"], reader["group"] = anchor[lo], GroupReader()
         own = reader["group"]
-        for d, p, c, on in zip(doc[lo:hi].tolist(), place[lo:hi].tolist(), codes[lo:hi].to_pylist(), salted[lo:hi].tolist(), strict=True):
+        for d, t, p, c, on in zip(doc[lo:hi].tolist(), tag[lo:hi].tolist(), place[lo:hi].tolist(), codes[lo:hi].to_pylist(),
+                                  salted[lo:hi].tolist(), strict=True):
             found = own.read(d, c)
             if found is True:
-                out_doc.append(d)
-                out_place.append(p)
+                out.append((d, t, p))
                 continue
             if not (found and any(found) or on):
                 continue
-            start, tag = p & 0xFFFFFFFF, p >> 39
-            for k, window in enumerate(split_codes(c)[1]):
-                one = tag << 39 | 1 << 32 | (start + k)
+            start, mark = p & 0xFFFFFFFF, p >> 39
+            words, checks = split_codes(c)
+            for k, check in enumerate(checks):
+                one = mark << 39 | 1 << 32 | (start + k)
                 if found and found[k]:
-                    out_doc.append(d)
-                    out_place.append(one)
+                    out.append((d, t, one))
                 elif on:
-                    more.append((d, one, window))
-    return (
-        np.concatenate([*docs, np.array(out_doc, np.int64)]), np.concatenate([*places, np.array(out_place, np.int64)]), more)
+                    more.append((d, t, one, words[k:k + WINDOW] + check))
+    walked = np.array(out, np.int64).reshape(len(out), 3)
+    return [np.concatenate([x[plain], walked[:, k]]) for k, x in enumerate((doc, tag, place))], more
 
 
 def _repeats(rows: DataFrame) -> DataFrame:
-    """``doc_id, place`` of the repeats, and with ``codes`` the windows of
+    """``doc_id, tag, place`` of the repeats, and with ``codes`` the windows of
     salted groups that are the first of theirs."""
     dealt = rows.repartition(spread(rows.sparkSession), "anchor").sortWithinPartitions("anchor", "doc_id")
 
@@ -330,14 +349,12 @@ def _repeats(rows: DataFrame) -> DataFrame:
 
         def flush():
             table = pa.Table.from_batches(held).combine_chunks()
-            columns = [np.asarray(table.column(c)) for c in ("anchor", "doc_id", _PACK)]
-            doc, place, more = _resolve(*columns, table.column("codes").combine_chunks(), np.asarray(table.column("salted")), reader)
-            codes = [None] * len(doc) + [c for _, _, c in more]
+            columns = [np.asarray(table.column(c)) for c in ("anchor", "doc_id", "tag", _PACK)]
+            found, more = _resolve(*columns, table.column("codes").combine_chunks(), np.asarray(table.column("salted")), reader)
+            codes = [None] * len(found[0]) + [m[3] for m in more]
             if codes:
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.concatenate([doc, np.array([d for d, _, _ in more], np.int64)])),
-                    pa.array(np.concatenate([place, np.array([p for _, p, _ in more], np.int64)])), pa.array(codes, pa.binary())],
-                    ["doc_id", _PACK, "codes"])
+                own = [np.concatenate([x, np.array([m[k] for m in more], np.int64)]) for k, x in enumerate(found)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, own), pa.array(codes, pa.binary())], ["doc_id", "tag", _PACK, "codes"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -350,35 +367,38 @@ def _repeats(rows: DataFrame) -> DataFrame:
         if held:
             yield from flush()
 
-    return dealt.mapInArrow(run, f"doc_id bigint, {_PACK} bigint, codes binary")
+    return dealt.mapInArrow(run, f"doc_id bigint, tag bigint, {_PACK} bigint, codes binary")
 
 
 def repeated_places(docs: DataFrame) -> DataFrame:
-    """``doc_id, tag, spans``: for each document with repeats the packed starts
-    and numbers of its repeated windows."""
+    """``doc_id, tag, mark, spans``: for each text with repeats the packed
+    starts and numbers of its repeated windows.
+
+    Rows of one id and text have one list: it is a set, combined map-side, so
+    that any number of them gives a list as long as one text's."""
     hot = hot_anchors(docs)
+    place = ("doc_id", "tag", _PACK)
     first = _repeats(emit_segments(docs, hot))
-    found = first.where(F.col("codes").isNull()).select("doc_id", _PACK)
+    found = first.where(F.col("codes").isNull()).select(*place)
     if len(hot):
-        from recentlake.llm.common import saved
-
         first = saved(first, "repeats")
         again = first.where(F.col("codes").isNotNull()).select(
-            F.xxhash64("codes").alias("anchor"), "doc_id", _PACK, "codes", F.lit(False).alias("salted"))
-        found = first.where(F.col("codes").isNull()).select("doc_id", _PACK).unionByName(_repeats(again).select("doc_id", _PACK))
-    return found.groupBy("doc_id", F.shiftright(_PACK, 39).alias("tag")).agg(
-        F.collect_list(F.col(_PACK).bitwiseAND(F.lit((1 << 39) - 1))).alias("spans"))
+            F.xxhash64("codes").alias("anchor"), *place, "codes", F.lit(False).alias("salted"))
+        found = first.where(F.col("codes").isNull()).select(*place).unionByName(_repeats(again).select(*place))
+    return found.groupBy("doc_id", "tag", F.shiftright(_PACK, 39).alias("mark")).agg(
+        F.collect_set(F.col(_PACK).bitwiseAND(F.lit((1 << 39) - 1))).alias("spans"))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with ``n_words``, ``n_removed`` and ``kept_text``: the words
     that are left, joined by one space."""
-    spans = repeated_places(docs).select(F.col("doc_id").alias("__d"), F.col("tag").alias("__t"), "spans")
+    spans = repeated_places(docs).select(F.col("doc_id").alias("__d"), F.col("tag").alias("__t"), F.col("mark").alias("__m"), "spans")
     added = ("n_words", "n_removed", "kept_text")
     kept = [c for c in docs.columns if c not in added]
     keyed = docs.select(*(F.col(f"`{c}`") for c in kept), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("__id"),
-                        row_tag().alias("__tag"))
-    joined = keyed.join(spans, (F.col("__id") == F.col("__d")) & (F.col("__tag") == F.col("__t")), "left") \
+                        row_tag().alias("__tag"), row_mark().alias("__mark"))
+    same = (F.col("__id") == F.col("__d")) & (F.col("__tag") == F.col("__t")) & (F.col("__mark") == F.col("__m"))
+    joined = keyed.join(spans, same, "left") \
         .select(*(F.col(f"`{c}`") for c in kept), F.col("text").cast("string").alias("__text"), F.col("spans").alias("__spans"))
     kinds = dict(docs.dtypes)
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in kept), "n_words bigint, n_removed bigint, kept_text string"])

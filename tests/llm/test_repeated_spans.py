@@ -79,11 +79,59 @@ def test_cleaned_keeps_columns_and_untouched_texts(spark):
     assert by_id[8]["text"] == "" and by_id[8]["n_chars"] == 0
 
 
+def test_rows_without_an_id_keep_words_that_repeat_nowhere(spark):
+    """Many rows share no id: each keeps its own words."""
+    shared = prose(20, 1, 10**6)
+    rows = [(5, shared)] + [(None, " ".join(f"{k}x{i}" for i in range(18))) for k in range(20_000)] + [(None, shared + " tail"), (None, shared)]
+    assert got(spark, rows) == brute(rows)
+
+
+def test_equal_rows_of_one_id_in_number(spark):
+    text = prose(40, 2, 10**6)
+    rows = [(1, text)] + [(7, text)] * 300 + [(None, text)] * 300 + [(8, text + " more")]
+    assert got(spark, rows) == brute(rows)
+
+
 def test_automaton_matches_substrings():
     rng = random.Random(2)
     a = r.SuffixAutomaton()
-    texts = [bytes(rng.choice(b"abc") for _ in range(rng.randrange(13, 60))) for _ in range(30)]
-    for k, t in enumerate(texts):
-        expected = [any(t[i:i + 13] in u for u in texts[:k]) for i in range(len(t) - 12)]
-        assert a.matches(t) == expected
-        a.add(t)
+    texts = [bytes(rng.choice(b"abc") for _ in range(rng.randrange(13, 60))) for _ in range(60)]
+    checks = [[bytes([rng.randrange(2)]) for _ in range(len(t) - 12)] for t in texts]
+    seen = set()
+    for t, c in zip(texts, checks):
+        own = [(t[i:i + 13], c[i]) for i in range(len(t) - 12)]
+        assert a.matches(t, c) == [w in seen for w in own]
+        a.add(t, c)
+        seen.update(own)
+        assert all(a.matches(t, c))
+
+
+def _windows_found(rows):
+    """Repeated windows ``(doc, start)`` by the readers of all anchors."""
+    import pyarrow as pa
+
+    groups = {}
+    for doc_id, text in sorted(rows):
+        for _, _, data, offs in r.text_blocks(pa.array([text])):
+            for _, anchor, start, size, codes in zip(*(x.tolist() for x in r.segments(data, offs) or [pa.array([])] * 5)):
+                groups.setdefault(anchor, []).append((doc_id, start, size, codes))
+    out = set()
+    for segments in groups.values():
+        reader = r.GroupReader()
+        for doc_id, start, size, codes in segments:
+            found = reader.read(doc_id, codes)
+            out |= {(doc_id, start + k) for k in range(size) if found is True or found and found[k]}
+    return out
+
+
+def test_the_automaton_decides(monkeypatch):
+    rows = [(d, t) for d, t in corpus() if len(words(t)) >= 13]
+    first, want = {}, set()
+    for doc_id, text in sorted(rows):
+        ws = words(text)
+        for k in range(len(ws) - 12):
+            if first.setdefault(tuple(ws[k:k + 13]), doc_id) < doc_id:
+                want.add((doc_id, k))
+    assert _windows_found(rows) == want
+    monkeypatch.setattr(r.SuffixAutomaton, "matches", lambda self, text, checks: [False] * len(checks))
+    assert len(_windows_found(rows)) < len(want)
