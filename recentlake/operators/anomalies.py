@@ -23,6 +23,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import VariantType
 
 from recentlake import schema as S
 from recentlake.functions import columns as C
@@ -96,6 +97,11 @@ def _event_rule_structs(k: DataFrame, as_of: Column) -> dict[str, tuple[Column,
     wiki = F.col("_raw_wiki")
     stamp = C.iso_utc(F.col("_ts"))
     payload = F.col("_payload")
+    if isinstance(k.schema["_payload"].dataType, VariantType):
+        no_page_id = F.schema_of_variant(payload).startswith("OBJECT") & F.try_variant_get(payload, "$.page_id", "string").isNull()
+    else:
+        no_page_id = (C.nonempty(payload).isNotNull() & C.is_json_object_text(payload)
+                      & F.get_json_object(payload, "$.page_id").isNull())
     return {
         "wiki_null": (
             wiki.isNull() | (C.strip_ws(wiki) == F.lit("")),
@@ -108,10 +114,7 @@ def _event_rule_structs(k: DataFrame, as_of: Column) -> dict[str, tuple[Column,
                  reason=F.lit(S.RULE_UNKNOWN_LANGUAGE), wiki=wiki),
         ),
         "missing_page_id": (
-            F.col("_page_id").isNull()
-            & C.nonempty(payload).isNotNull()
-            & C.is_json_object_text(payload)
-            & F.get_json_object(payload, "$.page_id").isNull(),
+            F.col("_page_id").isNull() & F.coalesce(no_page_id, F.lit(False)),
             _row(type=F.lit(S.ANOMALY_DATA), page=F.col("_title"), severity=F.lit(S.SEVERITY_MEDIUM), timestamp=stamp,
                  reason=F.lit(S.RULE_MISSING_PAGE_ID)),
         ),

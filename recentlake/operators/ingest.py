@@ -15,7 +15,7 @@ is identical in batch and Structured Streaming.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from recentlake import schema as S
@@ -27,35 +27,30 @@ def _get(v: Column, path: str, dtype: str) -> Column:
     return F.try_variant_get(v, path, dtype)
 
 
-def _kind(v: Column, path: str) -> Column:
-    """JSON type of a field: BOOLEAN, STRING, BIGINT, ...; null when missing."""
-    return F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+def _json(v: Column, path: str) -> Column:
+    """JSON text of a field, which also tells its type; null when missing."""
+    return F.to_json(F.try_variant_get(v, path, "variant"))
 
 
-def truthy(v: Column, path: str) -> Column:
-    """Truth of a JSON value: non-empty text (also ``"false"``), a number
-    other than 0, a non-empty list or object, or true."""
-    kind, text = _kind(v, path), _get(v, path, "string")
+def truthy(text: Column) -> Column:
+    """Truth of a JSON value given as JSON text: non-empty text (also
+    ``"false"``), a number other than 0, a non-empty list or object, or true."""
     return (
-        F.when(kind == "BOOLEAN", _get(v, path, "boolean"))
-        .when(kind == "STRING", text != "")
-        .when(kind.startswith("OBJECT") | kind.startswith("ARRAY"), ~text.isin("{}", "[]"))
-        .when(kind == "VOID", F.lit(False))
-        .otherwise(F.try_variant_get(v, path, "double") != 0.0)
+        F.when(text.isin("true", "false", "null", '""', "{}", "[]"), text == "true")
+        .when(text.rlike(r'^["\[{]'), F.lit(True))
+        .otherwise(text.try_cast("double") != 0.0)
     )
 
 
-def is_json_true(v: Column, path: str) -> Column:
+def is_json_true(text: Column) -> Column:
     """The value is the boolean true, nothing like it."""
-    return (_kind(v, path) == "BOOLEAN") & _get(v, path, "boolean")
+    return text == "true"
 
 
-def whole_number(v: Column, path: str) -> Column:
+def whole_number(text: Column) -> Column:
     """The value of a whole JSON number (false is 0, true is 1); null for text
     and anything else."""
-    kind = _kind(v, path)
-    value = F.when(kind == "BOOLEAN", _get(v, path, "boolean").cast("double")).when(
-        (kind != "STRING") & (kind != "VOID"), F.try_variant_get(v, path, "double"))
+    value = F.when(text == "true", F.lit(1.0)).when(text == "false", F.lit(0.0)).otherwise(text.try_cast("double"))
     return F.when(value == F.floor(value), value.cast("long"))
 
 
@@ -72,6 +67,8 @@ def parse_raw_events(raw: DataFrame, value_col: str = "value") -> DataFrame:
     # The parse gets its own projection: CollapseProject does not copy a
     # costly expression into several consumers, so each line parses once.
     parsed = raw.select("*", F.try_parse_json(text).alias("_json"))
+    # So do the fields of any type, which are looked at more than once.
+    parsed = parsed.select("*", *(_json(F.col("_json"), f"$.{f}").alias(f"_{f}") for f in ("bot", "anonymous", "userid")))
     v = F.col("_json")
     ev = F.struct(
         _get(v, "$.title", "string").alias("title"),
@@ -79,9 +76,9 @@ def parse_raw_events(raw: DataFrame, value_col: str = "value") -> DataFrame:
         _get(v, "$.server_name", "string").alias("server_name"),
         _get(v, "$.timestamp", "string").alias("timestamp"),
         _get(v, "$.user", "string").alias("user"),
-        whole_number(v, "$.userid").alias("userid"),
-        truthy(v, "$.bot").alias("bot"),
-        is_json_true(v, "$.anonymous").alias("anonymous"),
+        whole_number(F.col("_userid")).alias("userid"),
+        truthy(F.col("_bot")).alias("bot"),
+        is_json_true(F.col("_anonymous")).alias("anonymous"),
         _get(v, "$.type", "string").alias("type"),
         _get(v, "$.page_id", "string").alias("page_id"),
         F.struct(
@@ -96,6 +93,7 @@ def parse_raw_events(raw: DataFrame, value_col: str = "value") -> DataFrame:
         ok.alias("json_ok"),
         (ok & C.is_json_object_text(text)).alias("is_object"),
         ev.alias("event"),
+        "_json",
     )
 
 
@@ -131,11 +129,20 @@ def select_where(df: DataFrame, cond: Column, cols: list[Column]) -> DataFrame:
 
 def validation_counts(validated: DataFrame) -> DataFrame:
     """One row: total, valid, invalid."""
-    return validated.agg(
-        F.count(F.lit(1)).alias("total"),
-        F.count_if(F.col("error_reason").isNull()).alias("valid"),
-        F.count_if(F.col("error_reason").isNotNull()).alias("invalid"),
-    )
+    return validated.agg(*count_columns())
+
+
+def count_columns() -> list[Column]:
+    """total, valid, invalid of validated lines."""
+    bad = F.col("error_reason").isNotNull()
+    return [F.count(F.lit(1)).alias("total"), F.count_if(~bad).alias("valid"), F.count_if(bad).alias("invalid")]
+
+
+def observed(validated: DataFrame, name: Observation | str) -> DataFrame:
+    """``validated`` whose counts are taken as its rows go by (F2): no pass of
+    their own.  With an ``Observation`` a batch action fills them in; with a
+    name they are in the progress reports of a stream."""
+    return validated.observe(name, *count_columns())
 
 
 def record_columns(ingestion_ts: Column, source: str = S.DEFAULT_SOURCE, value_col: str = "value") -> list[Column]:
@@ -161,10 +168,15 @@ ERROR_FIELDS = [f.name for f in S.ERROR_RECORD.fields]
 
 
 def enrich_events(validated: DataFrame, ingestion_ts: Column | None = None, source: str = S.DEFAULT_SOURCE,
-                  keep: list[str] | None = None, value_col: str = "value") -> DataFrame:
-    """Valid rows -> enriched records (plus ``keep`` pass-through columns)."""
+                  keep: list[str] | None = None, value_col: str = "value", variant_payload: bool = False) -> DataFrame:
+    """Valid rows -> enriched records (plus ``keep`` pass-through columns).
+
+    With ``variant_payload`` the payload is the parsed line as a VARIANT, which
+    Parquet stores as such: rules read its fields without parsing text again."""
     ts = ingestion_ts if ingestion_ts is not None else F.current_timestamp()
     cols = [F.col(c) for c in (keep or [])] + record_columns(ts, source, value_col)
+    if variant_payload:
+        cols[-1] = F.col("_json").alias("payload")
     return select_where(validated, F.col("error_reason").isNull(), cols)
 
 
@@ -240,6 +252,15 @@ def ingest_messages(raw: DataFrame, ingestion_ts: Column | None = None, source:
     return _per_topic(v, topics, key, value, keep)
 
 
+def message_topics(raw: DataFrame, value_col: str = "value") -> DataFrame:
+    """``topic`` of every message that ``ingest_messages`` makes, without
+    making keys and values: enough to count them."""
+    v = raw if "error_reason" in raw.columns else validate_events(raw, value_col)
+    topics = F.when(v.error_reason.isNull(), topics_for(F.col("event.bot"), F.col("event.type"))).otherwise(
+        F.array(F.lit(S.TOPIC_ERRORS)))
+    return v.select(F.explode(topics).alias("topic"))
+
+
 def topic_volumes(messages: DataFrame, cap: int | None = None) -> DataFrame:
     """Messages per known topic (zero when none); optional per-topic cap.
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from recentlake import schema as S
 from recentlake.operators.frames import combine_rows
+from recentlake.sources.files import path_exists
 
 
 def end_offsets_from(messages: DataFrame, topic: str = "kafka_topic", partition: str = "kafka_partition",
@@ -149,17 +150,9 @@ def list_files(spark: SparkSession, root: str, glob: str = "*.json") -> DataFram
 
 
 def folder_exists(spark: SparkSession, path: str) -> DataFrame:
-    """One row: whether ``path`` exists in the lake's file system.
-
-    Asks Spark's own file index, by listing file names only."""
-    try:
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*").load(path)
-        found = True
-    except Exception as exc:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(exc) and "does not exist" not in str(exc):
-            raise
-        found = False
-    return spark.range(1).select(F.lit(found).alias("present"))
+    """One row: whether ``path`` exists.  The file system is asked for the
+    path itself; nothing is listed."""
+    return spark.range(1).select(F.lit(path_exists(spark, path)).alias("present"))
 
 
 def zone_inventory(spark: SparkSession, root: str, fmt: str = "json", sample: int | None = None) -> tuple[DataFrame, DataFrame]:

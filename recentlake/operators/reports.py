@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from recentlake import schema as S
 from recentlake.functions import columns as C
 from recentlake.operators.frames import combine_rows
-from recentlake.operators.ranking import sorted_counts, top_n
+from recentlake.operators.ranking import sorted_counts, top_counts, top_n
 from recentlake.session import reuse
 
 
@@ -148,6 +148,13 @@ def top_pages(events: DataFrame, n: int = S.TOP_LIMIT) -> DataFrame:
     )
 
 
+def top_pages_of_many(events: DataFrame, n: int = S.TOP_LIMIT) -> DataFrame:
+    """``top_pages`` for lakes with very many pages: pages that cannot reach
+    the top are not shuffled (``ranking.top_counts``)."""
+    pages = events.select(C.page_title("title").alias("title"), C.page_wiki("wiki").alias("wiki"))
+    return top_counts(pages, n, ["title", "wiki"]).select("rank", "title", "wiki", "edit_count")
+
+
 def most_created_pages(events: DataFrame, n: int = S.TOP_LIMIT) -> DataFrame:
     return top_n(_page_counts(events, C.is_create("event_type")), n, "edit_count", ["title", "wiki"]).select(
         "rank", "title", "wiki", "edit_count"

@@ -190,8 +190,7 @@ def monitoring_job(spark: SparkSession, layout: W.LakeLayout, runs: DataFrame, t
     if lag is not None:
         docs["lag"] = lag
     root = os.path.join(layout.reports, "monitoring")
-    return {name: W.write_versioned(df.select(*stamp, "*"), os.path.join(root, name), _run_id(as_of),
-                                    "latest_pipeline_monitoring") for name, df in docs.items()}
+    return {name: W.write_versioned(df.select(*stamp, "*"), os.path.join(root, name), _run_id(as_of)) for name, df in docs.items()}
 
 
 def publish_processed(events: DataFrame, layout: W.LakeLayout, fmt: str = "json",

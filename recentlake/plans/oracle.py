@@ -544,6 +544,10 @@ _GAPS = ("gaps AS (SELECT kafka_partition, kafka_offset + 1 AS first_missing, fo
          "following - kafka_offset - 1 AS missing FROM nexts WHERE following > kafka_offset + 1)")
 
 CARRIED: dict[str, str] = {
+    "top_pages_of_many": REPORTS["top_pages"],
+    "missing_page_id_variant": INGEST["rule_missing_page_id"],
+    "ingest_counts": f"SELECT ingestion_errors + total_events AS total, total_events AS valid, ingestion_errors AS invalid "
+    f"FROM ({INGEST['invalid_rate']}) r",
     **{f"{name}_carried": REPORTS[name] for name in ("activity_by_hour", "top_pages", "active_bots", "bots_vs_humans")},
     **{f"{name}_carried": ANOMALIES[name] for name in ("detect_anomalies", "anomaly_report")},
     "new_messages": _with() + "SELECT event_id, kafka_partition, kafka_offset, title FROM ev "

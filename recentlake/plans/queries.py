@@ -25,6 +25,7 @@ from recentlake.operators import reports as R
 from recentlake.operators.carried_anomalies import AnomalyState
 from recentlake import schema as S
 from recentlake.session import checkpoint_root
+from recentlake.sinks import writers as W
 from recentlake.sources import files as SRC
 from recentlake.sources import kafka as K
 from recentlake.sources import testdata as TD
@@ -127,12 +128,14 @@ def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _q_route(spark: SparkSession, sf_dir: str) -> DataFrame:
-    value = [F.get_json_object("value", f"$.{f}").alias(f"value_{f}") for f in
-             ("title", "wiki", "user", "is_bot", "is_anonymous", "event_type", "page_id", "error_reason")]
-    line = F.coalesce(F.get_json_object("value", "$.payload"), F.get_json_object("value", "$.raw_data"))
     sent = I.ingest_messages(TD.load_raw_feed(spark, sf_dir).withColumn("line", F.col("value")), TD.as_of_col(),
                              keep=["event_id", "line"])
-    return sent.select("event_id", "topic", "key", *value, (line == F.col("line")).alias("value_has_line"))
+    fields = ("title", "wiki", "user", "is_bot", "is_anonymous", "event_type", "page_id", "error_reason")
+    # a message is parsed once, in a projection of its own
+    parsed = sent.select("event_id", "topic", "key", "line", F.from_json(
+        "value", ", ".join(f"{f} string" for f in (*fields, "payload", "raw_data"))).alias("v"))
+    return parsed.select("event_id", "topic", "key", *(F.col(f"v.{f}").alias(f"value_{f}") for f in fields),
+                         (F.coalesce("v.payload", "v.raw_data") == F.col("line")).alias("value_has_line"))
 
 
 def _q_decode_kafka(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,7 +171,7 @@ def _q_invalid_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _q_topic_volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.topic_volumes(_messages(spark, sf_dir))
+    return I.topic_volumes(I.message_topics(TD.load_raw_feed(spark, sf_dir)))
 
 
 def _q_missing_page_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,7 +225,7 @@ def _q_daily_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = TD.load_processed(spark, sf_dir)
     files = R.global_activity(TD.read_table(spark, sf_dir, "events").withColumn("source_file", F.col("_metadata.file_path")))
     return R.daily_report(ev, TD.as_of_col(), A.detect_anomalies(ev, TD.as_of_col(), BY_ID),
-                          I.topic_volumes(_messages(spark, sf_dir)), M.offset_lag(*_offsets(ev)), files.select("files_read"))
+                          I.topic_volumes(I.message_topics(TD.load_raw_feed(spark, sf_dir))), M.offset_lag(*_offsets(ev)), files.select("files_read"))
 
 
 def _run_logs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -375,7 +378,23 @@ def _q_stream_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(found.schema).parquet(out).select(*S.ANOMALY_COLUMNS)
 
 
+def _q_ingest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Total, valid and invalid lines, from the write of the messages itself."""
+    counts = W.write_messages(TD.load_raw_feed(spark, sf_dir), _scratch(spark, "messages"), "run", TD.as_of_col())
+    return spark.createDataFrame([(counts["total"], counts["valid"], counts["invalid"])], "total bigint, valid bigint, invalid bigint")
+
+
+def _q_missing_page_id_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q3 over a Parquet lake whose payload is a VARIANT."""
+    lake = _scratch(spark, "variant-lake")
+    I.enrich_events(_validated(spark, sf_dir), TD.as_of_col(), keep=["event_id"], variant_payload=True).write.parquet(lake)
+    return A.rule(spark.read.parquet(lake), "missing_page_id", TD.as_of_col(), BY_ID)
+
+
 CARRIED_QUERIES: dict[str, Query] = {
+    "top_pages_of_many": _on_events(R.top_pages_of_many),
+    "ingest_counts": _q_ingest_counts,
+    "missing_page_id_variant": _q_missing_page_id_variant,
     **{f"{name}_carried": _carried_report(name) for name in ("activity_by_hour", "top_pages", "active_bots", "bots_vs_humans")},
     "detect_anomalies_carried": _q_anomalies_carried,
     "anomaly_report_carried": _q_anomaly_report_carried,

@@ -1,8 +1,8 @@
 """All-or-nothing tables (K3, K9, K10): staged write, numbered manifest.
 
-A batch is written to a folder of its own that no reader knows.  Then one
-small manifest, ``_manifest/<number>.json``, which lists the folders of all
-committed batches, is renamed into place; the rename fails when another
+A batch is written to folders of its own, ``data/<table>/_batch=<name>``, that
+no reader knows.  Then one small manifest, ``_manifest/<number>.json``, which
+names the folders of all committed batches, is renamed into place; the rename fails when another
 writer took the number.  Readers open the folders of the highest manifest:
 
 * a run that dies leaves a folder that no manifest names, and the state
@@ -75,9 +75,12 @@ class Published:
         """Committed batch ids, in order."""
         return [b for e in self._newest(spark)[1] for b in e["batches"]]
 
-    def folders(self, spark: SparkSession) -> list[str]:
-        """Committed folders, in order."""
-        return [e["folder"] for e in self._newest(spark)[1] if e["tables"]]
+    def paths(self, spark: SparkSession, table: str) -> list[str]:
+        """Committed folders of ``table``, in order."""
+        return [self._path(table, e["name"]) for e in self._newest(spark)[1] if table in e["tables"]]
+
+    def _path(self, table: str, name: str) -> str:
+        return f"{self.root}/data/{table}/_batch={name}"
 
     # -- tables --------------------------------------------------------------
 
@@ -91,38 +94,40 @@ class Published:
         batch = str(batch_id)
         if any(batch in e["batches"] for e in entries):
             return False
-        folder = f"{self.root}/data/{batch}-{uuid.uuid4().hex}"
-        for name, df in tables.items():
+        name = f"{batch}-{uuid.uuid4().hex}"
+        for table, df in tables.items():
             writer = df.write.format(self.fmt)
-            by = (partition_by or {}).get(name)
-            (writer.partitionBy(*by) if by else writer).save(f"{folder}/{name}")
+            by = (partition_by or {}).get(table)
+            (writer.partitionBy(*by) if by else writer).save(self._path(table, name))
         if replace:
             gone = [b for e in entries for b in e["batches"]]
-            entries = [{"batches": gone, "folder": None, "tables": []}] if gone else []
-        entry = {"batches": [batch], "folder": folder, "tables": sorted(tables)}
+            entries = [{"batches": gone, "name": None, "tables": []}] if gone else []
+        entry = {"batches": [batch], "name": name, "tables": sorted(tables)}
         self._commit(spark, number + 1, [*entries, entry])
         return True
 
     def read(self, spark: SparkSession, table: str, schema: T.StructType | str) -> DataFrame:
         """Rows of ``table`` of all committed batches (empty when there are none)."""
-        paths = [f"{e['folder']}/{table}" for e in self._newest(spark)[1] if table in e["tables"]]
+        empty = spark.createDataFrame([], schema)
+        paths = self.paths(spark, table)
         if not paths:
-            return spark.createDataFrame([], schema)
-        return spark.read.schema(schema).format(self.fmt).load(paths)
+            return empty
+        rows = spark.read.schema(schema).format(self.fmt).option("basePath", f"{self.root}/data/{table}").load(paths)
+        return rows.select(*(f"`{c}`" for c in empty.columns))
 
     def rewrite(self, tables: dict[str, DataFrame]) -> bool:
-        """Replace all committed folders by one with ``tables``, which hold
-        their merged rows; the batch ids stay committed.  Readers that opened
-        the old folders finish on them.  False when nothing is committed."""
+        """Replace all committed folders by one batch with ``tables``, which
+        hold their merged rows; the batch ids stay committed.  Readers that
+        opened the old folders finish on them.  False when nothing is committed."""
         spark = next(iter(tables.values())).sparkSession
         number, entries = self._newest(spark)
         if not entries:
             return False
-        folder = f"{self.root}/data/merged-{uuid.uuid4().hex}"
-        for name, df in tables.items():
-            df.write.format(self.fmt).save(f"{folder}/{name}")
+        name = f"merged-{uuid.uuid4().hex}"
+        for table, df in tables.items():
+            df.write.format(self.fmt).save(self._path(table, name))
         ids = [b for e in entries for b in e["batches"]]
-        self._commit(spark, number + 1, [{"batches": ids, "folder": folder, "tables": sorted(tables)}])
+        self._commit(spark, number + 1, [{"batches": ids, "name": name, "tables": sorted(tables)}])
         return True
 
     def vacuum(self, spark: SparkSession) -> int:
@@ -131,8 +136,9 @@ class Published:
         fs, data = self._fs(spark, f"{self.root}/data")
         if not fs.exists(data):
             return 0
-        kept = {f.rsplit("/", 1)[-1] for f in self.folders(spark)}
-        gone = [s.getPath() for s in fs.listStatus(data) if s.getPath().getName() not in kept]
+        kept = {(t, e["name"]) for e in self._newest(spark)[1] for t in e["tables"]}
+        gone = [(t.getPath().getName(), b.getPath()) for t in fs.listStatus(data) for b in fs.listStatus(t.getPath())]
+        gone = [path for table, path in gone if (table, path.getName().removeprefix("_batch=")) not in kept]
         for path in gone:
             fs.delete(path, True)
         return len(gone)

@@ -7,14 +7,18 @@ one-row or top-N report documents are written as a single file.
 from __future__ import annotations
 
 import os
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from recentlake import schema as S
 from recentlake.functions import columns as C
+from recentlake.operators import ingest as I
 from recentlake.operators.frames import combine_rows
+from recentlake.sinks.published import Published
 
 
 @dataclass(frozen=True)
@@ -125,14 +129,22 @@ def write_report(doc: DataFrame, path: str) -> None:
     doc.coalesce(1).write.mode("overwrite").json(path)
 
 
-def write_versioned(df: DataFrame, root: str, run_id: str, latest_name: str = "latest") -> tuple[str, str]:
-    """Versioned copy under ``run=<id>`` plus a ``latest`` copy (K9)."""
-    run_path = os.path.join(root, f"run={run_id}")
-    latest_path = os.path.join(root, latest_name)
-    df.write.mode("overwrite").json(run_path)
-    spark = df.sparkSession
-    spark.read.schema(df.schema).json(run_path).write.mode("overwrite").json(latest_path)
-    return run_path, latest_path
+def write_versioned(df: DataFrame, root: str, run_id: str) -> tuple[str, str]:
+    """A run's rows, published as the latest (K9); the folder of the run and of
+    the latest rows, which for a replayed run is that of the newest one.
+
+    Readers find the latest folder by the manifest (``latest``), which is
+    swapped at once: a run that dies leaves the one before readable, and a run
+    id that was published adds nothing."""
+    spark, store = df.sparkSession, Published(root, "json")
+    store.publish({"rows": df}, run_id, replace=True)
+    now = store.paths(spark, "rows")[-1]
+    return now, now
+
+
+def latest(spark: SparkSession, root: str, schema: T.StructType | str) -> DataFrame:
+    """The latest published rows under ``root`` (empty when there are none)."""
+    return Published(root, "json").read(spark, "rows", schema)
 
 
 def write_anomaly_run(anomalies: DataFrame, events_analyzed: DataFrame, root: str, run_id: str,
@@ -156,10 +168,25 @@ def write_anomaly_run(anomalies: DataFrame, events_analyzed: DataFrame, root: st
 
 
 def write_report_set(reports: dict[str, DataFrame], layout: LakeLayout, section: str) -> dict[str, str]:
-    """Write several small report documents into one report folder."""
-    out = {}
-    for name, doc in reports.items():
-        path = layout.report(section, name)
-        write_report(doc, path)
-        out[name] = path
-    return out
+    """Several small report documents of one folder, all or nothing (K10): they
+    replace the set before at once.  Returns the path of each."""
+    store = Published(os.path.join(layout.reports, section), "json")
+    store.publish({name: doc.coalesce(1) for name, doc in reports.items()}, uuid.uuid4().hex, replace=True)
+    spark = next(iter(reports.values())).sparkSession
+    return {name: store.paths(spark, name)[-1] for name in reports}
+
+
+def write_messages(raw: DataFrame, root: str, batch_id: str | int, ingestion_ts: Column | None = None,
+                   source: str = S.DEFAULT_SOURCE, max_events: int | None = None, fmt: str = "parquet") -> dict[str, int] | None:
+    """Ingest ``raw`` lines as one published batch of messages and return the
+    run's ``total``, ``valid`` and ``invalid`` lines (F2, K6, S16).
+
+    The counts are observed while the rows go by: the input is read and parsed
+    once, for the write.  ``max_events`` bounds the run, as the scheduled one.
+    None for a batch that is committed already."""
+    lines = raw if max_events is None else raw.limit(max_events)
+    seen = Observation(f"ingest-{batch_id}")
+    messages = I.ingest_messages(I.observed(I.validate_events(lines), seen), ingestion_ts, source)
+    if not Published(root, fmt).publish({"messages": messages}, batch_id):
+        return None
+    return {k: int(v or 0) for k, v in seen.get.items()}

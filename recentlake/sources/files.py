@@ -242,22 +242,41 @@ def load_anomalies(spark: SparkSession, root: str) -> DataFrame:
     empty frame.
     """
     schema = T.StructType(S.ANOMALY.fields + [T.StructField("run", T.StringType())])
-    try:
-        # A document may span lines: whole small files, one row each.
-        whole = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(root, wholetext=True)
-    except Exception as exc:  # noqa: BLE001
-        if _missing(exc):
-            return spark.createDataFrame([], schema)
-        raise
+    if not path_exists(spark, root):
+        return spark.createDataFrame([], schema)
+    place = spark._jvm.org.apache.hadoop.fs.Path(root)
+    children = place.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(place)  # one level: runs and documents
+    names = sorted(c.getPath().getName() for c in children)
+    runs = any(n.startswith("run=") for n in names)
+    documents = [f"{root.rstrip('/')}/{n}" for n in names if not n.startswith(("run=", "_", "."))]
+    parts = []
+    if runs:
+        parts.append(_anomaly_lines(spark, f"{root.rstrip('/')}/run=*"))
+    if documents:
+        parts.append(_anomaly_documents(spark, documents))
+    if not parts:
+        return spark.createDataFrame([], schema)
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def _anomaly_lines(spark: SparkSession, pattern: str) -> DataFrame:
+    """Stored runs: one anomaly a line, split like any text; broken lines are skipped."""
+    lines = spark.read.option("pathGlobFilter", "*.json").option("recursiveFileLookup", "true").text(pattern)
+    run = F.regexp_extract(F.col("_metadata.file_path"), "/run=([^/]+)/", 1)
+    rows = lines.select(F.from_json("value", S.ANOMALY).alias("a"), run.alias("run")).filter(F.col("a.type").isNotNull())
+    return rows.select(*(F.col(f"a.{c}").alias(c) for c in S.ANOMALY_COLUMNS), "run")
+
+
+def _anomaly_documents(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Foreign documents, which may span lines: whole small files, one row each."""
+    whole = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(paths, wholetext=True)
     text = C.strip_ws("value")
-    run = F.coalesce(C.nonempty(F.regexp_extract(F.col("_metadata.file_path"), "/run=([^/]+)/", 1)),
-                     F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), "[.]json$", ""))
+    run = F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), "[.]json$", "")
     # Every form becomes the text of one JSON list, parsed once.
     lines = F.filter(F.split(text, "\n"), lambda x: F.try_parse_json(x).isNotNull())
     listed = F.when(text.startswith("["), text).otherwise(
         F.coalesce(F.get_json_object(text, "$.anomalies"), F.concat(F.lit("["), F.array_join(lines, ","), F.lit("]"))))
-    texts = whole.select(listed.alias("_list"), run.alias("run"))
-    parsed = texts.select("run", F.from_json("_list", T.ArrayType(S.ANOMALY)).alias("_rows"))
+    parsed = whole.select(listed.alias("_list"), run.alias("run")).select("run", F.from_json("_list", T.ArrayType(S.ANOMALY)).alias("_rows"))
     one = parsed.select(F.explode("_rows").alias("a"), "run").filter(F.col("a.type").isNotNull())
     return one.select(*(F.col(f"a.{c}").alias(c) for c in S.ANOMALY_COLUMNS), "run")
 

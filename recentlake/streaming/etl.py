@@ -12,7 +12,7 @@ import time
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from recentlake import schema as S
 from recentlake.operators import ingest as I
@@ -76,6 +76,83 @@ def fan_out(df: DataFrame, sinks: dict[str, callable], checkpoint: str, query_na
     return w.start()
 
 
+def poll_new(stream: DataFrame, sink: callable, checkpoint: str, timeout_s: int | None = None) -> int:
+    """One bounded run over what came since the last one (S11); returns its rows.
+
+    Offsets are kept in ``checkpoint``: with a Kafka source of ``mode="new"``
+    the first run starts at the end of the topic and each later one goes on
+    where the last stopped, in batches of ``maxOffsetsPerTrigger``.  ``sink``
+    gets ``(batch_df, batch_id)``.
+    """
+    query = fan_out(stream, {"sink": sink}, checkpoint, "poll_new", {"availableNow": True})
+    query.awaitTermination(timeout_s)
+    return sum(p.numInputRows for p in query.recentProgress)
+
+
+class StalenessAlarm(StreamingQueryListener):
+    """Calls ``alarm(name, seconds)`` when a query has had no rows for
+    ``stale_seconds`` (L6), once until rows come again.
+
+    Add it with ``spark.streams.addListener``.  Spark reports idle queries at
+    ``spark.sql.streaming.noDataProgressEventInterval``, so nothing polls."""
+
+    def __init__(self, alarm: callable, stale_seconds: float = S.STALE_SECONDS, clock: callable = time.time):
+        self.alarm, self.stale_seconds, self.clock = alarm, stale_seconds, clock
+        self.last: dict[str, float] = {}
+        self.names: dict[str, str | None] = {}
+        self.fired: set[str] = set()
+
+    def _look(self, run: str, rows: int) -> None:
+        now = self.clock()
+        if rows or run not in self.last:
+            self.last[run] = now
+            self.fired.discard(run)
+        elif now - self.last[run] > self.stale_seconds and run not in self.fired:
+            self.fired.add(run)
+            self.alarm(self.names.get(run), now - self.last[run])
+
+    def onQueryStarted(self, event) -> None:
+        self.names[str(event.runId)] = event.name
+        self._look(str(event.runId), 0)
+
+    def onQueryProgress(self, event) -> None:
+        self._look(str(event.progress.runId), event.progress.numInputRows)
+
+    def onQueryIdle(self, event) -> None:
+        self._look(str(event.runId), 0)
+
+    def onQueryTerminated(self, event) -> None:
+        for known in (self.last, self.names):
+            known.pop(str(event.runId), None)
+
+
+class IngestCounts(StreamingQueryListener):
+    """Valid and invalid lines of a running ingest stream, from the metrics
+    that its write observes (``ingest.observed`` with ``name``); by batch, so
+    that a replayed batch counts once."""
+
+    def __init__(self, name: str = "ingest"):
+        self.name = name
+        self.batches: dict[tuple[str, int], dict[str, int]] = {}
+
+    def totals(self) -> dict[str, int]:
+        return {k: sum(b[k] for b in self.batches.values()) for k in ("total", "valid", "invalid")}
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        row = event.progress.observedMetrics.get(self.name)
+        if row is not None:
+            self.batches[str(event.progress.id), event.progress.batchId] = {k: int(row[k] or 0) for k in ("total", "valid", "invalid")}
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
 def run_streams(spark: SparkSession, timeout_s: float | None = None) -> None:
     """Wait for any active query to end; stop them all on interrupt."""
     try:

@@ -83,7 +83,7 @@ def test_rewritten_and_removed_files(spark, scratch):
     table.update(spark, [lake], "3")
     back = ev.where("event_id % 3 > 0 or event_id % 6 = 0")
     assert _rows(P.bot_ratio(table.counts(spark))) == _rows(R.bot_ratio(back))
-    assert table.merge(spark) and len(table.store.folders(spark)) == 1
+    assert table.merge(spark) and len(table.store.paths(spark, "counts")) == 1
     assert _rows(P.top_pages(table.counts(spark))) == _rows(R.top_pages(back))
     assert table.update(spark, [lake], "4") == []
     assert table.store.vacuum(spark) >= 3
