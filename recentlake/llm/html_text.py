@@ -9,8 +9,9 @@ list.  A decision tree, trained on the small table ``LABELLED`` when the
 operator starts, marks the blocks of the article; these are joined by line
 feeds in page order.
 
-Elements are told by their tags and by words in class, id and role (``HINTS``);
-such a word on an element around ``main`` does not count.
+Elements are told by their tags and by words in class, id and role (``HINTS``,
+alone or beside words for parts of a page, ``AROUND_HINTS``); such a word on an
+element around ``main`` does not count.  A quote opens a value only after ``=``.
 
 Scripts, styles, comments and markup are never text, nor is the content of
 ``RAW`` and ``HELD`` elements; character references are decoded, white space
@@ -37,8 +38,8 @@ from pyspark.sql import functions as F
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)(?:>|\Z)", re.S)
+ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is not text of the page, up to the end tag or the page's end.
@@ -63,6 +64,15 @@ HINTS = frozenset(
     "cookie cookies consent gdpr notice notices alert popup modal overlay paywall subscribe subscription newsletter signup login "
     "comment comments disqus replies respond reviews share sharing social related recommended recommendations "
     "widget widgets pagination pager skiplink complementary contentinfo search".split())
+#: Words beside a hint that leave it one: what pages call the parts of such elements.
+AROUND_HINTS = HINTS | frozenset(
+    "a and area articles bar block blocks body bottom box btn button buttons card cards center close column container content "
+    "custom desktop div footer fixed form full global group head header heading hidden icon icons id inline inner items item js "
+    "label large left link links list main mobile module modules more mid middle new news of on open outer page panel posts post "
+    "primary region right row secondary section site size slot small static sticky stories story strip tag tags text the title top "
+    "unit units user view wide wrap wrapper wp google dfp zone".split())
+#: First words of names that tell how a page is laid out, not what an element is.
+_LAYOUT = frozenset("content layout main page body primary columns grid".split())
 _HINT_PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _NOT_HINTS = frozenset("has with no without is not".split())
 
@@ -88,7 +98,9 @@ def _marked(attributes: str) -> bool:
         if name in ("class", "id", "role"):
             for one in value.split():
                 parts = [p.lower() for p in _HINT_PARTS.findall(one)]
-                if parts and parts[0] not in _NOT_HINTS and not HINTS.isdisjoint(parts):
+                # "related-posts" is a hint, "related-work" and "content-sidebar-right" are none.
+                if parts and parts[0] not in _NOT_HINTS and not HINTS.isdisjoint(parts) and AROUND_HINTS.issuperset(parts) \
+                        and not (parts[0] in _LAYOUT and "sidebar" in parts):
                     return True
         elif name == "style" and "display:none" in value.replace(" ", "").lower():
             return True
@@ -219,6 +231,11 @@ LABELLED = (
     (1, 0, 0, 40, 0.0, 50, 0.0, 45, 0.0, 0, 0, 0), (1, 0, 0, 20, 0.0, 3, 1.0, 60, 0.0, 0, 0, 0),
     (1, 1, 1, 15, 0.0, 30, 0.0, 30, 0.0, 0, 1, 0), (1, 0, 0, 6, 0.0, 25, 0.0, 30, 0.0, 1, 0, 0),
     (1, 0, 1, 25, 0.0, 0, 0.0, 10, 0.0, 0, 0, 0), (1, 0, 0, 18, 0.0, 70, 0.0, 16, 0.0, 0, 1, 0),
+    (1, 0, 0, 30, 0.0, 45, 0.0, 28, 0.0, 0, 0, 0), (1, 0, 0, 9, 0.0, 35, 0.0, 60, 0.0, 0, 0, 0),
+    (1, 0, 0, 75, 0.0, 25, 0.0, 33, 0.0, 0, 0, 0), (1, 0, 0, 14, 0.0, 27, 0.0, 5, 0.0, 0, 1, 0),
+    (1, 0, 0, 26, 0.0, 0, 0.0, 31, 0.0, 0, 0, 0), (1, 0, 0, 31, 0.0, 28, 0.0, 0, 0.0, 0, 0, 0),
+    (1, 0, 0, 48, 0.0, 3, 0.0, 0, 0.0, 0, 0, 0), (1, 0, 0, 5, 0.1, 62, 0.0, 41, 0.1, 1, 0, 0),
+    (1, 0, 0, 100, 0.0, 80, 0.0, 60, 0.0, 0, 0, 0), (1, 0, 0, 21, 0.2, 26, 0.0, 22, 0.0, 0, 0, 0),
     # the article element's own blocks
     (0, 1, 1, 8, 0.0, 6, 1.0, 60, 0.0, 1, 0, 1), (0, 1, 1, 75, 0.0, 8, 0.0, 40, 0.0, 0, 0, 1),
     (0, 1, 1, 1, 0.0, 50, 0.0, 33, 0.0, 0, 0, 1), (0, 1, 1, 2, 0.0, 0, 0.0, 90, 0.0, 1, 0, 1),
@@ -237,6 +254,11 @@ LABELLED = (
     (0, 0, 1, 20, 0.0, 30, 0.0, 60, 0.0, 0, 0, 0), (0, 0, 1, 1, 0.0, 40, 0.0, 70, 0.0, 0, 0, 0),
     (0, 0, 1, 80, 0.0, 5, 0.0, 90, 0.0, 0, 0, 0), (0, 0, 1, 5, 0.0, 30, 0.0, 25, 0.0, 1, 0, 0),
     (0, 0, 1, 150, 0.0, 0, 0.0, 150, 0.0, 0, 0, 0), (0, 0, 1, 4, 0.0, 60, 0.0, 60, 0.0, 0, 1, 0),
+    (0, 0, 1, 60, 0.0, 40, 1.0, 55, 0.0, 0, 0, 0), (0, 0, 1, 95, 0.1, 6, 0.9, 70, 0.0, 0, 0, 0),
+    (0, 0, 1, 38, 0.0, 20, 1.0, 25, 1.0, 0, 0, 0), (0, 0, 1, 52, 0.0, 12, 0.8, 30, 0.1, 0, 0, 0),
+    (0, 0, 1, 22, 0.0, 35, 0.0, 41, 0.0, 0, 0, 0), (0, 0, 1, 65, 0.0, 33, 0.0, 28, 0.0, 0, 0, 0),
+    (0, 0, 1, 12, 0.0, 28, 0.1, 50, 0.0, 0, 1, 0), (0, 0, 1, 7, 0.0, 45, 0.0, 38, 0.0, 1, 0, 0),
+    (0, 0, 1, 33, 0.2, 25, 0.0, 62, 0.0, 0, 0, 0), (0, 0, 1, 9, 0.0, 52, 0.0, 30, 0.0, 0, 0, 0),
     # pages without such an element: size and links of the block and its neighbours
     (0, 0, 0, 60, 0.0, 8, 0.0, 45, 0.0, 0, 0, 1), (0, 0, 0, 35, 0.1, 60, 0.0, 50, 0.0, 0, 0, 1),
     (0, 0, 0, 22, 0.0, 4, 0.0, 70, 0.0, 0, 0, 1), (0, 0, 0, 18, 0.2, 33, 0.0, 4, 0.8, 0, 0, 1),
@@ -252,8 +274,26 @@ LABELLED = (
     (0, 0, 0, 6, 0.0, 4, 0.0, 5, 0.6, 0, 0, 0), (0, 0, 0, 3, 0.0, 50, 0.0, 2, 0.5, 0, 0, 0),
     (0, 0, 0, 30, 0.7, 25, 0.0, 30, 0.6, 0, 0, 0), (0, 0, 0, 8, 0.5, 5, 0.5, 6, 0.7, 0, 1, 0),
     (0, 0, 0, 2, 0.0, 0, 0.0, 3, 1.0, 1, 0, 0), (0, 0, 0, 7, 0.0, 3, 0.0, 4, 0.0, 0, 0, 0),
+    (0, 0, 0, 40, 1.0, 0, 0.0, 5, 0.0, 0, 0, 0), (0, 0, 0, 60, 0.9, 30, 0.0, 45, 0.0, 0, 0, 0),
+    (0, 0, 0, 25, 0.8, 0, 0.0, 30, 0.0, 0, 1, 0), (0, 0, 0, 8, 1.0, 50, 0.0, 40, 0.0, 0, 0, 0),
+    (0, 0, 0, 12, 0.7, 28, 0.1, 22, 0.0, 0, 0, 0), (0, 0, 0, 35, 1.0, 5, 0.0, 0, 0.0, 0, 0, 0),
+    (0, 0, 0, 25, 0.0, 30, 0.0, 0, 0.0, 0, 0, 1), (0, 0, 0, 31, 0.0, 5, 0.0, 0, 0.0, 0, 0, 1),
+    (0, 0, 0, 27, 0.0, 5, 0.0, 3, 0.0, 0, 0, 1), (0, 0, 0, 20, 0.0, 24, 0.0, 3, 0.0, 0, 0, 1),
+    (0, 0, 0, 24, 0.1, 60, 0.0, 1, 0.0, 0, 0, 1), (0, 0, 0, 36, 0.0, 0, 0.0, 2, 0.0, 0, 0, 1),
+    (0, 0, 0, 55, 0.0, 40, 1.0, 30, 0.0, 0, 0, 1), (0, 0, 0, 48, 0.1, 6, 0.9, 35, 0.9, 0, 0, 1),
+    (0, 0, 0, 70, 0.0, 25, 1.0, 20, 1.0, 0, 0, 1), (0, 0, 0, 27, 0.0, 8, 1.0, 24, 0.0, 0, 0, 1),
+    (0, 0, 0, 31, 0.0, 4, 1.0, 27, 0.0, 0, 0, 1), (0, 0, 0, 27, 0.0, 31, 0.0, 4, 1.0, 0, 0, 1),
+    # the same lengths between long lists of links, and between paragraphs
+    (0, 0, 0, 6, 0.0, 40, 1.0, 55, 0.9, 0, 0, 0), (0, 0, 0, 2, 0.0, 30, 0.9, 28, 1.0, 0, 0, 0),
+    (0, 0, 0, 9, 0.0, 50, 1.0, 26, 1.0, 0, 1, 0), (0, 0, 0, 4, 0.0, 24, 0.8, 80, 0.9, 1, 0, 0),
+    (0, 0, 0, 15, 0.0, 20, 1.0, 16, 0.9, 0, 0, 0), (0, 0, 0, 5, 0.0, 40, 0.9, 25, 0.8, 0, 0, 0),
+    (0, 0, 0, 8, 0.0, 25, 1.0, 22, 1.0, 0, 1, 0), (0, 0, 0, 3, 0.0, 30, 0.8, 35, 1.0, 1, 0, 0),
+    (0, 0, 0, 11, 0.1, 60, 1.0, 45, 0.9, 0, 0, 0), (0, 0, 0, 5, 0.1, 33, 1.0, 70, 1.0, 0, 0, 0),
+    (0, 0, 0, 10, 0.0, 26, 0.9, 31, 1.0, 0, 0, 0), (0, 0, 0, 13, 0.0, 44, 1.0, 90, 0.8, 0, 0, 0),
+    (0, 0, 0, 6, 0.0, 60, 0.1, 55, 0.0, 0, 0, 1), (0, 0, 0, 10, 0.0, 26, 0.0, 31, 0.1, 0, 0, 1),
+    (0, 0, 0, 13, 0.1, 44, 0.0, 90, 0.0, 0, 0, 1), (0, 0, 0, 11, 0.0, 30, 0.2, 45, 0.0, 0, 0, 1),
 )
-DEPTH = 7
+DEPTH = 9
 
 
 def grow(rows: np.ndarray, labels: np.ndarray, depth: int = DEPTH):

@@ -88,6 +88,52 @@ def test_many_closing_tags_on_a_deep_page_take_linear_time():
     assert time.time() - start < 5
 
 
+@pytest.mark.parametrize("page,text", [
+    ('<article><p title="a"b">one</p><p>two</p><p class="x">three</p></article>', "one\ntwo\nthree"),
+    ("<article><p><a href=it's>one</a></p><p>two</p><p>it's three</p></article>", "one\ntwo\nit's three"),
+    ("<article><p data-x=a\"b>one</p><p>two \"quoted\"</p></article>", 'one\ntwo "quoted"'),
+    ('<article><p title = "a > b" class=\'c > d\'>one</p><p>two</p></article>', "one\ntwo"),
+    ('<article><p alt="never closed>one</p><p>two</article>', "one\ntwo"),
+    ("<article><img alt='it\"s' src=x><p>one</p></article>", "one"),
+])
+def test_quotes_count_after_an_equals_sign(page, text):
+    assert h.main_text(page, TREE) == text
+
+
+@pytest.mark.parametrize("mark", ['section class="related-work"', 'section id="social-policy"', 'div class="article-share-price"',
+                                  'div class="search-algorithm"', 'p class="comment-on-method"', 'div id="notice-of-motion"'])
+def test_names_that_hold_such_a_word_by_chance(mark):
+    tag = mark.split()[0]
+    assert h.main_text(f"<article><p>{A}</p><{mark}>{B}</{tag}><p>{C}</p></article>", TREE) == f"{A}\n{B}\n{C}"
+
+
+@pytest.mark.parametrize("mark", ['section class="related-posts"', 'div id="comments-section"', 'div class="ad-slot-top"', 'div class="shareButtons"',
+                                  'div class="widget-area"', 'div role="search"', 'aside', 'div class="sidebar-content"', 'div class="post cookie-notice"'])
+def test_names_of_other_elements(mark):
+    assert h.main_text(f"<article><p>{A}</p><{mark}>{B}</{mark.split()[0]}><p>{C}</p></article>", TREE) == f"{A}\n{C}"
+
+
+def test_a_layout_class_around_the_page_is_no_sidebar():
+    assert h.main_text(f'<div id="content-sidebar-right"><article><p>{A}</p></article><div class="sidebar">{B}</div></div>', TREE) == A
+
+
+def test_tree_weighs_the_link_density_of_neighbours():
+    used = set()
+
+    def walk(node):
+        if not isinstance(node, int):
+            used.add(h.FEATURES[node[0]])
+            walk(node[2])
+            walk(node[3])
+
+    walk(TREE)
+    assert used & {"link_density_before", "link_density_after"}
+    links = lambda n: "<div>" + " ".join(f"<a href={k}>link{k} to</a>" for k in range(n)) + "</div>"
+    caption = "<p>five words of plain caption</p>"
+    assert h.main_text(f"{links(20)}{caption}{links(20)}", TREE) == ""
+    assert h.main_text(f"<p>{A}</p>{caption}<p>{B}</p>", TREE) == f"{A}\nfive words of plain caption\n{B}"
+
+
 def test_on_spark(spark):
     rows = [(1, "u", "<article><p>é日本</article>"), (1, "u", "<article><p>é日本</article>"), (None, None, None), (2, None, "")]
     pages = spark.createDataFrame([(*r, "t") for r in rows], PAGE_SCHEMA + ", text string")
