@@ -83,7 +83,7 @@ def train(texts: list[bytes], labels: list[int], epochs: int = EPOCHS) -> dict |
             by_byte = np.zeros(response.shape)
             batch = order[lo:lo + BATCH]
             for k in batch:
-                _backward(net, response, chunks_of(texts[k]), y[k], grads, by_byte, len(batch))
+                _backward(net, response, texts[k], y[k], grads, by_byte, len(batch))
             grads["embed"] = np.einsum("wbf,wef->be", by_byte, net["filters"])
             grads["filters"] = np.einsum("wbf,be->wef", by_byte, net["embed"])
             step += 1
@@ -95,23 +95,32 @@ def train(texts: list[bytes], labels: list[int], epochs: int = EPOCHS) -> dict |
     return net
 
 
-def _pool(response: np.ndarray, chunk: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    sums = response[0][chunk[:CHUNK]]
+def _pool(response: np.ndarray, chunk: np.ndarray, places: int) -> tuple[np.ndarray, np.ndarray]:
+    """The strongest of the first ``places`` places for each filter; those
+    after them are padding."""
+    sums = response[0][chunk[:places]]
     for w in range(1, WIDTH):
-        sums += response[w][chunk[w:w + CHUNK]]
+        sums += response[w][chunk[w:w + places]]
     at = sums.argmax(0)
     return at, sums[at, np.arange(FILTERS)]
 
 
-def _backward(net, response, chunks, label, grads, by_byte, of) -> None:
-    """Adds a document's part of the gradient; it flows through each chunk's
-    strongest place of each filter only."""
-    pooled = [_pool(response, c) for c in chunks]
+def forward(net: dict, response: np.ndarray, text: bytes):
+    """Chunks, pooled places, activations and the score of one text."""
+    chunks, n = chunks_of(text), _places(len(text))
+    pooled = [_pool(response, c, min(CHUNK, n - k * HALF)) for k, c in enumerate(chunks)]
     raw = np.array([p for _, p in pooled], np.float64) + net["bias"]
     act = np.maximum(raw, 0)
+    logit = act.max(0) @ net["top"] + act.mean(0) @ net["mean"] + net["base"][0]
+    return chunks, pooled, raw, act, 1 / (1 + np.exp(-logit))
+
+
+def _backward(net, response, text, label, grads, by_byte, of) -> None:
+    """Adds a document's part of the gradient; it flows through each chunk's
+    strongest place of each filter only."""
+    chunks, pooled, raw, act, score = forward(net, response, text)
     best, n = act.argmax(0), len(chunks)
     top, mean = act[best, np.arange(FILTERS)], act.mean(0)
-    score = 1 / (1 + np.exp(-(top @ net["top"] + mean @ net["mean"] + net["base"][0])))
     slope = (score - label) / of
     grads["top"] += slope * top
     grads["mean"] += slope * mean

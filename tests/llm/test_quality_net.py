@@ -54,6 +54,31 @@ def test_fast_scores_equal_the_network_by_chunks():
     assert np.allclose(got, want, atol=1e-5)
 
 
+def test_training_scores_what_is_scored():
+    """The forward pass of the training is the scorer, for short texts too."""
+    rng = np.random.default_rng(4)
+    net = {k: rng.normal(0, 0.6, shape) for k, shape in q.SHAPES.items()}
+    texts = ["", "a", "ab", "x" * 300, prose(30, 1), "y" * 511, "y" * 513, "z" * 1023, "z" * 1025, prose(700, 2), "é" * 900]
+    want = [q.forward(net, q.tables(net), t.encode())[-1] for t in texts]
+    got = np.concatenate([q.Scorer(net).score(d, o) for _, _, d, o in text_blocks(pa.array(texts), 3000)])
+    assert np.allclose(got, want, atol=1e-5)
+
+
+def test_gradient_is_that_of_the_score():
+    rng = np.random.default_rng(5)
+    net = {k: rng.normal(0, 0.4, shape) for k, shape in q.SHAPES.items()}
+    for text in (b"ab", prose(200, 3).encode()):
+        loss = lambda n: -np.log(q.forward(n, q.tables(n).astype(np.float64), text)[-1])
+        grads = {k: np.zeros_like(v) for k, v in net.items()}
+        by_byte = np.zeros(q.tables(net).shape)
+        q._backward(net, q.tables(net).astype(np.float64), text, 1, grads, by_byte, 1)
+        for name in ("top", "mean", "bias", "base"):
+            step = np.zeros_like(net[name])
+            step[0] = 1e-6
+            moved = loss({**net, name: net[name] + step}) - loss({**net, name: net[name] - step})
+            assert abs(moved / 2e-6 - grads[name][0]) < 1e-4 * (1 + abs(grads[name][0]))
+
+
 def test_odd_rows_no_labels_and_empty_table(spark):
     docs = documents(spark, odd_rows())
     none = spark.createDataFrame([], "doc_id long, quality int")
