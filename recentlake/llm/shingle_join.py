@@ -21,9 +21,13 @@ five steps.
 5. Verification on the whole sets: candidate pairs one by one; clusters in
    blocks of ``BLOCK`` classes, by products of their shingle matrices.  Every
    block also holds the cluster's first class.  Classes that end up connected
-   to it need no comparison with each other; the rest of the cluster is
-   compared with all blocks.  Blocks return only links that connect
-   (a spanning forest), never all pairs.
+   to it need no comparison with each other.  A rest of up to ``BLOCK`` classes
+   is compared with all blocks.  A larger rest (texts of one template that share
+   much, but too little to link) is first split: with the rarest shingles of
+   these classes in front, and by fine levels of size, the prefixes that linked
+   sets must share are much shorter, and only classes connected by them are
+   compared.  Blocks return only links that connect (a spanning forest), never
+   all pairs.
 
 The components of the links (between numbers of classes) come from distributed
 label propagation; each is named by the smallest known ``doc_id`` of its classes.
@@ -174,13 +178,14 @@ def _band(n):
 def shared_shingles(found: DataFrame, paths: list[str]) -> DataFrame:
     """``shingle, key, n, band, df``: prefix shingles of two classes and more,
     of the classes that keep enough of them to be linked."""
-    rows = found.where(F.size("prefix") > 0).select(F.explode("prefix").alias("shingle"), F.col("k1").alias("key"))
-    # One exchange for counting and choosing.  A row is two longs, and a class
-    # has each shingle once, so even a shingle of a third of all classes is a
-    # small part of the rows; a window reads it as a stream and spills.
+    # Copies first become one row of their class, map-side where they can: a
+    # row is two longs, and a class has each shingle once.  Then one exchange
+    # counts and chooses: even a shingle of a third of all classes is a small
+    # part of the rows; a window reads it as a stream and spills.
+    rows = found.where(F.size("prefix") > 0).select(F.explode("prefix").alias("shingle"), F.col("k1").alias("key")).distinct()
     of = Window.partitionBy("shingle")
     several = F.min("key").over(of) != F.max("key").over(of)
-    kept = saved(rows.select("shingle", "key", several.alias("__several")).where("__several").select("shingle", "key").distinct(), "shared", paths)
+    kept = saved(rows.select("shingle", "key", several.alias("__several")).where("__several").select("shingle", "key"), "shared", paths)
     sizes = found.where(F.size("prefix") > 0).select(F.col("k1").alias("key"), "n").distinct()
     enough = kept.groupBy("key").agg(F.count(F.lit(1)).alias("__count")).join(sizes, "key")
     enough = enough.withColumn("band", _band(F.col("n"))).where(F.col("__count") > _by_band(SUBCLASSES, F.col("band"))).select("key", "n", "band")
@@ -371,15 +376,104 @@ def verified_clusters(members: DataFrame, sets: DataFrame, paths: list[str]) ->
     head = placed.where("key = cluster").select("cluster", F.coalesce("__c", "rep").alias("__head")).dropDuplicates(["cluster"])
     placed = placed.join(head, "cluster").withColumn("open", F.coalesce("__c", "rep") != F.col("__head")).drop("__c", "__head")
     open_ = placed.where("open")
-    counts = open_.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("long").alias("__open"))
-    # Every block of the rest meets every block of the cluster.
-    left = open_.join(counts, "cluster").withColumn("side", F.pmod(F.xxhash64("key"), F.col("__open"))) \
+    counts = open_.groupBy("cluster").agg(F.count(F.lit(1)).alias("__open"))
+    placed = saved(placed.join(counts, "cluster"), "placed", paths)
+    # A rest of one block meets every block of its cluster.
+    few = placed.where(F.col("__open") <= BLOCK)
+    met = _meetings(few, paths)
+    many = placed.where(F.col("__open") > BLOCK)
+    if many.limit(1).count():
+        # A larger rest is first split by sharper prefixes.
+        parts = close_parts(many, paths)
+        sizes = parts.groupBy("part").agg(F.count(F.lit(1)).alias("__p"))
+        closer = many.drop("blocks", "block", "__open").join(parts.join(sizes, "part"), "rep").where("__p > 1").select(
+            F.col("part").alias("cluster"), "key", "rep", "shingles", "open",
+            F.ceil(F.col("__p") / F.lit(BLOCK)).cast("long").alias("blocks"),
+            F.pmod(F.xxhash64("key"), F.ceil(F.col("__p") / F.lit(BLOCK)).cast("long")).alias("block"))
+        rest = closer.where("open").groupBy("cluster").agg(F.count(F.lit(1)).alias("__open"))
+        met = met.unionByName(_meetings(closer.join(rest, "cluster"), paths))
+    return first.unionByName(met.groupBy("cluster", "side", "block").applyInPandas(_rest, "a bigint, b bigint"))
+
+
+def _meetings(placed: DataFrame, paths: list[str]) -> DataFrame:
+    """Every block of the open rows of a cluster beside every block of it."""
+    sides = F.ceil(F.col("__open") / F.lit(BLOCK)).cast("long")
+    left = placed.where("open").withColumn("side", F.pmod(F.xxhash64("key"), sides)) \
         .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    right = placed.withColumn("open", F.lit(False)).join(counts, "cluster") \
-        .withColumn("side", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__open") - 1)))
+    right = placed.withColumn("open", F.lit(False)).withColumn("side", F.explode(F.sequence(F.lit(0).cast("long"), sides - 1)))
     columns = ["cluster", "side", "block", "rep", "shingles", "open"]
-    met = left.select(*columns).unionByName(right.select(*columns))
-    return first.unionByName(met.groupBy("cluster", "side", "block").applyInPandas(_rest, "a bigint, b bigint"))
+    return left.select(*columns).unionByName(right.select(*columns))
+
+
+def _levels() -> np.ndarray:
+    """First sizes of the fine levels."""
+    out = [1]
+    while out[-1] < 1 << 40:
+        out.append(max(out[-1] + 1, int(out[-1] * FINE)))
+    return np.array(out)
+
+
+FINE = 1.05
+LEVELS = _levels()
+
+
+def close_prefixes(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and roles of a set's prefixes for each pair of fine levels that it
+    may link in; ``own`` has its shingles, rarest first.
+
+    A link of sets of sizes n and m has ``common >= 4 / 9 (n + m)``, so each
+    misses few of its shingles, and fewer the closer their sizes are: two
+    linked sets share one of their first ``n - common + 1``.  Role 0 is the
+    smaller level's, role 1 the larger's, 2 stands for both."""
+    n = len(own)
+    level = int(np.searchsorted(LEVELS, n, side="right")) - 1
+    low = int(np.searchsorted(LEVELS, -(-n * PERCENT // 100), side="right")) - 1
+    high = int(np.searchsorted(LEVELS, n * 100 // PERCENT, side="right")) - 1
+    keys, roles = [], []
+    for other in range(low, high + 1):
+        least = max(int(LEVELS[other]), -(-n * PERCENT // 100))
+        common = -(-PERCENT * (n + least) // (100 + PERCENT))
+        size = n - min(common, n) + 1
+        pair = np.uint64(min(level, other) << 20 | max(level, other))
+        keys.append(mix64(own[:size] ^ mix64(np.full(1, pair, np.uint64))))
+        roles.append(np.full(min(size, n), 2 if other == level else int(level > other)))
+    return np.concatenate(keys), np.concatenate(roles)
+
+
+def close_parts(rows: DataFrame, paths: list[str]) -> DataFrame:
+    """``rep, part``: rows of large clusters that may be linked, by prefixes
+    for the exact sizes and with the rarest shingles of these rows first."""
+
+    def tokens(batches):
+        for batch in batches:
+            sets = [np.frombuffer(x, np.int64) for x in batch.column("shingles").to_pylist()]
+            if sets:
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(batch.column("rep")), [len(x) for x in sets])),
+                                                  pa.array(np.concatenate(sets))], ["rep", "shingle"])
+
+    spread_ = saved(rows.select("rep", "shingles").mapInArrow(tokens, "rep bigint, shingle bigint"), "tokens", paths)
+    df = spread_.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
+    # a set is as long as its text
+    ordered = spread_.join(df, "shingle").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("t")) \
+        .select("rep", F.col("t.shingle").alias("own"))
+
+    def emit(batches):
+        for batch in batches:
+            out = []
+            for rep, own in zip(batch.column("rep").to_pylist(), batch.column("own"), strict=True):
+                keys, roles = close_prefixes(np.asarray(own.values).view(np.uint64))
+                out.append((np.full(len(keys), rep, np.int64), keys.view(np.int64), roles))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out])) for k in range(3)], ["rep", "near", "role"])
+
+    index = saved(ordered.mapInArrow(emit, "rep bigint, near bigint, role bigint"), "near", paths)
+    ends = index.groupBy("near").agg(F.min(F.when(F.col("role") != 1, F.col("rep"))).alias("__small"),
+                                     F.min(F.when(F.col("role") != 0, F.col("rep"))).alias("__large"))
+    # the smaller sets of a key join its first larger one, and the other way round
+    joined_ = index.join(ends, "near")
+    to = F.array(F.when(F.col("role") != 1, F.col("__large")), F.when(F.col("role") != 0, F.col("__small")))
+    links = joined_.select(F.col("rep").alias("a"), F.explode(to).alias("b")).where("b is not null and a <> b").distinct()
+    return components(links).select(F.col("node").alias("rep"), F.col("component").alias("part"))
 
 
 def _rest(key, rows: pd.DataFrame) -> pd.DataFrame:

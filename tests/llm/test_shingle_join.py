@@ -68,6 +68,41 @@ def test_large_group_of_near_copies_in_blocks(spark, monkeypatch):
     assert got(spark, rows) == brute(rows)
 
 
+def templated(n, common, own, seed=1):
+    """Texts of one template: common words and own ones, no links."""
+    shared = prose(common, seed, 10**6)
+    return [(k, shared + " " + " ".join(f"{k}v{i}" for i in range(own + k % 3))) for k in range(n)]
+
+
+def test_rest_of_a_template_is_split_by_sharper_prefixes(spark, monkeypatch):
+    monkeypatch.setattr(j, "BLOCK", 16)
+    monkeypatch.setattr(j, "RARE", 4)
+    rows = templated(90, 200, 33)
+    rows += [(200 + k, edited(rows[3 * k][1], 1 + k % 3, k)) for k in range(12)]  # near copies among them
+    rows += [(300 + k, edited(rows[k][1], 12, 50 + k)) for k in range(20)]
+    assert got(spark, rows) == brute(rows)
+
+
+def test_sharper_prefixes_connect_every_link():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        n = int(rng.integers(4, 300))
+        base = rng.integers(0, 2**63, 2 * n, dtype=np.uint64)
+        a = base[:n]
+        b = np.concatenate([a[rng.permutation(n)[:int(rng.integers(max(1, n * 7 // 10), n + 1))]], base[n:n + int(rng.integers(0, n // 4 + 1))]])
+        order = {int(x): k for k, x in enumerate(rng.permutation(np.unique(np.concatenate([a, b]))))}
+        found = [j.close_prefixes(np.array(sorted(x.tolist(), key=order.get), np.uint64)) for x in (a, b)]
+        both = len(np.intersect1d(a, b))
+        if j._linked(both, len(a), len(b)):
+            roles = [dict(zip(k.tolist(), r.tolist())) for k, r in found]
+            assert any(r == 2 or r != roles[1][k] for k, r in roles[0].items() if k in roles[1])
+
+
+def test_a_third_of_all_rows_are_copies(spark):
+    rows = [(k, prose(60, k % 20 if k % 3 else 0, 500)) for k in range(300)]
+    assert got(spark, rows) == brute(rows)
+
+
 def test_odd_rows_ties_and_empty_table(spark):
     assert got(spark, odd_rows()) == brute(odd_rows())
     assert got(spark, []) == []
