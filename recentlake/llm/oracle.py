@@ -4,7 +4,7 @@ from recentlake.llm.mixing import BUCKET_DIGITS, MAX_REPEATS, SLOPES, WEIGHTS  #
 
 _MIX = f"""
 with sized as (
-  select doc_id, source, md5(coalesce(cast(doc_id as varchar), '')) as order_key,
+  select doc_id, source, md5(coalesce(cast(doc_id as varchar), '') || '|' || md5(coalesce(text, ''))) as order_key,
          cast(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as bigint) as size
   from documents
 ), sources as (

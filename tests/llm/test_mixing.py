@@ -1,6 +1,7 @@
 import duckdb
 import pytest
 from helpers import documents, odd_rows, prose, words
+from pyspark.sql import functions as F
 
 from recentlake.llm import mixing as m
 
@@ -79,3 +80,12 @@ def test_oracle_sql_reruns_and_odd_rows(spark):
     assert len(rows_of(spark, odd_rows())) == len(odd_rows())
     assert rows_of(spark, []) == []
     assert rows_of(spark, [(1, None), (2, "")])[0]["target"] == 0.0
+
+
+def test_rows_without_an_id_spread_over_the_buckets(spark):
+    rows = [(None, prose(5, k), "en", "s") for k in range(400)] + [(7, prose(5, 1000 + k), "en", "s") for k in range(400)]
+    sizes = m.document_sizes(documents(spark, rows))
+    buckets = sizes.select(F.substring("order_key", 1, m.BUCKET_DIGITS)).distinct().count()
+    assert buckets > 500
+    plan = m.mix_plan(documents(spark, rows)).collect()
+    assert sum(r["taken"] for r in plan) == 4000 and all(r["copies"] == 1 for r in plan)
