@@ -8,6 +8,7 @@ never fall into that range, so splitting bytes equals splitting characters.
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -71,6 +72,13 @@ def saved(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFrame
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Ask for the shuffle files of frames that were written and are no longer
+    used: Spark deletes them when the driver has collected their handles."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def discard(spark: SparkSession, paths: list[str]) -> None:
     """Delete written tables that nothing reads any more."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()

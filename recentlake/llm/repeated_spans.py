@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recentlake.llm.common import mix64, run_hashes, runs, saved, spread, text_blocks, windows
+from recentlake.llm.common import mix64, release, run_hashes, runs, saved, spread, text_blocks, windows
 
 WINDOW = 13
 ANCHOR = 3
@@ -382,6 +382,7 @@ def repeated_places(docs: DataFrame) -> DataFrame:
     found = first.where(F.col("codes").isNull()).select(*place)
     if len(hot):
         first = saved(first, "repeats")
+        release(docs.sparkSession)  # the shuffled segments, twice as large as the texts
         again = first.where(F.col("codes").isNotNull()).select(
             F.xxhash64("codes").alias("anchor"), *place, "codes", F.lit(False).alias("salted"))
         found = first.where(F.col("codes").isNull()).select(*place).unionByName(_repeats(again).select(*place))
