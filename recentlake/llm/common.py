@@ -11,6 +11,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -74,9 +75,12 @@ def saved(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFrame
 
 def release(spark: SparkSession) -> None:
     """Ask for the shuffle files of frames that were written and are no longer
-    used: Spark deletes them when the driver has collected their handles."""
-    gc.collect()
-    spark._jvm.System.gc()
+    used: Spark deletes them when the driver has collected their handles, which
+    takes a second round for what the first one lets go."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def discard(spark: SparkSession, paths: list[str]) -> None:
