@@ -31,8 +31,9 @@ def op6_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    archive = warc.write_archive(read_table(spark, sf_dir, "pages"))
-    return warc.read_captures(archive).select(
+    """Every page written, then read back by looking up the URLs of ``pages``."""
+    pages = read_table(spark, sf_dir, "pages")
+    return warc.lookup(warc.write_archive(pages), pages.select("url"), with_body=False).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
 
 

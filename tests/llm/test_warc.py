@@ -1,5 +1,7 @@
 import base64
 import hashlib
+import re
+import zlib
 
 from helpers import PAGE_SCHEMA, prose
 
@@ -49,6 +51,46 @@ def test_lookup_by_url(spark):
     assert got == sorted((p, h) for p, u, h in rows if w.url_key(u) in keys)
 
 
+def test_lookup_of_every_url_returns_every_record(spark):
+    rows = ROWS + [(100 + k, (None, "http://hot.example.com/")[k % 2], f"<p>{k // 2}</p>") for k in range(60)]
+    table = pages(spark, rows)
+    archive = w.write_archive(table, block_lines=4)
+    found = w.lookup(archive, table.select("url"), with_body=True)
+    assert sorted(map(str, found.collect())) == sorted(map(str, w.read_captures(archive, with_body=True).collect()))
+    assert found.count() == len(rows)
+
+
+def test_search_reads_only_the_blocks_that_may_hold_a_key(spark):
+    rows = [(k, f"http://example.org/{k:04d}", "x") for k in range(500)]
+    parts = w.write_archive(pages(spark, rows), block_lines=5).parts.orderBy("first_key").collect()
+    p = parts[0]
+    search = w.PartSearch(p["part"])
+    assert [x[0] for x in search.find(p["first_key"])] == [p["first_key"]] and search.blocks_read == 1
+    assert not list(search.find("org,example)/none")) and search.blocks_read <= 2
+    whole = w.PartSearch(p["part"])
+    keys = [w.url_key(u) for _, u, _ in rows if w.url_key(u) <= p["last_key"]]
+    assert [x[0] for k in keys for x in whole.find(k)] == keys and whole.blocks_read <= 2 * p["blocks"]
+
+
+def test_files_begin_with_warcinfo_and_record_ids_are_unique(spark):
+    archive = w.write_archive(pages(spark, ROWS))
+    ids, records = [], 0
+    for row in archive.records.select("file").distinct().collect():
+        files, path = w.open_fs(row["file"])
+        rest, kinds = files.open_input_file(path).read(), []
+        while rest:
+            member = zlib.decompressobj(31)
+            head = member.decompress(rest).partition(b"\r\n\r\n")[0].decode()
+            rest = member.unused_data
+            kinds.append(re.search("WARC-Type: (.*?)(\r\n|$)", head)[1])
+            ids.append(re.search("WARC-Record-ID: (.*?)(\r\n|$)", head)[1])
+            if kinds[-1] == "revisit":
+                assert "WARC-Refers-To-Page-ID" in head and "WARC-Refers-To-Date" in head
+        assert kinds[0] == "warcinfo" and "warcinfo" not in kinds[1:]
+        records += len(kinds) - 1
+    assert records == len(ROWS) and len(set(ids)) == len(ids)
+
+
 def test_url_keys():
     assert w.url_key("http://www.Example.com/a?b#c") == "com,example,www)/a?b"
     assert w.url_key("https://example.com") == "com,example)/"
