@@ -5,8 +5,9 @@ text.  A window's Shannon entropy, in steps of ``1 / STEPS`` bit, is ranked by
 how rare that entropy is among all windows of the whole corpus: the rarer, the
 lower the rank.  Of each run of ``RUN`` consecutive windows the one of lowest
 rank (then lowest hash) is a candidate, and a window that is the candidate of
-``POPULARITY`` runs or more is selected.  Selected features go into a chain of
-Bloom filters of ``FILTER_BITS`` bits, ``FILTER_FEATURES`` to a filter; the
+``POPULARITY`` runs or more is selected.  Texts under ``SHORT_TEXT`` bytes, which
+have few or no such windows, get features of the narrower ``SHORT`` windows as
+well, chosen by the same rule.  Selected features go into a chain of Bloom filters of ``FILTER_BITS`` bits, ``FILTER_FEATURES`` to a filter; the
 chain in base64 is the fingerprint.  Two chains are compared by the share of
 common bits beyond chance, filter by filter.
 
@@ -17,9 +18,8 @@ of the whole byte array, so the cost for each byte is constant.
 :func:`with_next` pairs each row with the next one by ``doc_id`` with one
 shuffle of the texts and no global window.
 
-Special cases: a text that is shorter than a window, or of which no window is
-selected, is one feature, its whole hash;
-null and empty texts have the empty fingerprint, which equals itself (likeness
+Special cases: a text of which no window is selected is one feature, its whole
+hash; null and empty texts have the empty fingerprint, which equals itself (likeness
 1) and nothing else (0); null ``doc_id`` rows come last, equal ``doc_id`` rows
 in text order; an empty table gives an empty result.
 """
@@ -40,6 +40,9 @@ from recentlake.llm.common import _BYTE_VALUES, mix64, spread, text_blocks
 WINDOW = 64
 RUN = 64
 POPULARITY = 16
+#: Window, run and popularity of the further features of texts under SHORT_TEXT bytes.
+SHORT = (12, 12, 3)
+SHORT_TEXT = 512
 STEPS = 16
 BINS = 6 * STEPS + 1
 #: Windows of less entropy than this (in bits) tell nothing: never selected.
@@ -61,42 +64,53 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def entropy_bins(data: np.ndarray) -> np.ndarray:
+def entropy_bins(data: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """Entropy step of the window that starts at each place."""
-    n = len(data) - WINDOW + 1
+    n = len(data) - window + 1
     if n <= 0:
         return np.zeros(0, np.uint8)
     after = np.zeros(len(data), np.uint8)
     before = np.zeros(len(data), np.uint8)
-    for d in range(1, WINDOW):
+    for d in range(1, window):
         same = (data[:-d] == data[d:]).view(np.uint8)
         after[:-d] += same
         before[d:] += same
-    c = np.arange(WINDOW + 1, dtype=np.float64)
+    c = np.arange(window + 1, dtype=np.float64)
     # Sums of c * log2(c) over the bytes of a window, in fixed point.
     weight = np.round(c * np.log2(np.maximum(c, 1)) * 65536).astype(np.int64)
     gain = weight[1:] - weight[:-1]
     total = np.empty(n, np.int64)
-    total[0] = weight[np.bincount(data[:WINDOW], minlength=256)].sum()
-    total[1:] = gain[before[WINDOW:]] - gain[after[:n - 1]]
+    total[0] = weight[np.bincount(data[:window], minlength=256)].sum()
+    total[1:] = gain[before[window:]] - gain[after[:n - 1]]
     np.cumsum(total, out=total)
-    entropy = np.log2(WINDOW) - total / (65536.0 * WINDOW)
+    entropy = np.log2(window) - total / (65536.0 * window)
     return np.clip(np.floor(entropy * STEPS + 1e-6), 0, BINS - 1).astype(np.uint8)
 
 
-def _valid(n: int, offs: np.ndarray) -> np.ndarray:
+def _valid(n: int, offs: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """Places whose window lies within one text."""
     marks = np.zeros(n + 1, np.int32)
     sizes = np.diff(offs)
-    whole = sizes >= WINDOW
+    whole = sizes >= window
     np.add.at(marks, offs[:-1][whole], 1)
-    np.add.at(marks, offs[1:][whole] - WINDOW + 1, -1)
+    np.add.at(marks, offs[1:][whole] - window + 1, -1)
     return np.cumsum(marks)[:n] > 0
 
 
+def short_texts(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row numbers, bytes and offsets of the texts under SHORT_TEXT bytes."""
+    sizes = np.diff(offs)
+    short = (sizes > 0) & (sizes < SHORT_TEXT)
+    return np.flatnonzero(short), data[np.repeat(short, sizes)], np.concatenate([[0], np.cumsum(sizes[short])])
+
+
 def count_bins(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    bins = entropy_bins(data)
-    return np.bincount(bins[_valid(len(data), offs)[:len(bins)]], minlength=BINS)
+    """Windows of each entropy step, those of short texts included."""
+    total = np.zeros(BINS, np.int64)
+    for raw, at, window in ((data, offs, WINDOW), (*short_texts(data, offs)[1:], SHORT[0])):
+        bins = entropy_bins(raw, window)
+        total += np.bincount(bins[_valid(len(raw), at, window)[:len(bins)]], minlength=BINS)
+    return total
 
 
 def ranks(counts: np.ndarray) -> np.ndarray:
@@ -106,46 +120,61 @@ def ranks(counts: np.ndarray) -> np.ndarray:
     return out
 
 
+def _sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums from which the hash of any stretch follows, and the
+    factors that free it of its place."""
+    forward, inverse = _powers(max(1 << 18, len(data) + 1))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE_VALUES[data] * forward[:len(data)], out=sums[1:])
+    return sums, inverse
+
+
+def selected(data: np.ndarray, offs: np.ndarray, rank: np.ndarray, window: int, run: int,
+             popularity: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(row, feature)`` of the selected windows; ``run`` is at most
+    ``window``, so that no run of windows reaches into a second text."""
+    bins = entropy_bins(data, window)
+    m = len(bins)
+    if not m:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    sums, inverse = _sums(data)
+    hashes = mix64((sums[window:] - sums[:m]) * inverse[:m])
+    keys = np.full(m + 2 * run, _NONE)
+    body = keys[run:run + m]
+    body[:] = (rank[bins] << np.uint64(57)) | (hashes >> np.uint64(7))
+    body[~(_valid(len(data), offs, window)[:m] & (bins >= LEAST_ENTROPY * STEPS))] = _NONE
+    low, reach = keys, 1
+    while reach < run:  # smallest key of the next ``run`` places, by doubling
+        step = min(reach, run - reach)
+        low = np.minimum(low[:-step], low[step:])
+        reach += step
+    long = np.flatnonzero(np.diff(offs) >= window)
+    lasts = offs[1:][long] - window  # last valid place of each text
+    # A stretch of equal keys ends with its text, though the next may begin alike.
+    changes = low[1:] != low[:-1]
+    changes[(lasts + run)[lasts + run < len(changes)]] = True
+    edge = np.flatnonzero(changes) + 1
+    starts = np.concatenate([[0], edge])
+    ends = np.concatenate([edge, [len(low)]])
+    picked = (ends - starts >= popularity) & (low[starts] != _NONE)
+    # The last run of a selected window lies before or at it, in its own text's reach.
+    return long[np.searchsorted(lasts, ends[picked] - 1 - run)], low[starts[picked]]
+
+
 def features(data: np.ndarray, offs: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Selected features of each text: ``(row, feature)``, rows ascending."""
-    n = len(data)
-    sizes = np.diff(offs)
-    bare = sizes > 0  # texts without a selected window
-    rows, found = [], []
-    forward, inverse = _powers(max(1 << 18, n + 1))
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE_VALUES[data] * forward[:n], out=sums[1:])
-    if n >= WINDOW:
-        bins = entropy_bins(data)
-        m = len(bins)
-        hashes = mix64((sums[WINDOW:] - sums[:m]) * inverse[:m])
-        keys = np.full(m + 2 * RUN, _NONE)
-        body = keys[RUN:RUN + m]
-        body[:] = (rank[bins] << np.uint64(57)) | (hashes >> np.uint64(7))
-        valid = _valid(n, offs)[:m] & (bins >= LEAST_ENTROPY * STEPS)
-        body[~valid] = _NONE
-        low = keys
-        step = 1
-        while step < RUN:  # smallest key of the next RUN places, doubling
-            low = np.minimum(low[:-step], low[step:])
-            step *= 2
-        edge = np.flatnonzero(low[1:] != low[:-1]) + 1
-        starts = np.concatenate([[0], edge])
-        ends = np.concatenate([edge, [len(low)]])
-        picked = (ends - starts >= POPULARITY) & (low[starts] != _NONE)
-        lasts = offs[1:] - WINDOW  # last valid place of each text
-        long = np.flatnonzero(sizes >= WINDOW)
-        # The last run of a selected window lies before or at it, in its own text's reach.
-        at = np.searchsorted(lasts[long], ends[picked] - 1 - RUN)
-        rows.append(long[at])
-        found.append(low[starts[picked]])
-        bare[rows[0]] = False
+    bare = np.diff(offs) > 0  # texts without a selected window
+    row, feature = selected(data, offs, rank, WINDOW, RUN, POPULARITY)
+    short, raw, at = short_texts(data, offs)
+    short_row, narrow = selected(raw, at, rank, *SHORT)
+    rows, found = [row, short[short_row]], [feature, narrow]
+    for r in rows:
+        bare[r] = False
     whole = np.flatnonzero(bare)
     if len(whole):
+        sums, inverse = _sums(data)
         rows.append(whole)
         found.append(mix64((sums[offs[1:]] - sums[offs[:-1]])[whole] * inverse[offs[:-1][whole]]))
-    if not rows:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     row, feature = np.concatenate(rows), np.concatenate(found)
     order = np.argsort(row, kind="stable")
     return row[order], feature[order]

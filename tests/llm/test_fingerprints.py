@@ -29,6 +29,27 @@ def test_chains_do_not_depend_on_blocks():
     assert len(f.fingerprint(prose(20_000, 3, 5000), rank)) > 3
 
 
+def test_equal_texts_side_by_side_have_equal_chains():
+    texts = ["ab" * 20, "ab" * 20, "abc" * 100, "abc" * 100, "abc" * 400, "abc" * 400, prose(30, 1), prose(30, 1)]
+    raw = [t.encode() for t in texts]
+    offs = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+    rank = f.ranks(np.arange(f.BINS))
+    for text, chain in zip(texts, f.chains(np.frombuffer(b"".join(raw), np.uint8), offs, rank)):
+        assert np.array_equal(chain, f.fingerprint(text, rank)) and len(chain)
+
+
+def test_short_texts_are_like_their_edits_and_unlike_others():
+    rank = f.ranks(np.arange(f.BINS))
+    like, unlike = [], []
+    for k in range(60):
+        a, b = prose(12 + k % 30, 2 * k, 9000), prose(12 + k % 30, 2 * k + 1, 9000)
+        own = f.fingerprint(a, rank)
+        like.append(f.likeness(own, f.fingerprint(f.edited(a, b), rank)))
+        unlike.append(f.likeness(own, f.fingerprint(b, rank)))
+    assert min(like) > 0 and 0.35 < np.mean(like) < 0.7
+    assert np.mean(unlike) < 0.1
+
+
 def test_likeness_falls_with_edits():
     rank = f.ranks(np.arange(f.BINS))
     a, b = prose(2000, 1, 4000), prose(2000, 2, 4000)
