@@ -89,6 +89,14 @@ def _keyed(events: DataFrame, as_of: Column, order_cols: Sequence[str]) -> DataF
     )
 
 
+def page_times(events: DataFrame, title: str, wiki: str, as_of: Column, order_cols: Sequence[str] = ORDER_COLS) -> DataFrame:
+    """What the page window rules read, from events that have page keys as
+    columns (``title`` and ``wiki``, passed on as they are)."""
+    time = F.unix_micros(F.coalesce(_ts(events), as_of))
+    return events.select(F.col(title).alias("_title"), F.col(wiki).alias("_wiki"),
+                         F.coalesce(time, F.lit(0).cast("long")).alias("_us"), _order(order_cols).alias("_seq"))
+
+
 # ---------------------------------------------------------------------------
 # Per-event rules (Q1-Q5)
 # ---------------------------------------------------------------------------

@@ -146,3 +146,52 @@ def forward_window_stats(
             F.greatest("_own_last", f"_{name}_em", f"_{name}_mm").alias(f"{name}_last"),
         ]
     return placed.join(slice_stats, [*keys, "_f"]).select(*out_cols, *totals)
+
+
+def key_window_stats(
+    df: DataFrame,
+    keys: Sequence[str],
+    t_col: str,
+    widths: Mapping[str, int],
+    carry_min: str | None = None,
+    weight: str | None = None,
+) -> DataFrame:
+    """The rows of ``forward_window_stats`` from groups of whole keys.
+
+    Every step asks for rows that are clustered by ``keys`` and nothing finer:
+    an input that is stored in buckets of its keys is not shuffled at all.  In
+    return one task reads all times of a key, so this is for keys of bounded
+    size (``sinks.page_lake`` keeps the larger ones apart).
+
+    Each time t is copied once per width as a mark at t - w.  In the order of
+    marks and times, the marks up to t are the rows with t' <= t + w and the
+    times before t are those to take off: frames that only grow.
+    """
+    keys = list(keys)
+    aggs = [(F.sum(weight) if weight else F.count(F.lit(1))).alias("_n")]
+    if carry_min:
+        aggs.append(F.min(carry_min).alias("_carry"))
+    times = df.groupBy(*keys, F.col(t_col).alias("_t")).agg(*aggs)
+    copies = F.array(
+        F.struct(F.col("_t").alias("at"), F.lit("").alias("role")),
+        *[F.struct((F.col("_t") - F.lit(w)).alias("at"), F.lit(name).alias("role")) for name, w in widths.items()],
+    )
+    kept = [*keys, *times.columns[len(keys):]]
+    rows = times.select(*kept, F.explode(copies).alias("_c")).select(*kept, F.col("_c.at").alias("_at"), F.col("_c.role").alias("_role"))
+    own = F.col("_role") == ""
+    group = Window.partitionBy(*keys)
+    # marks before the times they equal: both ends of the interval are closed
+    upto = group.orderBy("_at", own.cast("int")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own_n, own_t = F.when(own, F.col("_n")), F.when(own, F.col("_t"))
+    before = F.sum(own_n).over(upto) - F.col("_n")
+    stats = [F.sum(own_n).over(group).alias("key_count"), F.min(own_t).over(group).alias("key_first"),
+             F.max(own_t).over(group).alias("key_last")]
+    if carry_min:
+        stats.append(F.min("_carry").over(group).alias(f"key_min_{carry_min}"))
+    found = []
+    for name in widths:
+        mark = F.col("_role") == name
+        found += [(F.sum(F.when(mark, F.col("_n"))).over(upto) - before).alias(f"{name}_count"),
+                  F.max(F.when(mark, F.col("_t"))).over(upto).alias(f"{name}_last")]
+    return rows.select(*keys, F.col("_t").alias(t_col), F.col("_n").alias("rows"), *found, *stats, own.alias("_own")) \
+        .where("_own").drop("_own")

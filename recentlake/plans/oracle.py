@@ -545,6 +545,8 @@ _GAPS = ("gaps AS (SELECT kafka_partition, kafka_offset + 1 AS first_missing, fo
 
 CARRIED: dict[str, str] = {
     "top_pages_of_many": REPORTS["top_pages"],
+    "top_pages_bucketed": REPORTS["top_pages"],
+    "page_rules_bucketed": _rule_query(SPIKE_CTES + RAPID_CTES, f"({SPIKE_SQL}) UNION ALL ({RAPID_SQL})"),
     "missing_page_id_variant": INGEST["rule_missing_page_id"],
     "ingest_counts": f"SELECT ingestion_errors + total_events AS total, total_events AS valid, ingestion_errors AS invalid "
     f"FROM ({INGEST['invalid_rate']}) r",

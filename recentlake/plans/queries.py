@@ -20,12 +20,14 @@ from recentlake.operators import ingest as I
 from recentlake.operators import live as L
 from recentlake.operators import monitoring as M
 from recentlake.operators import offsets as O
+from recentlake.operators import paged as PG
 from recentlake.operators import partials as P
 from recentlake.operators import reports as R
 from recentlake.operators.carried_anomalies import AnomalyState
 from recentlake import schema as S
 from recentlake.session import checkpoint_root
 from recentlake.sinks import writers as W
+from recentlake.sinks.page_lake import PageLake
 from recentlake.sources import files as SRC
 from recentlake.sources import kafka as K
 from recentlake.sources import testdata as TD
@@ -391,7 +393,20 @@ def _q_missing_page_id_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.rule(spark.read.parquet(lake), "missing_page_id", TD.as_of_col(), BY_ID)
 
 
+def _page_lake(spark: SparkSession, sf_dir: str) -> PageLake:
+    """The events as a lake bucketed by page, in two batches; pages with over
+    200 rows in one are hot."""
+    ev = TD.load_processed(spark, sf_dir)
+    lake = PageLake(f"page_lake_{uuid.uuid4().hex}", _scratch(spark, "page-lake"), ev.schema, buckets=8, hot_rows=200)
+    first = _placed_before("2024-01-01 00:30:00")
+    lake.append(ev.where(first), "first")
+    lake.append(ev.where(~first), "second")
+    return lake
+
+
 CARRIED_QUERIES: dict[str, Query] = {
+    "top_pages_bucketed": lambda spark, sf_dir: PG.top_pages(spark, _page_lake(spark, sf_dir)),
+    "page_rules_bucketed": lambda spark, sf_dir: PG.page_rules(spark, _page_lake(spark, sf_dir), TD.as_of_col(), BY_ID),
     "top_pages_of_many": _on_events(R.top_pages_of_many),
     "ingest_counts": _q_ingest_counts,
     "missing_page_id_variant": _q_missing_page_id_variant,
