@@ -7,6 +7,8 @@ scan to the few columns a report touches.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -117,6 +119,41 @@ def activity_dimensions(events: DataFrame) -> DataFrame:
     return grouped.select(dimension.alias("dimension"), bucket.alias("bucket"), "event_count")
 
 
+def chart_heads(events: DataFrame, heads: Mapping[str, int] = S.CHART_HEADS) -> DataFrame:
+    """The largest entries of every chart (T6): section, rank, label, event_count.
+
+    One scan and one shuffle of partial counts for all sections (GROUPING
+    SETS).  The rank's bound is pushed below its exchange (WindowGroupLimit):
+    each task keeps the largest of each section, so a section with very many
+    pages is never sorted in one task.  Sections are the keys of ``heads``
+    (minute, hour, language, wiki, page, user, bot); ties by label.
+    """
+    us, bot = F.unix_micros(_ts(events)), C.is_true("is_bot")
+    keyed = events.select(
+        C.bucket_us(us, MINUTE_US).alias("minute"), C.bucket_us(us, HOUR_US).alias("hour"),
+        C.wiki_to_language("wiki").alias("language"), C.page_wiki("wiki").alias("wiki"),
+        C.page_label(C.page_title("title"), C.page_wiki("wiki")).alias("page"),
+        F.when(~bot, C.user_key("user")).alias("user"), F.when(bot, C.user_key("user", S.UNKNOWN_BOT)).alias("bot"),
+    )
+    names = list(heads)
+    text = {"minute": C.minute_bucket(F.timestamp_micros("minute")), "hour": C.hour_bucket(F.timestamp_micros("hour"))}
+    # a set keeps its own grouping bit at 0; the first column has the highest
+    own = {name: F.col("gid") == (1 << len(names)) - 1 - (1 << (len(names) - 1 - k)) for k, name in enumerate(names)}
+    section, label, shown = F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(False)
+    for name in names:
+        section = F.when(own[name], F.lit(name)).otherwise(section)
+        label = F.when(own[name], F.coalesce(text.get(name, F.col(f"`{name}`")), F.lit(S.UNKNOWN))).otherwise(label)
+        # the other kind's events have no user here
+        shown = F.when(own[name], F.col(name).isNotNull() if name in ("user", "bot") else F.lit(True)).otherwise(shown)
+    counts = keyed.groupingSets([[n] for n in names], *names).agg(
+        F.count(F.lit(1)).alias("event_count"), F.grouping_id().alias("gid"))
+    counts = counts.where(shown).select(section.alias("section"), label.alias("label"), "event_count")
+    order = Window.partitionBy("section").orderBy(F.desc("event_count"), "label")
+    ranked = counts.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= max(heads.values()))
+    limits = F.create_map(*[F.lit(v) for pair in heads.items() for v in pair])
+    return ranked.where(F.col("rank") <= limits[F.col("section")]).select("section", "rank", "label", "event_count")
+
+
 def global_activity(events: DataFrame, source_path: str | None = None) -> DataFrame:
     """Total events, files read (distinct ``source_file``), source path."""
     files = (

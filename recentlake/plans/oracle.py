@@ -543,7 +543,22 @@ _NEXT = ("nexts AS (SELECT kafka_partition, kafka_offset, lead(kafka_offset) OVE
 _GAPS = ("gaps AS (SELECT kafka_partition, kafka_offset + 1 AS first_missing, following - 1 AS last_missing, "
          "following - kafka_offset - 1 AS missing FROM nexts WHERE following > kafka_offset + 1)")
 
+def _head(section: str, counts: str, label: str, count: str = "event_count") -> str:
+    return (f"SELECT '{section}' AS section, rank, label, event_count FROM (SELECT *, row_number() OVER (ORDER BY event_count DESC, label) "
+            f"AS rank FROM (SELECT {label} AS label, {count} AS event_count FROM ({counts}) c) n) r WHERE rank <= {S.CHART_HEADS[section]}")
+
+
+_CHARTS = [
+    _head("minute", REPORTS["activity_by_minute"], "minute"), _head("hour", REPORTS["activity_by_hour"], "hour"),
+    _head("language", REPORTS["language_distribution"], "language"), _head("wiki", REPORTS["activity_by_wiki"], "wiki"),
+    _head("page", _with() + _pages(), "title || ' (' || wiki || ')'", "edit_count"),
+    _head("user", _with() + f"SELECT {USER_K} AS u, count(*) AS n FROM ev WHERE NOT coalesce(is_bot, false) GROUP BY 1", "u", "n"),
+    _head("bot", _with() + "SELECT coalesce(nullif(\"user\",''),'unknown_bot') AS u, count(*) AS n FROM ev WHERE coalesce(is_bot, false) GROUP BY 1",
+          "u", "n"),
+]
+
 CARRIED: dict[str, str] = {
+    "chart_heads": " UNION ALL ".join(f"({q})" for q in _CHARTS),
     "top_pages_of_many": REPORTS["top_pages"],
     "top_pages_bucketed": REPORTS["top_pages"],
     "page_rules_bucketed": _rule_query(SPIKE_CTES + RAPID_CTES, f"({SPIKE_SQL}) UNION ALL ({RAPID_SQL})"),

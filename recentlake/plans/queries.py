@@ -405,6 +405,7 @@ def _page_lake(spark: SparkSession, sf_dir: str) -> PageLake:
 
 
 CARRIED_QUERIES: dict[str, Query] = {
+    "chart_heads": _on_events(R.chart_heads),
     "top_pages_bucketed": lambda spark, sf_dir: PG.top_pages(spark, _page_lake(spark, sf_dir)),
     "page_rules_bucketed": lambda spark, sf_dir: PG.page_rules(spark, _page_lake(spark, sf_dir), TD.as_of_col(), BY_ID),
     "top_pages_of_many": _on_events(R.top_pages_of_many),

@@ -37,6 +37,8 @@ TOP_LIMIT = 20          # top pages / contributors / bots
 DAILY_TOP_LIMIT = 10    # daily report top pages / users
 DAILY_HOURS_LIMIT = 48  # daily report hourly buckets
 ANOMALY_SAMPLE = 20     # daily report stored anomalies shown
+# charts: entries shown of each section
+CHART_HEADS = {"minute": 60, "hour": 48, "language": 15, "wiki": 15, "page": 15, "user": 15, "bot": 15}
 LIVE_MAX_EVENTS = 1000  # live buffer size
 LIVE_TOP_N = 15         # live top pages / wikis
 LIVE_TABLE_ROWS = 30    # live latest-events table
