@@ -83,3 +83,35 @@ def test_reruns_agree(spark):
     a = {r["doc_id"]: r["distance"] for r in q.quality_verdicts(documents(spark, rows)).collect()}
     b = {r["doc_id"]: r["distance"] for r in q.quality_verdicts(documents(spark, rows[::-1]).repartition(7)).collect()}
     assert a == b
+
+
+def exact_mcd(points, share):
+    """The subset of that share of ``points`` with the smallest determinant, by
+    trying all of them (each distinct point counts as one row)."""
+    from itertools import combinations
+
+    h = int(np.ceil(share * len(points)))
+    best = min(combinations(range(len(points)), h), key=lambda s: np.linalg.det(np.cov(points[list(s)].T, bias=True) + 1e-9 * np.eye(q.P)))
+    return points[list(best)], best
+
+
+def test_estimate_covers_the_subset_of_the_exact_one(spark):
+    """On a cell small enough to try every subset, the concentration steps find
+    the rows of the exact minimum-determinant subset, and reject the same rows."""
+    rng = np.random.default_rng(11)
+    good = rng.normal(0, 1, (13, q.P)) * 3.0
+    bad = rng.normal(0, 0.5, (4, q.P)) + np.array([60, -45, 55, 40, 70.0])
+    points = np.round(np.vstack([good, bad]) * q.SCALE)
+    frame = spark.createDataFrame([("c", *map(int, v)) for v in points], "cell string, " + ", ".join(f"x{i} long" for i in range(q.P)))
+    found = q.mcd_estimates(frame).collect()[0]
+    points /= q.SCALE
+    subset, chosen = exact_mcd(points, q.SUBSET_SHARE)
+    assert set(chosen) <= set(range(13))  # the exact subset holds no bad row
+    cov = np.cov(subset.T, bias=True)
+    gap = points - subset.mean(0)
+    exact = np.einsum("ni,ij,nj->n", gap, np.linalg.inv(cov), gap)
+    gap = points - np.array(found["mu"])
+    ours = np.einsum("ni,ij,nj->n", gap, np.array(found["prec"]).reshape(q.P, q.P), gap)
+    assert set(np.argsort(ours)[:13]) == set(np.argsort(exact)[:13]) == set(range(13))
+    assert (ours[13:] > q.CUT).all() and (exact[13:] > q.CUT).all()
+    assert np.abs(np.array(found["mu"]) - good.mean(0)).max() < 2.0
