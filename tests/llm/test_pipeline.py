@@ -32,3 +32,125 @@ def test_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
     assert set(__spark_entry__.oracle_sql()) <= set(names)
+
+
+def outliers(rows):
+    """Ids that the quality rules reject, by a minimum covariance determinant
+    with whole vectors on the driver: concentration from many random starts."""
+    import math
+
+    import numpy as np
+    from test_quality_rules import brute as statistics
+
+    from recentlake.llm import quality_rules as q
+
+    found, vectors = set(), {}
+    for doc_id, text, lang, source in rows:
+        n, chars, symbols, lines, repeats = statistics(text)
+        if n < q.MIN_WORDS or 100 * repeats > q.MAX_REPEAT_PERCENT * n:
+            found.add(doc_id)
+        c, w = max(chars, 1), max(n, 1)
+        vectors.setdefault((lang, source), []).append((doc_id, [
+            math.log1p(n), math.log(c / w), math.log1p(200 * symbols / c), math.log1p(200 * lines / w), math.log1p(20 * repeats / w)]))
+    rng, floor = np.random.default_rng(5), np.array(q.FLOORS)
+
+    def distances(points, subset, scale=1.0):
+        mean, cov = points[subset].mean(0), np.cov(points[subset].T, bias=True) * scale / np.outer(floor, floor)
+        w, v = np.linalg.eigh(cov)
+        w = np.maximum(w, 1.0)
+        gap = (points - mean) / floor @ v
+        return (gap * gap / w).sum(1), np.log(w).sum()
+
+    for cell in vectors.values():
+        points = np.array([v for _, v in cell])
+        h, best = math.ceil(q.SUBSET_SHARE * len(points)), None
+        for _ in range(40):
+            subset = rng.choice(len(points), 3 * q.P, replace=False)
+            for _ in range(30):
+                subset = np.argsort(distances(points, subset)[0], kind="stable")[:h]
+            size = distances(points, subset)[1]
+            if best is None or size < best[0]:
+                best = (size, subset)
+        plain = distances(points, best[1])[0]
+        final = distances(points, best[1], max(1.0, np.median(plain) / q.CHI2_MEDIAN))[0]
+        open_ = np.array([doc_id not in found for doc_id, _ in cell])
+        assert not (open_ & (final > q.CUT / 1.5) & (final < q.CUT * 1.5)).any()  # no verdict hangs on rounding
+        found |= {doc_id for (doc_id, _), d in zip(cell, final) if d > q.CUT}
+    return found
+
+
+def taken(rows):
+    """``{doc_id: copies}`` of the mix."""
+    import hashlib
+
+    from helpers import words
+    from test_mixing import level
+
+    md5 = lambda b: hashlib.md5(b).hexdigest()
+    names = sorted({r[3] for r in rows})
+    sizes = {n: sum(len(words(r[1])) for r in rows if r[3] == n) for n in names}
+    targets = dict(zip(names, level([sizes[n] for n in names], [k % 3 + 1 for k in range(len(names))])))
+    out = {}
+    for n in names:
+        start = 0
+        for doc_id, text, *_ in sorted((r for r in rows if r[3] == n), key=lambda r: md5(f"{r[0]}|{md5(r[1].encode())}".encode())):
+            size = len(words(text))
+            out[doc_id] = sum(e * sizes[n] + start + size / 2 < targets[n] for e in range(3)) if size else 0
+            start += size
+    return out
+
+
+def test_run_against_brute_force(spark, tmp_path):
+    import random
+    from collections import Counter
+
+    import numpy as np
+    from helpers import words
+    from test_shingle_join import brute as components
+
+    from recentlake.llm import sampled_pieces as s
+
+    rng = random.Random(4)
+    passage = [prose(60 + 7 * k, 700 + k, 3000) for k in range(4)]
+    rows = []
+    for k in range(270):
+        parts = [prose(12 + (k + j) % 7, 1000 * k + j, 3000) for j in range(5 + k % 9)]
+        if k % 6 == 0:
+            parts.insert(k % 4, rng.choice(passage))
+        rows.append((k * 7 % 1009, "\n".join(parts), "en", f"s{k % 3}" if k % 9 else "s0"))
+    near = [rows[k] for k in range(0, 60, 4)]
+    rows += [(2000 + k, r[1] + " tail", r[2], r[3]) for k, r in enumerate(near)] + [(2100 + k, *near[0][1:]) for k in range(20)]
+    rows += [(2200 + k, " ".join(f"{w}###" for w in r[1].split()), "en", r[3]) for k, r in enumerate(rows[61:70])]
+    rows += [(2300, "too short", "en", "s0"), (2301, "", "en", "s1"), (2302, "same words again and " * 40, "en", "s2")]
+    documents(spark, rows).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+
+    gone = outliers(rows)
+    assert {2300, 2301, 2302, *range(2200, 2209)} <= gone and len(gone) < 20
+    left = [r for r in rows if r[0] not in gone]
+    stay = {d for d, _, c in components([r[:2] for r in left]) if d == c}
+    left = [r for r in left if r[0] in stay]
+    assert not stay & set(range(2000, 2120))
+    first = {}
+    for doc_id, text, *_ in left:
+        ws = words(text)
+        for k in range(len(ws) - 12):
+            w = tuple(ws[k:k + 13])
+            first[w] = min(first.get(w, doc_id), doc_id)
+    cut = []
+    for doc_id, text, *rest in left:
+        ws = words(text)
+        out = {k + i for k in range(len(ws) - 12) if first[tuple(ws[k:k + 13])] < doc_id for i in range(13)}
+        cut.append((doc_id, b" ".join(w for k, w in enumerate(ws) if k not in out).decode() if out else text, *rest))
+    assert sum(a[1] != b[1] for a, b in zip(left, cut)) > 20
+    want = Counter()
+    for doc_id, copies in taken(cut).items():
+        want[doc_id, next(r[1] for r in cut if r[0] == doc_id)] += copies
+    assert max(want.values()) > 1
+
+    result = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    pieces = s.pieces(s.default_model(), s.ALPHA)
+    bounds = np.concatenate([[0], np.cumsum([len(r["ids"]) for r in result])])
+    texts = pieces.decode(np.concatenate([r["ids"] for r in result]), bounds)
+    got = Counter((r["doc_id"], text) for r, text in zip(result, texts))
+    assert got == +want
+    assert all(r["n_pieces"] == len(r["ids"]) for r in result)
