@@ -251,8 +251,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     """``doc_id, text`` in runs by ascending ``doc_id`` (column ``bucket``),
     each run followed by the first row of the next (``is_next``).
 
-    Runs are cut at quantiles of the ids, as many as there are partitions;
-    only these cuts, and the first id of each run, are on the driver.
+    Runs are cut at quantiles of the ids, as many as there are partitions, and
+    each is a partition of its own; only these cuts, and the first id of each run, are on the driver.
     """
     spark = docs.sparkSession
     n = spread(spark)
@@ -275,7 +275,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     heads = spark.createDataFrame(followers, "bucket int, __first bigint")  # a row for each run
     after = picked.join(F.broadcast(heads), F.col("doc_id").eqNullSafe(F.col("__first"))) \
         .select("doc_id", "text", "bucket", F.lit(True).alias("is_next"))
-    return placed.withColumn("is_next", F.lit(False)).unionByName(after).repartition(n, "bucket") \
+    return placed.withColumn("is_next", F.lit(False)).unionByName(after).repartitionById(n + 1, "bucket") \
         .sortWithinPartitions("bucket", "is_next", F.col("doc_id").asc_nulls_last(), "text")
 
 
