@@ -61,6 +61,9 @@ BLOCK = 400
 LAST_ID = (1 << 63) - 1
 #: Sets smaller than this link with equal sets only.
 LEAST = 4
+#: Text bytes whose shingles a worker hashes at once: a word takes some
+#: hundred bytes of arrays, which a worker keeps between its tasks.
+HASHED_BYTES = 1 << 19
 
 
 def _bands(most: int = 1 << 40) -> np.ndarray:
@@ -117,7 +120,7 @@ def hot_shingles(docs: DataFrame) -> np.ndarray:
 
     def emit(batches):
         for batch in batches:
-            for _, _, data, offs in text_blocks(batch.column("text")):
+            for _, _, data, offs in text_blocks(batch.column("text"), HASHED_BYTES):
                 found = shingle_sets(data, offs)
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["shingle"])
@@ -142,7 +145,7 @@ def prefixes(docs: DataFrame, hot: np.ndarray) -> DataFrame:
         index = HashIndex(hot[order])
         for batch in batches:
             n, k1, k2, prefix = [], [], [], []
-            for _, _, data, offs in text_blocks(batch.column("text")):
+            for _, _, data, offs in text_blocks(batch.column("text"), HASHED_BYTES):
                 for own in shingle_sets(data, offs):
                     a, b = set_key(own)
                     n.append(len(own))
@@ -262,15 +265,17 @@ def whole_sets(docs: DataFrame, reps: DataFrame) -> DataFrame:
     (key, k2, id, tag, rep)."""
     wanted = reps.select(F.col("id").alias("__id"), F.col("tag").alias("__tag"), F.col("rep").alias("__rep"),
                          F.col("key").alias("__key"), F.col("k2").alias("__k2"))
+    # Each class is one narrow row, so a partition of them is a small table in
+    # memory, which the texts pass in a stream: no sort holds them.
     picked = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("__id"), F.xxhash64("text").alias("__tag"),
                          F.col("text").cast("string").alias("text")) \
-        .join(wanted, ["__id", "__tag"]).select("__key", "__k2", "__rep", "text")
+        .join(wanted.hint("shuffle_hash"), ["__id", "__tag"]).select("__key", "__k2", "__rep", "text")
 
     def run(batches):
         seen = set()
         for batch in batches:
             keys, seconds, reps_ = (batch.column(c).to_pylist() for c in ("__key", "__k2", "__rep"))
-            found = [s for _, _, data, offs in text_blocks(batch.column("text")) for s in shingle_sets(data, offs)]
+            found = [s for _, _, data, offs in text_blocks(batch.column("text"), HASHED_BYTES) for s in shingle_sets(data, offs)]
             # Repeated rows of a class are read once in a task; those of other
             # tasks change no link.
             own = []
@@ -515,9 +520,14 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """One row of each component: those whose ``doc_id`` names it; of equal
     rows of one ``doc_id`` the first.  Rows without an id stay unless they
     link with a row that has one."""
+    on = ["__id", "__key"]
     key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("__id"), F.xxhash64("text").alias("__key")]
     stay = joined(docs).where("component_id is null or component_id = doc_id") \
-        .select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("__id"), F.col("tag").alias("__key")).distinct()
-    # Join and dedup by the same key: the texts are shuffled once.
-    kept = docs.select("*", *key).join(stay, ["__id", "__key"], "left_semi").dropDuplicates(["__id", "__key"])
+        .select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("__id"), F.col("tag").alias("__key")).groupBy(*on).agg(F.count(F.lit(1)).alias("__rows"))
+    rows = docs.select("*", *key)
+    # The texts pass the keys in a stream; only those of repeated rows are sorted.
+    kept = rows.join(stay.where("__rows = 1").hint("shuffle_hash"), on, "left_semi")
+    repeated = stay.where("__rows > 1")
+    if repeated.limit(1).count():
+        kept = kept.unionByName(rows.join(repeated, on, "left_semi").dropDuplicates(on))
     return kept.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -167,3 +167,21 @@ def test_components_of_paths_and_stars(spark):
     links = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 130)] + [(200, 200)]
     got_ = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got_ == {k: 0 for k in range(41)} | {k: 100 for k in range(100, 130)}
+
+
+def test_texts_are_not_sorted(spark, monkeypatch):
+    monkeypatch.setattr(j, "saved", lambda df, *_: df)
+    docs = documents(spark, [(k, prose(60, k)) for k in range(6)])
+    reps = spark.createDataFrame([(1, 2, 3, 4, 5)], "key long, k2 long, id long, tag long, rep long")
+    ids = spark.createDataFrame([(k, 56, k, 0) for k in range(6)], "doc_id long, n_shingles long, component_id long, tag long")
+    monkeypatch.setattr(j, "joined", lambda docs: ids)
+    for made in (j.whole_sets(docs, reps), j.one_of_each(docs)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "ShuffledHashJoin" in plan and "Sort" not in plan
+
+
+def test_one_of_each_with_repeated_rows(spark):
+    rows = [(1, prose(60, 1)), (1, prose(60, 1)), (1, prose(60, 2)), (2, prose(60, 1)), (3, prose(60, 3)), (None, prose(60, 4)), (None, prose(60, 4)),
+            (4, None), (4, None), (5, prose(60, 5))]
+    left = sorted(((r["doc_id"], r["text"]) for r in j.one_of_each(documents(spark, rows)).collect()), key=str)
+    assert left == sorted(set(rows) - {(2, prose(60, 1))}, key=str)
